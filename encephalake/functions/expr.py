@@ -39,3 +39,12 @@ def rank_in(col: Column, values: Sequence[str]) -> Column:
     for i, v in enumerate(values):
         whens = F.when(col == v, i) if whens is None else whens.when(col == v, i)
     return whens
+
+
+def micros_of(ts: str) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
+    d = f"(cast({ts} as timestamp_ntz) - timestamp_ntz'1970-01-01 00:00:00')"
+    return F.expr(
+        f"extract(day from {d}) * 86400000000L + extract(hour from {d}) * 3600000000L "
+        f"+ extract(minute from {d}) * 60000000L + cast(extract(second from {d}) * 1000000 as bigint)"
+    )

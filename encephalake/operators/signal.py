@@ -238,13 +238,17 @@ def _run(m, q, s: float) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("struct<ma:double,qa:double,mc:double,qc:double>")
-def _composite(ma: pd.Series, qa: pd.Series, mc: pd.Series, qc: pd.Series) -> pd.DataFrame:
-    """Fold a chunk's maps of both states into one map each."""
-    out = {"ma": [np.prod(v) for v in ma], "mc": [np.prod(v) for v in mc]}
-    out["qa"] = [_run(m, q, 0.0)[-1] for m, q in zip(ma, qa)]
-    out["qc"] = [_run(m, q, 0.0)[-1] for m, q in zip(mc, qc)]
-    return pd.DataFrame(out)[list(_FOUR)]
+def _composite(*maps: Column) -> Column:
+    """Fold a row's maps of both states into one map each."""
+
+    @F.pandas_udf("struct<ma:double,qa:double,mc:double,qc:double>")
+    def run(ma: pd.Series, qa: pd.Series, mc: pd.Series, qc: pd.Series) -> pd.DataFrame:
+        out = {"ma": [np.prod(v) for v in ma], "mc": [np.prod(v) for v in mc]}
+        out["qa"] = [_run(m, q, 0.0)[-1] for m, q in zip(ma, qa)]
+        out["qc"] = [_run(m, q, 0.0)[-1] for m, q in zip(mc, qc)]
+        return pd.DataFrame(out)[list(_FOUR)]
+
+    return run(*maps)
 
 
 def _states(before: bool):

@@ -43,7 +43,7 @@ def spans_whole(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def segments(
     spans: DataFrame, keys: Sequence[str], nperseg: int = 250, overlap: float = 0.5, value: str = "uv"
 ) -> DataFrame:
-    """(keys, span_len, seg, x): full segments of min(nperseg, span_len) samples.
+    """(keys, span_len, seg_no, x): full segments of min(nperseg, span_len) samples.
 
     Each sample goes to the at most two segments that hold it.  A span that is
     itself incomplete yields no segment that misses samples.
@@ -57,11 +57,11 @@ def segments(
     final = F.least(last, F.expr("pos div _hop"))
     placed = (
         rows.where(first <= final)
-        .withColumn("seg", F.explode(F.sequence(first, final)))
-        .select(*keys, "span_len", "_n", "seg", "pos", value)
+        .withColumn("seg_no", F.explode(F.sequence(first, final)))
+        .select(*keys, "span_len", "_n", "seg_no", "pos", value)
     )
     return (
-        placed.groupBy(*keys, "span_len", "_n", "seg")
+        placed.groupBy(*keys, "span_len", "_n", "seg_no")
         .agg(sorted_values("pos", value).alias("x"))
         .where(F.size("x") == F.col("_n"))
         .drop("_n")
@@ -204,18 +204,18 @@ def coherence(
         return _batched(x, one)
 
     spectra = seg.select(
-        *keys, "channel_idx", "seg", F.expr(f"seg div {segs_per_row}").alias("_block"), band_bins("x").alias("z")
+        *keys, "channel_idx", "seg_no", F.expr(f"seg_no div {segs_per_row}").alias("_block"), band_bins("x").alias("z")
     ).where(F.size("z") > 0)
     blocks = spectra.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list(F.struct("seg", "channel_idx", "z"))).alias("g")
+        F.array_sort(F.collect_list(F.struct("seg_no", "channel_idx", "z"))).alias("g")
     )
 
     @F.pandas_udf(
         "array<struct<ch_i:int,ch_j:int,k:int,re:double,im:double,sxx:double,syy:double>>"
     )
-    def cross(seg_no: pd.Series, ch: pd.Series, z: pd.Series) -> pd.Series:
+    def cross(no: pd.Series, ch: pd.Series, z: pd.Series) -> pd.Series:
         out = []
-        for s, c, v in zip(seg_no, ch, z):
+        for s, c, v in zip(no, ch, z):
             sums: dict[tuple[int, int], list] = {}
             m = np.stack(list(v))
             half = m.shape[1] // 2
@@ -242,7 +242,7 @@ def coherence(
         return pd.Series(out)
 
     rows = blocks.select(
-        *keys, F.explode(cross(F.col("g.seg"), F.col("g.channel_idx"), F.col("g.z"))).alias("c")
+        *keys, F.explode(cross(F.col("g.seg_no"), F.col("g.channel_idx"), F.col("g.z"))).alias("c")
     ).select(*keys, "c.*")
     total = rows.groupBy(*keys, "ch_i", "ch_j", "k").agg(
         *[F.sum(v).alias(v) for v in ("re", "im", "sxx", "syy")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ...dims import EYES_MINIMAL
+from ...functions.expr import micros_of
 from ...operators import windows as W
 from ...operators.spectral import encode_sliding
 from .. import views
@@ -191,7 +191,7 @@ def trials(spark, sf):
 )
 def f9(spark, sf):
     out = W.trial_onsets(
-        trials(spark, sf), ["session_id"], F.expr("unix_seconds(ts) div 3600"), [F.col("ts"), F.col("event_id")]
+        trials(spark, sf), ["session_id"], F.floor(micros_of("ts") / 3600000000), [F.col("ts"), F.col("event_id")]
     )
     return out.select("session_id", "event_id", "event_type", "onset_sample")
 
@@ -217,7 +217,7 @@ def f9_totals(spark, sf):
 def f10(spark, sf):
     marks = views.table(spark, sf, "events").select(
         F.concat(F.lit("U"), F.col("user_id")).alias("session_id"),
-        F.expr("unix_micros(ts) div 8000").alias("sample_index"),
+        F.floor(micros_of("ts") / 8000).cast("bigint").alias("sample_index"),
         F.lit(0).alias("marker_id"),
         F.col("event_type").alias("label"),
     )

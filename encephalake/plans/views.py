@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import CHANNEL_NAMES
-from ..functions.expr import channel_name
+from ..functions.expr import channel_name, micros_of
 from ..functions.layout import numbered
 
 _NAMES_SQL = "[" + ",".join(f"'{n}'" for n in CHANNEL_NAMES) + "]"
@@ -77,7 +77,7 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("value").alias("uv"),
     )
-    hour = F.expr("unix_seconds(ts) div 3600")
+    hour = F.floor(micros_of("ts") / 3600000000)
     out = numbered(ev, ["session_id", "channel"], hour, [F.col("ts"), F.col("event_id")])
     return out.select("session_id", "channel", F.col("rn").alias("sample_idx"), "uv", "ts")
 

@@ -4,40 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_STR, _INT, _LONG, _DBL, _FLT = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.FloatType(),
+)
+_DOUBLES, _STRINGS, _TEXT_MAP = T.ArrayType(_DBL), T.ArrayType(_STR), T.MapType(_STR, _STR)
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
-SAMPLES = _schema(
-    "session_id string, channel string, channel_idx int, sample_idx bigint, uv double"
-)
-MARKERS = _schema("session_id string, sample_index bigint, marker_id int, label string")
-FEEDBACK = _schema("session_id string, t_sec double, state float, target float")
-SESSIONS = _schema(
-    "subject_id string, session_id string, session_type string, duration_sec double, "
-    "n_channels int, sample_rate double, channel_names array<string>, "
-    "montage_version string, status string, uri string, created_at timestamp, "
-    "attrs map<string,string>"
-)
-PN = _schema("session_id string, channel string, sample_idx bigint, a double, b double, c double")
-QUALITY = _schema(
-    "session_id string, channel string, win bigint, rail_pct double, std_uv double, "
-    "line_ratio double, status int"
+
+SAMPLES = _table(session_id=_STR, channel=_STR, channel_idx=_INT, sample_idx=_LONG, uv=_DBL)
+MARKERS = _table(session_id=_STR, sample_index=_LONG, marker_id=_INT, label=_STR)
+FEEDBACK = _table(session_id=_STR, t_sec=_DBL, state=_FLT, target=_FLT)
+SESSIONS = _table(
+    subject_id=_STR,
+    session_id=_STR,
+    session_type=_STR,
+    duration_sec=_DBL,
+    n_channels=_INT,
+    sample_rate=_DBL,
+    channel_names=_STRINGS,
+    montage_version=_STR,
+    status=_STR,
+    uri=_STR,
+    created_at=T.TimestampType(),
+    attrs=_TEXT_MAP,
 )
-SCHEDULE = _schema(
-    "start_sec double, duration_sec double, condition int, label string, cycle int"
+PN = _table(session_id=_STR, channel=_STR, sample_idx=_LONG, a=_DBL, b=_DBL, c=_DBL)
+QUALITY = _table(
+    session_id=_STR, channel=_STR, win=_LONG, rail_pct=_DBL, std_uv=_DBL, line_ratio=_DBL, status=_INT
 )
-TEMPLATES = _schema(
-    "name string, label int, n_channels int, n_segments bigint, re array<double>, im array<double>, "
-    "metadata map<string,string>"
+SCHEDULE = _table(start_sec=_DBL, duration_sec=_DBL, condition=_INT, label=_STR, cycle=_INT)
+TEMPLATES = _table(
+    name=_STR, label=_INT, n_channels=_INT, n_segments=_LONG, re=_DOUBLES, im=_DOUBLES, metadata=_TEXT_MAP
 )
-RECORDING_META = _schema(
-    "session_id string, board_id int, sample_rate double, eeg_channel_indices array<int>, "
-    "channel_names array<string>, total_channels int, total_samples bigint, "
-    "duration_sec double, recorded_at string"
+RECORDING_META = _table(
+    session_id=_STR,
+    board_id=_INT,
+    sample_rate=_DBL,
+    eeg_channel_indices=T.ArrayType(_INT),
+    channel_names=_STRINGS,
+    total_channels=_INT,
+    total_samples=_LONG,
+    duration_sec=_DBL,
+    recorded_at=_STR,
 )
-EVENT_LOG = _schema(
-    "config map<string,double>, "
-    "events array<struct<timestamp:double,event:string,condition:int,label:string>>"
+EVENT_LOG = _table(
+    config=T.MapType(_STR, _DBL),
+    events=T.ArrayType(_table(timestamp=_DBL, event=_STR, condition=_INT, label=_STR)),
 )
