@@ -1 +1,151 @@
+"""Covariances, their geometry, and source separation."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import geometry as G
+from ...operators import separation as H
+from ...operators import signal as C
+from ...operators import windows as W
+from .. import views
+from .base import S_SQL, pick, query, with_, windows_sql
+from .windows import OPEN_CLOSED, intervals
+
+_OUT = "session_id win center_sec ch_i ch_j value:3"
+_FULL = (
+    windows_sql("wn")
+    + """, full_ as (select session_id, win from wn group by all having count(*) = 16 * 250),
+  ce as (select wn.session_id, win, channel_idx, j, uv - avg(uv) over (partition by wn.session_id, wn.channel_idx, wn.win) x from wn join full_ using (session_id, win)),
+  cv as (select a.session_id, a.win, a.channel_idx ch_i, b.channel_idx ch_j, sum(a.x * b.x) / 250 s, sum(a.x * a.x * b.x * b.x) / 250 s4
+         from ce a join ce b on a.session_id = b.session_id and a.win = b.win and a.j = b.j group by all)"""
+)
+_SELECT = " select session_id, win, (win * 250 + 125.0::double) / 125 center_sec, ch_i, ch_j, round({v}, 3) + 0.0 as value from {t} where ch_i <= ch_j"
+
+
+def covs(spark, sf, method="oas", overlap=0.0):
+    return G.covariance_matrices(views.samples(spark, sf), method=method, overlap=overlap)
+
+
+@query("g1_covariance_empirical", with_(S_SQL, _FULL) + _SELECT.format(v="s", t="cv"))
+def g1(spark, sf):
+    return pick(G.covariance_entries(covs(spark, sf, "empirical")), _OUT)
+
+
+_TRACE = "tr as (select session_id, win, sum(s) filter (ch_i = ch_j) / 16 mu, sum(s * s) ss, sum(s4) s4 from cv group by all)"
+
+
+@query(
+    "g2_covariance_oas",
+    with_(S_SQL, _FULL, _TRACE)
+    + """, sh as (select *, case when ss / 256 - mu * mu / 16 = 0 then 1 else least(1, (ss / 256 + mu * mu) / (251 * (ss / 256 - mu * mu / 16))) end rho from tr),
+    o as (select cv.session_id, cv.win, ch_i, ch_j, (1 - rho) * s + (case when ch_i = ch_j then rho * mu else 0 end) v from cv join sh using (session_id, win))"""
+    + _SELECT.format(v="v", t="o"),
+)
+def g2(spark, sf):
+    return pick(G.covariance_entries(covs(spark, sf)), _OUT)
+
+
+@query(
+    "g3_covariance_ledoit_wolf",
+    with_(S_SQL, _FULL, _TRACE)
+    + """, db as (select *, (ss - 2 * mu * 16 * mu + 16 * mu * mu) / 16 delta, (s4 - ss) / (16 * 250) beta from tr),
+    sh as (select *, case when beta = 0 then 0 else least(beta, delta) / delta end rho from db),
+    o as (select cv.session_id, cv.win, ch_i, ch_j, (1 - rho) * s + (case when ch_i = ch_j then rho * mu else 0 end) v from cv join sh using (session_id, win))"""
+    + _SELECT.format(v="v", t="o"),
+)
+def g3(spark, sf):
+    return pick(G.covariance_entries(covs(spark, sf, "lw")), _OUT)
+
+
+@query("g4_spd_check", with_(S_SQL, _FULL) + "select session_id, win, true as is_spd from full_")
+def g4(spark, sf):
+    return G.spd_check(covs(spark, sf)).select("session_id", "win", "is_spd")
+
+
+def grouped(spark, sf):
+    """Covariances at 50 % overlap, tagged open or closed through the state markers."""
+    tagged = W.assign_states(covs(spark, sf, overlap=0.5), intervals(spark, sf))
+    return W.merge_states(tagged, OPEN_CLOSED)
+
+
+def flat(df, value):
+    return df.select(
+        *[c for c in df.columns if c != value], F.posexplode(value).alias("p", "value")
+    )
+
+
+@query("g5_frechet_mean")
+def g5(spark, sf):
+    means = G.frechet_means(grouped(spark, sf), ["session_id", "state_group"])
+    return pick(flat(means, "mean"), "session_id state_group p value:4")
+
+
+@query("g6_tangent_vectors")
+def g6(spark, sf):
+    data = covs(spark, sf)
+    sums = G.matrix_sums(data, ["session_id"], "cov")
+    base = sums.select("session_id", F.transform("total", lambda e: e / F.col("n")).alias("base"))
+    out = G.tangent_vectors(data.join(base, "session_id"), "base", "cov")
+    return pick(flat(out.select("session_id", "win", "tangent"), "tangent"), "session_id win p value:4")
+
+
+def two_states(spark, sf):
+    return G.state_means(grouped(spark, sf), ["session_id"], "state_group", "open", "closed")
+
+
+@query("g7_polarity_projection")
+def g7(spark, sf):
+    out = G.polarity(G.reference_direction(two_states(spark, sf)))
+    return pick(out, "session_id sign magnitude:4 projection:4")
+
+
+@query("g8_reference_direction")
+def g8(spark, sf):
+    out = G.reference_direction(two_states(spark, sf)).select("session_id", "reference")
+    return pick(flat(out, "reference"), "session_id p value:6")
+
+
+# ---------------------------------------------------------------- separation
+
+
+def fitted(spark, sf):
+    return H.fit_ica(C.highpass(views.samples(spark, sf)))
+
+
+@query("h1_fit_components")
+def h1(spark, sf):
+    ica = fitted(spark, sf)
+    return ica.select("session_id", F.posexplode("unmixing").alias("p", "weight"))
+
+
+@query("h2_flag_eye_components")
+def h2(spark, sf):
+    return H.flag_eye_components(views.samples(spark, sf), fitted(spark, sf))
+
+
+@query(
+    "h3_apply_matrix",
+    with_(S_SQL)
+    + """, f as (select *, count(*) over (partition by session_id, sample_idx) c, avg(uv) over (partition by session_id, sample_idx) m from s)
+    select session_id, sample_idx, channel_idx, round(uv - m, 6) + 0.0 uv from f where c = 16""",
+)
+def h3(spark, sf):
+    """A given matrix: re-reference every time point to the channel mean."""
+    data = views.samples(spark, sf)
+    eye = [[(1.0 if i == j else 0.0) - 1 / 16 for j in range(16)] for i in range(16)]
+    matrices = data.select("session_id").distinct().select(
+        "session_id",
+        F.array(*[F.lit(v) for row in eye for v in row]).alias("m"),
+        F.array_repeat(F.lit(0.0), 16).alias("shift"),
+    )
+    return pick(H.apply_matrices(data, matrices), "session_id sample_idx channel_idx uv:6")
+
+
+@query("h3_remove_components")
+def h3_remove(spark, sf):
+    data = views.samples(spark, sf)
+    ica = fitted(spark, sf)
+    scores = H.flag_eye_components(data, ica)
+    worst = scores.groupBy("session_id").agg(F.max_by("component", F.abs("score")).alias("component"))
+    return pick(H.apply_matrices(data, H.cleaning_matrices(ica, worst)), "session_id sample_idx channel_idx uv:4")
