@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..dims import RING_ORDER
 from ..functions.expr import rank_in
-from .geometry import matrix_sums
+from ..functions.iterate import matrix_sums
 
 AMPLITUDES = ["00", "10", "01", "11"]  # first digit: excitatory state
 MAX_CHANNELS = 8  # 4^8 amplitudes = 1 MB per template
@@ -112,34 +112,32 @@ def _as_complex(v) -> np.ndarray:
 def build_templates(states: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(scope, n_segments, re, im): normalised mean state of each scope's segments.
 
-    Arrow batches are reduced to one state per template before the shuffle.
+    Every task reduces its segments to one state per template before the shuffle.
     """
     scope = list(scope)
     types = ", ".join(f"{k} {states.schema[k].dataType.simpleString()}" for k in scope)
 
     def reduce(batches):
+        sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, part in pdf.groupby(scope, sort=False):
                 total = sum(_product_state(_as_complex(v)) for v in part["amps"])
-                yield pd.DataFrame(
-                    [(*key, len(part), np.concatenate([total.real, total.imag]))], columns=[*scope, "m", "v"]
-                )
+                row = np.concatenate([[len(part)], total.real, total.imag])
+                sums[key] = row + sums.get(key, 0.0)
+        for key, row in sums.items():
+            yield pd.DataFrame([(*key, row)], columns=[*scope, "v"])
 
-    partial = states.select(*scope, "amps").mapInPandas(reduce, f"{types}, m bigint, v array<double>")
-    sums = matrix_sums(partial, scope, "v").drop("n")
-    counts = partial.groupBy(*scope).agg(F.sum("m").alias("n_segments"))
+    partial = states.select(*scope, "amps").mapInPandas(reduce, f"{types}, v array<double>")
 
-    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    @F.pandas_udf("struct<n_segments:bigint,re:array<double>,im:array<double>>")
     def unit(v: pd.Series) -> pd.DataFrame:
         rows = []
         for t in v:
-            t = np.asarray(t) / np.linalg.norm(t)
-            rows.append((t[: len(t) // 2], t[len(t) // 2 :]))
-        return pd.DataFrame(rows, columns=["re", "im"])
+            state = np.asarray(t[1:]) / np.linalg.norm(t[1:])
+            rows.append((int(t[0]), state[: len(state) // 2], state[len(state) // 2 :]))
+        return pd.DataFrame(rows, columns=["n_segments", "re", "im"])
 
-    return sums.join(counts, scope).select(*scope, "n_segments", unit("total").alias("u")).select(
-        *scope, "n_segments", "u.re", "u.im"
-    )
+    return matrix_sums(partial, scope, "v").select(*scope, unit("total").alias("u")).select(*scope, "u.*")
 
 
 def template_fidelity(states: DataFrame, templates: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:

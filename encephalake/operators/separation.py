@@ -14,11 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import EOG_PROXIES
+from ..dims import CHANNEL_NAMES, EOG_PROXIES
+from ..functions.iterate import fixed_point, matrix_sums
 from ..functions.layout import spread_join
-from ..session import materialise
-from .geometry import _square, matrix_sums
-from .windows import assign_windows
 
 BLOCK = 512
 
@@ -44,102 +42,86 @@ def sample_blocks(samples: DataFrame, n_channels: int = 16, block: int = BLOCK)
     return done.select("session_id", "win", "b.idx", "b.x").where(F.size("x") > 0)
 
 
+def _moment_sums(samples: DataFrame, c: int, block: int = BLOCK) -> DataFrame:
+    """(session_id, total): count, sums and cross products of the channels."""
+
+    @F.pandas_udf("array<double>")
+    def moments(x: pd.Series) -> pd.Series:
+        out = []
+        for v in x:
+            m = v.reshape(-1, c)
+            out.append(np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]))
+        return pd.Series(out)
+
+    blocks = sample_blocks(samples, c, block).select("session_id", moments("x").alias("v"))
+    return matrix_sums(blocks, ["session_id"], "v").select("session_id", "total")
+
+
+def _mean_and_cov(total: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    n, mean = total[0], total[1 : c + 1] / total[0]
+    return mean, total[c + 1 :].reshape(c, c) / n - np.outer(mean, mean)
+
+
 def fit_ica(
     samples: DataFrame, n_components: int = 15, n_channels: int = 16, seed: int = 42, max_iter: int = 60,
-    tol: float = 1e-4, per_job: int = 5, block: int = BLOCK,
+    tol: float = 1e-4, block: int = BLOCK, **loop,
 ) -> DataFrame:
     """(session_id, mean, unmixing, mixing): symmetric fixed-point ICA per session.
 
-    ``unmixing`` is k x C, ``mixing`` C x k.  Give it high-passed samples.  An
-    iteration is one map over blocks and one small aggregate; sessions advance
-    together and stop on their own.
+    ``unmixing`` is k x C, ``mixing`` C x k.  Give it high-passed samples.  A round
+    is one map over blocks and one small aggregate; sessions advance together and
+    stop on their own.
     """
     c, k = n_channels, min(n_components, n_channels)
-    data = sample_blocks(samples, c, block).persist()
+    sizes = np.cumsum([c, k * c, k * k])
+
+    def parts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return s[: sizes[0]], s[sizes[0] : sizes[1]].reshape(k, c), s[sizes[1] :].reshape(k, k)
 
     @F.pandas_udf("array<double>")
-    def moments(x: pd.Series) -> pd.Series:
+    def whitening(total: pd.Series) -> pd.Series:
         out = []
-        for v in x:
-            m = v.reshape(-1, c)
-            out.append(np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]))
-        return pd.Series(out)
-
-    @F.pandas_udf("struct<mean:array<double>,whiten:array<double>,w:array<double>>")
-    def whitening(total: pd.Series) -> pd.DataFrame:
-        rows = []
         for t in total:
-            n, mean = t[0], t[1 : c + 1] / t[0]
-            cov = t[c + 1 :].reshape(c, c) / n - np.outer(mean, mean)
+            mean, cov = _mean_and_cov(np.asarray(t), c)
             w, v = np.linalg.eigh(cov)
             top = np.argsort(w)[::-1][:k]
             white = (v[:, top] / np.sqrt(np.maximum(w[top], 1e-12))).T
             q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((k, k)))
-            rows.append((mean, white.ravel(), q.ravel()))
-        return pd.DataFrame(rows, columns=["mean", "whiten", "w"])
-
-    @F.pandas_udf("array<double>")
-    def contrast(x: pd.Series, mean: pd.Series, whiten: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for v, m, u, q in zip(x, mean, whiten, w):
-            z = (v.reshape(-1, c) - m) @ np.asarray(u).reshape(k, c).T
-            g = np.tanh(z @ np.asarray(q).reshape(k, k).T)
-            out.append(np.concatenate([[len(z)], (1 - g**2).sum(axis=0), (g.T @ z).ravel()]))
+            out.append(np.concatenate([mean, white.ravel(), q.ravel()]))
         return pd.Series(out)
 
-    @F.pandas_udf("struct<w:array<double>,done:boolean>")
-    def advance(total: pd.Series, w: pd.Series, done: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, q, d in zip(total, w, done):
-            if d or t is None:
-                rows.append((q, True))
-                continue
-            old = np.asarray(q).reshape(k, k)
-            n, slope, cross = t[0], t[1 : k + 1], t[k + 1 :].reshape(k, k)
-            new = cross / n - (slope / n)[:, None] * old
-            u, _, vt = np.linalg.svd(new)
-            new = u @ vt
-            moved = np.max(np.abs(np.abs(np.sum(new * old, axis=1)) - 1))
-            rows.append((new.ravel(), bool(moved < tol)))
-        return pd.DataFrame(rows, columns=["w", "done"])
-
-    first = matrix_sums(data.select("session_id", moments("x").alias("v")), ["session_id"], "v")
-    state = first.select("session_id", whitening("total").alias("s")).select(
-        "session_id", "s.*", F.lit(False).alias("done")
-    )
-    state = materialise(state, "unmixing")
-    for i in range(max_iter):
-        live = state.where("not done").drop("done")
-        stats = spread_join(data, live, ["session_id"], F.col("win")).select(
-            "session_id", contrast("x", "mean", "whiten", "w").alias("v")
-        )
-        sums = matrix_sums(stats, ["session_id"], "v").select("session_id", "total")
-        state = (
-            state.join(sums, "session_id", "left")
-            .select("session_id", "mean", "whiten", advance("total", "w", "done").alias("s"))
-            .select("session_id", "mean", "whiten", "s.w", "s.done")
-        )
-        if (i + 1) % per_job == 0 or i + 1 == max_iter:
-            state = materialise(state, "unmixing")
-            if state.where("not done").isEmpty():
-                break
-    data.unpersist()
-
-    @F.pandas_udf("struct<unmixing:array<double>,mixing:array<double>>")
-    def finish(whiten: pd.Series, w: pd.Series) -> pd.DataFrame:
+    def contribute(rows: list, s: np.ndarray) -> np.ndarray:
+        mean, white, w = parts(s)
+        z = (np.concatenate(rows).reshape(-1, c) - mean) @ white.T
+        g = np.tanh(z @ w.T)
+        return np.concatenate([[len(z)], (1 - g**2).sum(axis=0), (g.T @ z).ravel()])
+
+    def update(total: np.ndarray, n: int, s: np.ndarray) -> tuple[np.ndarray, bool]:
+        _, _, old = parts(s)
+        count, slope, cross = total[0], total[1 : k + 1], total[k + 1 :].reshape(k, k)
+        u, _, vt = np.linalg.svd(cross / count - (slope / count)[:, None] * old)
+        new = u @ vt
+        moved = np.max(np.abs(np.abs(np.sum(new * old, axis=1)) - 1))
+        return np.concatenate([s[: sizes[1]], new.ravel()]), bool(moved < tol)
+
+    start = _moment_sums(samples, c, block).select("session_id", whitening("total").alias("s"))
+    blocks = sample_blocks(samples, c, block)
+    fitted = fixed_point(blocks, ["session_id"], "x", start, contribute, update, max_iter, **loop)
+
+    @F.pandas_udf("struct<mean:array<double>,unmixing:array<double>,mixing:array<double>>")
+    def finish(state: pd.Series) -> pd.DataFrame:
         rows = []
-        for u, q in zip(whiten, w):
-            un = np.asarray(q).reshape(k, k) @ np.asarray(u).reshape(k, c)
-            rows.append((un.ravel(), np.linalg.pinv(un).ravel()))
-        return pd.DataFrame(rows, columns=["unmixing", "mixing"])
+        for s in state:
+            mean, white, w = parts(np.asarray(s))
+            un = w @ white
+            rows.append((mean, un.ravel(), np.linalg.pinv(un).ravel()))
+        return pd.DataFrame(rows, columns=["mean", "unmixing", "mixing"])
 
-    return state.select("session_id", "mean", finish("whiten", "w").alias("f")).select(
-        "session_id", "mean", "f.unmixing", "f.mixing"
-    )
+    return fitted.select("session_id", finish("s").alias("f")).select("session_id", "f.*")
 
 
 def flag_eye_components(
-    samples: DataFrame, ica: DataFrame, eog_idx: Sequence[int] = (0, 1), z_threshold: float = 3.0,
+    samples: DataFrame, ica: DataFrame, eog_idx: Sequence[int] = tuple(CHANNEL_NAMES.index(n) for n in EOG_PROXIES), z_threshold: float = 3.0,
     n_channels: int = 16, max_rounds: int = 10,
 ) -> DataFrame:
     """(session_id, component, score, flagged): components that follow the frontal channels.
@@ -150,24 +132,13 @@ def flag_eye_components(
     """
     c = n_channels
 
-    @F.pandas_udf("array<double>")
-    def moments(x: pd.Series) -> pd.Series:
-        out = []
-        for v in x:
-            m = v.reshape(-1, c)
-            out.append(np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]))
-        return pd.Series(out)
-
-    sums = matrix_sums(
-        sample_blocks(samples, c).select("session_id", moments("x").alias("v")), ["session_id"], "v"
-    ).select("session_id", "total")
+    sums = _moment_sums(samples, c)
 
     @F.pandas_udf("array<struct<component:int,score:double,flagged:boolean>>")
     def score(total: pd.Series, unmixing: pd.Series) -> pd.Series:
         out = []
         for t, un in zip(total, unmixing):
-            mean = t[1 : c + 1] / t[0]
-            cov = t[c + 1 :].reshape(c, c) / t[0] - np.outer(mean, mean)
+            _, cov = _mean_and_cov(np.asarray(t), c)
             u = np.asarray(un).reshape(-1, c)
             std = np.sqrt(np.maximum(np.sum((u @ cov) * u, axis=1), 1e-300))
             best, flags = np.zeros(len(u)), np.zeros(len(u), dtype=bool)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.iterate import matrix_sums
 from ...operators import geometry as G
 from ...operators import separation as H
 from ...operators import signal as C
@@ -84,7 +85,7 @@ def g5(spark, sf):
 @query("g6_tangent_vectors")
 def g6(spark, sf):
     data = covs(spark, sf)
-    sums = G.matrix_sums(data, ["session_id"], "cov")
+    sums = matrix_sums(data, ["session_id"], "cov")
     base = sums.select("session_id", F.transform("total", lambda e: e / F.col("n")).alias("base"))
     out = G.tangent_vectors(data.join(base, "session_id"), "base", "cov")
     return pick(flat(out.select("session_id", "win", "tangent"), "tangent"), "session_id win p value:4")

@@ -1 +1,177 @@
+"""Reading, writing and registering recordings, sessions, encodings, templates."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...dims import values_table
+from ...functions.expr import micros_of
+from ...operators.project import artifact_components
+from ...session import scratch_path
+from ...sources import encodings as X
+from ...sources import logs, recordings, sessions
+from .. import views
+from .base import L_SQL, M_SQL, S_SQL, encoded_sql, pick, query, sel, with_
+from .evaluation import _TEMPL, encodings as encoded_windows
+from .evaluation import template_entries, templates
+from .projections import COMPONENTS_SQL, _REJECTED, components
+
+_UV = "session_id channel sample_idx uv:6"
+
+
+@query("a1_read_recordings", with_(S_SQL) + "select session_id, channel, sample_idx, sample_idx / 125.0::double t_sec, round(uv * 1e-6, 12) + 0.0 volts from s")
+def a1(spark, sf):
+    df = views.samples(spark, sf).withColumn("t_sec", F.col("sample_idx") / 125.0).withColumn("volts", F.col("uv") * 1e-6)
+    return pick(df, "session_id channel sample_idx t_sec volts:12")
+
+
+@query("a2_rows_of_kind", with_(L_SQL) + "select session_id, channel_idx row_idx, sample_idx, uv from l where channel_idx <= 5")
+def a2(spark, sf):
+    kinds = [(i, "eeg" if i <= 5 else "timestamp" if i == 6 else "marker") for i in range(1, 8)]
+    rows = views.volume_samples(spark, sf).withColumnRenamed("channel_idx", "row_idx")
+    out = recordings.by_kind(rows, values_table(spark, ["row_idx", "kind"], kinds))
+    return out.select("session_id", "row_idx", "sample_idx", "uv")
+
+
+@query("a3_session_markers", with_(M_SQL) + "select session_id, sample_index, marker_id, label, sample_index / 125.0::double onset_sec, 0.0::double duration_sec from m")
+def a3(spark, sf):
+    return recordings.with_onsets(views.markers(spark, sf))
+
+
+@query("a4_append_samples", with_(S_SQL) + "select session_id, channel, count(*) n, max(sample_idx) last_idx, round(avg(uv), 6) + 0.0 mean_uv from s group by all")
+def a4(spark, sf):
+    """Two appends (by half of the blocks) into one table, read back."""
+    root = scratch_path(spark, "recordings")
+    data = views.samples(spark, sf)
+    early = F.col("sample_idx") < 512
+    recordings.append(data.where(early), root, "samples")
+    recordings.append(data.where(~early), root, "samples")
+    back = recordings.read_table(spark, root, "samples")
+    out = back.groupBy("session_id", "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.max("sample_idx").alias("last_idx"), F.avg("uv").alias("mean_uv")
+    )
+    return pick(out, "session_id channel n last_idx mean_uv:6")
+
+
+@query(
+    "a5_cleaned_provenance",
+    with_(COMPONENTS_SQL)
+    + f"""select u.session_id, true ica_applied, 'events' ica_source, coalesce(n, 0)::bigint ica_n_excluded, coalesce(l, '') ica_excluded_labels from (select distinct session_id from comp) u
+    left join (select session_id, count(*) n, string_agg(label, ',' order by component) l from {_REJECTED} group by 1) r using (session_id)""",
+)
+def a5(spark, sf):
+    comp = components(spark, sf)
+    _, facts = recordings.save_cleaned(
+        comp, comp.select("session_id").distinct(), artifact_components(comp, 0.5), "events"
+    )
+    return facts.select("session_id", "ica_applied", "ica_source", "ica_n_excluded", "ica_excluded_labels")
+
+
+def stored_encoding(spark, sf):
+    pn = encoded_windows(spark, sf).withColumnRenamed("win", "sample_idx")
+    return pn.select("session_id", "channel", "channel_idx", "sample_idx", "a", "b", "c")
+
+
+_PN = "session_id channel sample_idx a:6 b:6 c:6"
+_NAMES = "['Fp1','Fp2','F3','F4','F7','F8','Fz','Oz','C3','C4','Pz','Cz','P3','O2','O1','P4'][channel_idx + 1]"
+
+
+@query(
+    "a6_encoding_round_trip",
+    with_(S_SQL, encoded_sql(62)) + f"select session_id, {_NAMES} channel, win sample_idx, round(a, 6) a, round(b, 6) b, round(c, 6) c from pns",
+)
+def a6(spark, sf):
+    path = scratch_path(spark, "encoding")
+    X.save_encoding(stored_encoding(spark, sf), path)
+    return pick(X.load_encoding(spark, path), _PN)
+
+
+@query(
+    "a7_interchange_document",
+    with_(S_SQL, encoded_sql(62))
+    + f"""select session_id, 'S000' subject_id, 125.0::double sample_rate, (max(n) over (partition by session_id))::bigint n_samples, ch channel, n::bigint n_values, round(sa, 4) sum_a, round(fb, 6) first_b from (
+    select session_id, {_NAMES} ch, count(*) n, sum(a) sa, arg_min(b, win) fb from pns group by all)""",
+)
+def a7(spark, sf):
+    """Written documents, parsed back to one row per channel."""
+    docs = X.interchange_documents(stored_encoding(spark, sf))
+    schema = (
+        "metadata struct<subject_id:string,session_id:string,sample_rate:double,channels:array<string>,n_samples:bigint>, "
+        "pn_parameters map<string,struct<a:array<double>,b:array<double>,c:array<double>>>"
+    )
+    d = docs.select(F.from_json("document", schema).alias("d")).select("d.metadata.*", F.explode("d.pn_parameters").alias("channel", "v"))
+    total = F.aggregate("v.a", F.lit(0.0), lambda s, x: s + x)
+    return pick(
+        d.select("session_id", "subject_id", "sample_rate", "n_samples", "channel", F.size("v.a").cast("bigint").alias("n_values"),
+                 total.alias("sum_a"), F.col("v.b")[0].alias("first_b")),
+        "session_id subject_id sample_rate n_samples channel n_values sum_a:4 first_b:6",
+    )
+
+
+@query(
+    "a9_event_log_round_trip",
+    "select 'U' || user_id session_id, event_id::double \"timestamp\", event_type as event, json_extract(props, '$.k')::int as condition, event_type || '_' || json_extract(props, '$.k') as label from events",
+)
+def a9(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    events = views.table(spark, sf, "events").select(
+        F.concat(F.lit("U"), F.col("user_id")).alias("session_id"),
+        F.col("event_id").cast("double").alias("t_sec"),
+        F.col("event_type").alias("event"),
+        k.cast("int").alias("condition"),
+        F.concat_ws("_", "event_type", k).alias("label"),
+    )
+    path = scratch_path(spark, "event-log")
+    docs = logs.event_documents(events, {"n_cycles": 3.0}, F.floor(F.col("t_sec") / 1000))
+    logs.write_event_logs(docs, path)
+    return logs.read_event_logs(spark, path)
+
+
+_REG = "session_id subject_id session_type duration_sec n_channels status montage_version"
+
+
+@query(
+    "a10_register_sessions",
+    with_(S_SQL) + "select session_id, 'S001' subject_id, 'resting' session_type, (max(sample_idx) + 1) / 125.0::double duration_sec, count(distinct channel_idx)::int n_channels, 'recorded' status, '2026-04-26-o2-on-fast-channel' montage_version from s group by 1",
+)
+def a10(spark, sf):
+    root = scratch_path(spark, "registry")
+    recordings.append(sessions.register(views.samples(spark, sf), "S001"), root, "sessions")
+    return recordings.read_table(spark, root, "sessions").select(*_REG.split())
+
+
+def registry(spark, sf):
+    """Orders as registered sessions: the status letter is the subject."""
+    return views.table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("subject_id"),
+        F.concat(F.lit("O"), F.col("o_orderkey")).alias("session_id"),
+        F.col("o_orderpriority").alias("session_type"),
+        F.col("o_totalprice").alias("duration_sec"),
+    )
+
+
+@query(
+    "a11_query_sessions",
+    "select o_orderstatus subject_id, 'O' || o_orderkey session_id, o_orderpriority session_type, o_totalprice duration_sec from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT'",
+)
+def a11(spark, sf):
+    return sessions.query_sessions(registry(spark, sf), "F", "1-URGENT")
+
+
+@query("a12_list_sessions", "select distinct 'P' || l_suppkey subject_id, 'O' || l_orderkey session_id from lineitem")
+def a12(spark, sf):
+    objects = views.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("P"), F.col("l_suppkey")).alias("subject_id"), F.concat(F.lit("O"), F.col("l_orderkey")).alias("session_id")
+    )
+    return sessions.list_sessions(objects)
+
+
+@query("a13_template_round_trip", _TEMPL + "select label, m n_segments, p, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from te")
+def a13(spark, sf):
+    path = scratch_path(spark, "templates")
+    rows = templates(spark, sf).select(
+        F.concat(F.lit("class_"), F.col("label")).alias("name"), "label", F.lit(4).alias("n_channels"), "n_segments",
+        "re", "im", F.create_map(F.lit("encoding"), F.lit("bands")).alias("metadata"),
+    )
+    X.save_templates(rows, path)
+    return pick(template_entries(X.load_templates(spark, path)), "label n_segments p re:6 im:6")

@@ -1 +1,149 @@
+"""Streaming forms over the same tables, drained and compared with batch SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...dims import BANDS, BENCH
+from ...functions.expr import micros_of
+from ...session import scratch_path
+from ...streaming import operators as S
+from ...streaming import run
+from .. import views
+from .base import E_SQL, M_SQL, S_SQL, bands_sql, pick, query, sel, spectrum_sql, windows_sql, with_
+from .quality import _QUALITY_CTE, notch_sql, status_sql
+
+
+def source(spark, sf, name):
+    """A table of the folder as a file stream."""
+    schema = views.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def sample_stream(spark, sf):
+    return S.with_event_time(views.from_embeddings(source(spark, sf, "embeddings").select("vec_id", "embedding")))
+
+
+KEYS = ["session_id", "channel_idx"]
+
+
+@query("m1_ingest_fan_out", with_(S_SQL) + "select session_id, channel, count(*) n, round(avg(uv), 6) + 0.0 mean_uv from s group by all")
+def m1(spark, sf):
+    """One stream, two consumers; the failing one must not stop the other."""
+    out = scratch_path(spark, "fan-out")
+
+    def failing(batch, batch_id):
+        raise RuntimeError("consumer down")
+
+    def store(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream = sample_stream(spark, sf).drop("ts")
+    run.fan_out(stream, [failing, store], scratch_path(spark, "fan-out-state")).awaitTermination()
+    back = spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
+    agg = back.groupBy("session_id", "channel").agg(F.count(F.lit(1)).alias("n"), F.avg("uv").alias("mean_uv"))
+    return pick(agg, "session_id channel n mean_uv:6")
+
+
+_CLOSED = " where (win * 125 + 250) * 8000 <= (select max(sample_idx) * 8000 - 1000000 from s)"
+
+
+@query(
+    "m2_sliding_quality",
+    with_(S_SQL, windows_sql("wn", hop=125), notch_sql(250), _QUALITY_CTE)
+    + f"select session_id, channel_idx, win, round(rail_pct, 6) rail_pct, round(std_uv, 6) std_uv, round(line_ratio, 6) line_ratio, ({status_sql(BENCH)})::int status from ql" + _CLOSED,
+)
+def m2(spark, sf):
+    """Windows whose end the watermark (1 s) has passed, numbered by their start second."""
+    done = run.drain(S.sliding_quality(sample_stream(spark, sf), KEYS, n_full=250), "quality")
+    rows = done.withColumn("win", F.expr("unix_seconds(start_ts)") - F.expr("unix_seconds(timestamp'2024-01-01 00:00:00')"))
+    return pick(rows, "session_id channel_idx win rail_pct:6 std_uv:6 line_ratio:6 status")
+
+
+@query("m3_latest_seconds", with_(S_SQL) + "select session_id, channel_idx, last_idx, count(*) n, round(avg(uv), 6) + 0.0 mean_uv from (select *, max(sample_idx) over (partition by session_id, channel_idx) last_idx from s) where sample_idx > last_idx - 500 group by all")
+def m3(spark, sf):
+    done = run.drain(S.latest_seconds(sample_stream(spark, sf), KEYS, 4.0), "latest")
+    newest = done.groupBy(*KEYS).agg(F.max_by(F.struct("last_idx", "x"), "last_idx").alias("s")).select(*KEYS, "s.*")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    return pick(newest.select(*KEYS, "last_idx", F.size("x").cast("bigint").alias("n"), mean.alias("mean_uv")), "session_id channel_idx last_idx n mean_uv:6")
+
+
+@query(
+    "m4_insert_markers",
+    "select 'S' || ((vec_id // 16) % 2) session_id, (vec_id // 32) * 64 sample_index, 150 + label marker_id, 'state_' || label as label from embeddings",
+)
+def m4(spark, sf):
+    """Every vector's label arrives as a mark at the time of its first sample."""
+    marks = source(spark, sf, "embeddings").select(
+        F.concat(F.lit("S"), F.expr("(vec_id div 16) % 2")).alias("session_id"),
+        F.expr("(vec_id div 32) * 64").alias("sample_idx"),
+        (F.lit(150) + F.col("label")).alias("marker_id"),
+        F.concat(F.lit("state_"), F.col("label")).alias("label"),
+    )
+    timed = S.with_event_time(marks).drop("sample_idx")
+    return run.drain(S.insert_markers(sample_stream(spark, sf), timed), "marks")
+
+
+@query("m5_durable_sink", with_(S_SQL) + "select session_id, channel_idx, sample_idx, round(uv, 6) + 0.0 uv from s")
+def m5(spark, sf):
+    done = run.drain(sample_stream(spark, sf).drop("ts"), "sink", partition_by=["session_id"])
+    return pick(done, "session_id channel_idx sample_idx uv:6")
+
+
+@query("m6_running_totals", with_(S_SQL) + "select session_id, count(*) total, max(sample_idx) + 1 n_samples, (max(sample_idx) + 1) / 125.0::double elapsed_sec from s group by 1")
+def m6(spark, sf):
+    return run.drain_latest(S.running_totals(sample_stream(spark, sf)), ["session_id"], "totals")
+
+
+@query(
+    "m7_fixed_chunks",
+    with_(S_SQL)
+    + "select session_id, channel_idx, chunk_no, n, round(m, 6) + 0.0 mean_uv from (select session_id, channel_idx, sample_idx // 256 chunk_no, count(*) n, avg(uv) m from s group by all) where n = 256 and (chunk_no + 1) * 256 * 8000 <= (select max((sample_idx // 256 + 1) * 256) * 8000 - 1000000 from s)",
+)
+def m7(spark, sf):
+    done = run.drain(S.fixed_chunks(sample_stream(spark, sf), KEYS, delay="1 second"), "chunks")
+    return pick(done, "session_id channel_idx chunk_no n mean_uv:6")
+
+
+@query(
+    "m2_event_windows",
+    """with w as (select 'E' || (user_id % 2) session_id, event_type channel, unnest([0, 1]) o, ts, value from events),
+  x as (select session_id, channel, (epoch_us(ts) // 1800000000 - o) * 1800 start_sec, value from w)
+  select session_id, channel, start_sec, count(*) n, round(avg(value), 6) + 0.0 mean_uv, round(stddev_pop(value), 6) + 0.0 std_uv from x
+  where (start_sec + 3600) * 1000000 <= (select max(epoch_us(ts)) // 1000 * 1000 from events) - 60000000 group by all""",
+)
+def m2_events(spark, sf):
+    """Event values over sliding hours: late rows, sparse windows, real event times."""
+    ev = source(spark, sf, "events").select(
+        F.concat(F.lit("E"), F.col("user_id") % 2).alias("session_id"),
+        F.col("event_type").alias("channel"),
+        F.timestamp_micros(micros_of("ts")).alias("ts"),
+        F.col("value").alias("uv"),
+    )
+    done = run.drain(S.sliding_std(ev, ["session_id", "channel"], "1 hour", "30 minutes", "60 seconds"), "hours")
+    rows = done.withColumn("start_sec", F.expr("unix_seconds(start_ts)"))
+    return pick(rows, "session_id channel start_sec n mean_uv:6 std_uv:6")
+
+
+@query(
+    "p3_stateful_notch",
+    with_(S_SQL, notch_sql(900))
+    + "select s.session_id, s.channel_idx, s.sample_idx + k sample_idx, round(sum(s.uv * h.v), 5) + 0.0 uv from s join (select session_id, channel_idx, max(sample_idx) n1 from s group by all) e using (session_id, channel_idx), h where s.sample_idx + k <= n1 group by all",
+)
+def p3(spark, sf):
+    return pick(run.drain(S.stateful_notch(sample_stream(spark, sf), KEYS), "notch"), "session_id channel_idx sample_idx uv:5")
+
+
+_BANDS = " ".join(f"{b}:6" for b in BANDS)
+
+
+@query(
+    "p4_streaming_band_power",
+    with_(S_SQL, windows_sql("wn", w=125, hop=125), spectrum_sql("sp", "wn", "session_id, channel_idx, win"), bands_sql("bp", "sp", "session_id, channel_idx, win"))
+    + f"select session_id, channel_idx, win, {sel(_BANDS)} from bp where (win * 125 + 125) * 8000 <= (select max(sample_idx) * 8000 - 1000000 from s)",
+)
+def p4(spark, sf):
+    """The 1 s windows at whole seconds (the other hops do not fall on whole samples)."""
+    done = run.drain(S.sliding_band_power(sample_stream(spark, sf), KEYS, slide="1 second"), "bands")
+    rows = done.where("n = 125").withColumn("win", F.expr("unix_seconds(start_ts)") - F.expr("unix_seconds(timestamp'2024-01-01 00:00:00')"))
+    return pick(rows, "session_id channel_idx win " + _BANDS)
