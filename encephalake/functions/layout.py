@@ -4,7 +4,7 @@ A recording can be arbitrarily long and a single (session, channel) may hold a
 large part of all rows, so nothing here ever gathers a whole channel.  Work is
 cut into chunks of a fixed number of samples; neighbours a kernel needs are
 copied into the chunk as a halo.  Tables with one row per channel are joined
-back with a salt, so a hot channel spreads over many tasks.
+back section by section, so a long channel spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 KEYS = ["session_id", "channel_idx"]
 CHUNK = 4096
+SECTION = 1 << 20
 
 
 def with_halo(
@@ -82,9 +83,9 @@ def spread_join(
     on: Sequence[str],
     spread_by: Column,
     how: str = "inner",
-    salts: int = 64,
+    salts: int = 16,
 ) -> DataFrame:
-    """Join a per-key table back to its many rows without a hot task.
+    """Join a per-key table back to rows that have no position, by a fixed salt.
 
     The small side is repeated ``salts`` times and the big side is split by
     ``spread_by``; if the small side is tiny Spark turns this into a broadcast
@@ -95,6 +96,28 @@ def spread_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def section_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    last: str,
+    pos: str = "sample_idx",
+    how: str = "inner",
+    section: int = SECTION,
+) -> DataFrame:
+    """Join a per-key table back to its many rows without a hot task.
+
+    Positions are cut into sections of a million; ``last`` is the key's largest
+    position, so the small side is repeated once per section a key really has: an
+    ordinary recording joins as usual, a huge one spreads over many tasks.
+    """
+    left = big.withColumn("_sec", F.expr(f"{pos} div {section}"))
+    right = small.withColumn(
+        "_sec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast({last} as bigint) div {section}")))
+    )
+    return left.join(right, [*on, "_sec"], how).drop("_sec")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column]) -> DataFrame:
     """Exact 0-based ``rn`` per key in two levels.
 

@@ -40,6 +40,23 @@ def sum_below(
     )
 
 
+def exact_quantiles_of(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """Quantiles of several columns at once: ``{output: (column, p)}``.
+
+    The columns become rows of one long table, so all of them share one pass.
+    """
+    keys = list(keys)
+    columns = sorted({c for c, _ in wanted.values()})
+    entries = F.array(*[F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e._m", "e._v")
+    probs = sorted({p for _, p in wanted.values()})
+    got = exact_quantiles(long, [*keys, "_m"], "_v", {f"_q{i}": p for i, p in enumerate(probs)})
+    pick = lambda c, p: F.max(F.when(F.col("_m") == c, F.col(f"_q{probs.index(p)}")))
+    return got.groupBy(*keys).agg(*[pick(c, p).alias(name) for name, (c, p) in wanted.items()])
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:

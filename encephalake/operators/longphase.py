@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import spread_join
+from ..functions.layout import section_join
 
 _Z = "struct<re:array<double>,im:array<double>>"
 
@@ -100,7 +100,7 @@ def split_phase(rows: DataFrame, keys: list[str], longest: int) -> DataFrame:
             out.append(np.fft.fft(y.conj()) * _twiddle(r, n_cols, size))
         return _frame(out)
 
-    sized = spread_join(signal, lengths, keys, F.col("k")).join(kernel, ["n", "k"])
+    sized = section_join(signal, lengths.withColumn("_last", F.lit(n_rows - 1)), keys, "_last", "k", section=256).join(kernel, ["n", "k"])
     back = _transposed(
         sized.select(*keys, "k", product("k", "re", "im", "gre", "gim").alias("z")), keys, "k", "m"
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..dims import BENCH, PROFILES, SAMPLE_RATE, Profile
 from ..functions import kernels
 from ..functions.layout import KEYS, with_halo, own
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, exact_quantiles_of
 from .windows import window_arrays
 
 GREEN, YELLOW, RED = 0, 1, 2
@@ -141,9 +141,10 @@ def channel_summary(log: DataFrame, keys: Sequence[str] = ("session_id", "channe
         (F.avg((s == RED).cast("double")) * 100).alias("pct_red"),
         F.coalesce(F.min(F.when(F.col("std_uv") > 1, F.col("std_uv"))), F.lit(0.0)).alias("min_std"),
     )
-    for value, name in (("std_uv", "med_std"), ("line_ratio", "med_line"), ("rail_pct", "med_rail")):
-        shares = shares.join(exact_quantiles(log, keys, value, {name: 0.5}), keys)
-    return shares.withColumn("med_line", F.col("med_line") * 100)
+    medians = exact_quantiles_of(
+        log, keys, {"med_std": ("std_uv", 0.5), "med_line": ("line_ratio", 0.5), "med_rail": ("rail_pct", 0.5)}
+    )
+    return shares.join(medians, keys).withColumn("med_line", F.col("med_line") * 100)
 
 
 def std_correlation(log: DataFrame, clip: float = 2000.0) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..dims import SAMPLE_RATE, PNConfig, PreprocessConfig
 from ..functions import kernels
-from ..functions.layout import CHUNK, KEYS, chunk_arrays, own, sorted_values, spread_join, with_halo
+from ..functions.layout import CHUNK, KEYS, chunk_arrays, own, section_join, sorted_values, with_halo
 
 FILTER_CHUNK = 8192
 
@@ -174,9 +174,9 @@ def normalise(
         scaled = 1.0 / (1.0 + F.exp(-(x - F.col("_lo")) / (F.col("_hi") + epsilon)))
     else:
         raise ValueError(f"unknown normalisation: {method}")
-    per_channel = envelope.groupBy(*keys).agg(*stats)
-    rows = spread_join(envelope, per_channel, keys, F.expr("sample_idx div 1024"))
-    return rows.withColumn("f", scaled).drop("_lo", "_hi", value)
+    per_channel = envelope.groupBy(*keys).agg(*stats, F.max("sample_idx").alias("_last"))
+    rows = section_join(envelope, per_channel, keys, "_last")
+    return rows.withColumn("f", scaled).drop("_lo", "_hi", "_last", value)
 
 
 # ---------------------------------------------------------------- state equations
@@ -254,10 +254,10 @@ def _composite(*maps: Column) -> Column:
 def _states(before: bool):
     """Both states along a row of maps; ``before`` gives the state each map starts from."""
 
-    @F.pandas_udf("array<struct<a:double,c:double>>")
+    @F.pandas_udf("struct<a:array<double>,c:array<double>>")
     def run(
         ma: pd.Series, qa: pd.Series, mc: pd.Series, qc: pd.Series, sa: pd.Series, sc: pd.Series
-    ) -> pd.Series:
+    ) -> pd.DataFrame:
         out = []
         for va, wa, vc, wc, a0, c0 in zip(ma, qa, mc, qc, sa, sc):
             a, c = _run(va, wa, a0), _run(vc, wc, c0)
@@ -265,12 +265,16 @@ def _states(before: bool):
                 a, c = np.r_[a0, a[:-1]], np.r_[c0, c[:-1]]
             else:
                 a, c = np.clip(a, 0.0, 1.0), np.clip(c, 0.0, 1.0)
-            out.append([{"a": u, "c": v} for u, v in zip(a.tolist(), c.tolist())])
-        return pd.Series(out)
+            out.append((a, c))
+        return pd.DataFrame(out, columns=["a", "c"])
 
     return run
 
 
+def _zipped(states: str) -> Column:
+    return F.arrays_zip(F.col("i").alias("i"), F.col(f"{states}.a").alias("a"), F.col(f"{states}.c").alias("c"))
+
+
 def _maps(column: str) -> list[Column]:
     return [F.col(f"{column}.{n}") for n in _FOUR]
 
@@ -293,18 +297,18 @@ def _chunk_starts(totals: DataFrame, keys: list[str], fan: int) -> DataFrame:
         .agg(_pack("up", "t"))
         .where(F.when(F.size("g") > fan, too_long).otherwise(True))
         .select(*keys, F.col("g.i").alias("i"), _states(True)(*_maps("g"), zero, zero).alias("s"))
-        .select(*keys, F.explode(F.arrays_zip("i", "s")).alias("z"))
-        .select(*keys, F.col("z.i").alias("up"), F.col("z.s").alias("s0"))
+        .select(*keys, F.explode(_zipped("s")).alias("z"))
+        .select(*keys, F.col("z.i").alias("up"), F.col("z.a").alias("a0"), F.col("z.c").alias("c0"))
     )
     return (
         groups.join(top_starts, [*keys, "up"])
         .select(
             *keys,
             F.col("g.i").alias("i"),
-            _states(True)(*_maps("g"), F.col("s0.a"), F.col("s0.c")).alias("s"),
+            _states(True)(*_maps("g"), F.col("a0"), F.col("c0")).alias("s"),
         )
-        .select(*keys, F.explode(F.arrays_zip("i", "s")).alias("z"))
-        .select(*keys, F.col("z.i").alias("chunk"), F.col("z.s.a").alias("sa"), F.col("z.s.c").alias("sc"))
+        .select(*keys, F.explode(_zipped("s")).alias("z"))
+        .select(*keys, F.col("z.i").alias("chunk"), F.col("z.a").alias("sa"), F.col("z.c").alias("sc"))
     )
 
 
@@ -328,8 +332,8 @@ def solve_states(
         F.col("g.i").alias("i"),
         _states(False)(*_maps("g"), F.col("sa"), F.col("sc")).alias("y"),
     )
-    return solved.select(*keys, F.explode(F.arrays_zip("i", "y")).alias("z")).select(
-        *keys, F.col("z.i").alias("sample_idx"), F.col("z.y.a").alias("a"), F.col("z.y.c").alias("c")
+    return solved.select(*keys, F.explode(_zipped("y")).alias("z")).select(
+        *keys, F.col("z.i").alias("sample_idx"), F.col("z.a").alias("a"), F.col("z.c").alias("c")
     )
 
 
@@ -351,7 +355,7 @@ def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, max_dire
     longest = lengths.agg(F.max("_n")).first()[0] or 0
     if longest <= max_direct:
         return _direct_phase(samples, keys)
-    rows = spread_join(samples, lengths, keys, F.expr("sample_idx div 1024"))
+    rows = section_join(samples, lengths, keys, "_n")
     short = rows.where(F.col("_n") <= max_direct).drop("_n")
     return _direct_phase(short, keys).unionByName(
         split_phase(rows.where(F.col("_n") > max_direct), keys, int(longest))
@@ -425,9 +429,9 @@ def bad_channels(samples: DataFrame, z_threshold: float = 3.0) -> DataFrame:
 
 def scale_by_session(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per-session channel z-score."""
-    stats = samples.groupBy(*keys).agg(F.avg("uv").alias("_m"), F.stddev_pop("uv").alias("_s"))
-    rows = spread_join(samples, stats, keys, F.expr("sample_idx div 1024"))
-    return rows.withColumn("z", F.try_divide(F.col("uv") - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    stats = samples.groupBy(*keys).agg(F.avg("uv").alias("_m"), F.stddev_pop("uv").alias("_s"), F.max("sample_idx").alias("_l"))
+    rows = section_join(samples, stats, keys, "_l")
+    return rows.withColumn("z", F.try_divide(F.col("uv") - F.col("_m"), F.col("_s"))).drop("_m", "_s", "_l")
 
 
 # ---------------------------------------------------------------- epochs

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..dims import BANDS, FOCUS_PAIRS, SAMPLE_RATE, values_table
 from ..functions import kernels
-from ..functions.layout import KEYS, sorted_values
+from ..functions.layout import KEYS, section_join, sorted_values
 from .windows import assign_windows, center_sec
 
 SPAN = ["span_len"]  # samples in the span a spectrum is taken of
@@ -31,13 +31,9 @@ def spans_from_windows(samples: DataFrame, w: int, hop: int) -> DataFrame:
 
 
 def spans_whole(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Whole recordings as spans; the length is joined back with a salt."""
-    from ..functions.layout import spread_join
-
+    """Whole recordings as spans; the length is joined back by section."""
     lengths = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("span_len"))
-    return spread_join(samples, lengths, keys, F.expr("sample_idx div 1024")).withColumn(
-        "pos", F.col("sample_idx")
-    )
+    return section_join(samples, lengths, keys, "span_len").withColumn("pos", F.col("sample_idx"))
 
 
 def segments(
@@ -210,40 +206,18 @@ def coherence(
         F.array_sort(F.collect_list(F.struct("seg_no", "channel_idx", "z"))).alias("g")
     )
 
-    @F.pandas_udf(
-        "array<struct<ch_i:int,ch_j:int,k:int,re:double,im:double,sxx:double,syy:double>>"
+    fields = ["ch_i", "ch_j", "k", "re", "im", "sxx", "syy"]
+    kinds = ["array<int>"] * 3 + ["array<double>"] * 4
+
+    @F.pandas_udf("struct<" + ",".join(f"{n}:{t}" for n, t in zip(fields, kinds)) + ">")
+    def cross(no: pd.Series, ch: pd.Series, z: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_cross_sums(s, c, np.stack(list(v)), pairs) for s, c, v in zip(no, ch, z)], columns=fields)
+
+    rows = (
+        blocks.select(*keys, cross(F.col("g.seg_no"), F.col("g.channel_idx"), F.col("g.z")).alias("c"))
+        .select(*keys, F.explode(F.arrays_zip(*[F.col(f"c.{n}").alias(n) for n in fields])).alias("r"))
+        .select(*keys, "r.*")
     )
-    def cross(no: pd.Series, ch: pd.Series, z: pd.Series) -> pd.Series:
-        out = []
-        for s, c, v in zip(no, ch, z):
-            sums: dict[tuple[int, int], list] = {}
-            m = np.stack(list(v))
-            half = m.shape[1] // 2
-            m = m[:, :half] + 1j * m[:, half:]
-            c = np.asarray(c)
-            for sid in np.unique(s):
-                at = np.flatnonzero(s == sid)
-                p = np.abs(m[at]) ** 2
-                wanted = pairs or [(int(a), int(b)) for i, a in enumerate(c[at]) for b in c[at][i + 1 :]]
-                where = {int(k): i for i, k in enumerate(c[at])}
-                for a, b in wanted:
-                    if a in where and b in where:
-                        i, j = where[a], where[b]
-                        x = np.conj(m[at[i]]) * m[at[j]]
-                        part = np.stack([x.real, x.imag, p[i], p[j]], axis=1)
-                        sums[(a, b)] = part + sums.get((a, b), 0.0)
-            out.append(
-                [
-                    dict(ch_i=a, ch_j=b, k=k, re=r[0], im=r[1], sxx=r[2], syy=r[3])
-                    for (a, b), rows in sums.items()
-                    for k, r in enumerate(rows.tolist())
-                ]
-            )
-        return pd.Series(out)
-
-    rows = blocks.select(
-        *keys, F.explode(cross(F.col("g.seg_no"), F.col("g.channel_idx"), F.col("g.z"))).alias("c")
-    ).select(*keys, "c.*")
     total = rows.groupBy(*keys, "ch_i", "ch_j", "k").agg(
         *[F.sum(v).alias(v) for v in ("re", "im", "sxx", "syy")]
     )
@@ -251,6 +225,31 @@ def coherence(
     return total.groupBy(*keys, "ch_i", "ch_j").agg(F.avg(ratio).alias("coherence"))
 
 
+def _cross_sums(no, ch, z: np.ndarray, pairs) -> list[np.ndarray]:
+    """Cross and power sums of every channel pair over the segments both have."""
+    half = z.shape[1] // 2
+    segs, row = np.unique(no, return_inverse=True)
+    chans, col = np.unique(ch, return_inverse=True)
+    m = np.zeros((half, len(segs), len(chans)), dtype=complex)
+    m[:, row, col] = (z[:, :half] + 1j * z[:, half:]).T
+    held = np.zeros((len(segs), len(chans)))
+    held[row, col] = 1.0
+    cross = np.swapaxes(m.conj(), 1, 2) @ m  # bins x C x C
+    power = np.swapaxes(np.abs(m) ** 2, 1, 2) @ held  # of i where j is present
+    both = held.T @ held > 0
+    i, j = np.triu_indices(len(chans), 1)
+    wanted = both[i, j]
+    if pairs is not None:
+        listed = {tuple(sorted(p)) for p in pairs}
+        wanted &= np.array([(int(chans[a]), int(chans[b])) in listed for a, b in zip(i, j)], dtype=bool)
+    i, j = i[wanted], j[wanted]
+    x = cross[:, i, j].T.ravel()
+    return [
+        np.repeat(chans[i], half), np.repeat(chans[j], half), np.tile(np.arange(half), len(i)),
+        x.real, x.imag, power[:, i, j].T.ravel(), power[:, j, i].T.ravel(),
+    ]
+
+
 def global_coherence(pairwise: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairwise.groupBy(*keys).agg(F.avg("coherence").alias("coherence"))
 
@@ -265,11 +264,11 @@ def focus_coherence(
 ) -> DataFrame:
     """Coherence of named pairs only (channels are selected before any FFT)."""
     index = {n: i for i, n in enumerate(names)}
-    wanted = [(index[a], index[b]) for a, b in pairs if a in index and b in index]
+    wanted = [tuple(sorted((index[a], index[b]))) for a, b in pairs if a in index and b in index]
     used = sorted({i for p in wanted for i in p})
     got = coherence(spans.where(F.col("channel_idx").isin(used)), keys, lo, hi, pairs=wanted)
     named = values_table(
-        spans.sparkSession, ["ch_i", "ch_j", "pair"], [(i, j, f"{names[i]}-{names[j]}") for i, j in wanted]
+        spans.sparkSession, ["ch_i", "ch_j", "pair"], [(*sorted((index[a], index[b])), f"{a}-{b}") for a, b in pairs if a in index and b in index]
     )
     return got.join(F.broadcast(named), ["ch_i", "ch_j"]).drop("ch_i", "ch_j")
 

@@ -16,8 +16,8 @@ from ..functions.layout import (
     interval_join,
     next_in_order,
     running_sum,
+    section_join,
     sorted_values,
-    spread_join,
 )
 
 
@@ -120,14 +120,14 @@ def equal_segments(samples: DataFrame, labels: DataFrame, keys: Sequence[str] =
         lengths.join(counts, "session_id")
         .withColumn("seg_len", F.expr("_n div _k"))
         .where("seg_len > 0")
-        .select(*keys, "seg_len", "_k")
+        .select(*keys, "seg_len", "_k", "_n")
     )
     cut = (
-        spread_join(samples, shape, keys, F.expr("sample_idx div 1024"))
+        section_join(samples, shape, keys, "_n")
         .withColumn("seg", F.expr("sample_idx div seg_len"))
         .where("seg < _k")
         .withColumn("pos", F.expr("sample_idx % seg_len"))
-        .drop("_k")
+        .drop("_k", "_n")
     )
     return cut.join(labels.select("session_id", "seg", "label"), ["session_id", "seg"])
 
@@ -148,7 +148,7 @@ def state_intervals(
     but still end the state before them.
     """
     led = next_in_order(markers, ["session_id"], "sample_index", ["sample_index"])
-    rows = spread_join(led, ends, ["session_id"], F.col("sample_index"))
+    rows = section_join(led, ends, ["session_id"], "n_samples", "sample_index")
     last = (F.col("n_samples") - 1) / F.lit(float(fs))
     return rows.where(~F.col("label").isin(list(skip))).select(
         "session_id",
@@ -189,7 +189,7 @@ def marker_segments(
 ) -> DataFrame:
     """[start, end) per named phase, in samples; a repeated name keeps its last segment."""
     led = next_in_order(markers, ["session_id"], "sample_index", ["sample_index"])
-    rows = spread_join(led, ends, ["session_id"], F.col("sample_index"))
+    rows = section_join(led, ends, ["session_id"], "n_samples", "sample_index")
     name = F.when(F.col("marker_id") == open_id, F.col("label")).when(
         F.col("marker_id") == closed_id, F.lit(closed_name)
     )
@@ -348,7 +348,7 @@ def midpoint_rows(pn: DataFrame, segments: DataFrame) -> DataFrame:
     ``segments`` is (session_id, seg, start_idx, seg_len).
     """
     ends = pn.groupBy("session_id").agg(F.max("sample_idx").alias("_last"))
-    mids = spread_join(segments, ends, ["session_id"], F.col("seg")).select(
+    mids = section_join(segments, ends, ["session_id"], "_last", "start_idx").select(
         "session_id",
         "seg",
         F.least(F.expr("start_idx + seg_len div 2"), F.col("_last")).alias("sample_idx"),

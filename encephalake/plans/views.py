@@ -100,7 +100,7 @@ def volume_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = numbered(
         li,
         ["session_id", "channel_idx"],
-        F.expr("year(l_shipdate)"),
+        F.expr("year(l_shipdate) * 12 + month(l_shipdate)"),
         [F.col("l_shipdate"), F.col("l_orderkey"), F.col("uv")],
     )
     return out.select(
