@@ -28,17 +28,22 @@ def _centred(h: np.ndarray, n: int) -> np.ndarray:
     return np.pad(h, pad)
 
 
-def bandpass_taps(low: float | None, high: float | None, fs: float) -> np.ndarray:
-    """Zero-phase FIR; transitions of a quarter of the edge, at least 2 Hz."""
+def bandpass_taps(low: float | None, high: float | None, fs: float, per_edge: bool = True) -> np.ndarray:
+    """Zero-phase FIR; transitions of a quarter of the edge, at least 2 Hz.
+
+    Each edge is a low-pass as long as its own transition asks for, as the common
+    EEG toolboxes do by default; ``per_edge=False`` gives both the longer length.
+    """
     nyq = fs / 2
-    parts = []
+    edges = []
     if high is not None:
         t = min(max(0.25 * high, 2.0), nyq - high)
-        parts.append((1.0, lowpass_taps(high + t / 2, _odd_length(t, fs), fs)))
+        edges.append((1.0, high + t / 2, _odd_length(t, fs)))
     if low is not None:
         t = min(max(0.25 * low, 2.0), low)
-        parts.append((-1.0, lowpass_taps(low - t / 2, _odd_length(t, fs), fs)))
-    n = max(len(h) for _, h in parts)
+        edges.append((-1.0, low - t / 2, _odd_length(t, fs)))
+    n = max(length for *_, length in edges)
+    parts = [(sign, lowpass_taps(cut, length if per_edge else n, fs)) for sign, cut, length in edges]
     taps = sum(sign * _centred(h, n) for sign, h in parts)
     if high is None:
         taps[n // 2] += 1.0

@@ -77,13 +77,14 @@ def notch_stage(fs: float = SAMPLE_RATE, freq: float = 60.0, quality: float = 30
 
 
 def bandpass_stage(
-    fs: float = SAMPLE_RATE, low: float | None = 0.5, high: float | None = 50.0, method: str = "fir"
+    fs: float = SAMPLE_RATE, low: float | None = 0.5, high: float | None = 50.0, method: str = "fir",
+    per_edge: bool = True,
 ) -> np.ndarray:
     """Taps of the band-pass; an upper edge at or above Nyquist moves 1 Hz below it."""
     if high is not None and high >= fs / 2:
         high = fs / 2 - 1.0
     if method == "fir":
-        return kernels.bandpass_taps(low, high, fs)
+        return kernels.bandpass_taps(low, high, fs, per_edge)
     if method == "iir":
         return kernels.zero_phase_iir_taps(low, high, fs)
     raise ValueError(f"unknown filter method: {method}")
