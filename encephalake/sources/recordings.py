@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import SAMPLE_RATE
+from ..functions.layout import numbered
 from ..schema import FEEDBACK, MARKERS, RECORDING_META, SAMPLES, SESSIONS
 
 TABLES = {"samples": SAMPLES, "markers": MARKERS, "feedback": FEEDBACK, "sessions": SESSIONS}
@@ -103,7 +104,10 @@ def import_array_folders(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_percent_csv(spark: SparkSession, pattern: str, n_channels: int = 16) -> DataFrame:
-    """Exports with ``%`` header lines: index, then one column per channel."""
+    """(session_id, channel_idx, sample_idx, uv) of exports with ``%`` header lines.
+
+    A line is the board's counter and one column per channel.
+    """
     cols = ", ".join(["board_idx double", *[f"ch{i} double" for i in range(n_channels)]])
     wide = (
         spark.read.schema(cols)
@@ -112,8 +116,14 @@ def read_percent_csv(spark: SparkSession, pattern: str, n_channels: int = 16) ->
         .option("ignoreLeadingWhiteSpace", True)
         .csv(pattern)
         .withColumn("session_id", F.element_at(F.split(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\."), 1))
+        .withColumn("_at", F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("line")))
+    )
+    # the board's own counter wraps, so rows are numbered by their place in the file
+    placed = numbered(wide, ["session_id"], F.col("_at.block"), [F.col("_at.line")])
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"ch{i}").alias("v")) for i in range(n_channels)])
+    return placed.select("session_id", F.col("rn").alias("sample_idx"), F.explode(values).alias("e")).select(
+        "session_id", F.col("e.i").alias("channel_idx"), "sample_idx", F.col("e.v").alias("uv")
     )
-    return wide
 
 
 def save_cleaned(
