@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import BANDS, SAMPLE_RATE
+from ..functions.layout import CHUNK, KEYS, own, with_halo
 from .spectral import band_powers, coherence, welch
+from .windows import assign_windows
 
 EPS = 1e-10
 RATIO_PAIRS = list(combinations(BANDS, 2))
@@ -27,22 +29,26 @@ def _standard_moment(x: str, order: int) -> Column:
     return F.skewness(x) if order == 3 else F.kurtosis(x)
 
 
-def waveform_features(spans: DataFrame, keys: Sequence[str], value: str = "uv", pos: str = "pos") -> DataFrame:
+def waveform_features(
+    spans: DataFrame, keys: Sequence[str], value: str = "uv", pos: str = "pos", count: str | None = None
+) -> DataFrame:
     """Moments, Hjorth parameters, line length and zero crossings in one pass.
 
-    Neighbours come from ``lead`` inside the span, so spans must be bounded
-    (windows or segments).  The window and the aggregate share one shuffle.
+    Neighbours come from ``lead`` inside chunks of the span that carry their two
+    right neighbours, so a span may be a 2 s window or a whole recording.
+    ``count`` names an optional column with the number of samples.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
+    w = Window.partitionBy(*keys, "chunk").orderBy(pos)
     x, n1, n2 = F.col(value), F.lead(value, 1).over(w), F.lead(value, 2).over(w)
-    rows = spans.select(
+    rows = with_halo(spans.select(*keys, pos, value), CHUNK, 0, 2, pos).select(
         *keys,
+        own(CHUNK, pos).alias("_own"),
         x.alias("x"),
         (n1 - x).alias("d1"),
         (n2 - 2 * n1 + x).alias("d2"),
         (F.signum(n1) != F.signum(x)).cast("int").alias("zc"),
     )
-    sums = rows.groupBy(*keys).agg(
+    sums = rows.where("_own").groupBy(*keys).agg(
         F.avg("x").alias("mean"),
         F.stddev_pop("x").alias("std"),
         _standard_moment("x", 3).alias("skew"),
@@ -52,6 +58,7 @@ def waveform_features(spans: DataFrame, keys: Sequence[str], value: str = "uv",
         F.var_pop("d2").alias("_v2"),
         F.sum(F.abs("d1")).alias("line_length"),
         F.sum("zc").alias("zero_crossings"),
+        *([F.count(F.lit(1)).alias(count)] if count else []),
     )
     mobility = F.sqrt(F.col("_v1") / (F.col("hjorth_activity") + EPS))
     return (
@@ -159,3 +166,33 @@ def feature_vectors(rows: DataFrame, span_keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*span_keys).agg(packed.alias("e")).select(
         *span_keys, F.col("e.name").alias("names"), F.col("e.value").alias("values")
     )
+
+
+def multiscale(
+    samples: DataFrame, widths: Sequence[int], hop: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Std and line length around the same centres at several window widths.
+
+    Windows of the first width set the centres; a wider one contributes the window
+    whose centre is nearest.  All widths share the hop, so this is an equi join on
+    a computed window number.
+    """
+    keys = list(keys)
+    out = None
+    for w in widths:
+        spans = assign_windows(samples.select(*keys, "sample_idx", "uv"), w, hop).withColumn("pos", F.col("sample_idx"))
+        full = waveform_features(spans, [*keys, "win"], count="_n").where(F.col("_n") == w)
+        part = full.select(*keys, "win", F.col("std").alias(f"std_{w}"), F.col("line_length").alias(f"line_length_{w}"))
+        if out is None:
+            first, out = w, part
+        else:
+            shift = F.floor((F.col("win") * hop + (first - w) / 2) / hop + 0.5).cast("bigint")
+            out = out.withColumn("_wide", shift).join(part.withColumnRenamed("win", "_wide"), [*keys, "_wide"]).drop("_wide")
+    return out
+
+
+def amplitude_flags(spans: DataFrame, keys: Sequence[str], limit_uv: float = 150.0) -> DataFrame:
+    """Spans in which any sample leaves +-limit."""
+    return spans.groupBy(*keys).agg(F.max(F.abs("uv")).alias("peak_uv")).withColumn(
+        "flagged", F.col("peak_uv") > limit_uv
+    )

@@ -22,6 +22,7 @@ from ..functions.iterate import matrix_sums
 
 AMPLITUDES = ["00", "10", "01", "11"]  # first digit: excitatory state
 MAX_CHANNELS = 8  # 4^8 amplitudes = 1 MB per template
+MAX_TEMPLATES = 64  # that meet in one row, so at most 64 MB
 
 
 def encode_states(df: DataFrame) -> DataFrame:
@@ -143,9 +144,8 @@ def build_templates(states: DataFrame, scope: Sequence[str]) -> DataFrame:
 def template_fidelity(states: DataFrame, templates: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
     """(keys, label, fidelity) of every segment to each template of its scope.
 
-    Templates are joined by key: with a scope (e.g. the session) on it, else on a
-    salt over which they are repeated.  Spark broadcasts them only if they are
-    small.
+    Templates are joined by key: by their scope (e.g. the session), or as one
+    library for all segments, which is checked to be small.
     """
     from ..functions.layout import spread_join
 
@@ -157,6 +157,8 @@ def template_fidelity(states: DataFrame, templates: DataFrame, keys: Sequence[st
     else:
         one = F.lit(0)
         lib = templates.groupBy(one.alias("_all")).agg(packed.alias("lib"))
+        too_many = F.raise_error(F.lit(f"more than {MAX_TEMPLATES} templates: score them by scope")).cast("boolean")
+        lib = lib.where(F.when(F.size("lib") > MAX_TEMPLATES, too_many).otherwise(True))
         rows = spread_join(states.withColumn("_all", one), lib, ["_all"], F.xxhash64(*keys))
 
     @F.pandas_udf("array<double>")

@@ -338,12 +338,30 @@ def encode_sliding(
     return out.withColumn("center_sec", center_sec(w, step, fs))
 
 
-def compare_recordings(left: DataFrame, right: DataFrame, keys: Sequence[str], tol_db: float = 0.1) -> DataFrame:
-    """Bins of two spectra side by side in dB, flagged when within tolerance."""
-    db = lambda c: 10 * F.log10(F.col(c))
-    both = left.select(*keys, "k", F.col("psd").alias("psd_a")).join(
-        right.select(*keys, "k", F.col("psd").alias("psd_b")), [*keys, "k"]
-    )
-    return both.withColumn("delta_db", db("psd_a") - db("psd_b")).withColumn(
-        "within", F.abs("delta_db") <= tol_db
+def decibels(psd: DataFrame) -> DataFrame:
+    return psd.withColumn("db", 10 * F.log10("psd"))
+
+
+def compare_recordings(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], tol_db: float = 0.1, tol_hz: float = 0.5,
+    tol_rms: float = 0.01,
+) -> DataFrame:
+    """Per channel: do two recordings agree in spectrum, alpha peak and RMS?
+
+    ``left`` and ``right`` are mean spectra (keys, k, freq, psd).  The RMS is that
+    of the mean-removed signal, the root of the spectrum's sum times its bin width.
+    """
+    keys = list(keys)
+    a = left.select(*keys, "k", "freq", F.col("psd").alias("a"))
+    b = right.select(*keys, "k", F.col("psd").alias("b"))
+    held = F.col("freq").between(8.0, 13.0)
+    peak = lambda c: F.max_by(F.when(held, F.col("freq")), F.when(held, F.struct(F.col(c), -F.col("freq"))))
+    rows = a.join(b, [*keys, "k"]).withColumn("d", F.abs(10 * F.log10("a") - 10 * F.log10("b")))
+    out = rows.groupBy(*keys).agg(
+        F.max("d").alias("max_db"),
+        F.avg((F.col("d") <= tol_db).cast("double")).alias("share_within"),
+        F.abs(peak("a") - peak("b")).alias("peak_shift_hz"),
+        F.abs(F.sqrt(F.sum("b")) / F.sqrt(F.sum("a")) - 1).alias("rms_change"),
     )
+    agree = (F.col("max_db") <= tol_db) & (F.col("peak_shift_hz") <= tol_hz) & (F.col("rms_change") <= tol_rms)
+    return out.withColumn("agrees", agree)

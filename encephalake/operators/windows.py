@@ -77,10 +77,12 @@ def window_frames(
     montage size.  Windows with an incomplete channel are dropped.
     """
     packed = F.array_sort(F.collect_list(F.struct("channel_idx", "sample_idx", "uv")))
+    held = F.size(F.array_distinct("g.channel_idx"))
     frames = (
         assign_windows(samples.select("session_id", "channel_idx", "sample_idx", "uv"), w, hop)
         .groupBy("session_id", "win")
-        .agg(packed["uv"].alias("x"), F.count_distinct("channel_idx").cast("int").alias("n_channels"))
+        .agg(packed.alias("g"))
+        .select("session_id", "win", F.col("g.uv").alias("x"), held.alias("n_channels"))
         .where(F.size("x") == F.col("n_channels") * w)
         .withColumn("center_sec", center_sec(w, hop, fs))
     )

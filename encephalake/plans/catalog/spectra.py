@@ -9,6 +9,7 @@ from ...operators import features as E
 from ...operators import response as R
 from ...operators import spectral as D
 from ...operators import windows as W
+from ...streaming.operators import feedback
 from .. import views
 from .base import (
     M_SQL, S_SQL, WIN_KEYS, bands_sql, encoded_sql, pick, query, sel, spectrum_sql, windows_sql, with_,
@@ -278,3 +279,81 @@ def j3(spark, sf):
     picked = views.samples(spark, sf).where(F.col("channel").isin("O1", "O2"))
     cut = W.cut_segments(picked, phase_segments(spark, sf)).withColumnRenamed("seg_len", "span_len")
     return pick(R.alpha_blocking(cut), "session_id channel open_power:5 closed_power:5 ratio:5 passed")
+
+
+# ---------------------------------------------------------------- further items
+
+
+@query("p1_spectrum_db", _WSPEC + "select session_id, channel_idx, win, k, round(10 * log10(psd), 5) + 0.0 db from sp")
+def p1(spark, sf):
+    return pick(D.decibels(window_psd(spark, sf)), "session_id channel_idx win k db:5")
+
+
+_ONE_SEC = with_(S_SQL, windows_sql("wn", w=125, hop=125), spectrum_sql("sp", "wn", WIN_KEYS), bands_sql("bp", "sp", WIN_KEYS))
+
+
+@query(
+    "p5_feedback_amplitude",
+    _ONE_SEC
+    + """select session_id, channel_idx, win, round(case when channel_idx >= 8 then null else greatest(0.1, least(1.0, 1 - least((alpha - b) / (2 * b), 1.0))) end, 6) amplitude
+     from (select *, avg(alpha) over (partition by session_id, channel_idx) b from bp)""",
+)
+def p5(spark, sf):
+    """Baseline: a channel's mean alpha; the second board's channels are the control block."""
+    psd = D.welch(spans(spark, sf, 125, 125), WKEYS, 125, averaged=False)
+    powers = D.band_powers(psd, WKEYS, nperseg=125)
+    base = powers.groupBy("session_id", "channel_idx").agg(F.avg("alpha").alias("base_alpha"))
+    base = base.withColumn("is_control", F.col("channel_idx") >= 8)
+    out = feedback(powers, base, ["session_id", "channel_idx"])
+    return pick(out.withColumn("amplitude", F.nanvl("amplitude", F.lit(None).cast("double"))), "session_id channel_idx win amplitude:6")
+
+
+@query(
+    "p6_compare_recordings",
+    _WHOLE + ", " + _MEAN_PSD
+    + """, j as (select a.channel_idx, a.freq, a.psd a, b.psd b, abs(10 * log10(a.psd) - 10 * log10(b.psd)) d from ps a join ps b on a.session_id = 'S0' and b.session_id = 'S1' and a.channel_idx = b.channel_idx and a.k = b.k),
+   z as (select channel_idx, max(d) max_db, avg((d <= 3)::int) share_within, abs(arg_max(freq, a) filter (freq between 8 and 13) - arg_max(freq, b) filter (freq between 8 and 13)) peak_shift_hz, abs(sqrt(sum(b)) / sqrt(sum(a)) - 1) rms_change from j group by all)
+   select channel_idx, round(max_db, 5) max_db, round(share_within, 6) share_within, peak_shift_hz, round(rms_change, 6) rms_change, max_db <= 3 and peak_shift_hz <= 0.5 and rms_change <= 0.01 agrees from z""",
+)
+def p6(spark, sf):
+    psd = whole_psd(spark, sf)
+    side = lambda s: psd.where(F.col("session_id") == s).drop("session_id")
+    out = D.compare_recordings(side("S0"), side("S1"), ["channel_idx"], tol_db=3.0)
+    return pick(out, "channel_idx max_db:5 share_within:6 peak_shift_hz rms_change:6 agrees")
+
+
+@query(
+    "p8_encode_with_reference",
+    _WHOLE_BANDS + ", " + coherence_sql("co", "sp", "session_id")
+    + " select session_id, channel_idx, round(beta + gamma, 6) a, round(g * 2 * pi(), 6) b, round(delta + theta, 6) c from bp join (select session_id, avg(coh) g from co where ch_i = 10 or ch_j = 10 group by 1) using (session_id)",
+)
+def p8(spark, sf):
+    out = D.encode_multichannel(D.spans_whole(views.samples(spark, sf)), ["session_id"], reference=CHANNEL_NAMES.index("Pz"))
+    return pick(out, "session_id channel_idx a:6 b:6 c:6")
+
+
+@query(
+    "p9_amplitude_flags",
+    with_(S_SQL, windows_sql("wn")) + "select session_id, channel_idx, win, round(max(abs(uv)), 6) peak_uv, max(abs(uv)) > 150 flagged from wn group by all",
+)
+def p9(spark, sf):
+    return pick(E.amplitude_flags(spans_full(spark, sf), WKEYS), "session_id channel_idx win peak_uv:6 flagged")
+
+
+def _scale_sql(w: int) -> str:
+    return windows_sql(f"w{w}", w=w, hop=32) + f""", f{w} as (select session_id, channel_idx, win, stddev_pop(uv) std_{w}, sum(abs(d)) line_length_{w}
+      from (select *, lead(uv) over (partition by session_id, channel_idx, win order by j) - uv d from w{w}) group by all)"""
+
+
+_SCALES = "session_id channel_idx win std_64:6 line_length_64:4 std_128:6 line_length_128:4 std_256:6 line_length_256:4"
+
+
+@query(
+    "p10_multiscale_features",
+    with_(S_SQL, _scale_sql(64), _scale_sql(128), _scale_sql(256))
+    + """, z as (select f64.*, std_128, line_length_128, std_256, line_length_256 from f64 join f128 on f64.session_id = f128.session_id and f64.channel_idx = f128.channel_idx and f128.win = f64.win - 1
+        join f256 on f64.session_id = f256.session_id and f64.channel_idx = f256.channel_idx and f256.win = f64.win - 3) """
+    + f"select {sel(_SCALES)} from z",
+)
+def p10(spark, sf):
+    return pick(E.multiscale(views.samples(spark, sf), [64, 128, 256], 32), _SCALES)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,36 +55,51 @@ def by_kind(rows: DataFrame, channels: DataFrame, kind: str = "eeg") -> DataFram
     return rows.join(channels.where(F.col("kind") == kind), "row_idx")
 
 
-def import_array_folders(spark: SparkSession, pattern: str) -> DataFrame:
+def _array_slice(uri: str, piece: int, size: int) -> pd.DataFrame:
+    """Values of one byte range of a C-order float array file, with their (row, column)."""
+    from pyarrow import fs
+
+    path = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        version = np.lib.format.read_magic(f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        (n_rows, n_cols), fortran, dtype = read(f)
+        if fortran:
+            raise ValueError(f"{uri}: expected a row-major array")
+        first, last = piece * size, min((piece + 1) * size, n_rows * n_cols)
+        f.seek(f.tell() + first * dtype.itemsize)
+        values = np.frombuffer(f.read(max(0, last - first) * dtype.itemsize), dtype=dtype)
+    at = np.arange(first, first + len(values))
+    return pd.DataFrame({"row_idx": at // n_cols, "sample_idx": at % n_cols, "uv": values.astype(float)})
+
+
+def import_array_folders(spark: SparkSession, pattern: str, slice_values: int = 1 << 20) -> DataFrame:
     """Long samples from ``<session>/raw_data.npy`` plus ``metadata.json`` folders.
 
-    Each file is read as memory-mapped bytes by one task and streamed out channel
-    by channel in pieces, never as one frame.
+    Only names and lengths are listed; a file is then read in slices of
+    ``slice_values`` numbers, so a huge recording spreads over many tasks.
     """
-    files = (
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "raw_data.npy")
         .load(pattern)
-        .select(F.element_at(F.split("path", "/"), -2).alias("folder"), "content")
+        .select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
     )
+    # values take at least four bytes, so this many slices always reach the end
+    slices = listed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"length div {4 * slice_values}"))))
+    slices = slices.repartition("path", "piece")
 
     def rows(batches):
         for pdf in batches:
-            for folder, content in zip(pdf["folder"], pdf["content"]):
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                for r in range(m.shape[0]):
-                    for s in range(0, m.shape[1], 100_000):
-                        part = m[r, s : s + 100_000]
-                        yield pd.DataFrame(
-                            {
-                                "folder": folder,
-                                "row_idx": r,
-                                "sample_idx": np.arange(s, s + len(part)),
-                                "uv": part.astype(float),
-                            }
-                        )
-
-    long = files.mapInPandas(rows, "folder string, row_idx int, sample_idx bigint, uv double")
+            for path, folder, piece in zip(pdf["path"], pdf["folder"], pdf["piece"]):
+                part = _array_slice(path, piece, slice_values)
+                for s in range(0, len(part), 100_000):
+                    yield part.iloc[s : s + 100_000].assign(folder=folder)[["folder", "row_idx", "sample_idx", "uv"]]
+
+    long = slices.select("path", "folder", "piece").mapInPandas(
+        rows, "folder string, row_idx int, sample_idx bigint, uv double"
+    )
     meta = (
         spark.read.schema(RECORDING_META)
         .option("multiLine", True)

@@ -24,7 +24,7 @@ def test_array_folders_become_samples(spark, tmp_path):
             "recorded_at": "2026-01-01T00:00:00",
         }
         (folder / "metadata.json").write_text(json.dumps(meta, indent=2))
-    df = recordings.import_array_folders(spark, f"{tmp_path}/*")
+    df = recordings.import_array_folders(spark, f"{tmp_path}/*", slice_values=256)
     for name, m in boards.items():
         np.testing.assert_array_equal(matrix_of(df.where(F.col("session_id") == f"sess_{name}")), m[[1, 3]])
     assert {r.channel for r in df.select("channel").distinct().collect()} == {"Fp1", "Fp2"}
