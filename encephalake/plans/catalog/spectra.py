@@ -273,7 +273,7 @@ def j2(spark, sf):
     + """, al as (select session_id, channel, segment, avg(psd) a from sp where freq between 8 and 13 group by all),
    ra as (select session_id, channel, avg(a) filter (contains(segment, 'open')) open_power, avg(a) filter (contains(segment, 'closed')) closed_power from al group by all)
    select session_id, channel, round(open_power, 5) open_power, round(closed_power, 5) closed_power, round(closed_power / open_power, 5) ratio,
-     bool_or(closed_power / open_power > 2.0) over (partition by session_id) passed from ra""",
+     bool_or(closed_power / open_power > 2.0) over (partition by session_id) passed from ra where open_power is not null and closed_power is not null""",
 )
 def j3(spark, sf):
     picked = views.samples(spark, sf).where(F.col("channel").isin("O1", "O2"))
