@@ -41,7 +41,7 @@ def whole_psd(spark, sf, **kw):
     return D.welch(D.spans_whole(views.samples(spark, sf)), keys, 250, **kw)
 
 
-@query("d1_welch_spectrum", _WHOLE + "select session_id, channel_idx, k, freq, round(avg(psd), 5) psd from sp group by session_id, channel_idx, k, freq")
+@query("d1_welch_spectrum", _WHOLE + "select session_id, channel_idx, k::int k, freq, round(avg(psd), 5) psd from sp group by session_id, channel_idx, sp.k, freq")
 def d1(spark, sf):
     return pick(whole_psd(spark, sf), "session_id channel_idx k freq psd:5")
 
@@ -128,7 +128,7 @@ def d8(spark, sf):
 
 @query(
     "d9_named_channel_spectra",
-    _WHOLE + "select session_id, channel_idx, k, round(avg(psd), 5) psd from sp where channel_idx in (7, 13, 14) group by all",
+    _WHOLE + "select session_id, channel_idx, k::int k, round(avg(psd), 5) psd from sp where channel_idx in (7, 13, 14) group by session_id, channel_idx, sp.k",
 )
 def d9(spark, sf):
     named = views.samples(spark, sf).where(F.col("channel").isin("Oz", "O2", "O1", "T7"))
@@ -183,7 +183,7 @@ sh as (select session_id, channel_idx, win, avg(x) mean, stddev_pop(x) std,
     avg(pow(x - mu, 3)) / pow(stddev_pop(x), 3) skew, avg(pow(x - mu, 4)) / pow(stddev_pop(x), 4) - 3 kurtosis,
     var_pop(x) hjorth_activity, sqrt(var_pop(d1) / (var_pop(x) + 1e-10)) hjorth_mobility,
     sqrt(var_pop(d2) / (var_pop(d1) + 1e-10)) / (sqrt(var_pop(d1) / (var_pop(x) + 1e-10)) + 1e-10) hjorth_complexity,
-    sum(abs(d1)) line_length, sum(zc) zero_crossings from df group by all)"""
+    sum(abs(d1)) line_length, sum(zc)::bigint zero_crossings from df group by all)"""
 _SHAPE_BASE = with_(S_SQL, windows_sql("wn"), SHAPE_SQL)
 
 
@@ -284,7 +284,7 @@ def j3(spark, sf):
 # ---------------------------------------------------------------- further items
 
 
-@query("p1_spectrum_db", _WSPEC + "select session_id, channel_idx, win, k, round(10 * log10(psd), 5) + 0.0 db from sp")
+@query("p1_spectrum_db", _WSPEC + "select session_id, channel_idx, win, k::int k, round(10 * log10(psd), 5) + 0.0 db from sp")
 def p1(spark, sf):
     return pick(D.decibels(window_psd(spark, sf)), "session_id channel_idx win k db:5")
 

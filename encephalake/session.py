@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -35,13 +34,18 @@ def get_session(app: str = "encephalake", cores: int | str = "*", **conf: str) -
     return builder.getOrCreate()
 
 
+_SCRATCH: dict[str, str] = {}  # only for sessions without a shared folder, as in tests
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a scratch one only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = os.environ.get("ENCEPHALAKE_SCRATCH") or tempfile.mkdtemp(prefix="encephalake-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="encephalake-")
+    return _SCRATCH[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
