@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..dims import BENCH, PROFILES, SAMPLE_RATE, Profile
 from ..functions import kernels
-from ..functions.layout import KEYS, with_halo, own
+from ..functions.layout import KEYS, own, spread_join, with_halo
 from ..functions.quantiles import exact_quantiles, exact_quantiles_of
 from .windows import window_arrays
 
@@ -191,8 +191,6 @@ def contact_changes(log: DataFrame, order: str = "step", clip: float = 2000.0, q
         .where(F.col("total_change").isNotNull())
     )
     limit = exact_quantiles(moved, ["session_id"], "total_change", {"limit": q})
-    from ..functions.layout import spread_join
-
     return (
         spread_join(moved, limit, ["session_id"], F.col(order))
         .where("total_change > limit")

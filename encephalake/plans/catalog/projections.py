@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from ...dims import CHANNEL_GROUPS, EYES_BLOCKS, MONTAGES, SUBSETS, WIRE_COLORS
+from ...dims import CHANNEL_GROUPS, MONTAGES, SUBSETS, WIRE_COLORS
 from ...operators import project as P
 from ...operators.spectral import encode_sliding
 from .. import views
-from .base import E_SQL, L_SQL, M_SQL, S_SQL, encoded_sql, pick, query, sel, with_
+from .base import L_SQL, M_SQL, S_SQL, encoded_sql, pick, query, sel, with_
 
 _LIST = lambda xs: "[" + ",".join(f"'{x}'" for x in xs) + "]"
 _IN = lambda xs: "(" + ",".join(f"'{x}'" for x in xs) + ")"

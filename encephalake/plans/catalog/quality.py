@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ...dims import BENCH, CHANNEL_NAMES, PROFILES
 from ...functions.expr import channel_name
 from ...operators import quality as Q
-from ...operators import spectral as D
 from ...sources import logs
 from ...session import scratch_path
 from .. import views

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...dims import values_table
-from ...functions.expr import micros_of
 from ...operators.project import artifact_components
 from ...session import scratch_path
 from ...sources import encodings as X

@@ -10,7 +10,7 @@ from ...session import scratch_path
 from ...streaming import operators as S
 from ...streaming import run
 from .. import views
-from .base import E_SQL, M_SQL, S_SQL, bands_sql, pick, query, sel, spectrum_sql, windows_sql, with_
+from .base import S_SQL, bands_sql, pick, query, sel, spectrum_sql, windows_sql, with_
 from .quality import _QUALITY_CTE, notch_sql, status_sql
 
 

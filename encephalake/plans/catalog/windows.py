@@ -9,7 +9,7 @@ from ...functions.expr import micros_of
 from ...operators import windows as W
 from ...operators.spectral import encode_sliding
 from .. import views
-from .base import L_SQL, M_SQL, S_SQL, STATES_SQL, encoded_sql, pick, query, sel, windows_sql, with_
+from .base import M_SQL, S_SQL, STATES_SQL, encoded_sql, pick, query, windows_sql, with_
 
 _F1 = "session_id channel_idx win center_sec n mean_uv:6"
 _SLIDE_AGG = "select session_id, channel_idx, win, (win * {hop} + 125.0::double) / 125 center_sec, count(*) n, round(avg(uv), 6) + 0.0 mean_uv from wn group by all"

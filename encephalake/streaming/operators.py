@@ -143,7 +143,9 @@ def stateful_notch(
 ) -> DataFrame:
     """Causal notch whose two delay values survive from one micro-batch to the next.
 
-    Output equals filtering the whole channel at once.
+    Output equals filtering the whole channel at once.  Rows may arrive in any
+    order inside a micro-batch, so a key's share of one is sorted in memory; bound
+    it with the source's ``maxFilesPerTrigger`` (or the like).
     """
     b, a = kernels.notch_biquad(freq, q, fs)
     keys = list(keys)

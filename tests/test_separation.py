@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from conftest import matrix_of
-from pyspark.sql import functions as F
 
 from encephalake.operators import separation as H
 
