@@ -34,18 +34,19 @@ def get_session(app: str = "encephalake", cores: int | str = "*", **conf: str) -
     return builder.getOrCreate()
 
 
-_SCRATCH: dict[str, str] = {}  # only for sessions without a shared folder, as in tests
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch one only if unset."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session, whose one machine shares everything, gets a folder of its own
+    when none is named; on a cluster that is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = tempfile.mkdtemp(prefix="encephalake-")
-    return _SCRATCH[app]
+    if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="encephalake-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
