@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality_classifier, simhash
+from . import exact_dedup, language_id, packing, quality_classifier, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,16 +26,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_quality_classifier")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query("op5_exact_dedup", exact_dedup.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, table(spark, sf_dir, "documents"))
 
 
+@query("op6_sum_of_squares_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(spark, table(spark, sf_dir, "documents"))
