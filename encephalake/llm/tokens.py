@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -19,20 +20,18 @@ _AWKWARD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class TextEncoder:
-    """Ids of texts by a tokenizer file of the byte-level kind, special tokens' strings being ordinary text."""
+class MemoEncoder:
+    """Encodes texts piece by piece and remembers pieces, within a bound; subclasses cut texts and encode new pieces."""
 
-    def __init__(self, file: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.newline = self._encode(["\n"])[0]
-        if len(self.newline) != 1:
-            raise ValueError("the tokenizer has no single token for a line break")
+    def __init__(self):
         self._forget()
 
+    def cut(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        raise NotImplementedError
+
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -40,28 +39,15 @@ class TextEncoder:
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _learn(self, pieces: list[str]) -> None:
-        """Number new pieces; those without a line break are encoded many at a time, one to a line."""
-        plain = [p for p in pieces if "\n" not in p and p.startswith(" ") and len(p) > 1]
-        other = [p for p in pieces if not ("\n" not in p and p.startswith(" ") and len(p) > 1)]
-        encoded = []
-        lines = self._encode(["\n".join(plain[i : i + _GROUP]) for i in range(0, len(plain), _GROUP)])
-        for found in lines:
-            encoded += np.split(found, np.flatnonzero(found == self.newline[0]))
-        encoded = [e[1:] if e.size and e[0] == self.newline[0] else e for e in encoded]
-        if len(encoded) != len(plain):
-            raise AssertionError("a piece without line breaks gave the line break's id")
-        encoded += self._encode(other)
+        encoded = self.encode_pieces(pieces)
         first = len(self.number)
-        self.number.update(zip(plain + other, range(first, first + len(pieces))))
+        self.number.update(zip(pieces, range(first, first + len(pieces))))
         lengths = np.array([len(e) for e in encoded], np.int64)
         total, count = self.filled + int(lengths.sum()), first + len(pieces)
         self.ids = _room(self.ids, total)
         self.starts, self.lengths = _room(self.starts, count), _room(self.lengths, count)
-        self.ids[self.filled : total] = np.concatenate(encoded) if encoded else 0
+        self.ids[self.filled : total] = np.concatenate(encoded)
         self.lengths[first:count] = lengths
         self.starts[first:count] = self.filled + np.cumsum(lengths) - lengths
         self.filled = total
@@ -70,13 +56,7 @@ class TextEncoder:
         """All ids one text after another, and how many each has; ``end`` is put after every text."""
         if len(self.number) > _PIECES_KEPT or self.filled > _IDS_KEPT:
             self._forget()
-        pieces: list[list[str]] = []
-        for text in texts:
-            parts = _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            if not text:
-                parts = []
-            pieces.append(parts)
+        pieces = [self.cut(text) if text else [] for text in texts]
         new: set[str] = set()
         for parts in pieces:
             new.update(parts)
@@ -84,13 +64,11 @@ class TextEncoder:
         if new:
             self._learn(sorted(new))
         per_text = np.array([len(p) for p in pieces], np.int64)
-        number = self.number.__getitem__
-        flat = np.fromiter((number(p) for parts in pieces for p in parts), np.int64, int(per_text.sum()))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(per_text.sum()))
         sizes, places = self.lengths[flat], self.starts[flat]
         before = np.cumsum(sizes) - sizes
         text_ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(per_text)] if len(texts) else np.zeros(0, np.int64)
-        total = int(sizes.sum())
-        ids = self.ids[np.repeat(places - before, sizes) + np.arange(total)]
+        ids = self.ids[np.repeat(places - before, sizes) + np.arange(int(sizes.sum()))]
         counts = np.diff(text_ends, prepend=0)
         if end is not None:
             ids = np.insert(ids, text_ends, end)
@@ -98,6 +76,45 @@ class TextEncoder:
         return ids, counts
 
 
+class TextEncoder(MemoEncoder):
+    """Ids of texts by a tokenizer file of the byte-level kind, special tokens' strings being ordinary text."""
+
+    def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = True
+        line_break = self._encode(["\n"])[0]
+        if len(line_break) != 1:
+            raise ValueError("the tokenizer has no single token for a line break")
+        self.line_break = line_break[0]
+        super().__init__()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut(self, text: str) -> list[str]:
+        parts = _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
+        return [parts[0], *map(" ".__add__, parts[1:])]
+
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Pieces that open with a space and have no line break are encoded many at a time, one to a line."""
+        encoded: list = [None] * len(pieces)
+        lined = [i for i, p in enumerate(pieces) if "\n" not in p and p.startswith(" ") and len(p) > 1]
+        groups = [lined[i : i + _GROUP] for i in range(0, len(lined), _GROUP)]
+        for group, found in zip(groups, self._encode(["\n".join(pieces[i] for i in g) for g in groups])):
+            breaks = np.flatnonzero(found == self.line_break)
+            if len(breaks) != len(group) - 1:
+                raise AssertionError("a piece without line breaks gave the line break's id")
+            for i, low, high in zip(group, [0, *(breaks + 1)], [*breaks, len(found)]):
+                encoded[i] = found[low:high]
+        rest = [i for i, e in enumerate(encoded) if e is None]
+        for i, found in zip(rest, self._encode([pieces[i] for i in rest])):
+            encoded[i] = found
+        return encoded
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
@@ -106,11 +123,11 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return larger
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[type, str], MemoEncoder] = {}
 
 
-def encoder(file: str) -> TextEncoder:
+def encoder(file: str, kind: type = TextEncoder) -> MemoEncoder:
     """One encoder per file and Python worker, so that later tasks know the pieces of earlier ones."""
-    if file not in _ENCODERS:
-        _ENCODERS[file] = TextEncoder(file)
-    return _ENCODERS[file]
+    if (kind, file) not in _ENCODERS:
+        _ENCODERS[kind, file] = kind(file)
+    return _ENCODERS[kind, file]
