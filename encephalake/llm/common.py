@@ -16,6 +16,8 @@ from encephalake.session import shared_dir
 
 #: The white space that separates words.
 WHITE = r"[\x20\x09-\x0D]"
+#: Rows of a few short columns that may be broadcast once they have been counted: about 10 MB.
+BROADCAST_ROWS = 100_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -42,11 +44,13 @@ def partitions(spark: SparkSession) -> int:
 def join_by_count(left: DataFrame, right: DataFrame, on: str, count: str, total: int) -> DataFrame:
     """Left join of many rows to one row per key, where ``count`` has the key's rows on the left.
 
-    At most P keys can each hold more than 1/P of ``total`` rows: those (P rows at most) are
+    Up to ``BROADCAST_ROWS`` keys, counted first, are broadcast. Beyond that, at most P keys can each hold more than 1/P of ``total`` rows: those (P rows at most) are
     broadcast, all others meet in a shuffle where no key is large. Keys are not null.
     """
     parts = partitions(left.sparkSession)
     right = right.withColumnRenamed(on, "_key")
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), F.col(on) == F.col("_key"), "left").drop("_key")
     hot = F.broadcast(right.where(F.col(count) * parts > total))
     same = F.col(on) == F.col("_key")
     cold = left.join(hot.select("_key"), same, "left_anti")
