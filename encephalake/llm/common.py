@@ -58,6 +58,14 @@ def join_by_count(left: DataFrame, right: DataFrame, on: str, count: str, total:
     return left.join(hot, same).drop("_key").unionByName(cold.join(rest, same, "left").drop("_key"))
 
 
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose columns named in ``keys`` are no row of ``keys``; nulls are equal. Broadcast only if counted small."""
+    named = keys.toDF(*[f"_{i}" for i in range(len(keys.columns))])
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys.columns)]
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(named) if small else named, same, "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that ``column`` holds about ``limit`` bytes; one row is never cut."""
     for batch in batches:

@@ -44,14 +44,15 @@ def open_index(spark: SparkSession, name: str | None = None, path: str | None =
     return DigestIndex(name, path, buckets)
 
 
+def digest_of(text: str):
+    """SHA-256 of the text without white space."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE + "+", ""), 256)
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, digest, points): SHA-256 of the text without white space, and the code points of the whole text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.sha2(F.regexp_replace(whole, WHITE + "+", ""), 256).alias("digest"),
-        F.length(whole).alias("points"),
-    )
+    """(doc_id, digest, points): points are the code points of the whole text."""
+    points = F.length(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), digest_of(text).alias("digest"), points.alias("points"))
 
 
 def ingest(spark: SparkSession, index: DigestIndex, entries: DataFrame) -> DataFrame:

@@ -180,18 +180,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     types = docs.select(*keep).schema
-    n = len(keep)
+    n, inner = len(keep), [*keep, text] if text not in keep else keep
+    at = inner.index(text)
+    rows = docs.select(*inner, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
-        for batch in slices(batches, n):
-            told = pc.fill_null(batch.column(n + 1), False).to_numpy(zero_copy_only=False) & bool(m.languages)
+        for batch in slices(batches, at):
+            told = pc.fill_null(batch.column(len(inner)), False).to_numpy(zero_copy_only=False) & bool(m.languages)
             pred, score = np.full(batch.num_rows, len(m.languages)), np.zeros(batch.num_rows)
             if m.languages:
-                bits = code_lengths(m, byte_list(batch.column(n)))
+                bits = code_lengths(m, byte_list(batch.column(at)))
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 pred, score = np.where(told, best, pred), np.where(told, share, 0.0)

@@ -191,12 +191,13 @@ def rate(docs: DataFrame, model: Model | None, text: str = "text", keep: list[st
     """Columns ``keep`` of ``docs`` with expected_grade, p_tail and selected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    n = len(keep)
+    n, inner = len(keep), [*keep, text] if text not in keep else keep
+    at = inner.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, features = shared.value, Features()
-        for batch in slices(batches, n):
-            found = [features.of(t) for t in byte_list(batch.column(n))]
+        for batch in slices(batches, at):
+            found = [features.of(t) for t in byte_list(batch.column(at))]
             words = np.array([len(s) > 0 for s, _ in found])
             if m is None:
                 empty = pa.nulls(len(found), pa.float64())
@@ -208,7 +209,7 @@ def rate(docs: DataFrame, model: Model | None, text: str = "text", keep: list[st
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *told], [*batch.schema.names[:n], "expected_grade", "p_tail", "selected"])
 
     schema = docs.select(*keep).schema.add("expected_grade", "double").add("p_tail", "double").add("selected", "boolean")
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(score, schema)
+    return docs.select(*inner).mapInArrow(score, schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentence_pieces, simhash, token_files, warc
+from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentence_pieces, simhash, token_files, transcripts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,4 +75,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op10_transcripts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.recover(spark, table(spark, sf_dir, "conversations"))

@@ -54,12 +54,17 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1):
         prints = np.array([fingerprint(t) for t in byte_list(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, mark, fp): the fingerprint as a signed long, and a hash of the text that tells rows of one id apart."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text), mark(text).alias("mark"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
+
+
+def mark(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 class Tree:
@@ -150,15 +155,16 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row."""
+    """(doc_id, fingerprint, component_id, mark, component) for every row; ``component`` is unique even if ids are not."""
     rows = written(fingerprints(docs, key, text), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "prints")
     roots = written(components(near_links(prints)), "roots").withColumnRenamed("node", "fp")
     members = roots.join(prints, "fp").select("fp", "root", "first_id")
     lowest = written(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
-    linked = roots.join(lowest, "root").select("fp", "component_id")
-    labelled = prints.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = roots.join(lowest, "root").select("fp", "root", "component_id")
+    smallest = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+    labelled = prints.join(linked, "fp", "left").select("fp", "n", smallest, F.coalesce("root", "fp").alias("component"))
     labelled = written(labelled, "labelled")
     return join_by_count(rows, labelled, "fp", "n", rows.count()).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark", "component"
     )
