@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_list, sample_per_group, slices
+from .common import byte_list, slices
 
 GRADES = 3
 TARGET = 2
@@ -174,7 +174,7 @@ def graded(labels: DataFrame, key: str = "doc_id", quality: str = "quality", tox
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """Fit on the bounded sample of labelled rows; None if there is none."""
-    chosen = F.broadcast(sample_per_group(graded(labels, key).withColumn("_all", F.lit(0)), "_all", "_key", SAMPLE))  # SAMPLE rows at most
+    chosen = F.broadcast(graded(labels, key).orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE))  # SAMPLE rows at most
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     sample = rows.join(chosen, "_key").select("_key", F.col("grade").cast("int"), "_text")
     found = sample.coalesce(1).mapInArrow(_fit_task, "slot long, weight double").toPandas()
