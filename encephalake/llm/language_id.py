@@ -97,6 +97,8 @@ def build(counts: DataFrame) -> Model:
     found = counts.toPandas().sort_values(["lang", "context", "gram"])
     languages = sorted(found.lang.unique())
     number = {name: i for i, name in enumerate(languages)}
+    if not languages:
+        return Model([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     seen = np.unique(found.gram[found.context == 0].to_numpy(np.int64))
     symbol = np.zeros(256, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)

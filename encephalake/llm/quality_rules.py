@@ -4,7 +4,8 @@ A text is described by two histograms: the classes of its characters, and how of
 language's ``COMMON`` commonest words (with one cell for all other words). The references are the same
 histograms summed over all documents of a language; every text adds the shares of its cells, so that long
 texts do not dominate. The verdict compares both by Jensen-Shannon distance (the root of the divergence to base 2) with the reference
-of the text's own language, or the nearest one if its language has no reference. Guards: characters are
+of the text's own language, or the nearest one if its language has no reference. The character reference of a
+language with few documents leans on that of all (``PRIOR_TEXTS`` texts of it). Guards: characters are
 compared from ``MIN_CHARS`` characters, words from ``MIN_WORDS`` words on.
 
 Base counts per text: words, code points in words, symbols, repeated lines, words in repeated 3-word
@@ -30,6 +31,7 @@ from .common import byte_list, slices, written
 COMMON = 100
 MIN_WORDS = 50
 MIN_CHARS = 200
+PRIOR_TEXTS = 50
 MAX_CHARACTER_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.51
 #: The symbols that are counted, and the edges stripped from a word before it is looked up.
@@ -138,13 +140,17 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     words = totals.where("kind = 1 and cell != cast('' as binary)").withColumn("place", F.row_number().over(commonest)).where(F.col("place") <= COMMON)
     rest = totals.where("kind != 1").withColumn("place", F.lit(0))
     found = rest.unionByName(words).toPandas().sort_values(["lang", "kind", "place"])
+    found["cell"] = found.cell.map(bytes)
     characters, names, shares = {}, {}, {}
+    pooled = found[found.kind == 0].groupby("cell").share.sum()
+    pooled = np.array([pooled.get(c.encode(), 0.0) for c in CLASSES]) / max(1.0, found.share[found.kind == 2].sum())
     for language, part in found.groupby("lang"):
         texts = part.share[part.kind == 2].sum()
-        by_class = dict(zip(map(bytes, part.cell[part.kind == 0]), part.share[part.kind == 0]))
-        characters[language] = np.array([by_class.get(c.encode(), 0.0) for c in CLASSES]) / texts
+        by_class = dict(zip(part.cell[part.kind == 0], part.share[part.kind == 0]))
+        own = np.array([by_class.get(c.encode(), 0.0) for c in CLASSES])
+        characters[language] = (own + PRIOR_TEXTS * pooled) / (texts + PRIOR_TEXTS)
         chosen = part[part.kind == 1]
-        names[language] = {bytes(w): i for i, w in enumerate(chosen.cell)}
+        names[language] = {w: i for i, w in enumerate(chosen.cell)}
         shares[language] = np.append(chosen.share.to_numpy() / texts, max(0.0, 1 - chosen.share.sum() / texts))
     return References(characters, names, shares)
 
