@@ -115,7 +115,7 @@ def test_words_round_trip(count, high):
 def test_token_files(spark, library):
     docs = spark.createDataFrame(ROWS, ODD)
     manifest = token_files.write_files(docs.repartition(3), BYTES, fresh_path(spark, "tokens"), file_ids=40)
-    assert manifest.count() > 3 and manifest.agg({"documents": "sum"}).first()[0] == len(ROWS)
+    assert manifest.count() > 2 and manifest.agg({"documents": "sum"}).first()[0] == len(ROWS)
     got = [tuple(r) for r in token_files.read_files(manifest).collect()]
     want = {}
     for key, text, *_ in ROWS:
