@@ -58,23 +58,47 @@ def chunk_arrays(
     keys: Sequence[str] = KEYS,
     pos: str = "sample_idx",
     value: str = "uv",
+    positions: bool = False,
 ) -> DataFrame:
-    """One row per (keys, chunk): ``start`` (index of the first entry) and ``x``.
+    """One row per (keys, chunk): ``start`` (index of the first entry) and ``x``, with ``positions`` also ``p``.
 
     One shuffle on (keys, chunk).  Every group holds at most
     ``length + left + right`` samples, whatever the recording's length.
     """
     halo = with_halo(samples.select(*keys, pos, value), length, left, right, pos)
-    return (
+    packed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
+    rows = (
         halo.groupBy(*keys, "chunk")
-        .agg(
-            F.min(pos).alias("start"),
-            sorted_values(pos, value).alias("x"),
-            F.max(F.when(own(length, pos), 1).otherwise(0)).alias("_own"),
-        )
+        .agg(packed.alias("_g"), F.max(F.when(own(length, pos), 1).otherwise(0)).alias("_own"))
         .where("_own = 1")
-        .drop("_own")
     )
+    shown = [F.col("_g.p").alias("p")] if positions else []
+    return rows.select(*keys, "chunk", F.element_at("_g.p", 1).alias("start"), F.col("_g.v").alias("x"), *shown)
+
+
+def gapless_stretches(samples: DataFrame, keys: Sequence[str] = KEYS, pos: str = "sample_idx", length: int = CHUNK) -> DataFrame:
+    """Add ``stretch``, the first index of the gapless run a row lies in, and count ``pos`` from there.
+
+    Runs are found inside chunks; what a chunk's first run continues comes from a table of one row per chunk.
+    """
+    keys = list(keys)
+    rows = samples.withColumn("_chunk", F.floor(F.col(pos) / length).cast("bigint"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
+    jump = F.coalesce(F.col(pos) - F.lag(pos).over(inside) != 1, F.lit(True))
+    rows = rows.withColumn("_open", F.when(jump, F.col(pos)))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_run", F.last("_open", ignorenulls=True).over(so_far))
+    chunks = rows.groupBy(*keys, "_chunk").agg(F.min(pos).alias("_first"), F.max(pos).alias("_end"), F.max("_run").alias("_tail"))
+    order = Window.partitionBy(*keys).orderBy("_chunk")
+    fresh = F.coalesce(F.col("_first") - F.lag("_end").over(order) != 1, F.lit(True))
+    # a chunk that is one run through and through only passes on where the run began
+    begins = F.when((F.col("_tail") != F.col("_first")) | fresh, F.col("_tail"))
+    chunks = chunks.withColumn("_begins", begins).withColumn("_fresh", fresh)
+    before = F.last("_begins", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.select(*keys, "_chunk", "_first", F.when(F.col("_fresh"), F.col("_first")).otherwise(before).alias("_head"))
+    joined = rows.join(chunks, [*keys, "_chunk"])
+    stretch = F.when(F.col("_run") == F.col("_first"), F.col("_head")).otherwise(F.col("_run"))
+    return joined.withColumn("stretch", stretch).withColumn(pos, F.col(pos) - F.col("stretch")).drop("_chunk", "_open", "_run", "_first", "_head")
 
 
 def spread_join(

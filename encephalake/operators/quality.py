@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import BENCH, PROFILES, SAMPLE_RATE, Profile
+from ..dims import BENCH, GRADE_LIMITS, RAIL_UV, SAMPLE_RATE, SUSPICIOUS
 from ..functions import kernels
 from ..functions.layout import KEYS, own, spread_join, with_halo
 from ..functions.quantiles import exact_quantiles, exact_quantiles_of
@@ -23,7 +23,7 @@ def railed_pct(x: Column, mean: Column, threshold: Column | float) -> Column:
     return F.coalesce(F.avg((F.abs(x - mean) > threshold).cast("double")) * 100.0, F.lit(0.0))
 
 
-def rail_table(spans: DataFrame, keys: Sequence[str], threshold: float = BENCH.rail_threshold_uv) -> DataFrame:
+def rail_table(spans: DataFrame, keys: Sequence[str], threshold: float = RAIL_UV[BENCH]) -> DataFrame:
     """Railed percent per bounded span; mean and count share the span's shuffle."""
     w = Window.partitionBy(*keys)
     return (
@@ -65,56 +65,42 @@ def quality_metrics(x: Column, threshold: float, fs: float = SAMPLE_RATE, freq:
     return run(x)
 
 
-def status(rail: Column, std: Column, line: Column, p: dict[str, Column], quiet: bool = True) -> Column:
-    """Worst of the rail, std, line and (optionally) suspiciously-quiet checks."""
-    yellow = (
-        (rail >= p["rail_green_max_pct"])
-        | (std < p["low_activity_std_uv"])
-        | (std > p["high_activity_std_uv"])
-        | (line > p["line_green_max"])
-    )
+def status(metrics: dict[str, Column], profile: str, quiet: bool = True) -> Column:
+    """The worst grade that any limit of the profile gives; ``quiet`` adds the suspicious-signal rule."""
+    reached = {"from": lambda x, v: x >= v, "above": lambda x, v: x > v, "below": lambda x, v: x < v}
+    grades = [
+        F.when(reached[side](metrics[name], limit), grade)
+        for (name, side), limits in GRADE_LIMITS[profile].items()
+        for grade, limit in zip((YELLOW, RED), limits)
+    ]
     if quiet:
-        yellow = yellow | ((std > p["quiet_std_min"]) & (line < p["quiet_line_max"]) & (rail < 1.0))
-    red = (
-        (rail >= p["rail_yellow_max_pct"])
-        | (std < p["flatline_std_uv"])
-        | (std > p["saturation_std_uv"])
-        | (line > p["line_yellow_max"])
-    )
-    return F.when(red, RED).when(yellow, YELLOW).otherwise(GREEN)
+        std, line, rail = SUSPICIOUS[profile]
+        grades.append(F.when((metrics["std"] > std) & (metrics["line"] < line) & (metrics["rail"] < rail), YELLOW))
+    return F.greatest(F.lit(GREEN), *grades)
 
 
-def profile_columns(profile: Profile) -> dict[str, Column]:
-    return {k: F.lit(v) for k, v in vars(profile).items() if k != "name"}
+def _metrics() -> dict[str, Column]:
+    return {"rail": F.col("rail_pct"), "std": F.col("std_uv"), "line": F.col("line_ratio")}
 
 
-def grade(df: DataFrame, profile: Profile = BENCH, quiet: bool = True) -> DataFrame:
-    p = profile_columns(profile)
-    return df.withColumn(
-        "status", status(F.col("rail_pct"), F.col("std_uv"), F.col("line_ratio"), p, quiet).cast("int")
-    )
+def grade(df: DataFrame, profile: str = BENCH, quiet: bool = True) -> DataFrame:
+    return df.withColumn("status", status(_metrics(), profile, quiet).cast("int"))
 
 
 def grade_all_profiles(df: DataFrame) -> DataFrame:
-    """One graded row per profile; the profiles are a fixed literal array."""
-    packed = F.array(
-        *[F.struct(*[F.lit(v).alias(k) for k, v in vars(p).items()]) for p in PROFILES.values()]
-    )
-    rows = df.withColumn("_p", F.explode(packed)).withColumn("profile", F.col("_p.name"))
-    cols = {n: F.col(f"_p.{n}") for n in vars(BENCH) if n != "name"}
-    return rows.withColumn(
-        "status", status(F.col("rail_pct"), F.col("std_uv"), F.col("line_ratio"), cols).cast("int")
-    ).drop("_p")
+    """One graded row per profile."""
+    graded = F.array(*[F.struct(F.lit(p).alias("profile"), status(_metrics(), p).cast("int").alias("status")) for p in GRADE_LIMITS])
+    return df.select("*", F.inline(graded))
 
 
 def sliding_quality(
-    samples: DataFrame, window_sec: float = 2.0, step_sec: float = 1.0, profile: Profile = BENCH,
+    samples: DataFrame, window_sec: float = 2.0, step_sec: float = 1.0, profile: str = BENCH,
     fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Metrics and status of each channel over sliding windows."""
     w, hop = int(window_sec * fs), int(step_sec * fs)
     arrays = window_arrays(samples, w, hop, keys)
-    m = quality_metrics(F.col("x"), profile.rail_threshold_uv, fs)
+    m = quality_metrics(F.col("x"), RAIL_UV[profile], fs)
     rows = arrays.select(*keys, "win", m.alias("m")).select(*keys, "win", "m.*")
     return grade(rows, profile)
 

@@ -19,57 +19,75 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import SAMPLE_RATE, PNConfig, PreprocessConfig
+from ..dims import ENVELOPE_SEC, EQUATIONS, SAMPLE_RATE
 from ..functions import kernels
-from ..functions.layout import CHUNK, KEYS, chunk_arrays, own, section_join, sorted_values, with_halo
+from ..functions.layout import CHUNK, KEYS, chunk_arrays, gapless_stretches, own, section_join, with_halo
 
 FILTER_CHUNK = 8192
 
 
-def _fir_stage(x: np.ndarray, at_start: bool, at_end: bool, taps: np.ndarray, reflect: bool) -> np.ndarray:
-    """Filter an array that misses ``half`` neighbours only at a recording's ends."""
+def _gapless(positions: np.ndarray) -> list[slice]:
+    """The runs of consecutive positions."""
+    cuts = np.flatnonzero(np.diff(positions) != 1) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(positions)])]
+
+
+def _fir_stage(x: np.ndarray, at_start: bool, at_end: bool, taps: np.ndarray) -> np.ndarray:
+    """Filter an array that misses ``half`` neighbours only at a stretch's ends, which are reflected."""
     half = (len(taps) - 1) // 2
-    if reflect:
-        padded = kernels.odd_reflect(x, half, half)
-    else:
-        padded = np.pad(x, half)
+    padded = kernels.odd_reflect(x, half, half)
     lo, hi = (0 if at_start else half), (len(padded) if at_end else len(padded) - half)
     return kernels.convolve_valid(padded[lo:hi], taps)
 
 
+def _per_stretch(samples: DataFrame, keys: list[str], chunk: int, left: int, right: int, kernel) -> DataFrame:
+    """(keys, sample_idx, uv) from ``kernel(x, at_start, at_end) -> (y, how many leading entries it lacks)``.
+
+    A recording may begin at any index and miss samples: each gapless stretch is filtered on its
+    own and keeps its indexes. The neighbours a chunk carries show whether a stretch ends there;
+    it goes on only if it reaches the chunk's outermost neighbour.
+    """
+    arrays = chunk_arrays(samples, chunk, left, right, keys, positions=True)
+
+    @F.pandas_udf("struct<i:array<bigint>,y:array<double>>")
+    def run(no: pd.Series, p: pd.Series, x: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, at, v in zip(no, p, x):
+            at, v, lo, hi = np.asarray(at), np.asarray(v), c * chunk, (c + 1) * chunk
+            places, values = [], []
+            for part in _gapless(at):
+                first, last = at[part.start], at[part.stop - 1]
+                if last < lo or first >= hi:
+                    continue
+                y, lacks = kernel(v[part], first > lo - left or first == 0, last < hi + right - 1)
+                a, b = max(lo, first), min(hi, last + 1)
+                places.append(np.arange(a, b))
+                values.append(y[a - first - lacks : b - first - lacks])
+            out.append((np.concatenate(places), np.concatenate(values)))
+        return pd.DataFrame(out, columns=["i", "y"])
+
+    done = arrays.select(*keys, run("chunk", "p", "x").alias("r"))
+    pairs = F.arrays_zip(F.col("r.i").alias("i"), F.col("r.y").alias("y"))
+    return done.select(*keys, F.explode(pairs).alias("e")).select(*keys, F.col("e.i").alias("sample_idx"), F.col("e.y").alias("uv"))
+
+
 def apply_fir(
     samples: DataFrame, stages: Sequence[np.ndarray], keys: Sequence[str] = KEYS, length: int = FILTER_CHUNK
 ) -> DataFrame:
     """Run zero-phase FIR stages one after another in a single shuffle.
 
-    Recording ends are padded by point reflection before each stage.
+    The ends of each gapless stretch are padded by point reflection before each stage.
     """
-    keys = list(keys)
     halo = sum((len(t) - 1) // 2 for t in stages)
-    chunk = max(length, halo + 1)
-    arrays = chunk_arrays(samples, chunk, halo, halo, keys)
-    bounds = arrays.select(
-        *keys, "chunk", "start", "x", (F.col("start") + F.size("x") - 1).alias("stop")
-    )
 
-    @F.pandas_udf("array<double>")
-    def run(no: pd.Series, start: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for c, s, v in zip(no, start, x):
-            lo, hi = c * chunk, (c + 1) * chunk
-            at_start, at_end = s == 0, s + len(v) < hi + halo
-            y, first = np.asarray(v), s
-            for taps in stages:
-                half = (len(taps) - 1) // 2
-                y = _fir_stage(y, at_start, at_end, taps, reflect=True)
-                first += 0 if at_start else half
-            out.append(y[lo - first : hi - first])
-        return pd.Series(out)
+    def kernel(x: np.ndarray, at_start: bool, at_end: bool) -> tuple[np.ndarray, int]:
+        lacks = 0
+        for taps in stages:
+            x = _fir_stage(x, at_start, at_end, taps)
+            lacks += 0 if at_start else (len(taps) - 1) // 2
+        return x, lacks
 
-    filtered = bounds.select(*keys, "chunk", run("chunk", "start", "x").alias("y"))
-    return filtered.select(*keys, "chunk", F.posexplode("y").alias("pos", "uv")).select(
-        *keys, (F.col("chunk") * chunk + F.col("pos")).alias("sample_idx"), "uv"
-    )
+    return _per_stretch(samples, list(keys), max(length, halo + 1), halo, halo, kernel)
 
 
 def notch_stage(fs: float = SAMPLE_RATE, freq: float = 60.0, quality: float = 30.0) -> np.ndarray:
@@ -106,55 +124,40 @@ def highpass(samples: DataFrame, low: float = 1.0, fs: float = SAMPLE_RATE, **kw
 
 
 def preprocess(
-    samples: DataFrame, config: PreprocessConfig = PreprocessConfig(), fs: float = SAMPLE_RATE, **kw
+    samples: DataFrame, line_freq: float = 60.0, quality: float = 30.0, low: float = 0.5, high: float = 50.0,
+    method: str = "fir", fs: float = SAMPLE_RATE, **kw,
 ) -> DataFrame:
     """Notch, then band-pass, with one exchange for both."""
-    stages = [
-        notch_stage(fs, config.notch_freq, config.notch_quality),
-        bandpass_stage(fs, config.bandpass_low, config.bandpass_high, config.filter_method),
-    ]
-    return apply_fir(samples, stages, **kw)
+    return apply_fir(samples, [notch_stage(fs, line_freq, quality), bandpass_stage(fs, low, high, method)], **kw)
 
 
 def iir_notch(
     samples: DataFrame, freq: float = 60.0, q: float = 30.0, fs: float = SAMPLE_RATE,
     keys: Sequence[str] = KEYS, length: int = CHUNK,
 ) -> DataFrame:
-    """Causal notch biquad from a zero initial state over whole recordings."""
-    keys = list(keys)
+    """Causal notch biquad from a zero initial state over each gapless stretch."""
     b, a = kernels.notch_biquad(freq, q, fs)
     h = kernels.impulse_response(b, a, kernels.decay_length(a))
     halo = len(h) - 1
-    chunk = max(length, halo)
-    arrays = chunk_arrays(samples, chunk, halo, 0, keys)
 
-    @F.pandas_udf("array<double>")
-    def run(no: pd.Series, start: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                kernels.convolve_valid(np.pad(v, (halo, 0)), h)[c * chunk - s :]
-                for c, s, v in zip(no, start, x)
-            ]
-        )
-
-    done = arrays.select(*keys, "chunk", run("chunk", "start", "x").alias("y"))
-    return done.select(*keys, "chunk", F.posexplode("y").alias("pos", "uv")).select(
-        *keys, (F.col("chunk") * chunk + F.col("pos")).alias("sample_idx"), "uv"
-    )
+    def kernel(x: np.ndarray, at_start: bool, at_end: bool) -> tuple[np.ndarray, int]:
+        return kernels.convolve_valid(np.pad(x, (halo, 0)), h), 0
+
+    return _per_stretch(samples, list(keys), max(length, halo), halo, 0, kernel)
 
 
 # ---------------------------------------------------------------- envelopes
 
 
 def rms_envelope(
-    samples: DataFrame, fs: float = SAMPLE_RATE, window_sec: float = 0.1, keys: Sequence[str] = KEYS,
+    samples: DataFrame, fs: float = SAMPLE_RATE, window_sec: float = ENVELOPE_SEC, keys: Sequence[str] = KEYS,
     length: int = CHUNK,
 ) -> DataFrame:
-    """Moving root mean square, always divided by the window size (zeros outside)."""
+    """Moving root mean square, always divided by the window size (zeros where there is no sample)."""
     k = max(1, int(window_sec * fs))
     left, right = k // 2, k - 1 - k // 2
     rows = with_halo(samples.select(*keys, "sample_idx", "uv"), length, left, right)
-    w = Window.partitionBy(*keys, "chunk").orderBy("sample_idx").rowsBetween(-left, right)
+    w = Window.partitionBy(*keys, "chunk").orderBy("sample_idx").rangeBetween(-left, right)
     total = F.sum(F.col("uv") * F.col("uv")).over(w)
     return (
         rows.withColumn("rms", F.sqrt(total / k)).where(own(length)).select(*keys, "sample_idx", "rms")
@@ -184,28 +187,23 @@ def normalise(
 
 
 def step_maps(
-    driven: DataFrame, config: PNConfig = PNConfig(), fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS,
-    length: int = CHUNK,
+    driven: DataFrame, solver: str = "euler", equations: dict[str, tuple[float, float]] = EQUATIONS,
+    fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS, length: int = CHUNK,
 ) -> DataFrame:
     """Per sample the affine maps of both states: a' = ma a + qa, c' = mc c + qc.
 
-    Sample 0 resets to the initial values (multiplier 0).
+    A sample without a predecessor, at whatever index, resets to the initial values (multiplier 0).
     """
     dt = 1.0 / fs
     rows = with_halo(driven.select(*keys, "sample_idx", "f"), length, 1, 0)
     w = Window.partitionBy(*keys, "chunk").orderBy("sample_idx")
-    rows = rows.withColumn("f0", F.lag("f").over(w)).where(own(length))
+    rows = rows.withColumn("f0", F.lag("f").over(w)).withColumn("_gap", F.col("sample_idx") - F.lag("sample_idx").over(w))
+    rows = rows.where(own(length))
     f0, f1 = F.col("f0"), F.col("f")
-    rates = {"a": (-F.lit(config.lambda_a), config.initial_a), "c": (F.lit(config.lambda_c), config.initial_c)}
-    cols = []
-    for s, (rate, initial) in rates.items():
-        if config.solver == "rk4":
-            m, q = _rk4_map(rate, f0, f1, dt)
-        elif config.solver == "euler":
-            m, q = 1 + dt * (rate - f0), dt * f0
-        else:
-            raise ValueError(f"unknown solver: {config.solver}")
-        first = F.col("sample_idx") == 0
+    steps = {"euler": lambda rate: (1 + dt * (rate - f0), dt * f0), "rk4": lambda rate: _rk4_map(rate, f0, f1, dt)}
+    first, cols = F.coalesce(F.col("_gap") != 1, F.lit(True)), []
+    for s, (rate, initial) in equations.items():
+        m, q = steps[solver](F.lit(rate))
         cols += [
             F.when(first, F.lit(0.0)).otherwise(m).alias(f"m{s}"),
             F.when(first, F.lit(float(initial))).otherwise(q).alias(f"q{s}"),
@@ -231,12 +229,14 @@ _FOUR = ("ma", "qa", "mc", "qc")
 
 
 def _run(m, q, s: float) -> np.ndarray:
-    """States after each step of s' = m s + q."""
-    out = np.empty(len(m))
-    for i, (u, v) in enumerate(zip(np.asarray(m).tolist(), np.asarray(q).tolist())):
-        s = u * s + v
-        out[i] = s
-    return out
+    """States after each step of s' = m s + q: the maps are composed over distances 1, 2, 4, ..."""
+    m, q = np.array(m, dtype=float), np.array(q, dtype=float)
+    reach = 1
+    while reach < len(m):
+        q[reach:] += m[reach:] * q[:-reach]
+        m[reach:] *= m[:-reach]
+        reach *= 2
+    return m * s + q
 
 
 def _composite(*maps: Column) -> Column:
@@ -285,46 +285,41 @@ def _pack(idx: str, *prefix: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *fields))).alias("g")
 
 
-def _chunk_starts(totals: DataFrame, keys: list[str], fan: int) -> DataFrame:
-    """(keys, chunk, sa, sc): both states before each chunk, scanned in two bounded levels."""
+def _chunk_starts(totals: DataFrame, keys: list[str], fan: int, levels: int = 3) -> DataFrame:
+    """(keys, chunk, sa, sc): both states before each chunk, scanned in levels of at most ``fan`` entries.
+
+    Level by level the maps of ``fan`` neighbours become one; the top level holds what remains. With a
+    fan of 4096 and chunks of 4096 samples three levels reach beyond any 64-bit index.
+    """
     zero = F.lit(0.0)
-    groups = (
-        totals.withColumn("up", F.expr(f"chunk div {fan}")).groupBy(*keys, "up").agg(_pack("chunk", "t"))
-    )
-    tops = groups.select(*keys, "up", _composite(*_maps("g")).alias("t"))
-    too_long = F.raise_error(F.lit("recording too long for a two-level scan")).cast("boolean")
-    top_starts = (
-        tops.groupBy(*keys)
-        .agg(_pack("up", "t"))
-        .where(F.when(F.size("g") > fan, too_long).otherwise(True))
-        .select(*keys, F.col("g.i").alias("i"), _states(True)(*_maps("g"), zero, zero).alias("s"))
-        .select(*keys, F.explode(_zipped("s")).alias("z"))
-        .select(*keys, F.col("z.i").alias("up"), F.col("z.a").alias("a0"), F.col("z.c").alias("c0"))
-    )
-    return (
-        groups.join(top_starts, [*keys, "up"])
-        .select(
-            *keys,
-            F.col("g.i").alias("i"),
-            _states(True)(*_maps("g"), F.col("a0"), F.col("c0")).alias("s"),
-        )
-        .select(*keys, F.explode(_zipped("s")).alias("z"))
-        .select(*keys, F.col("z.i").alias("chunk"), F.col("z.a").alias("sa"), F.col("z.c").alias("sc"))
-    )
+    packed = []
+    current = totals.withColumnRenamed("chunk", "at")
+    for level in range(levels):
+        up = F.expr(f"at div {fan}") if level < levels - 1 else F.lit(0).cast("bigint")
+        groups = current.withColumn("up", up).groupBy(*keys, "up").agg(_pack("at", "t"))
+        packed.append(groups)
+        current = groups.select(*keys, F.col("up").alias("at"), _composite(*_maps("g")).alias("t"))
+    starts = packed[-1].select(*keys, "up", "g", zero.alias("a0"), zero.alias("c0"))
+    for level in range(levels - 1, -1, -1):
+        inner = starts.select(*keys, F.col("g.i").alias("i"), _states(True)(*_maps("g"), F.col("a0"), F.col("c0")).alias("s"))
+        inner = inner.select(*keys, F.explode(_zipped("s")).alias("z"))
+        inner = inner.select(*keys, F.col("z.i").alias("up"), F.col("z.a").alias("a0"), F.col("z.c").alias("c0"))
+        if level:
+            starts = packed[level - 1].join(inner, [*keys, "up"])
+    return inner.withColumnsRenamed({"up": "chunk", "a0": "sa", "c0": "sc"})
 
 
 def solve_states(
-    driven: DataFrame, config: PNConfig = PNConfig(), fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS,
-    length: int = CHUNK, fan: int = 4096,
+    driven: DataFrame, solver: str = "euler", equations: dict[str, tuple[float, float]] = EQUATIONS,
+    fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS, length: int = CHUNK, fan: int = 4096,
 ) -> DataFrame:
     """(keys, sample_idx, a, c): both states, clipped to [0, 1] after the recurrence.
 
-    Chunks are packed once; their composites are scanned in two levels of at
-    most ``fan`` entries (4096^3 samples, 17 years at 125 Hz, per channel), and
-    each chunk is replayed from its own start state.
+    Chunks are packed once; their composites are scanned in levels of at most
+    ``fan`` entries, and each chunk is replayed from its own start state.
     """
     keys = list(keys)
-    maps = step_maps(driven, config, fs, keys, length)
+    maps = step_maps(driven, solver, equations, fs, keys, length)
     chunks = maps.groupBy(*keys, "chunk").agg(_pack("sample_idx"))
     totals = chunks.select(*keys, "chunk", _composite(*_maps("g")).alias("t"))
     joined = chunks.join(_chunk_starts(totals, keys, fan), [*keys, "chunk"])
@@ -356,11 +351,13 @@ def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, max_dire
     longest = lengths.agg(F.max("_n")).first()[0] or 0
     if longest <= max_direct:
         return _direct_phase(samples, keys)
-    rows = section_join(samples, lengths, keys, "_n")
+    sized = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("sample_idx").alias("_last"))
+    rows = section_join(samples, sized, keys, "_last").drop("_last")
     short = rows.where(F.col("_n") <= max_direct).drop("_n")
-    return _direct_phase(short, keys).unionByName(
-        split_phase(rows.where(F.col("_n") > max_direct), keys, int(longest))
-    )
+    long = gapless_stretches(rows.where(F.col("_n") > max_direct).drop("_n"), keys)
+    phase = split_phase(long, [*keys, "stretch"], int(longest))
+    whole = phase.select(*keys, (F.col("sample_idx") + F.col("stretch")).alias("sample_idx"), "b")
+    return _direct_phase(short, keys).unionByName(whole)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -372,24 +369,31 @@ def analytic(x: np.ndarray) -> np.ndarray:
 
 
 def _direct_phase(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Each gapless stretch is transformed on its own and keeps its indexes."""
+
     @F.pandas_udf("array<double>")
-    def phase(x: pd.Series) -> pd.Series:
-        return pd.Series([np.angle(analytic(np.asarray(v))) % (2 * np.pi) for v in x])
+    def phase(p: pd.Series, x: pd.Series) -> pd.Series:
+        out = []
+        for at, v in zip(p, x):
+            v = np.asarray(v)
+            parts = [np.angle(analytic(v[part])) % (2 * np.pi) for part in _gapless(np.asarray(at))]
+            out.append(np.concatenate(parts))
+        return pd.Series(out)
 
-    whole = samples.groupBy(*keys).agg(sorted_values("sample_idx", "uv").alias("x"))
-    return whole.select(*keys, F.posexplode(phase("x")).alias("sample_idx", "b")).withColumn(
-        "sample_idx", F.col("sample_idx").cast("bigint")
-    )
+    packed = F.array_sort(F.collect_list(F.struct(F.col("sample_idx").alias("p"), F.col("uv").alias("v"))))
+    whole = samples.groupBy(*keys).agg(packed.alias("g")).select(*keys, F.col("g.p").alias("p"), phase(F.col("g.p"), F.col("g.v")).alias("b"))
+    pairs = whole.select(*keys, F.explode(F.arrays_zip("p", "b")).alias("e"))
+    return pairs.select(*keys, F.col("e.p").alias("sample_idx"), F.col("e.b").alias("b"))
 
 
 def extract_dynamics(
-    samples: DataFrame, config: PNConfig = PNConfig(), fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS,
+    samples: DataFrame, solver: str = "euler", fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS,
     method: str = "minmax", length: int = CHUNK,
 ) -> DataFrame:
     """(keys, sample_idx, a, b, c): envelope -> scaling -> states, with the phase as b."""
     keys = list(keys)
-    drive = normalise(rms_envelope(samples, fs, config.rms_window_sec, keys, length), method, keys)
-    states = solve_states(drive, config, fs, keys, length)
+    drive = normalise(rms_envelope(samples, fs, keys=keys, length=length), method, keys)
+    states = solve_states(drive, solver, fs=fs, keys=keys, length=length)
     phase = instantaneous_phase(samples, keys)
     return states.join(phase, [*keys, "sample_idx"]).select(*keys, "sample_idx", "a", "b", "c")
 

@@ -31,9 +31,14 @@ def spans_from_windows(samples: DataFrame, w: int, hop: int) -> DataFrame:
 
 
 def spans_whole(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Whole recordings as spans; the length is joined back by section."""
-    lengths = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("span_len"))
-    return section_join(samples, lengths, keys, "span_len").withColumn("pos", F.col("sample_idx"))
+    """Whole recordings as spans from their first to their last index; the bounds are joined back by section.
+
+    A segment that misses a sample gives no spectrum.
+    """
+    bounds = samples.groupBy(*keys).agg(F.min("sample_idx").alias("_from"), F.max("sample_idx").alias("_to"))
+    rows = section_join(samples, bounds, keys, "_to")
+    length = F.col("_to") - F.col("_from") + 1
+    return rows.withColumn("span_len", length).withColumn("pos", F.col("sample_idx") - F.col("_from")).drop("_from", "_to")
 
 
 def segments(

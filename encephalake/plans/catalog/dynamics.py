@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...dims import PNConfig
 from ...operators import signal as C
 from ...operators.windows import assign_windows
 from .. import views
@@ -163,7 +162,7 @@ _RK4 = "sr as (select *, (f0 + f1) / 2 fm from st), " + scan_sql(
 
 @query("c10_states_rk4", _DRIVE + ", " + _RK4 + f" select {sel(_AC)} from ac")
 def c10(spark, sf):
-    return pick(C.solve_states(drive(spark, sf), PNConfig(solver="rk4")), _AC)
+    return pick(C.solve_states(drive(spark, sf), "rk4"), _AC)
 
 
 @query(

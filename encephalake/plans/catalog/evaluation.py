@@ -167,8 +167,8 @@ _K6 = "source delta_accuracy:6 delta_auc:6 delta_f1:6 feature_ratio:6 interpreta
     + """, r as (select * from me join au using (source, method)),
   p as (select q.source, q.accuracy - c.accuracy delta_accuracy, q.auc - c.auc delta_auc, q.f1 - c.f1 delta_f1, 520 / 48.0::double feature_ratio, q.auc qa, c.auc ca
         from r q join r c on q.source = c.source and q.method = 'template' and c.method = 'classical'),
-  z as (select *, case when qa > 0.8 and qa > ca then 'ENCODING_SOLVED' when qa > 0.8 then 'ENCODING_SOLVED_PARTIAL' when qa >= 0.65 then 'PARTIAL_IMPROVEMENT'
-        when qa < 0.65 and ca < 0.65 then 'PARADIGM_FAILURE' else 'NO_IMPROVEMENT' end interpretation, ca > 0.8 and qa < 0.65 bottleneck_confirmed from p) """
+  z as (select *, case when qa > 0.8 and qa > ca then 'template_good_and_ahead' when qa > 0.8 then 'template_good_but_behind' when qa >= 0.65 then 'template_fair'
+        when qa < 0.65 and ca < 0.65 then 'both_weak' else 'template_weak' end interpretation, ca > 0.8 and qa < 0.65 bottleneck_confirmed from p) """
     + f"select {sel(_K6)} from z",
 )
 def k6(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...dims import BENCH, CHANNEL_NAMES, PROFILES
+from ...dims import BENCH, CHANNEL_NAMES, GRADE_LIMITS, SUSPICIOUS
 from ...functions.expr import channel_name
 from ...operators import quality as Q
 from ...sources import logs
@@ -46,10 +46,14 @@ _QUALITY_CTE = f"""lag_ as (select x.session_id, x.channel_idx, x.win, x.j, sum(
     join (select {WIN_KEYS}, stddev_pop(o) so from lag_ group by all) using ({WIN_KEYS}))"""
 
 
-def status_sql(p, quiet=True) -> str:
-    q = f"(std_uv > {p.quiet_std_min} and line_ratio < {p.quiet_line_max} and rail_pct < 1) or " if quiet else ""
-    return f"""case when rail_pct >= {p.rail_yellow_max_pct} or std_uv < {p.flatline_std_uv} or std_uv > {p.saturation_std_uv} or line_ratio > {p.line_yellow_max} then 2
-      when {q}rail_pct >= {p.rail_green_max_pct} or std_uv < {p.low_activity_std_uv} or std_uv > {p.high_activity_std_uv} or line_ratio > {p.line_green_max} then 1 else 0 end"""
+def status_sql(profile: str, quiet: bool = True) -> str:
+    names, sides = {"rail": "rail_pct", "std": "std_uv", "line": "line_ratio"}, {"from": ">=", "above": ">", "below": "<"}
+    limits = GRADE_LIMITS[profile].items()
+    yellow, red = (" or ".join(f"{names[m]} {sides[side]} {at[k]}" for (m, side), at in limits) for k in (0, 1))
+    if quiet:
+        std, line, rail = SUSPICIOUS[profile]
+        yellow += f" or (std_uv > {std} and line_ratio < {line} and rail_pct < {rail})"
+    return f"case when {red} then 2 when {yellow} then 1 else 0 end"
 
 
 def quality(spark, sf, **kw):
@@ -65,7 +69,7 @@ def i3(spark, sf):
 
 
 _ALL_PROFILES = " union all ".join(
-    f"select {WIN_KEYS}, '{n}' profile, ({status_sql(p)})::int status from ql" for n, p in PROFILES.items()
+    f"select {WIN_KEYS}, '{n}' profile, ({status_sql(n)})::int status from ql" for n in GRADE_LIMITS
 )
 
 

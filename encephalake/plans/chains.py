@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import SAMPLE_RATE, SUBSETS, PNConfig, PreprocessConfig
+from ..dims import SAMPLE_RATE, SUBSETS
 from ..functions.expr import channel_name
 from ..operators import evaluate, features, fidelity
 from ..operators.signal import extract_dynamics, preprocess
@@ -15,15 +15,13 @@ from ..operators.windows import equal_segments, midpoint_rows
 from ..session import materialise
 
 
-def encode_recordings(
-    samples: DataFrame, pre: PreprocessConfig = PreprocessConfig(), config: PNConfig = PNConfig(), fs: float = SAMPLE_RATE
-) -> DataFrame:
+def encode_recordings(samples: DataFrame, solver: str = "euler", fs: float = SAMPLE_RATE) -> DataFrame:
     """Filtered samples to (session_id, channel_idx, channel, sample_idx, a, b, c), in microvolts throughout.
 
     Filtered samples feed the envelope and the phase, so they are written once.
     """
-    clean = materialise(preprocess(samples, pre, fs), "filtered")
-    return extract_dynamics(clean, config, fs).withColumn("channel", channel_name(F.col("channel_idx")))
+    clean = materialise(preprocess(samples, fs=fs), "filtered")
+    return extract_dynamics(clean, solver, fs).withColumn("channel", channel_name(F.col("channel_idx")))
 
 
 def evaluate_methods(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import SAMPLE_RATE, PNConfig
+from ..dims import SAMPLE_RATE
 from ..schema import PN, TEMPLATES
 
 
@@ -35,7 +33,7 @@ def interchange_pieces(pn: DataFrame, piece: int = 4096) -> DataFrame:
 
 
 def interchange_documents(
-    pn: DataFrame, subject_id: str = "S000", fs: float = SAMPLE_RATE, config: PNConfig | None = None,
+    pn: DataFrame, subject_id: str = "S000", fs: float = SAMPLE_RATE, config: dict[str, float | str] | None = None,
     with_timestamps: bool = False, piece: int = 4096,
 ) -> DataFrame:
     """(session_id, piece, document): the JSON contract of a session.
@@ -57,7 +55,7 @@ def interchange_documents(
         F.col("n_samples"),
     ]
     if config is not None:
-        meta.append(F.struct(*[F.lit(v).alias(k) for k, v in asdict(config).items()]).alias("pn_config"))
+        meta.append(F.struct(*[F.lit(v).alias(k) for k, v in config.items()]).alias("pn_config"))
     fields = [
         F.struct(*meta).alias("metadata"),
         F.map_from_arrays(F.col("g.channel"), F.col("g.v")).alias("pn_parameters"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,11 +12,6 @@ from ..functions.layout import numbered
 from ..operators.quality import grade
 from ..schema import EVENT_LOG
 
-# fixed values: the patterns of a log line
-TIME = r"t=\s*([\d.]+)"
-ENTRY = r"(\S+)\s+r=\s*(\S+)\s+s=\s*(\S+)\s+l=\s*(\S+)"
-
-
 def quality_lines(quality: DataFrame, step_sec: float = 1.0) -> DataFrame:
     """(session_id, win, value): the text line of each time point, channels in order."""
     pct = F.format_string(
@@ -32,35 +27,49 @@ def quality_lines(quality: DataFrame, step_sec: float = 1.0) -> DataFrame:
 
 
 def parse_quality_lines(lines: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
-    """(session_id, t, channel, rail_pct, std_uv, line_ratio, status) from text lines.
+    """(session_id, t, channel, channel_idx, rail_pct, std_uv, line_ratio, status) from text lines.
 
-    A line lacking one of the expected channels is dropped whole.  Grading uses
-    the bench thresholds without the quiet rule.
+    A line is read word by word: ``r``, ``s`` and ``l`` belong to the name before them. A line lacking
+    one of the expected channels is dropped whole; the index is the channel's place in ``channels``,
+    other channels of the line are left out. Without ``channels`` it is the place within the line.
+    Grading uses the bench limits without the suspicious-signal rule.
     """
-    entries = F.arrays_zip(
-        *[F.regexp_extract_all("value", F.lit(ENTRY), F.lit(g)).alias(n) for g, n in ((1, "c"), (2, "r"), (3, "s"), (4, "l"))]
+    # "r= 12" and "r=12" are both one word after this
+    words = F.split(F.trim(F.regexp_replace("value", "= +", "=")), " +")
+    timed = lines.select("session_id", "value", words.alias("w"))
+    timed = timed.withColumn("t", F.element_at(F.filter("w", lambda x: x.startswith("t=")), 1)).where("size(filter(w, x -> x like 't=%')) > 0")
+    named = F.filter(F.sequence(F.lit(1), F.size("w") - 3), lambda i: _key(i + 1, "r") & _key(i + 2, "s") & _key(i + 3, "l"))
+    entries = F.transform(
+        named, lambda i: F.struct(_word(i).alias("c"), _number(i + 1).alias("r"), _number(i + 2).alias("s"), _number(i + 3).alias("l"))
     )
-    timed = lines.withColumn("t", F.regexp_extract("value", TIME, 1)).where(F.col("t") != "")
-    rows = timed.withColumn("e", entries)
+    rows = timed.withColumn("e", F.when(F.size("w") > 3, entries).otherwise(F.array().cast("array<struct<c:string,r:double,s:double,l:double>>")))
     if channels is not None:
         wanted = F.array(*[F.lit(c) for c in channels])
         rows = rows.where(F.size(F.array_except(wanted, F.col("e.c"))) == 0)
-    # the channel's place within the line stands for its index
-    flat = rows.select("session_id", F.col("t").cast("double").alias("t"), F.posexplode("e").alias("channel_idx", "x"))
+    time = F.substring("t", 3, 40).cast("double").alias("t")
+    flat = rows.select("session_id", time, F.posexplode("e").alias("at", "x"))
     if channels is not None:
-        flat = flat.where(F.col("x.c").isin(list(channels)))
+        flat = flat.withColumn("at", F.array_position(wanted, F.col("x.c")).cast("int") - 1).where("at >= 0")
     parsed = flat.select(
-        "session_id",
-        "t",
-        F.col("x.c").alias("channel"),
-        "channel_idx",
-        F.col("x.r").cast("double").alias("rail_pct"),
-        F.col("x.s").cast("double").alias("std_uv"),
-        (F.rtrim(F.col("x.l"), F.lit("%")).cast("double") / 100).alias("line_ratio"),
+        "session_id", "t", F.col("x.c").alias("channel"), F.col("at").alias("channel_idx"),
+        F.col("x.r").alias("rail_pct"), F.col("x.s").alias("std_uv"), (F.col("x.l") / 100).alias("line_ratio"),
     )
     return grade(parsed, quiet=False)
 
 
+def _word(i: Column) -> Column:
+    return F.element_at(F.col("w"), i)
+
+
+def _key(i: Column, name: str) -> Column:
+    return _word(i).startswith(name + "=")
+
+
+def _number(i: Column) -> Column:
+    """The value behind ``x=``, without a percent sign; null if it is no number."""
+    return F.rtrim(F.substring(_word(i), 3, 40), F.lit("%")).try_cast("double")
+
+
 def read_quality_log(spark: SparkSession, path: str, channels: Sequence[str] | None = None) -> DataFrame:
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return parse_quality_lines(spark.read.text(path).withColumn("session_id", name), channels)

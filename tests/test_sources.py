@@ -73,9 +73,7 @@ def test_encoding_and_document(spark, tmp_path):
     encodings.save_encoding(pn, f"{tmp_path}/pn")
     back = encodings.load_encoding(spark, f"{tmp_path}/pn")
     assert sorted(map(tuple, back.select(pn.columns).collect())) == sorted(map(tuple, pn.collect()))
-    from encephalake.dims import PNConfig
-
-    doc = json.loads(encodings.interchange_documents(pn, "S007", config=PNConfig(), with_timestamps=True).first()["document"])
+    doc = json.loads(encodings.interchange_documents(pn, "S007", config={"lambda_a": 0.1, "solver": "euler"}, with_timestamps=True).first()["document"])
     assert doc["metadata"]["subject_id"] == "S007" and doc["metadata"]["n_samples"] == 5
     assert doc["metadata"]["pn_config"]["lambda_a"] == 0.1
     assert doc["pn_parameters"]["Fp1"]["a"] == pytest.approx([0, 0.1, 0.2, 0.3, 0.4])
