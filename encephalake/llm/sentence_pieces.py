@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -90,10 +91,12 @@ class PieceEncoder(MemoEncoder):
                 parts += map(MARK.__add__, rest)
         return [p for p in parts if p]
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.fits) > _PAIRS_KEPT:
             self.fits.clear()
-        return [np.array(self._ids(p), np.uint32) for p in pieces]
+        found = [self._ids(p) for p in pieces]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def _ids(self, text: str) -> list[int]:
         found: list[int] = []

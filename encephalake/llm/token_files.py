@@ -55,7 +55,8 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     size[-1:] = len(values) - BLOCK * (blocks - 1)
     here = np.arange(BLOCK, dtype=np.int16)
     best = np.full((blocks, BLOCK), len(_BY_WIDTH) - 1, np.int8)
-    for width in range(len(_BY_WIDTH) - 2, -1, -1):
+    widest = int(need.max()) if blocks else 0
+    for width in range(min(widest, len(_BY_WIDTH) - 2), -1, -1):
         wider = np.where(need > width, here, np.int16(BLOCK + 240))  # past the block all is padding
         reach = np.minimum.accumulate(wider[:, ::-1], axis=1)[:, ::-1] - here
         best[reach >= SELECTORS[_BY_WIDTH[width]][0]] = width
@@ -115,13 +116,13 @@ def unpack_words(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, to
 
 def encode_file(documents: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A whole file; ``ids`` are the documents' ids one after another."""
-    found, back, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    words, offsets, escapes, escape_offsets = pack_words(rank[back])
-    head = struct.pack(_HEAD, _MAGIC, BLOCK, len(documents), len(ids), len(found), len(offsets) - 1, len(words), len(escapes))
-    parts = (documents.astype("<i8"), lengths.astype("<u8"), found[order].astype("<u8"), offsets.astype("<u8"), escape_offsets.astype("<u8"), words.astype("<u8"), escapes.astype("<u8"))
+    often = np.bincount(ids)
+    table = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    rank = np.zeros(len(often), np.uint64)
+    rank[table] = np.arange(len(table), dtype=np.uint64)
+    words, offsets, escapes, escape_offsets = pack_words(rank[ids])
+    head = struct.pack(_HEAD, _MAGIC, BLOCK, len(documents), len(ids), len(table), len(offsets) - 1, len(words), len(escapes))
+    parts = (documents.astype("<i8"), lengths.astype("<u8"), table.astype("<u8"), offsets.astype("<u8"), escape_offsets.astype("<u8"), words.astype("<u8"), escapes.astype("<u8"))
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -160,7 +161,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id
             types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["part", "number", "path", "documents", "ids"])
 
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, 1, min(2 << 20, 4 * file_ids)):
             ids, lengths = encode([t.decode("utf-8", "replace") for t in byte_list(batch.column(1))], end)
             held.append((np.array([_NO_ID if k is None else k for k in batch.column(0).to_pylist()], np.int64), lengths, ids))
             if sum(len(h[2]) for h in held) >= file_ids:

@@ -13,62 +13,86 @@ from itertools import chain
 
 import numpy as np
 
-_PIECES_KEPT = 400_000
+_PIECES_KEPT = 800_000
 _IDS_KEPT = 4_000_000
 _GROUP = 200
+_FIRST = "\n"
 _AWKWARD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Numbers(dict):
+    """Pieces numbered in the order they come; new ones are also listed."""
+
+    def __init__(self, pieces=()):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class MemoEncoder:
     """Encodes texts piece by piece and remembers pieces, within a bound; subclasses cut texts and encode new pieces."""
 
     def __init__(self):
-        self._forget()
+        self.number = _Numbers()
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.filled = 0
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
     def cut(self, text: str) -> list[str]:
         raise NotImplementedError
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one piece after another, ids of each piece)."""
         raise NotImplementedError
 
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.filled = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = self.encode_pieces(pieces)
-        first = len(self.number)
-        self.number.update(zip(pieces, range(first, first + len(pieces))))
-        lengths = np.array([len(e) for e in encoded], np.int64)
-        total, count = self.filled + int(lengths.sum()), first + len(pieces)
+    def _learn(self) -> None:
+        pieces, self.number.new = self.number.new, []
+        ids, lengths = self.encode_pieces(pieces)
+        count = len(self.number)
+        first, total = count - len(pieces), self.filled + len(ids)
         self.ids = _room(self.ids, total)
-        self.starts, self.lengths = _room(self.starts, count), _room(self.lengths, count)
-        self.ids[self.filled : total] = np.concatenate(encoded)
+        self.starts, self.lengths, self.uses = (_room(x, count) for x in (self.starts, self.lengths, self.uses))
+        self.ids[self.filled : total] = ids
         self.lengths[first:count] = lengths
         self.starts[first:count] = self.filled + np.cumsum(lengths) - lengths
         self.filled = total
 
+    def _forget(self) -> None:
+        """Keep the most used half of the room; halve the counts so that old use fades."""
+        count = len(self.number)
+        often = np.argsort(-self.uses[:count], kind="stable")[: _PIECES_KEPT // 2]
+        often = np.sort(often[self.uses[often] > 1])
+        room = np.cumsum(self.lengths[often]) <= _IDS_KEPT // 2
+        often = often[room]
+        lengths = self.lengths[often].copy()
+        starts = np.cumsum(lengths) - lengths
+        kept = self.ids[np.repeat(self.starts[often] - starts, lengths) + np.arange(int(lengths.sum()))]
+        names = list(self.number)
+        self.number = _Numbers([names[i] for i in often.tolist()])
+        self.ids[: len(kept)], self.filled = kept, len(kept)
+        for array, values in ((self.starts, starts), (self.lengths, lengths), (self.uses, self.uses[often] // 2)):
+            array[: len(often)] = values
+            array[len(often) :] = 0
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, and how many each has; ``end`` is put after every text."""
         if len(self.number) > _PIECES_KEPT or self.filled > _IDS_KEPT:
             self._forget()
         pieces = [self.cut(text) if text else [] for text in texts]
-        new: set[str] = set()
-        for parts in pieces:
-            new.update(parts)
-        new.difference_update(self.number)
-        if new:
-            self._learn(sorted(new))
-        per_text = np.array([len(p) for p in pieces], np.int64)
+        per_text = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(per_text.sum()))
-        sizes, places = self.lengths[flat], self.starts[flat]
-        before = np.cumsum(sizes) - sizes
-        text_ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(per_text)] if len(texts) else np.zeros(0, np.int64)
-        ids = self.ids[np.repeat(places - before, sizes) + np.arange(int(sizes.sum()))]
+        if self.number.new:
+            self._learn()
+        self.uses[: len(self.number)] += np.bincount(flat, minlength=len(self.number))
+        sizes = self.lengths[flat]
+        after = np.cumsum(sizes)
+        text_ends = np.concatenate([[0], after])[np.cumsum(per_text)] if len(texts) else np.zeros(0, np.int64)
+        ids = self.ids[np.repeat(self.starts[flat] - after + sizes, sizes) + np.arange(int(sizes.sum()))]
         counts = np.diff(text_ends, prepend=0)
         if end is not None:
             ids = np.insert(ids, text_ends, end)
@@ -95,24 +119,38 @@ class TextEncoder(MemoEncoder):
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str) -> list[str]:
+        """Pieces that a space goes before, but for the first, which is marked by ``_FIRST``."""
         parts = _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
-
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Pieces that open with a space and have no line break are encoded many at a time, one to a line."""
-        encoded: list = [None] * len(pieces)
-        lined = [i for i, p in enumerate(pieces) if "\n" not in p and p.startswith(" ") and len(p) > 1]
-        groups = [lined[i : i + _GROUP] for i in range(0, len(lined), _GROUP)]
-        for group, found in zip(groups, self._encode(["\n".join(pieces[i] for i in g) for g in groups])):
-            breaks = np.flatnonzero(found == self.line_break)
-            if len(breaks) != len(group) - 1:
-                raise AssertionError("a piece without line breaks gave the line break's id")
-            for i, low, high in zip(group, [0, *(breaks + 1)], [*breaks, len(found)]):
-                encoded[i] = found[low:high]
-        rest = [i for i, e in enumerate(encoded) if e is None]
-        for i, found in zip(rest, self._encode([pieces[i] for i in rest])):
-            encoded[i] = found
-        return encoded
+        parts[0] = _FIRST + parts[0]
+        return parts
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces without a line break are encoded many at a time, one to a line."""
+        spelled = [p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
+        lined = np.array([p[:1] == " " and len(p) > 1 and "\n" not in p for p in spelled])
+        lengths = np.zeros(len(pieces), np.int64)
+        found: list[np.ndarray] = []
+        for where, group in ((np.flatnonzero(lined), _GROUP), (np.flatnonzero(~lined), 1)):
+            places = where.tolist()
+            groups = [places[i : i + group] for i in range(0, len(places), group)]
+            ids = self._encode(["\n".join([spelled[i] for i in g]) for g in groups])
+            if group > 1 and ids:
+                every = np.concatenate([x for line in ids for x in (line, [self.line_break])]).astype(np.uint32)
+                breaks = np.flatnonzero(every == self.line_break)
+                if len(breaks) != len(places):
+                    raise AssertionError("a piece without line breaks gave the line break's id")
+                lengths[where] = np.diff(breaks, prepend=-1) - 1
+                found.append(every[every != self.line_break])
+            elif ids:
+                lengths[where] = [len(x) for x in ids]
+                found.append(np.concatenate(ids))
+        # back into the order of the pieces
+        order = np.concatenate([np.flatnonzero(lined), np.flatnonzero(~lined)])
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        after = np.cumsum(lengths)
+        flat = np.concatenate(found)
+        return flat[np.repeat(starts - after + lengths, lengths) + np.arange(len(flat))], lengths
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
