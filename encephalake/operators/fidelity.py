@@ -1,10 +1,10 @@
 """State encoding of (a, b, c) per channel and similarity to class templates.
 
-A segment's state is a product over channels of four complex amplitudes.  The
-circuit that entangles channels is the same fixed unitary for every segment, so
-similarities need only the product states.  A template, the normalised mean of
-its training states, is a plain sum: it is pre-aggregated per task and its size
-(4^channels amplitudes) does not depend on how many segments it was made from.
+A segment's state is a product over channels of four complex amplitudes. The circuit that entangles
+channels is the same fixed unitary for every segment, so similarities need only the product states, and
+those only channel by channel: the inner product of two segments is the product of their channels' inner
+products. A template, the normalised mean of its training states, is therefore kept as its training
+segments' amplitudes and the norm of their sum; nothing grows with a power of the channels.
 """
 
 from __future__ import annotations
@@ -13,17 +13,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import RING_ORDER
 from ..functions.expr import rank_in
-from ..functions.iterate import matrix_sums
-from ..functions.layout import spread_join
 
 AMPLITUDES = ["00", "10", "01", "11"]  # first digit: excitatory state
-MAX_CHANNELS = 8  # 4^8 amplitudes = 1 MB per template
-MAX_TEMPLATES = 64  # that meet in one row, so at most 64 MB
+MAX_TRAINING = 256  # segments that a template is fitted on: those with the smallest hash of their keys
 
 
 def encode_states(df: DataFrame) -> DataFrame:
@@ -80,21 +77,11 @@ def pair_kernels(encoded: DataFrame, pairs: DataFrame, keys: Sequence[str], chan
     )
 
 
-def _product_state(amps: np.ndarray) -> np.ndarray:
-    """Kronecker product of the channels' amplitudes."""
-    state = np.ones(1, dtype=complex)
-    for row in amps:
-        state = np.outer(state, row).ravel()
-    return state
-
-
 def segment_states(pn: DataFrame, keys: Sequence[str], n_channels: int) -> DataFrame:
     """(keys, amps): the channels' amplitudes of a segment in ring order, flattened re/im.
 
     Only segments with all ``n_channels`` channels are kept.
     """
-    if n_channels > MAX_CHANNELS:
-        raise ValueError(f"templates hold 4^channels amplitudes; at most {MAX_CHANNELS} channels")
     names = [f"{p}_{k}" for k in AMPLITUDES for p in ("re", "im")]
     packed = F.array_sort(F.collect_list(F.struct("ord", F.array(*names).alias("v"))))
     return (
@@ -106,73 +93,65 @@ def segment_states(pn: DataFrame, keys: Sequence[str], n_channels: int) -> DataF
     )
 
 
-def _as_complex(v) -> np.ndarray:
-    m = np.asarray(v).reshape(-1, 4, 2)
-    return m[..., 0] + 1j * m[..., 1]
+def _stacked(rows) -> np.ndarray:
+    """Segments x channels x 4 complex amplitudes."""
+    flat = np.stack([np.asarray(r, dtype=float) for r in rows])
+    return flat.reshape(len(flat), -1, 4, 2).view(complex)[..., 0]
 
 
-def build_templates(states: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """(scope, n_segments, re, im): normalised mean state of each scope's segments.
+def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """<left_i, right_j> of product states."""
+    return np.einsum("ick,jck->ijc", left.conj(), right).prod(axis=-1)
 
-    Every task reduces its segments to one state per template before the shuffle.
-    """
-    scope = list(scope)
-    types = ", ".join(f"{k} {states.schema[k].dataType.simpleString()}" for k in scope)
 
-    def reduce(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(scope, sort=False):
-                total = sum(_product_state(_as_complex(v)) for v in part["amps"])
-                row = np.concatenate([[len(part)], total.real, total.imag])
-                sums[key] = row + sums.get(key, 0.0)
-        for key, row in sums.items():
-            yield pd.DataFrame([(*key, row)], columns=[*scope, "v"])
+def build_templates(states: DataFrame, scope: Sequence[str], training: int = MAX_TRAINING) -> DataFrame:
+    """(scope, n_segments, members, norm): the training segments' amplitudes and |sum of their states|^2.
 
-    partial = states.select(*scope, "amps").mapInPandas(reduce, f"{types}, v array<double>")
+    A template is fitted on ``training`` segments at most; a group therefore never holds more.
+    """
+    scope = list(scope)
+    others = [c for c in states.columns if c not in scope]
+    order = Window.partitionBy(*scope).orderBy(F.xxhash64(*others), *[F.col(c) for c in others if c != "amps"])
+    chosen = states.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= training)
+    groups = chosen.groupBy(*scope).agg(F.collect_list("amps").alias("members"), F.count(F.lit(1)).alias("n_segments"))
 
-    @F.pandas_udf("struct<n_segments:bigint,re:array<double>,im:array<double>>")
-    def unit(v: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in v:
-            state = np.asarray(t[1:]) / np.linalg.norm(t[1:])
-            rows.append((int(t[0]), state[: len(state) // 2], state[len(state) // 2 :]))
-        return pd.DataFrame(rows, columns=["n_segments", "re", "im"])
+    @F.pandas_udf("double")
+    def norm(members: pd.Series) -> pd.Series:
+        return pd.Series([inner_products(z, z).sum().real for z in map(_stacked, members)])
 
-    return matrix_sums(partial, scope, "v").select(*scope, unit("total").alias("u")).select(*scope, "u.*")
+    return groups.select(*scope, "n_segments", "members", norm("members").alias("norm"))
 
 
 def template_fidelity(states: DataFrame, templates: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
-    """(keys, label, fidelity) of every segment to each template of its scope.
+    """(keys, label, fidelity) of every segment to each template (of its scope, if one is given).
 
-    Templates are joined by key: by their scope (e.g. the session), or as one
-    library for all segments, which is checked to be small.
+    Segments meet a template in blocks, one block per shuffle partition and template, so neither a
+    common scope nor many templates gather in a task.
     """
-    scope = list(scope)
-    packed = F.array_sort(F.collect_list(F.struct("label", "re", "im")))
-    if scope:
-        lib = templates.groupBy(*scope).agg(packed.alias("lib"))
-        rows = spread_join(states, lib, scope, F.xxhash64(*keys))
-    else:
-        one = F.lit(0)
-        lib = templates.groupBy(one.alias("_all")).agg(packed.alias("lib"))
-        too_many = F.raise_error(F.lit(f"more than {MAX_TEMPLATES} templates: score them by scope")).cast("boolean")
-        lib = lib.where(F.when(F.size("lib") > MAX_TEMPLATES, too_many).otherwise(True))
-        rows = spread_join(states.withColumn("_all", one), lib, ["_all"], F.xxhash64(*keys))
-
-    @F.pandas_udf("array<double>")
-    def score(amps: pd.Series, re: pd.Series, im: pd.Series) -> pd.Series:
-        out = []
-        for v, r, i in zip(amps, re, im):
-            psi = _product_state(_as_complex(v))
-            lib = np.stack(list(r)) + 1j * np.stack(list(i))
-            out.append(np.abs(lib.conj() @ psi) ** 2)
-        return pd.Series(out)
-
-    scored = rows.select(*keys, F.col("lib.label").alias("label"), score("amps", "lib.re", "lib.im").alias("f"))
-    return scored.select(*keys, F.explode(F.arrays_zip("label", "f")).alias("z")).select(
-        *keys, F.col("z.label").alias("label"), F.col("z.f").alias("fidelity")
-    )
+    keys, scope = list(keys), list(scope)
+    blocks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(0).alias("_all")
+    # the names are few; new column instances, as the templates may come from the same states
+    names = templates.select(*scope, one, "label").toDF(*scope, "_all", "label")
+    rows = states.select(*keys, *[c for c in scope if c not in keys], "amps", one).join(names, [*scope, "_all"])
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    every = templates.select(*scope, "label", "members", "norm").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    by = [*scope, "label", "_block"]
+    right_by = [f"_{c}" for c in by]
+    every = every.select(*[F.col(c).alias(r) for c, r in zip(by, right_by)], "members", "norm")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, "label", "fidelity"]})
+        members, found = _stacked(right.members.iloc[0]), []
+        for i in range(0, len(left), 256):
+            found.append(np.abs(inner_products(members, _stacked(left.amps.iloc[i : i + 256])).sum(axis=0)) ** 2)
+        told = {c: pd.Series(left[c].to_numpy(dtype=object), dtype=object) for c in [*keys, "label"]}
+        return pd.DataFrame({**told, "fidelity": np.concatenate(found) / right.norm.iloc[0]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "label"]) + ", fidelity double"
+    return rows.groupBy(*by).cogroup(every.groupBy(*right_by)).applyInPandas(score, schema)
 
 
 def classify(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

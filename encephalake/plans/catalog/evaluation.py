@@ -13,6 +13,7 @@ from ...operators import features as E
 from ...operators import fidelity as L
 from ...operators import windows as W
 from ...operators.project import channel_subset
+from ...session import materialise
 from ...operators.spectral import encode_sliding, spans_from_windows
 from .. import views
 from .base import K_SQL, M_SQL, S_SQL, STATES_SQL, encoded_sql, pick, query, sel, with_
@@ -250,62 +251,58 @@ def l3(spark, sf):
     return pick(L.pair_kernels(encoded, pairs, SEG), "session_id_1 session_id_2 win_1 win_2 fidelity:6")
 
 
-def split_states(spark, sf):
-    """Four-channel segment states with class and the in-order train flag."""
-    pn = channel_subset(encodings(spark, sf), "4")
-    states = L.segment_states(pn, [*SEG, "center_sec"], len(SUBSETS["4"]))
+def split_states(spark, sf, subset="4"):
+    """Segment states with class and the in-order train flag, written once for templates and scoring."""
+    pn = channel_subset(encodings(spark, sf), subset)
+    states = L.segment_states(pn, [*SEG, "center_sec"], len(SUBSETS[subset]))
     tagged = W.assign_states(states, intervals(spark, sf))
     cls = (F.right("label", F.lit(1)).cast("int") % 2).alias("label")
-    return K.ordered_split(
-        tagged.select(*SEG, "amps", cls), ["session_id"], F.expr("win div 1024"), [F.col("win")]
-    )
-
+    split = K.ordered_split(tagged.select(*SEG, "amps", cls), ["session_id"], F.expr("win div 1024"), [F.col("win")])
+    return materialise(split, "states")
 
-_AMP_ROWS = "lateral (values (0, re_00, im_00), (1, re_10, im_10), (2, re_01, im_01), (3, re_11, im_11)) v(p, re, im)"
-_KRON = f"""q4 as (select session_id, win, channel_idx, v.p, v.re, v.im from am, {_AMP_ROWS}),
-  k1 as (select a.session_id, a.win, a.p * 4 + b.p p, a.re * b.re - a.im * b.im re, a.re * b.im + a.im * b.re im from q4 a join q4 b using (session_id, win) where a.channel_idx = 6 and b.channel_idx = 7),
-  k2 as (select a.session_id, a.win, a.p * 4 + b.p p, a.re * b.re - a.im * b.im re, a.re * b.im + a.im * b.re im from q4 a join q4 b using (session_id, win) where a.channel_idx = 10 and b.channel_idx = 11),
-  psi as (select session_id, win, a.p * 16 + b.p p, a.re * b.re - a.im * b.im re, a.re * b.im + a.im * b.re im from k1 a join k2 b using (session_id, win)),
-  tg as (select q.session_id, win, right(iv.label, 1)::int % 2 as label from (select distinct session_id, win, (win * 62 + 125.0::double) / 125 ce from psi) q join iv on iv.session_id = q.session_id and ce >= onset_sec and ce < end_sec),
-  sp_ as (select *, row_number() over (partition by session_id order by win) - 1 < floor(round(0.7 * count(*) over (partition by session_id), 9)) is_train from tg),
-  ts as (select label, p, sum(re) re, sum(im) im, count(*) m from psi join sp_ using (session_id, win) where is_train group by all),
-  te as (select label, p, re / sqrt(sum(re * re + im * im) over (partition by label)) re, im / sqrt(sum(re * re + im * im) over (partition by label)) im, m from ts)"""
-_TEMPL = with_(S_SQL, M_SQL, STATES_SQL, encoded_sql(62), _ENC_SQL, _KRON)
 
+def _fold(rows: str, by: str) -> str:
+    """Product over channels of complex numbers (re, im)."""
+    return f"select {by}, list_reduce(list({{'re': re, 'im': im}} order by channel_idx), lambda p, q: {{'re': p.re * q.re - p.im * q.im, 'im': p.re * q.im + p.im * q.re}}) g from {rows} group by all"
 
-def templates(spark, sf):
-    return L.build_templates(split_states(spark, sf).where("is_train"), ["label"])
 
-
-def template_entries(df):
-    return df.select("label", "n_segments", F.posexplode(F.arrays_zip("re", "im")).alias("p", "z")).select(
-        "label", "n_segments", "p", "z.re", "z.im"
-    )
+def templates_sql(channels: str) -> str:
+    """sp_ (segment, class, is_train), te (class, m, norm) and fi (segment, class, fidelity)."""
+    return with_(S_SQL, M_SQL, STATES_SQL, encoded_sql(62), _ENC_SQL) + f""", sg as (select * from am where channel_idx in ({channels}) qualify count(*) over (partition by session_id, win) = {len(channels.split(','))}),
+  tg as (select q.session_id, win, right(iv.label, 1)::int % 2 as label from (select distinct session_id, win, (win * 62 + 125.0::double) / 125 ce from sg) q join iv on iv.session_id = q.session_id and ce >= onset_sec and ce < end_sec),
+  sp_ as (select *, row_number() over (partition by session_id order by win) - 1 < floor(round(0.7 * count(*) over (partition by session_id), 9)) is_train from tg),
+  tr as (select sg.*, label from sg join sp_ using (session_id, win) where is_train),
+  nd as (select x.label, x.session_id s1, x.win w1, y.session_id s2, y.win w2, x.channel_idx, {_DOT['re']} re, {_DOT['im']} im from tr x join tr y on x.label = y.label and x.channel_idx = y.channel_idx),
+  te as (select label, sum(g.re) norm, round(sqrt(count(*)))::bigint m from ({_fold('nd', 'label, s1, w1, s2, w2')}) group by label),
+  fd as (select y.session_id, y.win, x.label, x.session_id s1, x.win w1, x.channel_idx, {_DOT['re']} re, {_DOT['im']} im from tr x join sg y on x.channel_idx = y.channel_idx),
+  fi as (select session_id, win, label, (pow(sum(g.re), 2) + pow(sum(g.im), 2)) / any_value(norm) f from ({_fold('fd', 'session_id, win, label, s1, w1')}) join te using (label) group by session_id, win, label) """
 
 
-@query("l4_build_templates", _TEMPL + "select label, m n_segments, p, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from te")
-def l4(spark, sf):
-    return pick(template_entries(templates(spark, sf)), "label n_segments p re:6 im:6")
+_FOUR, _ALL = "6, 7, 10, 11", ", ".join(map(str, range(16)))
+_TEMPLATES = "select label, m n_segments, round(norm, 6) norm from te"
+_SCORES = "select session_id, win, label, round(f, 6) fidelity from fi join (select session_id, win from sp_) using (session_id, win)"
+_BEST = "select session_id, win, arg_max(label, f) prediction, round(max(f), 6) fidelity from fi join (select session_id, win from sp_) using (session_id, win) group by all"
 
 
-_FID = """fi as (select session_id, win, te.label, pow(sum(te.re * psi.re + te.im * psi.im), 2) + pow(sum(te.re * psi.im - te.im * psi.re), 2) f
-    from psi join te using (p) group by all)"""
+def templates(spark, sf, subset="4"):
+    return L.build_templates(split_states(spark, sf, subset).where("is_train"), ["label"])
 
 
-def fidelities(spark, sf):
-    states = split_states(spark, sf)
+def fidelities(spark, sf, subset="4"):
+    states = split_states(spark, sf, subset)
     return L.template_fidelity(states.select(*SEG, "amps"), L.build_templates(states.where("is_train"), ["label"]), SEG)
 
 
-@query("l5_template_fidelity", _TEMPL + ", " + _FID + " select session_id, win, label, round(f, 6) fidelity from fi join (select session_id, win from sp_) using (session_id, win)")
-def l5(spark, sf):
-    return pick(fidelities(spark, sf), "session_id win label fidelity:6")
+for _suffix, _subset, _channels in (("", "4", _FOUR), ("_16", "16", _ALL)):
 
+    @query(f"l4_build_templates{_suffix}", templates_sql(_channels) + _TEMPLATES)
+    def l4(spark, sf, subset=_subset):
+        return pick(templates(spark, sf, subset), "label n_segments norm:6")
 
-@query(
-    "l6_classify_by_template",
-    _TEMPL + ", " + _FID
-    + " select session_id, win, arg_max(label, f) prediction, round(max(f), 6) fidelity from fi join (select session_id, win from sp_) using (session_id, win) group by all",
-)
-def l6(spark, sf):
-    return pick(L.classify(fidelities(spark, sf), SEG), "session_id win prediction fidelity:6")
+    @query(f"l5_template_fidelity{_suffix}", templates_sql(_channels) + _SCORES)
+    def l5(spark, sf, subset=_subset):
+        return pick(fidelities(spark, sf, subset), "session_id win label fidelity:6")
+
+    @query(f"l6_classify_by_template{_suffix}", templates_sql(_channels) + _BEST)
+    def l6(spark, sf, subset=_subset):
+        return pick(L.classify(fidelities(spark, sf, subset), SEG), "session_id win prediction fidelity:6")

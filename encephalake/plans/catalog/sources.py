@@ -11,8 +11,8 @@ from ...sources import encodings as X
 from ...sources import logs, recordings, sessions
 from .. import views
 from .base import L_SQL, M_SQL, S_SQL, encoded_sql, pick, query, sel, with_
-from .evaluation import _TEMPL, encodings as encoded_windows
-from .evaluation import template_entries, templates
+from .evaluation import _ALL, _FOUR, _TEMPLATES, templates, templates_sql
+from .evaluation import encodings as encoded_windows
 from .projections import COMPONENTS_SQL, _REJECTED, components
 
 _UV = "session_id channel sample_idx uv:6"
@@ -165,12 +165,21 @@ def a12(spark, sf):
     return sessions.list_sessions(objects)
 
 
-@query("a13_template_round_trip", _TEMPL + "select label, m n_segments, p, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im from te")
-def a13(spark, sf):
+def template_round_trip(spark, sf, subset):
     path = scratch_path(spark, "templates")
-    rows = templates(spark, sf).select(
-        F.concat(F.lit("class_"), F.col("label")).alias("name"), "label", F.lit(4).alias("n_channels"), "n_segments",
-        "re", "im", F.create_map(F.lit("encoding"), F.lit("bands")).alias("metadata"),
+    rows = templates(spark, sf, subset).select(
+        F.concat(F.lit("class_"), F.col("label")).alias("name"), "label", F.lit(int(subset)).alias("n_channels"), "n_segments",
+        "members", "norm", F.create_map(F.lit("encoding"), F.lit("bands")).alias("metadata"),
     )
     X.save_templates(rows, path)
-    return pick(template_entries(X.load_templates(spark, path)), "label n_segments p re:6 im:6")
+    return pick(X.load_templates(spark, path), "label n_segments norm:6")
+
+
+@query("a13_template_round_trip", templates_sql(_FOUR) + _TEMPLATES)
+def a13(spark, sf):
+    return template_round_trip(spark, sf, "4")
+
+
+@query("a13_template_round_trip_16", templates_sql(_ALL) + _TEMPLATES)
+def a13_all(spark, sf):
+    return template_round_trip(spark, sf, "16")

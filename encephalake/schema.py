@@ -37,7 +37,7 @@ QUALITY = _table(
 )
 SCHEDULE = _table(start_sec=_DBL, duration_sec=_DBL, condition=_INT, label=_STR, cycle=_INT)
 TEMPLATES = _table(
-    name=_STR, label=_INT, n_channels=_INT, n_segments=_LONG, re=_DOUBLES, im=_DOUBLES, metadata=_TEXT_MAP
+    name=_STR, label=_INT, n_channels=_INT, n_segments=_LONG, members=T.ArrayType(_DOUBLES), norm=_DBL, metadata=_TEXT_MAP
 )
 RECORDING_META = _table(
     session_id=_STR,
