@@ -33,6 +33,7 @@ from .tokens import encoder
 CAPACITY = 1024
 SHARD = 1 << 16
 END_ID = 2
+PIECES = 300_000  # known words that a Python worker keeps, beside the other stages of a pipeline
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _SCHEMA + ", sequence_id long, offset long, final boolean"
 
@@ -48,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """One row per piece: (doc_id, piece, start, length, ids_crc32)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, limit=PIECES).encode
         for batch in slices(batches, 1):
             ids, counts = encode([t.decode("utf-8", "replace") for t in byte_list(batch.column(1))], end)
             data, ends, rows = ids.astype("<u4"), np.cumsum(counts), []

@@ -36,7 +36,7 @@ _PARTS = re.compile(MARK + "+[^" + MARK + "]*|[^" + MARK + "]+")
 class PieceEncoder(MemoEncoder):
     """Encoder and decoder of one model file."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, limit: int | None = None):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=file)
@@ -70,7 +70,7 @@ class PieceEncoder(MemoEncoder):
         self.shown[self.unknown] = " ⁇ "
         self.special = np.zeros(len(self.pieces), bool)
         self.special[list(self.byte)] = True
-        super().__init__()
+        super().__init__(limit)
 
     # encoding
 

@@ -37,7 +37,8 @@ class _Numbers(dict):
 class MemoEncoder:
     """Encodes texts piece by piece and remembers pieces, within a bound; subclasses cut texts and encode new pieces."""
 
-    def __init__(self):
+    def __init__(self, limit: int | None = None):
+        self.limit = limit or _PIECES_KEPT
         self.number = _Numbers()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.filled = 0
@@ -65,7 +66,7 @@ class MemoEncoder:
     def _forget(self) -> None:
         """Keep the most used half of the room; halve the counts so that old use fades."""
         count = len(self.number)
-        often = np.argsort(-self.uses[:count], kind="stable")[: _PIECES_KEPT // 2]
+        often = np.argsort(-self.uses[:count], kind="stable")[: self.limit // 2]
         often = np.sort(often[self.uses[often] > 1])
         room = np.cumsum(self.lengths[often]) <= _IDS_KEPT // 2
         often = often[room]
@@ -81,7 +82,7 @@ class MemoEncoder:
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another, and how many each has; ``end`` is put after every text."""
-        if len(self.number) > _PIECES_KEPT or self.filled > _IDS_KEPT:
+        if len(self.number) > self.limit or self.filled > _IDS_KEPT:
             self._forget()
         pieces = [self.cut(text) if text else [] for text in texts]
         per_text = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -103,7 +104,7 @@ class MemoEncoder:
 class TextEncoder(MemoEncoder):
     """Ids of texts by a tokenizer file of the byte-level kind, special tokens' strings being ordinary text."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, limit: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -113,7 +114,7 @@ class TextEncoder(MemoEncoder):
         if len(line_break) != 1:
             raise ValueError("the tokenizer has no single token for a line break")
         self.line_break = line_break[0]
-        super().__init__()
+        super().__init__(limit)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,8 +165,8 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 _ENCODERS: dict[tuple[type, str], MemoEncoder] = {}
 
 
-def encoder(file: str, kind: type = TextEncoder) -> MemoEncoder:
+def encoder(file: str, kind: type = TextEncoder, limit: int | None = None) -> MemoEncoder:
     """One encoder per file and Python worker, so that later tasks know the pieces of earlier ones."""
     if (kind, file) not in _ENCODERS:
-        _ENCODERS[kind, file] = kind(file)
+        _ENCODERS[kind, file] = kind(file, limit)
     return _ENCODERS[kind, file]
