@@ -36,7 +36,7 @@ def matrix_sums(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     def reduce(batches):
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False):
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
                 total = np.sum(np.stack(part[value].to_list()), axis=0)
                 yield pd.DataFrame([(*key, len(part), total)], columns=[*keys, "n", "v"])
 
@@ -85,7 +85,7 @@ def _on_driver(data, keys, value, few, start, contribute, update, max_iter) -> D
         def partial(batches, shared=shared):
             sums: dict[tuple, list] = {}
             for pdf in batches:
-                for key, part in pdf.groupby(keys, sort=False):
+                for key, part in pdf.groupby(keys, sort=False, dropna=False):
                     if key in shared.value:
                         v = contribute(part[value].to_list(), shared.value[key])
                         old = sums.get(key)

@@ -45,17 +45,14 @@ def m1(spark, sf):
     return pick(agg, "session_id channel n mean_uv:6")
 
 
-_CLOSED = " where (win * 125 + 250) * 8000 <= (select max(sample_idx) * 8000 - 1000000 from s)"
-
-
 @query(
     "m2_sliding_quality",
     with_(S_SQL, windows_sql("wn", hop=125), notch_sql(250), _QUALITY_CTE)
-    + f"select session_id, channel_idx, win, round(rail_pct, 6) rail_pct, round(std_uv, 6) std_uv, round(line_ratio, 6) line_ratio, ({status_sql(BENCH)})::int status from ql" + _CLOSED,
+    + f"select session_id, channel_idx, win, round(rail_pct, 6) rail_pct, round(std_uv, 6) std_uv, round(line_ratio, 6) line_ratio, ({status_sql(BENCH)})::int status from ql",
 )
 def m2(spark, sf):
-    """Windows whose end the watermark (1 s) has passed, numbered by their start second."""
-    done = run.drain(S.sliding_quality(sample_stream(spark, sf), KEYS, n_full=250), "quality")
+    """Every full window, numbered by its start second."""
+    done = run.drain_latest(S.sliding_quality(sample_stream(spark, sf), KEYS, n_full=250), [*KEYS, "start_ts"], "quality")
     rows = done.withColumn("win", F.expr("unix_seconds(start_ts)") - F.expr("unix_seconds(timestamp'2024-01-01 00:00:00')"))
     return pick(rows, "session_id channel_idx win rail_pct:6 std_uv:6 line_ratio:6 status")
 
@@ -73,14 +70,14 @@ def m3(spark, sf):
     "select 'S' || ((vec_id // 16) % 2) session_id, (vec_id // 32) * 64 sample_index, 150 + label marker_id, 'state_' || label as label from embeddings",
 )
 def m4(spark, sf):
-    """Every vector's label arrives as a mark at the time of its first sample."""
+    """Every vector's label arrives as a mark 3 ms after its first sample, between two samples."""
     marks = source(spark, sf, "embeddings").select(
         F.concat(F.lit("S"), F.expr("(vec_id div 16) % 2")).alias("session_id"),
         F.expr("(vec_id div 32) * 64").alias("sample_idx"),
         (F.lit(150) + F.col("label")).alias("marker_id"),
         F.concat(F.lit("state_"), F.col("label")).alias("label"),
     )
-    timed = S.with_event_time(marks).drop("sample_idx")
+    timed = S.with_event_time(marks).drop("sample_idx").withColumn("ts", F.col("ts") + F.expr("interval 3 milliseconds"))
     return run.drain(S.insert_markers(sample_stream(spark, sf), timed), "marks")
 
 
@@ -98,10 +95,10 @@ def m6(spark, sf):
 @query(
     "m7_fixed_chunks",
     with_(S_SQL)
-    + "select session_id, channel_idx, chunk_no, n, round(m, 6) + 0.0 mean_uv from (select session_id, channel_idx, sample_idx // 256 chunk_no, count(*) n, avg(uv) m from s group by all) where n = 256 and (chunk_no + 1) * 256 * 8000 <= (select max((sample_idx // 256 + 1) * 256) * 8000 - 1000000 from s)",
+    + "select session_id, channel_idx, chunk_no, n, round(m, 6) + 0.0 mean_uv from (select session_id, channel_idx, sample_idx // 256 chunk_no, count(*) n, avg(uv) m from s group by all) where n = 256",
 )
 def m7(spark, sf):
-    done = run.drain(S.fixed_chunks(sample_stream(spark, sf), KEYS, delay="1 second"), "chunks")
+    done = run.drain_latest(S.fixed_chunks(sample_stream(spark, sf), KEYS, delay="1 second"), [*KEYS, "chunk_no"], "chunks")
     return pick(done, "session_id channel_idx chunk_no n mean_uv:6")
 
 
@@ -109,8 +106,7 @@ def m7(spark, sf):
     "m2_event_windows",
     """with w as (select 'E' || (user_id % 2) session_id, event_type channel, unnest([0, 1]) o, ts, value from events),
   x as (select session_id, channel, (epoch_us(ts) // 1800000000 - o) * 1800 start_sec, value from w)
-  select session_id, channel, start_sec, count(*) n, round(avg(value), 6) + 0.0 mean_uv, round(stddev_pop(value), 6) + 0.0 std_uv from x
-  where (start_sec + 3600) * 1000000 <= (select max(epoch_us(ts)) // 1000 * 1000 from events) - 60000000 group by all""",
+  select session_id, channel, start_sec, count(*) n, round(avg(value), 6) + 0.0 mean_uv, round(stddev_pop(value), 6) + 0.0 std_uv from x group by all""",
 )
 def m2_events(spark, sf):
     """Event values over sliding hours: late rows, sparse windows, real event times."""
@@ -120,7 +116,8 @@ def m2_events(spark, sf):
         F.timestamp_micros(micros_of("ts")).alias("ts"),
         F.col("value").alias("uv"),
     )
-    done = run.drain(S.sliding_std(ev, ["session_id", "channel"], "1 hour", "30 minutes", "60 seconds"), "hours")
+    hours = S.sliding_std(ev, ["session_id", "channel"], "1 hour", "30 minutes", "60 seconds")
+    done = run.drain_latest(hours, ["session_id", "channel", "start_ts"], "hours")
     rows = done.withColumn("start_sec", F.expr("unix_seconds(start_ts)"))
     return pick(rows, "session_id channel start_sec n mean_uv:6 std_uv:6")
 
@@ -137,13 +134,22 @@ def p3(spark, sf):
 _BANDS = " ".join(f"{b}:6" for b in BANDS)
 
 
+# one-second windows every 250 ms: window k holds the 125 samples from index ceil(31.25 k) on
+_QUARTERS = """wn as (select * from (
+    select t.*, q.win, t.sample_idx - (q.win * 125 + 3) // 4 j, 125 n, count(*) over (partition by t.session_id, t.channel_idx, q.win) c
+    from s t join (select unnest(range((select max(sample_idx) * 4 // 125 + 1 from s))) win) q
+      on t.sample_idx >= (q.win * 125 + 3) // 4 and t.sample_idx < (q.win * 125 + 3) // 4 + 125)
+  where c = 125)"""
+
+
 @query(
     "p4_streaming_band_power",
-    with_(S_SQL, windows_sql("wn", w=125, hop=125), spectrum_sql("sp", "wn", "session_id, channel_idx, win"), bands_sql("bp", "sp", "session_id, channel_idx, win"))
-    + f"select session_id, channel_idx, win, {sel(_BANDS)} from bp where (win * 125 + 125) * 8000 <= (select max(sample_idx) * 8000 - 1000000 from s)",
+    with_(S_SQL, _QUARTERS, spectrum_sql("sp", "wn", "session_id, channel_idx, win"), bands_sql("bp", "sp", "session_id, channel_idx, win"))
+    + f"select session_id, channel_idx, win, {sel(_BANDS)} from bp",
 )
 def p4(spark, sf):
-    """The 1 s windows at whole seconds (the other hops do not fall on whole samples)."""
-    done = run.drain(S.sliding_band_power(sample_stream(spark, sf), KEYS, slide="1 second"), "bands")
-    rows = done.where("n = 125").withColumn("win", F.expr("unix_seconds(start_ts)") - F.expr("unix_seconds(timestamp'2024-01-01 00:00:00')"))
+    """Every full window of a second, a quarter of a second apart."""
+    done = run.drain_latest(S.sliding_band_power(sample_stream(spark, sf), KEYS), [*KEYS, "start_ts"], "bands")
+    start = F.expr("unix_millis(start_ts) - unix_millis(timestamp'2024-01-01 00:00:00')")
+    rows = done.where("n = 125").withColumn("win", (start / 250).cast("bigint"))
     return pick(rows, "session_id channel_idx win " + _BANDS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import SAMPLE_RATE
@@ -74,6 +74,11 @@ def _array_slice(uri: str, piece: int, size: int) -> pd.DataFrame:
     return pd.DataFrame({"row_idx": at // n_cols, "sample_idx": at % n_cols, "uv": values.astype(float)})
 
 
+def _folder(path: Column) -> Column:
+    """The whole path of a file's folder, however many slashes follow the scheme."""
+    return F.regexp_replace(F.regexp_replace(path, "/[^/]*$", ""), "^file:/+", "file:/")
+
+
 def import_array_folders(spark: SparkSession, pattern: str, slice_values: int = 1 << 20) -> DataFrame:
     """Long samples from ``<session>/raw_data.npy`` plus ``metadata.json`` folders.
 
@@ -84,7 +89,7 @@ def import_array_folders(spark: SparkSession, pattern: str, slice_values: int =
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "raw_data.npy")
         .load(pattern)
-        .select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), "length")
+        .select("path", _folder(F.col("path")).alias("folder"), "length")
     )
     # values take at least four bytes, so this many slices always reach the end
     slices = listed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"length div {4 * slice_values}"))))
@@ -105,7 +110,7 @@ def import_array_folders(spark: SparkSession, pattern: str, slice_values: int =
         .option("multiLine", True)
         .option("pathGlobFilter", "metadata.json")
         .json(pattern)
-        .withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
+        .withColumn("folder", _folder(F.input_file_name()))
     )
     channels = meta.select(
         "folder",
@@ -119,13 +124,13 @@ def import_array_folders(spark: SparkSession, pattern: str, slice_values: int =
 def read_percent_csv(spark: SparkSession, pattern: str, n_channels: int = 16) -> DataFrame:
     """(session_id, channel_idx, sample_idx, uv) of exports with ``%`` header lines.
 
-    A line is the board's counter and one column per channel.
+    A line is the board's counter and one column per channel; a cell that is no number is null, the line stays.
     """
     cols = ", ".join(["board_idx double", *[f"ch{i} double" for i in range(n_channels)]])
     wide = (
         spark.read.schema(cols)
         .option("comment", "%")
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", True)
         .csv(pattern)
         .withColumn("session_id", F.element_at(F.split(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\."), 1))

@@ -7,11 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..dims import BANDS, SAMPLE_RATE
+from ..dims import BANDS, BENCH, RAIL_UV, SAMPLE_RATE
 from ..functions import kernels
 from ..functions.layout import sorted_values
 from ..operators.quality import grade, quality_metrics
@@ -25,7 +25,7 @@ def with_event_time(samples: DataFrame, fs: float = SAMPLE_RATE, start: str = "2
 
 def sliding_quality(
     stream: DataFrame, keys: Sequence[str], window: str = "2 seconds", slide: str = "1 second",
-    delay: str = "1 second", n_full: int | None = None,
+    delay: str = "1 second", n_full: int | None = None, profile: str = BENCH,
 ) -> DataFrame:
     """Railed percent, std, line ratio and status per sliding event-time window.
 
@@ -39,9 +39,9 @@ def sliding_quality(
     )
     if n_full is not None:
         windows = windows.where(F.col("n") == n_full)
-    m = quality_metrics(F.col("x"), 500.0)
+    m = quality_metrics(F.col("x"), RAIL_UV[profile])
     rows = windows.select(*keys, F.col("w.start").alias("start_ts"), "n", m.alias("m"))
-    return grade(rows.select(*keys, "start_ts", "n", "m.*"))
+    return grade(rows.select(*keys, "start_ts", "n", "m.*"), profile)
 
 
 def sliding_std(
@@ -121,20 +121,26 @@ def fixed_chunks(
     )
 
 
-def insert_markers(samples: DataFrame, marks: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Stream-stream join: each mark takes the index of the sample at its time.
+def insert_markers(samples: DataFrame, marks: DataFrame, delay: str = "10 seconds", channel: int = 0, fs: float = SAMPLE_RATE) -> DataFrame:
+    """Stream-stream join: each mark takes the index of the sample nearest to its time.
 
-    ``marks`` is (session_id, ts, marker_id, label).  The time bound lets both
-    sides drop state.
+    ``marks`` is (session_id, ts, marker_id, label). ``channel`` is one that the montage has; its samples
+    stand for the time axis. The time bound of half a sample lets both sides drop state.
     """
-    s = samples.where("channel_idx = 0").select(
+    s = samples.where(F.col("channel_idx") == channel).select(
         F.col("session_id").alias("s_session"), "sample_idx", F.col("ts").alias("s_ts")
     ).withWatermark("s_ts", delay)
     m = marks.withWatermark("ts", delay)
-    on = (F.col("session_id") == F.col("s_session")) & (F.col("s_ts") == F.col("ts"))
+    on = (F.col("session_id") == F.col("s_session")) & _nearest(fs)
     return m.join(s, on).select("session_id", F.col("sample_idx").alias("sample_index"), "marker_id", "label")
 
 
+def _nearest(fs: float) -> Column:
+    """Sample time within half a sample of the mark; of two equally near samples the earlier one."""
+    half = F.make_dt_interval(secs=F.lit(0.5 / fs))
+    return (F.col("s_ts") >= F.col("ts") - half) & (F.col("s_ts") < F.col("ts") + half)
+
+
 # ---------------------------------------------------------------- custom state
 
 
