@@ -20,6 +20,12 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
+def _groups(pdf: pd.DataFrame, keys: list[str]):
+    """(key, rows) of every key; a missing part of a key is None, as in a row."""
+    for key, part in pdf.groupby(keys, sort=False, dropna=False):
+        yield tuple(None if pd.isna(k) else k for k in key), part
+
+
 def _entry_sums(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, p, n, e) from partial rows (keys, n, v)."""
     entries = partial.select(*keys, "n", F.posexplode("v").alias("p", "e"))
@@ -36,7 +42,7 @@ def matrix_sums(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     def reduce(batches):
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+            for key, part in _groups(pdf, keys):
                 total = np.sum(np.stack(part[value].to_list()), axis=0)
                 yield pd.DataFrame([(*key, len(part), total)], columns=[*keys, "n", "v"])
 
@@ -85,7 +91,7 @@ def _on_driver(data, keys, value, few, start, contribute, update, max_iter) -> D
         def partial(batches, shared=shared):
             sums: dict[tuple, list] = {}
             for pdf in batches:
-                for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                for key, part in _groups(pdf, keys):
                     if key in shared.value:
                         v = contribute(part[value].to_list(), shared.value[key])
                         old = sums.get(key)
