@@ -21,14 +21,16 @@ from ..functions.layout import spread_join
 BLOCK = 512
 
 
+def _points(samples: DataFrame, block: int) -> DataFrame:
+    """(session_id, win, g): the rows of a block of time points, ordered by point and channel."""
+    packed = F.array_sort(F.collect_list(F.struct("sample_idx", "channel_idx", "uv")))
+    rows = samples.select("session_id", "channel_idx", "sample_idx", "uv")
+    return rows.groupBy("session_id", F.expr(f"sample_idx div {block}").alias("win")).agg(packed.alias("g"))
+
+
 def sample_blocks(samples: DataFrame, n_channels: int = 16, block: int = BLOCK) -> DataFrame:
     """(session_id, win, idx, x): blocks of complete time points, x is m x C row-major."""
-    packed = F.array_sort(F.collect_list(F.struct("sample_idx", "channel_idx", "uv")))
-    points = (
-        samples.select("session_id", "channel_idx", "sample_idx", "uv")
-        .groupBy("session_id", F.expr(f"sample_idx div {block}").alias("win"))
-        .agg(packed.alias("g"))
-    )
+    points = _points(samples, block)
 
     @F.pandas_udf("struct<idx:array<bigint>,x:array<double>>")
     def complete(idx: pd.Series, x: pd.Series) -> pd.DataFrame:
@@ -200,26 +202,30 @@ def cleaning_matrices(ica: DataFrame, excluded: DataFrame, n_channels: int = 16)
 
 
 def apply_matrices(samples: DataFrame, matrices: DataFrame, n_channels: int = 16, block: int = BLOCK) -> DataFrame:
-    """Map every complete time point through its session's matrix (row-major) and shift.
+    """(session_id, sample_idx, channel_idx, uv, complete): every time point mapped through its session's matrix (row-major) and shift.
 
-    Time points are packed once per block, so the volume shuffled is that of the
-    samples themselves.
+    A time point that lacks a channel, or whose session has no matrix, comes back as it
+    is with ``complete`` false.  Time points are packed once per block, so the volume
+    shuffled is that of the samples themselves.
     """
     c = n_channels
 
-    @F.pandas_udf("array<array<double>>")
-    def run(x: pd.Series, m: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                list(v.reshape(-1, c) @ np.asarray(a).reshape(c, c).T + np.asarray(s))
-                for v, a, s in zip(x, m, shift)
-            ]
-        )
-
-    blocks = spread_join(sample_blocks(samples, c, block), matrices, ["session_id"], F.col("win"))
-    rows = blocks.select("session_id", "idx", run("x", "m", "shift").alias("y")).select(
-        "session_id", F.explode(F.arrays_zip("idx", "y")).alias("z")
-    )
-    return rows.select(
-        "session_id", F.col("z.idx").alias("sample_idx"), F.posexplode("z.y").alias("channel_idx", "uv")
+    @F.pandas_udf("struct<uv:array<double>,complete:array<boolean>>")
+    def run(idx: pd.Series, x: pd.Series, m: pd.Series, shift: pd.Series) -> pd.DataFrame:
+        rows = []
+        for i, v, a, s in zip(idx, x, m, shift):
+            _, inverse, n = np.unique(i, return_inverse=True, return_counts=True)
+            whole = n[inverse] == c if a is not None else np.zeros(len(i), bool)
+            out = np.array(v, float)
+            if whole.any():
+                out[whole] = (out[whole].reshape(-1, c) @ np.asarray(a).reshape(c, c).T + np.asarray(s)).ravel()
+            rows.append((out, whole))
+        return pd.DataFrame(rows, columns=["uv", "complete"])
+
+    blocks = spread_join(_points(samples, block), matrices, ["session_id"], F.col("win"), "left")
+    mapped = run(F.col("g.sample_idx"), F.col("g.uv"), F.col("m"), F.col("shift")).alias("y")
+    rows = blocks.select("session_id", "g", mapped).select("session_id", "g", "y.uv", "y.complete").select(
+        "session_id", F.explode(F.arrays_zip("g", "uv", "complete")).alias("z")
     )
+    uv = F.when(F.col("z.complete"), F.col("z.uv")).otherwise(F.col("z.g.uv")).alias("uv")
+    return rows.select("session_id", "z.g.sample_idx", "z.g.channel_idx", uv, "z.complete")

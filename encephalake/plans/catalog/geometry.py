@@ -132,7 +132,7 @@ def h2(spark, sf):
     select session_id, sample_idx, channel_idx, round(uv - m, 6) + 0.0 uv from f where c = 16""",
 )
 def h3(spark, sf):
-    """A given matrix: re-reference every time point to the channel mean."""
+    """A given matrix: re-reference every complete time point to the channel mean; the SQL has no others."""
     data = views.samples(spark, sf)
     eye = [[(1.0 if i == j else 0.0) - 1 / 16 for j in range(16)] for i in range(16)]
     matrices = data.select("session_id").distinct().select(
@@ -140,7 +140,7 @@ def h3(spark, sf):
         F.array(*[F.lit(v) for row in eye for v in row]).alias("m"),
         F.array_repeat(F.lit(0.0), 16).alias("shift"),
     )
-    return pick(H.apply_matrices(data, matrices), "session_id sample_idx channel_idx uv:6")
+    return pick(H.apply_matrices(data, matrices).where("complete"), "session_id sample_idx channel_idx uv:6")
 
 
 @query("h3_remove_components")
@@ -149,4 +149,4 @@ def h3_remove(spark, sf):
     ica = fitted(spark, sf)
     scores = H.flag_eye_components(data, ica)
     worst = scores.groupBy("session_id").agg(F.max_by("component", F.abs("score")).alias("component"))
-    return pick(H.apply_matrices(data, H.cleaning_matrices(ica, worst)), "session_id sample_idx channel_idx uv:4")
+    return pick(H.apply_matrices(data, H.cleaning_matrices(ica, worst)), "session_id sample_idx channel_idx uv:4 complete")
