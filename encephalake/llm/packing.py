@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_list, slices, written
-from .tokens import encoder
+from .tokens import TextEncoder, encoder
 
 CAPACITY = 1024
 SHARD = 1 << 16
@@ -45,11 +45,11 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, min(b, length) - a) for a, b in zip(starts, [*starts[1:], length])]
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END_ID, kind: type = TextEncoder) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, limit=PIECES).encode
+        encode = encoder(tokenizer, kind, PIECES).encode
         for batch in slices(batches, 1):
             ids, counts = encode([t.decode("utf-8", "replace") for t in byte_list(batch.column(1))], end)
             data, ends, rows = ids.astype("<u4"), np.cumsum(counts), []
@@ -158,6 +158,6 @@ def pack(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     return done
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", kind: type = TextEncoder) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents."""
-    return pack(pieces(docs, tokenizer, key, text))
+    return pack(pieces(docs, tokenizer, key, text, kind=kind))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_list, file_system, fresh_path, partitions, slices, written
-from .tokens import encoder
+from .tokens import TextEncoder, encoder
 
 BLOCK = 1024
 FILE_IDS = 1 << 22
@@ -139,14 +139,14 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, lengths.astype(np.int64), table[unpack_words(packed, offsets, loose, total).astype(np.int64)]
 
 
-def write_files(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END_ID, file_ids: int = FILE_IDS, kind: type = TextEncoder) -> DataFrame:
     """Write token files below ``folder``; the manifest (part, number, path, documents, ids) as a table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         store, root = file_system(folder)
         store.create_dir(root, recursive=True)
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, kind).encode
         held: list[tuple[list[int], np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -198,6 +198,6 @@ def read_files(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", kind: type = TextEncoder) -> DataFrame:
     """Write ``docs`` to a fresh folder of the shared one and read it back."""
-    return read_files(write_files(docs, tokenizer, fresh_path(docs.sparkSession, "tokens"), key, text))
+    return read_files(write_files(docs, tokenizer, fresh_path(docs.sparkSession, "tokens"), key, text, kind=kind))

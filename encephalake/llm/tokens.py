@@ -3,6 +3,8 @@
 Texts are cut at single spaces that stand between two characters which are not white space: there the
 byte-level pattern always starts a new word, whatever stands around, so pieces are encoded on their own
 and known pieces are not encoded again. The memory of known pieces is bounded; texts are read whole.
+Strings of special tokens are ordinary text to ``TextEncoder``; ``AddedTextEncoder`` gives them their own
+ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` does by default.
 """
 
 from __future__ import annotations
@@ -104,12 +106,17 @@ class MemoEncoder:
 class TextEncoder(MemoEncoder):
     """Ids of texts by a tokenizer file of the byte-level kind, special tokens' strings being ordinary text."""
 
+    added = False
+
     def __init__(self, file: str, limit: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not self.added
+        tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if self.added or not t.special]
+        self.holds = _any_of(tokens)
+        self.uncut = _any_of([t for t in tokens if t.lstrip or t.rstrip or re.search(r"\s", t.content)])
         line_break = self._encode(["\n"])[0]
         if len(line_break) != 1:
             raise ValueError("the tokenizer has no single token for a line break")
@@ -121,14 +128,17 @@ class TextEncoder(MemoEncoder):
 
     def cut(self, text: str) -> list[str]:
         """Pieces that a space goes before, but for the first, which is marked by ``_FIRST``."""
+        if self.uncut and self.uncut.search(text):
+            return [_FIRST + text]
         parts = _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
         parts[0] = _FIRST + parts[0]
         return parts
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces without a line break are encoded many at a time, one to a line."""
+        """Pieces without a line break or an added token are encoded many at a time, one to a line."""
+        holds = self.holds.search if self.holds else lambda piece: None
         spelled = [p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
-        lined = np.array([p[:1] == " " and len(p) > 1 and "\n" not in p for p in spelled])
+        lined = np.array([p[:1] == " " and len(p) > 1 and "\n" not in p and not holds(p) for p in spelled])
         lengths = np.zeros(len(pieces), np.int64)
         found: list[np.ndarray] = []
         for where, group in ((np.flatnonzero(lined), _GROUP), (np.flatnonzero(~lined), 1)):
@@ -154,6 +164,16 @@ class TextEncoder(MemoEncoder):
         return flat[np.repeat(starts - after + lengths, lengths) + np.arange(len(flat))], lengths
 
 
+class AddedTextEncoder(TextEncoder):
+    """The same with the library's default: an added token's string, special or not, is that token wherever it stands."""
+
+    added = True
+
+
+def _any_of(tokens: list) -> re.Pattern | None:
+    return re.compile("|".join(re.escape(t.content) for t in tokens)) if tokens else None
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
