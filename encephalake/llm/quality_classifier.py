@@ -7,7 +7,8 @@ the tail probability reaches ``CUTOFF``.
 
 Features: the distinct lower-cased words of the whole text, stripped of edge punctuation (value 1), and
 the shares of words of a few shapes (value 4 x share), all hashed to 2**``HASH_BITS`` weights. Fitting
-uses the ``SAMPLE`` labelled rows with the smallest hash of their id, in one task; features
+uses the ``SAMPLE`` labelled ids with the smallest hash, one row each (of several the one whose text has
+the smallest hash), in one task; the table is read and joined in as many tasks as it has parts; features
 found in fewer than ``MIN_DOCS`` of them, or less than the share ``MIN_SHARE``, keep weight zero. Scoring reads all rows and whole texts.
 
 Label rows with a null id, quality or toxic are not learned from; of several labels of an id one row is
@@ -172,12 +173,18 @@ def graded(labels: DataFrame, key: str = "doc_id", quality: str = "quality", tox
     return usable.groupBy(F.col(key).cast("long").alias("_key")).agg(F.min(grade).alias("grade"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
-    """Fit on the bounded sample of labelled rows; None if there is none."""
+def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, grade, _text) in one partition: one row for each of ``SAMPLE`` ids at most, shuffled after the scan and the join."""
     chosen = F.broadcast(graded(labels, key).orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE))  # SAMPLE rows at most
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    sample = rows.join(chosen, "_key").select("_key", F.col("grade").cast("int"), "_text")
-    found = sample.coalesce(1).mapInArrow(_fit_task, "slot long, weight double").toPandas()
+    first = F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("first")
+    single = rows.join(chosen, "_key").groupBy("_key", F.col("grade").cast("int").alias("grade")).agg(first)
+    return single.select("_key", "grade", "first._text").repartition(1)
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
+    """Fit on the bounded sample of labelled rows; None if there is none."""
+    found = training_sample(docs, labels, key, text).mapInArrow(_fit_task, "slot long, weight double").toPandas()
     if not len(found):
         return None
     cuts = found[found.slot < 0].sort_values("slot", ascending=False).weight.to_numpy()
