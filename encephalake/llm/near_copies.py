@@ -1,0 +1,175 @@
+"""Near copies by the Jaccard similarity of word shingles: every pair at or above it, then components.
+
+At a similarity of 0.8 two SimHash fingerprints of 64 bits differ in ten bits on average, so no small radius
+finds such pairs. Here they meet by prefixes instead: in any order of all shingles, two sets this similar
+share one of the first n - ceil(similarity x n) + 1. The order puts the shingles that a bounded sample shows
+to be common last, the others by their hash; it only decides how many pairs meet, never which are found.
+Pairs that cannot overlap enough by their sizes and the places of the shared shingle are left out, the
+others are compared by their whole sets.
+
+Only components are wanted, so a shingle's texts, in order of size, are compared with their next ``REACH``
+neighbours first, and then only texts of different components are; the last pass takes all of those.
+The pairs of a shingle common to many texts that are no copies of each other grow with the square of
+their number; such shingles are last in the order, so few prefixes have them.
+
+Words are lower-cased and separated by white space. Texts of fewer words than a shingle have one shingle,
+null and empty texts an empty one. Sets are of 64-bit hashes. Repeated texts are one node.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import byte_list, slices, written
+from .components import components
+from .simhash import mark
+
+WORDS = 5
+SIMILARITY = 0.8
+REACH = (2, 16, None)
+#: The sample that shows which shingles are common: about so many texts, the least count, the most shingles.
+SAMPLE = 5000
+COMMON = 5
+COMMON_KEPT = 50_000
+_PAIRS = 1 << 17
+_EXACT = 1e-9
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    parts = text.lower().split()
+    joined = b" ".join(parts)
+    ends = list(accumulate(map((1).__add__, map(len, parts))))
+    grams = [joined[a : b - 1] for a, b in zip([0, *ends], ends[words - 1 :])] or [joined]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - _EXACT
+
+
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that are common in a sample, the shingles in order."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, words) for t in byte_list(batch.column(1))]).view(np.int64))], ["key"])
+
+    share = max(1, texts.count() // SAMPLE)
+    counts = texts.where(F.pmod(F.xxhash64("mark"), F.lit(share)) == 0).mapInArrow(every, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(COMMON_KEPT).toPandas()
+    keys = found.key.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.n.to_numpy(np.int64)[order]
+
+
+def _prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, mark, size, place) of the shingles in each text's prefix."""
+    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, words))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in slices(batches, 1):
+            found = []
+            for text in byte_list(batch.column(1)):
+                own = shingles(text, words)
+                often = np.zeros(len(own), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    often = np.where(keys[at] == own, counts[at], 0)
+                size = len(own) - math.ceil(similarity * len(own) - _EXACT) + 1
+                found.append((own[np.lexsort((own, often))[:size]], len(own)))
+            lengths = [len(k) for k, _ in found]
+            marks = np.repeat(batch.column(0).to_numpy(), lengths)
+            sizes = np.repeat(np.array([n for _, n in found], np.int32), lengths)
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            columns = [np.concatenate([k for k, _ in found]).view(np.int64), marks, sizes, places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "mark", "size", "place"])
+
+    return texts.mapInArrow(first, "key long, mark long, size int, place int")
+
+
+def _pairs(groups: DataFrame, reach: int | None, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of a group's members in different components that may be similar enough."""
+
+    def of(marks: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+        order = np.lexsort((marks, sizes))
+        marks, sizes, places, roots = marks[order], sizes[order], places[order], roots[order]
+        for step in range(1, min(reach or len(marks), len(marks) - 1) + 1):
+            small, large = sizes[:-step], sizes[step:]
+            near = small >= similarity * large - _EXACT
+            if not near.any():
+                return
+            least = similarity / (1 + similarity) * (small + large) - _EXACT
+            most = np.minimum(small - places[:-step], large - places[step:])
+            chosen = np.flatnonzero(near & (most >= least) & (roots[:-step] != roots[step:]))
+            yield np.stack([marks[chosen], marks[chosen + step]])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def out() -> pa.RecordBatch:
+            both = np.unique(np.sort(np.concatenate(held, axis=1), axis=0), axis=1) if held else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                members = batch.column(0)[row].values
+                fields = [members.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                for found in of(*fields):
+                    held.append(found)
+                    count += found.shape[1]
+                    if count >= _PAIRS:
+                        yield out()
+                        held, count = [], 0
+        yield out()
+
+    return groups.select("m").mapInArrow(every, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in slices(batches, 3):
+            keep = []
+            for b, one, other in zip(batch.column(1).to_pylist(), byte_list(batch.column(2)), byte_list(batch.column(3))):
+                if b != last:
+                    last, own = b, shingles(other, words)
+                keep.append(similar(shingles(one, words), own, similarity))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, other = texts.toDF("a", "_one"), texts.toDF("b", "_other")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "_one", "_other").mapInArrow(check, "a long, b long")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, mark, component) for every row; rows of one component are linked by pairs at least this similar."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), mark(text).alias("mark"), F.col(text).alias("text"))
+    member = F.struct("mark", "size", "place", F.col("mark").alias("root"))
+    several = _prefixes(rows.select("mark", "text"), words, similarity).groupBy("key").agg(F.collect_set(member).alias("m")).where(F.size("m") > 1)
+    groups = written(several, "groups")
+    wanted = groups.select(F.explode("m.mark").alias("mark")).distinct()
+    texts = written(rows.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")), "texts")
+    links = tried = roots = None
+    for reach in REACH:
+        current = groups
+        if roots is not None:
+            entries = groups.select("key", F.explode("m").alias("e")).select("key", "e.mark", "e.size", "e.place")
+            placed = entries.join(roots.toDF("mark", "_root"), "mark", "left").select("key", F.struct("mark", "size", "place", F.coalesce("_root", "mark").alias("root")).alias("e"))
+            current = placed.groupBy("key").agg(F.collect_list("e").alias("m")).where(F.size(F.array_distinct("m.root")) > 1)
+        pairs = _pairs(current, reach, similarity)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(_verified(pairs, texts, words, similarity), "links")
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+        roots = written(components(links), "roots")
+    placed = rows.select("doc_id", "mark").join(roots.toDF("_node", "_root"), F.col("mark") == F.col("_node"), "left")
+    return placed.select("doc_id", "mark", F.coalesce("_root", "mark").alias("component"))
