@@ -1,8 +1,9 @@
 """Whole texts to token ids with a public tokenizer file.
 
-Texts are cut at single spaces that stand between two characters which are not white space: there the
-byte-level pattern always starts a new word, whatever stands around, so pieces are encoded on their own
-and known pieces are not encoded again. The memory of known pieces is bounded; texts are read whole.
+Texts are cut at single spaces that stand between two characters which are not white space, and at single
+line breaks where a text has no other white space: there the byte-level pattern always starts a new word,
+whatever stands around, so pieces are encoded on their own and known pieces are not encoded again. The
+memory of known pieces is bounded; texts are read whole.
 Strings of special tokens are ordinary text to ``TextEncoder``; ``AddedTextEncoder`` gives them their own
 ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` does by default.
 """
@@ -18,8 +19,8 @@ import numpy as np
 _PIECES_KEPT = 800_000
 _IDS_KEPT = 4_000_000
 _GROUP = 200
-_FIRST = "\n"
-_AWKWARD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
+#: What a piece starts with that no space goes before: a line break's first word (the break is part of it), a text's first.
+_LINE, _FIRST = "\n", "\r"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -115,7 +116,9 @@ class TextEncoder(MemoEncoder):
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = not self.added
         tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if self.added or not t.special]
+        self.added_texts = [t.content for t in tokens]
         self.holds = _any_of(tokens)
+        self.held: set[str] = set()
         self.uncut = _any_of([t for t in tokens if t.lstrip or t.rstrip or re.search(r"\s", t.content)])
         line_break = self._encode(["\n"])[0]
         if len(line_break) != 1:
@@ -127,36 +130,49 @@ class TextEncoder(MemoEncoder):
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str) -> list[str]:
-        """Pieces that a space goes before, but for the first, which is marked by ``_FIRST``."""
+        """Pieces that a space goes before, but for those that ``_LINE`` or ``_FIRST`` starts."""
         if self.uncut and self.uncut.search(text):
+            self.held.add(_FIRST + text)
             return [_FIRST + text]
-        parts = _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
+        # only single spaces and line breaks between words: the same words whichever way it is split
+        plain = " ".join(text.split()) == text.replace("\n", " ")
+        parts = text.replace("\n", " \n").split(" ") if plain else _CUT.split(text)
         parts[0] = _FIRST + parts[0]
+        if any(t in text for t in self.added_texts):
+            self.held.update(p for p in parts if self.holds.search(p))
         return parts
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces without a line break or an added token are encoded many at a time, one to a line."""
-        holds = self.holds.search if self.holds else lambda piece: None
-        spelled = [p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
-        lined = np.array([p[:1] == " " and len(p) > 1 and "\n" not in p and not holds(p) for p in spelled])
+        """Pieces with white space inside or an added token are encoded one by one, all others many at a time, one to a line."""
+        held, self.held = self.held, set()
+        marked = [p[0] in "\n\r" if p else False for p in pieces]
+        bare = [p[1:] if m else p for p, m in zip(pieces, marked)]
+        lined = np.array([(b.isalnum() or b.split() == [b]) and p not in held for b, p in zip(bare, pieces)], bool)
+        spelled = [b if m else " " + b for b, m in zip(bare, marked)]
+        # a piece of a line break and a word has the break's id before the word's
+        breaks = np.array([p[:1] == _LINE for p in pieces], bool)
         lengths = np.zeros(len(pieces), np.int64)
         found: list[np.ndarray] = []
-        for where, group in ((np.flatnonzero(lined), _GROUP), (np.flatnonzero(~lined), 1)):
-            places = where.tolist()
-            groups = [places[i : i + group] for i in range(0, len(places), group)]
+        places = np.flatnonzero(lined)
+        if len(places):
+            groups = [places[i : i + _GROUP].tolist() for i in range(0, len(places), _GROUP)]
             ids = self._encode(["\n".join([spelled[i] for i in g]) for g in groups])
-            if group > 1 and ids:
-                every = np.concatenate([x for line in ids for x in (line, [self.line_break])]).astype(np.uint32)
-                breaks = np.flatnonzero(every == self.line_break)
-                if len(breaks) != len(places):
-                    raise AssertionError("a piece without line breaks gave the line break's id")
-                lengths[where] = np.diff(breaks, prepend=-1) - 1
-                found.append(every[every != self.line_break])
-            elif ids:
-                lengths[where] = [len(x) for x in ids]
-                found.append(np.concatenate(ids))
+            every = np.concatenate([x for line in ids for x in ([self.line_break], line)]).astype(np.uint32)
+            at = np.flatnonzero(every == self.line_break)
+            if len(at) != len(places):
+                raise AssertionError("a piece without line breaks gave the line break's id")
+            stays = np.ones(len(every), bool)
+            stays[at] = breaks[places]
+            lengths[places] = np.diff(at, append=len(every)) - ~breaks[places]
+            found.append(every[stays])
+        alone = np.flatnonzero(~lined)
+        if len(alone):
+            ids = self._encode([spelled[i] for i in alone.tolist()])
+            ids = [np.insert(x, 0, self.line_break) if breaks[i] else x for i, x in zip(alone.tolist(), ids)]
+            lengths[alone] = [len(x) for x in ids]
+            found.append(np.concatenate(ids).astype(np.uint32))
         # back into the order of the pieces
-        order = np.concatenate([np.flatnonzero(lined), np.flatnonzero(~lined)])
+        order = np.concatenate([places, alone])
         starts = np.zeros(len(pieces), np.int64)
         starts[order] = np.cumsum(lengths[order]) - lengths[order]
         after = np.cumsum(lengths)
