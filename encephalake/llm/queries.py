@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, sentence_pieces, simhash, token_files, transcripts, warc
+from . import exact_dedup, language_id, merkle, ngram_join, packing, quality_classifier, quality_rules, sentence_pieces, simhash, spelling, token_files, transcripts, warc
 from .tokens import AddedTextEncoder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_transcripts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.recover(spark, table(spark, sf_dir, "conversations"))
+
+
+@query("op11_ngram_join")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", merkle.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", spelling.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spark, table(spark, sf_dir, "documents"))

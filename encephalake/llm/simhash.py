@@ -34,15 +34,15 @@ SHARD = 1024
 _BITS = 64
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The SimHash of one text, unsigned."""
-    words = text.lower().split()
-    if not words:
+    parts = text.lower().split()
+    if not parts:
         return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(map((1).__add__, map(len, words))))
+    joined = b" ".join(parts)
+    ends = list(accumulate(map((1).__add__, map(len, parts))))
     starts = [0, *ends]
-    grams = [joined[a : b - 1] for a, b in zip(starts, ends[WORDS - 1 :])] or [joined]
+    grams = [joined[a : b - 1] for a, b in zip(starts, ends[words - 1 :])] or [joined]
     total, count = np.zeros(_BITS, np.int64), len(grams)
     for i in range(0, count, 1 << 16):
         part = grams[i : i + (1 << 16)]
@@ -51,16 +51,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * total > count, bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
-        prints = np.array([fingerprint(t) for t in byte_list(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "mark", "fp"])
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, mark, fp): the fingerprint as a signed long, and a hash of the text that tells rows of one id apart."""
 
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            prints = np.array([fingerprint(t, words) for t in byte_list(batch.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "mark", "fp"])
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, fp): the fingerprint as a signed long, and a hash of the text that tells rows of one id apart."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text), mark(text).alias("mark"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
+    return rows.mapInArrow(every, "doc_id long, mark long, fp long")
 
 
 def mark(text: str = "text"):
@@ -154,9 +154,9 @@ def near_links(prints: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id, mark, component) for every row; ``component`` is unique even if ids are not."""
-    rows = written(fingerprints(docs, key, text), "fingerprints")
+    rows = written(fingerprints(docs, key, text, words), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "prints")
     roots = written(components(near_links(prints)), "roots").withColumnRenamed("node", "fp")
     members = roots.join(prints, "fp").select("fp", "root", "first_id")

@@ -6,8 +6,7 @@ import random
 
 import pytest
 
-import corpus_pipeline
-from encephalake.llm import near_copies
+from encephalake.llm import ngram_join, stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +31,7 @@ def plain_kept(rows):
 
 def kept(spark, rows):
     docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
-    return sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect())
+    return sorted(r.doc_id for r in stages.near(spark, docs, SF).collect())
 
 
 def copies(count, group, seed):
@@ -49,9 +48,9 @@ def copies(count, group, seed):
     return rows
 
 
-@pytest.mark.parametrize("group, reach", [(8, near_copies.REACH), (90, near_copies.REACH), (90, (1, None))])
-def test_stage_is_all_pairs(spark, monkeypatch, group, reach):
-    monkeypatch.setattr(near_copies, "REACH", reach)
+@pytest.mark.parametrize("group, phases", [(8, ngram_join.PHASES), (90, ngram_join.PHASES), (90, ((None, 1), (None, None)))])
+def test_stage_is_all_pairs(spark, monkeypatch, group, phases):
+    monkeypatch.setattr(ngram_join, "PHASES", phases)
     rows = copies(180, group, group)
     rows += [(2000, None), (2001, ""), (2002, " "), (2003, "one two"), (2004, "ONE  two"), (2005, "one two three")]
     want = plain_kept(rows)
