@@ -6,6 +6,8 @@ matrix) or on a stack of them.  Spark does the splitting and the combining.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # ---------------------------------------------------------------- filters
@@ -66,6 +68,14 @@ def notch_biquad(freq: float, q: float, fs: float) -> tuple[np.ndarray, np.ndarr
     return b, a
 
 
+@lru_cache(maxsize=32)
+def notch_matrix(freq: float, q: float, fs: float, n: int) -> np.ndarray:
+    """n x n matrix that filters a window from rest."""
+    h = impulse_response(*notch_biquad(freq, q, fs), n)
+    lag = np.arange(n)[:, None] - np.arange(n)[None, :]
+    return np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0)
+
+
 def impulse_response(b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
     """First ``n`` outputs of a direct-form filter for a unit impulse."""
     h = np.zeros(n)
@@ -74,6 +84,34 @@ def impulse_response(b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+class BlockFilter:
+    """A biquad in blocks: outputs and the state after them are products with fixed matrices."""
+
+    def __init__(self, b: np.ndarray, a: np.ndarray, length: int = 256):
+        step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+        gain = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+        self.length = length
+        powers = [np.eye(2)]
+        for _ in range(length):
+            powers.append(step @ powers[-1])
+        self.powers = np.array(powers)
+        driven = np.array([p @ gain for p in powers[:length]])  # state k + 1 samples after a unit impulse
+        h = np.concatenate([[b[0]], driven[: length - 1, 0]])
+        lag = np.arange(length)[:, None] - np.arange(length)[None, :]
+        self.outputs = np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0)
+        self.to_state = driven[::-1]
+
+    def run(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Outputs for ``x`` from state ``z``, and the state after it."""
+        y = np.empty(len(x))
+        for start in range(0, len(x), self.length):
+            part = x[start : start + self.length]
+            n = len(part)
+            y[start : start + n] = self.outputs[:n, :n] @ part + self.powers[:n, 0] @ z
+            z = self.powers[n] @ z + part @ self.to_state[self.length - n :]
+        return y, z
+
+
 def decay_length(a: np.ndarray, floor: float = 1e-18) -> int:
     """Samples after which the impulse response is below double rounding."""
     radius = float(np.max(np.abs(np.roots(a))))
@@ -153,6 +191,64 @@ def density(x: np.ndarray, fs: float, window: str) -> np.ndarray:
     return p
 
 
+def relative_powers(psd: np.ndarray, fs: float, n: int, bands: dict[str, tuple[float, float]]) -> np.ndarray:
+    """Trapezoid power of each band (half-open edges) over that of all bins, per row; ``n`` samples gave the spectra."""
+    freq = np.arange(psd.shape[-1]) * fs / n
+    parts = [np.trapezoid(psd[..., (freq >= lo) & (freq < hi)], dx=fs / n) for lo, hi in bands.values()]
+    total = np.trapezoid(psd, dx=fs / n)
+    return np.stack(parts, axis=-1) / np.where(total == 0, 1e-10, total)[..., None]
+
+
+def window_coherence(x: np.ndarray, held: np.ndarray, lo: float, hi: float, nperseg: int, fs: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean band coherence of each window's channel pairs from half-overlapping segments: (i, j, coherence, segments).
+
+    ``x`` and ``held`` are windows x C x w, the results windows x pairs. A segment counts for the channels that
+    miss none of its samples; without common segments or power the coherence is NaN.
+    """
+    m = min(nperseg, x.shape[-1])
+    starts = range(0, x.shape[-1] - m + 1, max(1, m - m // 2))
+    freq = np.arange(m // 2 + 1) * fs / m
+    band = (freq >= lo) & (freq < hi)
+    i, j = np.triu_indices(x.shape[1], 1)
+    xy, xx, yy, both = (np.zeros((len(x), len(i), k)) for k in (band.sum(), band.sum(), band.sum(), 1))
+    xy = xy.astype(complex)
+    for s in starts:
+        whole = held[..., s : s + m].all(axis=-1)
+        z = np.where(whole[..., None], tapered_fft(x[..., s : s + m], "hann")[..., band], 0)
+        power, pair = np.abs(z) ** 2, (whole[:, i] & whole[:, j])[..., None]
+        xy += z[:, i].conj() * z[:, j]
+        xx += power[:, i] * pair
+        yy += power[:, j] * pair
+        both += pair
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ratio = np.where((xx * yy > 0) & (both > 0), np.abs(xy) ** 2 / (xx * yy), np.nan)
+    return i, j, mean_of(ratio), both[..., 0]
+
+
+def mean_of(x: np.ndarray) -> np.ndarray:
+    """Mean over the last axis of what is not NaN; NaN if nothing is."""
+    there = ~np.isnan(x)
+    count = there.sum(axis=-1)
+    return np.where(count > 0, np.where(there, x, 0).sum(axis=-1) / np.maximum(count, 1), np.nan)
+
+
+def waveform_shape(x: np.ndarray, eps: float = 1e-10) -> dict[str, np.ndarray]:
+    """Moments, Hjorth parameters, line length and zero crossings of each row; no moments beyond two of a flat row."""
+    d1, d2 = np.diff(x, axis=-1), np.diff(x, 2, axis=-1)
+    mean, var = x.mean(axis=-1), x.var(axis=-1)
+    centred = x - mean[..., None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        skew = np.where(var > 0, (centred**3).mean(axis=-1) / var**1.5, np.nan)
+        kurtosis = np.where(var > 0, (centred**4).mean(axis=-1) / var**2 - 3, np.nan)
+    v1, v2 = d1.var(axis=-1), d2.var(axis=-1)
+    mobility = np.sqrt(v1 / (var + eps))
+    return {
+        "mean": mean, "std": np.sqrt(var), "skew": skew, "kurtosis": kurtosis, "hjorth_activity": var, "hjorth_mobility": mobility,
+        "hjorth_complexity": np.sqrt(v2 / (v1 + eps)) / (mobility + eps), "line_length": np.abs(d1).sum(axis=-1),
+        "zero_crossings": (np.sign(x[..., 1:]) != np.sign(x[..., :-1])).sum(axis=-1).astype(float),
+    }
+
+
 # ---------------------------------------------------------------- small matrices
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import BANDS, SAMPLE_RATE
+from ..functions import kernels
+from ..functions.frames import halo_frames, over_frames
 from ..functions.layout import CHUNK, KEYS, own, with_halo
 from .spectral import band_powers, coherence, welch
 from .windows import assign_windows
@@ -133,12 +137,14 @@ def feature_rows(
     with_coherence: bool = True,
     names: Sequence[str] | None = None,
     averaged: bool = True,
+    coherence_nperseg: int | None = None,
 ) -> DataFrame:
     """(span keys, name, value): the whole named feature vector in long form.
 
     Channel features are named ``{channel}_{feature}`` and pairs
     ``coh_{channel}_{channel}``; pivot or ``map_from_entries`` give the vector.
-    ``names`` maps channel_idx to a name for the pair features.
+    ``names`` maps channel_idx to a name for the pair features. For spans as long as
+    whole recordings; ``window_features`` gives the same of sliding windows.
     """
     span_keys = list(span_keys)
     wide = channel_features(spans, [*span_keys, channel], nperseg, averaged=averaged)
@@ -150,7 +156,7 @@ def feature_rows(
     )
     if not with_coherence:
         return rows
-    pairwise = coherence(spans, span_keys, nperseg=nperseg)
+    pairwise = coherence(spans, span_keys, nperseg=coherence_nperseg or nperseg)
     lookup = F.array(*[F.lit(n) for n in names])
     pair_rows = pairwise.select(
         *span_keys,
@@ -160,6 +166,43 @@ def feature_rows(
     return rows.unionByName(pair_rows)
 
 
+def window_features(
+    samples: DataFrame, w: int, hop: int, names: Sequence[str], coherence_nperseg: int | None = None, fs: float = SAMPLE_RATE
+) -> DataFrame:
+    """(session_id, win, name, value): the named feature vector of every window, in long form.
+
+    Spectra, coherence and shape come from the same slice of a halo frame, so the samples are exchanged once.
+    A channel's window that misses a sample has no features; ``names`` maps channel_idx to a name.
+    """
+    named = np.array(names, dtype=object)
+
+    def measure(frame):
+        own = named[frame.channels]
+        channel_names = np.array([[f"{c}_{f}" for f in feature_names()] for c in own], dtype=object)
+        for wins, x, held in frame.slabs():
+            whole = held.all(axis=2)
+            at, ch = np.nonzero(whole)
+            rows = x[at, ch]
+            psd = kernels.density(rows, fs, "hann")
+            powers = dict(zip(BANDS, kernels.relative_powers(psd, fs, w, BANDS).T))
+            p = psd / (psd.sum(axis=1, keepdims=True) + EPS)
+            made = [*powers.values(), *[powers[a] / (powers[b] + EPS) for a, b in RATIO_PAIRS]]
+            made += list(kernels.waveform_shape(rows, EPS).values())
+            made.append(-(p * np.log2(p + EPS)).sum(axis=1) / np.log2(p.shape[1]))
+            i, j, pairs, segments = kernels.window_coherence(x, held & whole[..., None], 8.0, 13.0, coherence_nperseg or w, fs)
+            pair_names = np.array([f"coh_{a}_{b}" for a, b in zip(own[i], own[j])], dtype=object)
+            in_pairs, pair = np.nonzero(segments)
+            values = np.concatenate([np.stack(made, axis=1).ravel(), pairs[in_pairs, pair]])
+            yield {
+                "win": np.concatenate([np.repeat(wins[at], len(made)), wins[in_pairs]]),
+                "name": np.concatenate([channel_names[ch].ravel(), pair_names[pair]]),
+                "value": pa.array(values, from_pandas=True),
+            }
+
+    frames = halo_frames(samples, w, hop)
+    return over_frames(frames, ["session_id"], w, hop, "win bigint, name string, value double", measure)
+
+
 def feature_vectors(rows: DataFrame, span_keys: Sequence[str]) -> DataFrame:
     """Feature names and values as two aligned arrays per span (bounded by the feature count)."""
     packed = F.array_sort(F.collect_list(F.struct("name", "value")))

@@ -20,7 +20,9 @@ from ..dims import RING_ORDER
 from ..functions.expr import rank_in
 
 AMPLITUDES = ["00", "10", "01", "11"]  # first digit: excitatory state
-MAX_TRAINING = 256  # segments that a template is fitted on: those with the smallest hash of their keys
+MAX_TRAINING = 256  # segments that a template is fitted on: those whose keys have the smallest MD5
+BLOCK = 4096  # segments and
+TEMPLATES = 64  # templates that meet in a task, on average
 
 
 def encode_states(df: DataFrame) -> DataFrame:
@@ -104,14 +106,15 @@ def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.einsum("ick,jck->ijc", left.conj(), right).prod(axis=-1)
 
 
-def build_templates(states: DataFrame, scope: Sequence[str], training: int = MAX_TRAINING) -> DataFrame:
+def build_templates(states: DataFrame, scope: Sequence[str], keys: Sequence[str], training: int = MAX_TRAINING) -> DataFrame:
     """(scope, n_segments, members, norm): the training segments' amplitudes and |sum of their states|^2.
 
-    A template is fitted on ``training`` segments at most; a group therefore never holds more.
+    A template is fitted on ``training`` segments at most; a group therefore never holds more. Which ones is
+    decided by the MD5 of their ``keys`` joined by colons, so other engines can follow it.
     """
     scope = list(scope)
-    others = [c for c in states.columns if c not in scope]
-    order = Window.partitionBy(*scope).orderBy(F.xxhash64(*others), *[F.col(c) for c in others if c != "amps"])
+    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
+    order = Window.partitionBy(*scope).orderBy(digest, *keys)
     chosen = states.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= training)
     groups = chosen.groupBy(*scope).agg(F.collect_list("amps").alias("members"), F.count(F.lit(1)).alias("n_segments"))
 
@@ -122,36 +125,43 @@ def build_templates(states: DataFrame, scope: Sequence[str], training: int = MAX
     return groups.select(*scope, "n_segments", "members", norm("members").alias("norm"))
 
 
-def template_fidelity(states: DataFrame, templates: DataFrame, keys: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+def _parts(rows: DataFrame, scope: Sequence[str], size: int) -> int:
+    """Parts of about ``size`` rows that the largest scope needs."""
+    counts = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")) if scope else rows.agg(F.count(F.lit(1)).alias("n"))
+    return max(1, -(-(counts.agg(F.max("n")).first()[0] or 0) // size))
+
+
+def template_fidelity(
+    states: DataFrame, templates: DataFrame, keys: Sequence[str], scope: Sequence[str] = (), block: int = BLOCK, held: int = TEMPLATES
+) -> DataFrame:
     """(keys, label, fidelity) of every segment to each template (of its scope, if one is given).
 
-    Segments meet a template in blocks, one block per shuffle partition and template, so neither a
-    common scope nor many templates gather in a task.
+    Segments and templates are counted and dealt by hash into blocks of about ``block`` and parts of about
+    ``held``; every block of a scope meets every part of it in a group of its own, so a group is bounded and
+    neither a common scope nor many templates gather in a task.
     """
     keys, scope = list(keys), list(scope)
-    blocks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = F.lit(0).alias("_all")
-    # the names are few; new column instances, as the templates may come from the same states
-    names = templates.select(*scope, one, "label").toDF(*scope, "_all", "label")
-    rows = states.select(*keys, *[c for c in scope if c not in keys], "amps", one).join(names, [*scope, "_all"])
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    every = templates.select(*scope, "label", "members", "norm").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    by = [*scope, "label", "_block"]
-    right_by = [f"_{c}" for c in by]
-    every = every.select(*[F.col(c).alias(r) for c, r in zip(by, right_by)], "members", "norm")
+    states = states.select(*keys, *[c for c in scope if c not in keys], "amps")
+    blocks, parts = _parts(states, scope, block), _parts(templates, scope, held)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = states.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
+    sides = templates.select(*scope, "label", "members", "norm").withColumn("_part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    by = [*scope, "_block", "_part"]
+    sides = sides.select(*[F.col(c).alias(f"{c}_") for c in by], F.col("label").alias("label_"), "members", "norm")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, "label", "fidelity"]})
-        members, found = _stacked(right.members.iloc[0]), []
-        for i in range(0, len(left), 256):
-            found.append(np.abs(inner_products(members, _stacked(left.amps.iloc[i : i + 256])).sum(axis=0)) ** 2)
-        told = {c: pd.Series(left[c].to_numpy(dtype=object), dtype=object) for c in [*keys, "label"]}
-        return pd.DataFrame({**told, "fidelity": np.concatenate(found) / right.norm.iloc[0]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        found = [pd.DataFrame({c: pd.Series([], dtype=object) for c in [*keys, "label", "fidelity"]})]
+        for i in range(0, len(left) if len(right) else 0, 256):
+            part = left.iloc[i : i + 256]
+            amps = _stacked(part.amps)
+            for label, members, norm in zip(right.label_, right.members, right.norm):
+                value = np.abs(inner_products(_stacked(members), amps).sum(axis=0)) ** 2 / norm
+                found.append(pd.DataFrame({**{c: part[c].to_numpy(dtype=object) for c in keys}, "label": label, "fidelity": value}))
+        return pd.concat(found[1:] or found, ignore_index=True)
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema, *templates.schema]}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, "label"]) + ", fidelity double"
-    return rows.groupBy(*by).cogroup(every.groupBy(*right_by)).applyInPandas(score, schema)
+    return rows.groupBy(*by).cogroup(sides.groupBy(*[f"{c}_" for c in by])).applyInPandas(score, schema)
 
 
 def classify(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

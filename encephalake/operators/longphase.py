@@ -4,7 +4,8 @@ The imaginary part of the analytic signal is a circular convolution of the
 channel with a known kernel.  It is evaluated with a power-of-two transform of
 size rows x cols that is split the classical way: transforms of ``rows`` points
 per column, a twiddle factor, a transpose (one shuffle), transforms of ``cols``
-points.  Every task handles arrays of about the square root of the length.
+points.  Every task handles arrays of about the square root of the length; the size is a column,
+so channels of all lengths share a plan.
 """
 
 from __future__ import annotations
@@ -53,65 +54,71 @@ def _transposed(df: DataFrame, keys: list[str], outer: str, inner: str) -> DataF
     )
 
 
-def split_phase(rows: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """(keys, sample_idx, b) for channels of up to ``longest`` samples."""
-    bits = int(np.ceil(np.log2(max(2 * longest, 4))))
-    n_rows, n_cols = 1 << (bits // 2), 1 << (bits - bits // 2)
-    size = n_rows * n_cols
+def _shape(bits: int) -> tuple[int, int]:
+    return 1 << (bits // 2), 1 << (bits - bits // 2)
 
+
+def split_phase(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sample_idx, b) of channels whose samples are numbered from 0 without a gap."""
     lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    packed = F.array_sort(F.collect_list(F.struct(F.expr(f"sample_idx div {n_cols}").alias("i"), "uv")))
-    columns = rows.groupBy(*keys, F.expr(f"cast(sample_idx % {n_cols} as int)").alias("c")).agg(packed.alias("g"))
+    # the power of two at or above twice the length, at least 4
+    lengths = lengths.withColumn("bits", F.length(F.bin(F.greatest(F.col("n") * 2, F.lit(4)) - 1)).cast("int"))
+    sized = section_join(rows, lengths.withColumn("_last", F.col("n") - 1), keys, "_last")
+    cols = F.expr("shiftleft(1L, bits - bits div 2)")
+    sized = sized.withColumn("i", F.floor(F.col("sample_idx") / cols)).withColumn("c", (F.col("sample_idx") % cols).cast("int"))
+    own = [*keys, "n", "bits"]
+    packed = F.array_sort(F.collect_list(F.struct("i", "uv")))
+    columns = sized.groupBy(*own, "c").agg(packed.alias("g"))
 
     @F.pandas_udf(_Z)
-    def column_fft(c: pd.Series, at: pd.Series, uv: pd.Series) -> pd.DataFrame:
+    def column_fft(bits: pd.Series, c: pd.Series, at: pd.Series, uv: pd.Series) -> pd.DataFrame:
         out = []
-        for j, i, v in zip(c, at, uv):
+        for e, j, i, v in zip(bits, c, at, uv):
+            n_rows, n_cols = _shape(e)
             x = np.zeros(n_rows)
             x[np.asarray(i)] = v
-            out.append(np.fft.fft(x) * _twiddle(j, n_rows, size))
+            out.append(np.fft.fft(x) * _twiddle(j, n_rows, n_rows * n_cols))
         return _frame(out)
 
     @F.pandas_udf(_Z)
-    def kernel_fft(n: pd.Series, c: pd.Series) -> pd.DataFrame:
+    def kernel_fft(n: pd.Series, bits: pd.Series, c: pd.Series) -> pd.DataFrame:
         out = []
-        for length, j in zip(n, c):
+        for length, e, j in zip(n, bits, c):
+            n_rows, n_cols = _shape(e)
+            size = n_rows * n_cols
             d = np.arange(n_rows, dtype=np.int64) * n_cols + j
             d = np.where(d >= size // 2, d - size, d)
             g = np.where(np.abs(d) < length, hilbert_kernel(d, int(length)), 0.0)
             out.append(np.fft.fft(g) * _twiddle(j, n_rows, size))
         return _frame(out)
 
-    signal = _transposed(
-        columns.select(*keys, "c", column_fft("c", F.col("g.i"), F.col("g.uv")).alias("z")), keys, "c", "k"
-    )
-    kernel_columns = lengths.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("c"))
-    kernel = _transposed(kernel_columns.select("n", "c", kernel_fft("n", "c").alias("z")), ["n"], "c", "k")
+    signal = _transposed(columns.select(*own, "c", column_fft("bits", "c", F.col("g.i"), F.col("g.uv")).alias("z")), own, "c", "k")
+    each = F.explode(F.sequence(F.lit(0), F.expr("cast(shiftleft(1L, bits - bits div 2) - 1 as int)"))).alias("c")
+    kernel_columns = lengths.select("n", "bits").distinct().select("n", "bits", each)
+    kernel = _transposed(kernel_columns.select("n", "bits", "c", kernel_fft("n", "bits", "c").alias("z")), ["n", "bits"], "c", "k")
     kernel = kernel.withColumnsRenamed({"re": "gre", "im": "gim"})
 
-    # only a signal shorter than n_cols lacks columns, and then the last ones; they are zero
+    # only a signal shorter than its columns lacks some, and then the last ones; they are zero
     @F.pandas_udf(_Z)
-    def product(k: pd.Series, re: pd.Series, im: pd.Series, gre: pd.Series, gim: pd.Series) -> pd.DataFrame:
+    def product(bits: pd.Series, k: pd.Series, re: pd.Series, im: pd.Series, gre: pd.Series, gim: pd.Series) -> pd.DataFrame:
         out = []
-        for r, a, b, ga, gb in zip(k, re, im, gre, gim):
+        for e, r, a, b, ga, gb in zip(bits, k, re, im, gre, gim):
+            n_rows, n_cols = _shape(e)
             x = np.zeros(n_cols, dtype=complex)
             x[: len(a)] = np.asarray(a) + 1j * np.asarray(b)
             y = np.fft.fft(x) * np.fft.fft(np.asarray(ga) + 1j * np.asarray(gb))
-            out.append(np.fft.fft(y.conj()) * _twiddle(r, n_cols, size))
+            out.append(np.fft.fft(y.conj()) * _twiddle(r, n_cols, n_rows * n_cols))
         return _frame(out)
 
-    sized = section_join(signal, lengths.withColumn("_last", F.lit(n_rows - 1)), keys, "_last", "k", section=256).join(kernel, ["n", "k"])
-    back = _transposed(
-        sized.select(*keys, "k", product("k", "re", "im", "gre", "gim").alias("z")), keys, "k", "m"
-    )
+    both = signal.join(kernel, ["n", "bits", "k"])
+    back = _transposed(both.select(*own, "k", product("bits", "k", "re", "im", "gre", "gim").alias("z")), own, "k", "m")
 
     @F.pandas_udf("array<double>")
-    def finish(re: pd.Series, im: pd.Series) -> pd.Series:
-        return pd.Series([np.fft.fft(np.asarray(a) + 1j * np.asarray(b)).real / size for a, b in zip(re, im)])
+    def finish(bits: pd.Series, re: pd.Series, im: pd.Series) -> pd.Series:
+        return pd.Series([np.fft.fft(np.asarray(a) + 1j * np.asarray(b)).real / (1 << e) for e, a, b in zip(bits, re, im)])
 
-    imaginary = back.select(*keys, "m", F.posexplode(finish("re", "im")).alias("q", "y")).select(
-        *keys, (F.col("m") + F.col("q").cast("bigint") * n_cols).alias("sample_idx"), "y"
-    )
+    imaginary = back.select(*own, "m", F.posexplode(finish("bits", "re", "im")).alias("q", "y"))
+    imaginary = imaginary.select(*keys, (F.col("m") + F.col("q").cast("bigint") * cols).alias("sample_idx"), "y")
     joined = rows.select(*keys, "sample_idx", "uv").join(imaginary, [*keys, "sample_idx"])
     return joined.select(*keys, "sample_idx", _wrapped(F.atan2("y", "uv")).alias("b"))
 

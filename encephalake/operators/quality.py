@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..dims import BENCH, GRADE_LIMITS, RAIL_UV, SAMPLE_RATE, SUSPICIOUS
 from ..functions import kernels
+from ..functions.frames import halo_frames, over_frames
 from ..functions.layout import KEYS, own, spread_join, with_halo
 from ..functions.quantiles import exact_quantiles, exact_quantiles_of
-from .windows import window_arrays
 
 GREEN, YELLOW, RED = 0, 1, 2
 
@@ -37,13 +37,20 @@ def std_table(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     return spans.groupBy(*keys).agg(F.stddev_pop("uv").alias("std_uv"))
 
 
-def quality_metrics(x: Column, threshold: float, fs: float = SAMPLE_RATE, freq: float = 60.0) -> Column:
-    """rail_pct, std_uv and line_ratio of window arrays, as one struct column.
+def metrics_of(m: np.ndarray, threshold: float, fs: float = SAMPLE_RATE, freq: float = 60.0) -> np.ndarray:
+    """Railed percent, std and line ratio of equally long windows, one row each.
 
     The notch of a window starts from rest, so its output is the window times a
     fixed lower-triangular matrix of the impulse response.
     """
-    b, a = kernels.notch_biquad(freq, 30.0, fs)
+    notch = kernels.notch_matrix(freq, 30.0, fs, m.shape[1])
+    std = m.std(axis=1)
+    railed = (np.abs(m - m.mean(axis=1, keepdims=True)) > threshold).mean(axis=1) * 100.0
+    return np.stack([railed, std, np.clip(1.0 - ((m @ notch.T).std(axis=1) / (std + 1e-9)) ** 2, 0.0, 1.0)], axis=1)
+
+
+def quality_metrics(x: Column, threshold: float, fs: float = SAMPLE_RATE, freq: float = 60.0) -> Column:
+    """rail_pct, std_uv and line_ratio of window arrays, as one struct column."""
 
     @F.pandas_udf("struct<rail_pct:double,std_uv:double,line_ratio:double>")
     def run(v: pd.Series) -> pd.DataFrame:
@@ -51,15 +58,7 @@ def quality_metrics(x: Column, threshold: float, fs: float = SAMPLE_RATE, freq:
         lengths = v.map(len).to_numpy()
         for n in np.unique(lengths[lengths > 0]):
             at = np.flatnonzero(lengths == n)
-            m = np.stack(v.iloc[at].to_list())
-            h = kernels.impulse_response(b, a, int(n))
-            lag = np.arange(n)[:, None] - np.arange(n)[None, :]
-            t = np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0)
-            std = m.std(axis=1)
-            centred = m - m.mean(axis=1, keepdims=True)
-            out[at, 0] = (np.abs(centred) > threshold).mean(axis=1) * 100.0
-            out[at, 1] = std
-            out[at, 2] = np.clip(1.0 - ((m @ t.T).std(axis=1) / (std + 1e-9)) ** 2, 0.0, 1.0)
+            out[at] = metrics_of(np.stack(v.iloc[at].to_list()), threshold, fs, freq)
         return pd.DataFrame(out, columns=["rail_pct", "std_uv", "line_ratio"])
 
     return run(x)
@@ -97,11 +96,18 @@ def sliding_quality(
     samples: DataFrame, window_sec: float = 2.0, step_sec: float = 1.0, profile: str = BENCH,
     fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Metrics and status of each channel over sliding windows."""
+    """Metrics and status of each channel over sliding windows, cut out of the channel's halo frames."""
     w, hop = int(window_sec * fs), int(step_sec * fs)
-    arrays = window_arrays(samples, w, hop, keys)
-    m = quality_metrics(F.col("x"), RAIL_UV[profile], fs)
-    rows = arrays.select(*keys, "win", m.alias("m")).select(*keys, "win", "m.*")
+    threshold = RAIL_UV[profile]
+
+    def measure(frame):
+        for wins, x, held in frame.slabs():
+            whole = held[:, 0].all(axis=1)
+            rail, std, line = metrics_of(x[whole, 0], threshold, fs).T if whole.any() else np.zeros((3, 0))
+            yield {"win": wins[whole], "rail_pct": rail, "std_uv": std, "line_ratio": line}
+
+    frames = halo_frames(samples, w, hop, keys, channel=None)
+    rows = over_frames(frames, keys, w, hop, "win bigint, rail_pct double, std_uv double, line_ratio double", measure)
     return grade(rows, profile)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import ALPHA_RESPONSE_CHANNELS
@@ -30,14 +30,13 @@ def _segment_powers(samples: DataFrame, labels: DataFrame) -> DataFrame:
 def alpha_response(samples: DataFrame, labels: DataFrame, threshold: float = 1.2) -> DataFrame:
     """Relative alpha with eyes closed against open, on the occipital channels.
 
-    Sessions without any of them fall back to their first three channels.
+    Sessions without any of them fall back to the first three channels that they have.
     """
     channels = samples.select("session_id", "channel", "channel_idx").distinct()
     named = F.col("channel").isin(ALPHA_RESPONSE_CHANNELS)
-    has = channels.groupBy("session_id").agg(F.max(named).alias("_has"))
-    tested = channels.join(has, "session_id").where(
-        F.when(F.col("_has"), named).otherwise(F.col("channel_idx") < 3)
-    )
+    montage = Window.partitionBy("session_id")  # the channels of a session, not its samples
+    placed = channels.withColumn("_has", F.max(named).over(montage)).withColumn("_place", F.row_number().over(montage.orderBy("channel_idx")))
+    tested = placed.where(F.when(F.col("_has"), named).otherwise(F.col("_place") <= 3))
     picked = samples.join(tested.select("session_id", "channel"), ["session_id", "channel"], "left_semi")
     return _response(_segment_powers(picked, labels), "alpha", threshold)
 

@@ -122,6 +122,19 @@ def fit_ica(
     return fitted.select("session_id", finish("s").alias("f")).select("session_id", "f.*")
 
 
+def activations(samples: DataFrame, ica: DataFrame, n_channels: int = 16, block: int = BLOCK) -> DataFrame:
+    """(session_id, sample_idx, component, value): the components' time courses at the complete time points."""
+    c = n_channels
+
+    @F.pandas_udf("array<array<double>>")
+    def unmix(x: pd.Series, mean: pd.Series, unmixing: pd.Series) -> pd.Series:
+        return pd.Series([list((v.reshape(-1, c) - np.asarray(m)) @ np.asarray(u).reshape(-1, c).T) for v, m, u in zip(x, mean, unmixing)])
+
+    blocks = spread_join(sample_blocks(samples, c, block), ica.select("session_id", "mean", "unmixing"), ["session_id"], F.col("win"))
+    points = blocks.select("session_id", F.explode(F.arrays_zip("idx", unmix("x", "mean", "unmixing").alias("y"))).alias("z"))
+    return points.select("session_id", F.col("z.idx").alias("sample_idx"), F.posexplode("z.y").alias("component", "value"))
+
+
 def flag_eye_components(
     samples: DataFrame, ica: DataFrame, eog_idx: Sequence[int] = tuple(CHANNEL_NAMES.index(n) for n in EOG_PROXIES), z_threshold: float = 3.0,
     n_channels: int = 16, max_rounds: int = 10,

@@ -156,12 +156,22 @@ def rms_envelope(
     """Moving root mean square, always divided by the window size (zeros where there is no sample)."""
     k = max(1, int(window_sec * fs))
     left, right = k // 2, k - 1 - k // 2
-    rows = with_halo(samples.select(*keys, "sample_idx", "uv"), length, left, right)
-    w = Window.partitionBy(*keys, "chunk").orderBy("sample_idx").rangeBetween(-left, right)
-    total = F.sum(F.col("uv") * F.col("uv")).over(w)
-    return (
-        rows.withColumn("rms", F.sqrt(total / k)).where(own(length)).select(*keys, "sample_idx", "rms")
-    )
+    keys = list(keys)
+
+    @F.pandas_udf("struct<i:array<bigint>,y:array<double>>")
+    def run(chunk: pd.Series, p: pd.Series, x: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, at, v in zip(chunk, p, x):
+            first, grid = c * length, np.zeros(length + left + right)
+            grid[at - first + left] = np.nan_to_num(np.asarray(v, float)) ** 2
+            total = np.convolve(grid, np.ones(k), "valid")
+            mine = at[at // length == c]
+            out.append((mine, np.sqrt(total[mine - first] / k)))
+        return pd.DataFrame(out, columns=["i", "y"])
+
+    arrays = chunk_arrays(samples, length, left, right, keys, positions=True).select(*keys, run("chunk", "p", "x").alias("r"))
+    pairs = arrays.select(*keys, F.explode(F.arrays_zip(F.col("r.i").alias("i"), F.col("r.y").alias("y"))).alias("e"))
+    return pairs.select(*keys, F.col("e.i").alias("sample_idx"), F.col("e.y").alias("rms"))
 
 
 def normalise(
@@ -186,32 +196,24 @@ def normalise(
 # ---------------------------------------------------------------- state equations
 
 
-def step_maps(
-    driven: DataFrame, solver: str = "euler", equations: dict[str, tuple[float, float]] = EQUATIONS,
-    fs: float = SAMPLE_RATE, keys: Sequence[str] = KEYS, length: int = CHUNK,
-) -> DataFrame:
-    """Per sample the affine maps of both states: a' = ma a + qa, c' = mc c + qc.
+def _step_maps(at: np.ndarray, f: np.ndarray, chunk: int, length: int, solver: str, rate: float, initial: float, dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """Affine maps (m, q) of one state, y' = m y + q, for the chunk's own samples; ``at`` may hold the one before.
 
-    A sample without a predecessor, at whatever index, resets to the initial values (multiplier 0).
+    A sample without a predecessor, at whatever index, resets to the initial value (m = 0).
     """
-    dt = 1.0 / fs
-    rows = with_halo(driven.select(*keys, "sample_idx", "f"), length, 1, 0)
-    w = Window.partitionBy(*keys, "chunk").orderBy("sample_idx")
-    rows = rows.withColumn("f0", F.lag("f").over(w)).withColumn("_gap", F.col("sample_idx") - F.lag("sample_idx").over(w))
-    rows = rows.where(own(length))
-    f0, f1 = F.col("f0"), F.col("f")
-    steps = {"euler": lambda rate: (1 + dt * (rate - f0), dt * f0), "rk4": lambda rate: _rk4_map(rate, f0, f1, dt)}
-    first, cols = F.coalesce(F.col("_gap") != 1, F.lit(True)), []
-    for s, (rate, initial) in equations.items():
-        m, q = steps[solver](F.lit(rate))
-        cols += [
-            F.when(first, F.lit(0.0)).otherwise(m).alias(f"m{s}"),
-            F.when(first, F.lit(float(initial))).otherwise(q).alias(f"q{s}"),
-        ]
-    return rows.select(*keys, "chunk", "sample_idx", *cols)
-
-
-def _rk4_map(rate: Column, f0: Column, f1: Column, dt: float) -> tuple[Column, Column]:
+    f0, f1 = np.concatenate([[0.0], f[:-1]]), f
+    if solver == "euler":
+        m, q = 1 + dt * (rate - f0), dt * f0
+    elif solver == "rk4":
+        m, q = _rk4_map(rate, f0, f1, dt)
+    else:
+        raise ValueError(f"unknown solver: {solver}")
+    first = np.diff(at, prepend=at[:1] - 2) != 1
+    own = at // length == chunk
+    return np.where(first, 0.0, m)[own], np.where(first, initial, q)[own]
+
+
+def _rk4_map(rate: float, f0: np.ndarray, f1: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
     """Multiplier and offset of one classical Runge-Kutta step of y' = rate y + f (1 - y)."""
     fm = 0.5 * (f0 + f1)
     g0, gm, g1 = rate - f0, rate - fm, rate - f1
@@ -220,12 +222,7 @@ def _rk4_map(rate: Column, f0: Column, f1: Column, dt: float) -> tuple[Column, C
     k2 = (gm * (1 + dt / 2 * k1[0]), gm * (dt / 2) * k1[1] + fm)
     k3 = (gm * (1 + dt / 2 * k2[0]), gm * (dt / 2) * k2[1] + fm)
     k4 = (g1 * (1 + dt * k3[0]), g1 * dt * k3[1] + f1)
-    return tuple(
-        (1 if i == 0 else 0) + dt / 6 * (k1[i] + 2 * k2[i] + 2 * k3[i] + k4[i]) for i in (0, 1)
-    )
-
-
-_FOUR = ("ma", "qa", "mc", "qc")
+    return tuple((1 if i == 0 else 0) + dt / 6 * (k1[i] + 2 * k2[i] + 2 * k3[i] + k4[i]) for i in (0, 1))
 
 
 def _run(m, q, s: float) -> np.ndarray:
@@ -239,7 +236,10 @@ def _run(m, q, s: float) -> np.ndarray:
     return m * s + q
 
 
-def _composite(*maps: Column) -> Column:
+_FOUR = ("ma", "qa", "mc", "qc")
+
+
+def _composed(*maps: Column) -> Column:
     """Fold a row's maps of both states into one map each."""
 
     @F.pandas_udf("struct<ma:double,qa:double,mc:double,qc:double>")
@@ -252,61 +252,45 @@ def _composite(*maps: Column) -> Column:
     return run(*maps)
 
 
-def _states(before: bool):
-    """Both states along a row of maps; ``before`` gives the state each map starts from."""
+def _before(*columns: Column) -> Column:
+    """Both states before each of a row's maps; the last two columns are the states it starts from."""
 
     @F.pandas_udf("struct<a:array<double>,c:array<double>>")
-    def run(
-        ma: pd.Series, qa: pd.Series, mc: pd.Series, qc: pd.Series, sa: pd.Series, sc: pd.Series
-    ) -> pd.DataFrame:
-        out = []
-        for va, wa, vc, wc, a0, c0 in zip(ma, qa, mc, qc, sa, sc):
-            a, c = _run(va, wa, a0), _run(vc, wc, c0)
-            if before:
-                a, c = np.r_[a0, a[:-1]], np.r_[c0, c[:-1]]
-            else:
-                a, c = np.clip(a, 0.0, 1.0), np.clip(c, 0.0, 1.0)
-            out.append((a, c))
+    def run(ma: pd.Series, qa: pd.Series, mc: pd.Series, qc: pd.Series, sa: pd.Series, sc: pd.Series) -> pd.DataFrame:
+        rows = zip(ma, qa, mc, qc, sa, sc)
+        out = [(np.r_[a0, _run(va, wa, a0)[:-1]], np.r_[c0, _run(vc, wc, c0)[:-1]]) for va, wa, vc, wc, a0, c0 in rows]
         return pd.DataFrame(out, columns=["a", "c"])
 
-    return run
+    return run(*columns)
 
 
-def _zipped(states: str) -> Column:
-    return F.arrays_zip(F.col("i").alias("i"), F.col(f"{states}.a").alias("a"), F.col(f"{states}.c").alias("c"))
+def _packed(place: str) -> Column:
+    fields = [F.col(f"t.{n}").alias(n) for n in _FOUR]
+    return F.array_sort(F.collect_list(F.struct(F.col(place).alias("i"), *fields))).alias("g")
 
 
-def _maps(column: str) -> list[Column]:
-    return [F.col(f"{column}.{n}") for n in _FOUR]
+def _maps() -> list[Column]:
+    return [F.col(f"g.{n}") for n in _FOUR]
 
 
-def _pack(idx: str, *prefix: str) -> Column:
-    fields = [F.col(".".join([*prefix, n])).alias(n) for n in _FOUR]
-    return F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *fields))).alias("g")
+def _states_before(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name, sa, sc): both states before each map of the packed rows, from the rows' a0 and c0."""
+    inner = rows.select(*keys, F.col("g.i").alias("i"), _before(*_maps(), F.col("a0"), F.col("c0")).alias("s"))
+    one = F.explode(F.arrays_zip(F.col("i"), F.col("s.a").alias("a"), F.col("s.c").alias("c"))).alias("z")
+    return inner.select(*keys, one).select(*keys, F.col("z.i").alias(name), F.col("z.a").alias("sa"), F.col("z.c").alias("sc"))
 
 
-def _chunk_starts(totals: DataFrame, keys: list[str], fan: int, levels: int = 3) -> DataFrame:
-    """(keys, chunk, sa, sc): both states before each chunk, scanned in levels of at most ``fan`` entries.
+def _chunk_starts(totals: DataFrame, keys: list[str], fan: int) -> DataFrame:
+    """(keys, chunk, sa, sc): both states before each chunk, scanned in two levels.
 
-    Level by level the maps of ``fan`` neighbours become one; the top level holds what remains. With a
-    fan of 4096 and chunks of 4096 samples three levels reach beyond any 64-bit index.
+    The maps of ``fan`` neighbouring chunks become one, and those of a key meet in a row: with chunks and a
+    fan of 4096 such a row has one entry per 37 hours of a recording at 125 Hz.
     """
-    zero = F.lit(0.0)
-    packed = []
-    current = totals.withColumnRenamed("chunk", "at")
-    for level in range(levels):
-        up = F.expr(f"at div {fan}") if level < levels - 1 else F.lit(0).cast("bigint")
-        groups = current.withColumn("up", up).groupBy(*keys, "up").agg(_pack("at", "t"))
-        packed.append(groups)
-        current = groups.select(*keys, F.col("up").alias("at"), _composite(*_maps("g")).alias("t"))
-    starts = packed[-1].select(*keys, "up", "g", zero.alias("a0"), zero.alias("c0"))
-    for level in range(levels - 1, -1, -1):
-        inner = starts.select(*keys, F.col("g.i").alias("i"), _states(True)(*_maps("g"), F.col("a0"), F.col("c0")).alias("s"))
-        inner = inner.select(*keys, F.explode(_zipped("s")).alias("z"))
-        inner = inner.select(*keys, F.col("z.i").alias("up"), F.col("z.a").alias("a0"), F.col("z.c").alias("c0"))
-        if level:
-            starts = packed[level - 1].join(inner, [*keys, "up"])
-    return inner.withColumnsRenamed({"up": "chunk", "a0": "sa", "c0": "sc"})
+    groups = totals.withColumn("up", F.expr(f"chunk div {fan}")).groupBy(*keys, "up").agg(_packed("chunk"))
+    tops = groups.select(*keys, "up", _composed(*_maps()).alias("t")).groupBy(*keys).agg(_packed("up"))
+    tops = tops.withColumn("a0", F.lit(0.0)).withColumn("c0", F.lit(0.0))
+    starts = groups.join(_states_before(tops, keys, "up").withColumnsRenamed({"sa": "a0", "sc": "c0"}), [*keys, "up"])
+    return _states_before(starts, keys, "chunk")
 
 
 def solve_states(
@@ -315,49 +299,61 @@ def solve_states(
 ) -> DataFrame:
     """(keys, sample_idx, a, c): both states, clipped to [0, 1] after the recurrence.
 
-    Chunks are packed once; their composites are scanned in levels of at most
-    ``fan`` entries, and each chunk is replayed from its own start state.
+    The drive is exchanged once, as chunks that carry the sample before them. A chunk's steps are affine in the
+    state, so it is one map; the maps are scanned and each chunk is replayed from its own start.
     """
     keys = list(keys)
-    maps = step_maps(driven, solver, equations, fs, keys, length)
-    chunks = maps.groupBy(*keys, "chunk").agg(_pack("sample_idx"))
-    totals = chunks.select(*keys, "chunk", _composite(*_maps("g")).alias("t"))
+    if solver not in ("euler", "rk4"):
+        raise ValueError(f"unknown solver: {solver}")
+    (rate_a, first_a), (rate_c, first_c) = equations["a"], equations["c"]
+    dt = 1.0 / fs
+
+    def both(chunk: int, at: np.ndarray, f: np.ndarray) -> list[np.ndarray]:
+        f = np.asarray(f, float)
+        return [x for rate, first in ((rate_a, first_a), (rate_c, first_c)) for x in _step_maps(at, f, chunk, length, solver, rate, first, dt)]
+
+    @F.pandas_udf("struct<ma:double,qa:double,mc:double,qc:double>")
+    def total(chunk: pd.Series, p: pd.Series, x: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, at, f in zip(chunk, p, x):
+            ma, qa, mc, qc = both(c, at, f)
+            rows.append((np.prod(ma), _run(ma, qa, 0.0)[-1], np.prod(mc), _run(mc, qc, 0.0)[-1]))
+        return pd.DataFrame(rows, columns=list(_FOUR))
+
+    @F.pandas_udf("struct<i:array<bigint>,a:array<double>,c:array<double>>")
+    def replay(chunk: pd.Series, p: pd.Series, x: pd.Series, sa: pd.Series, sc: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, at, f, a0, c0 in zip(chunk, p, x, sa, sc):
+            ma, qa, mc, qc = both(c, at, f)
+            rows.append((at[at // length == c], np.clip(_run(ma, qa, a0), 0.0, 1.0), np.clip(_run(mc, qc, c0), 0.0, 1.0)))
+        return pd.DataFrame(rows, columns=["i", "a", "c"])
+
+    chunks = chunk_arrays(driven, length, 1, 0, keys, value="f", positions=True)
+    totals = chunks.select(*keys, "chunk", total("chunk", "p", "x").alias("t"))
     joined = chunks.join(_chunk_starts(totals, keys, fan), [*keys, "chunk"])
-    solved = joined.select(
-        *keys,
-        F.col("g.i").alias("i"),
-        _states(False)(*_maps("g"), F.col("sa"), F.col("sc")).alias("y"),
-    )
-    return solved.select(*keys, F.explode(_zipped("y")).alias("z")).select(
-        *keys, F.col("z.i").alias("sample_idx"), F.col("z.a").alias("a"), F.col("z.c").alias("c")
-    )
+    solved = joined.select(*keys, replay("chunk", "p", "x", "sa", "sc").alias("y"))
+    steps = solved.select(*keys, F.explode(F.arrays_zip(F.col("y.i").alias("i"), F.col("y.a").alias("a"), F.col("y.c").alias("c"))).alias("z"))
+    return steps.select(*keys, F.col("z.i").alias("sample_idx"), F.col("z.a").alias("a"), F.col("z.c").alias("c"))
 
 
 # ---------------------------------------------------------------- phase
 
 
-def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, max_direct: int = 1 << 20) -> DataFrame:
-    """(keys, sample_idx, b): phase of the analytic signal of the whole channel, in [0, 2 pi).
+def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, piece: int = 1 << 20) -> DataFrame:
+    """(keys, sample_idx, b): phase of the analytic signal of each gapless stretch, in [0, 2 pi).
 
-    The transform needs a channel's whole length.  Channels of up to
-    ``max_direct`` samples (2.3 hours, 8 MB) are transformed in one piece; longer
-    ones go through a transform split over tasks.  Lengths are counted first and
-    each path is planned only if some channel needs it.
+    The transform needs a stretch's whole length. Stretches of up to ``piece`` samples (2.3 hours, 8 MB) are
+    transformed where they meet, after one exchange; the transform of a longer one is split over tasks. Both are one plan,
+    made without looking at the data: sizes are columns, and Spark drops the branch that gets no rows.
     """
     from .longphase import split_phase
 
     keys = list(keys)
-    lengths = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    longest = lengths.agg(F.max("_n")).first()[0] or 0
-    if longest <= max_direct:
-        return _direct_phase(samples, keys)
-    sized = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("sample_idx").alias("_last"))
-    rows = section_join(samples, sized, keys, "_last").drop("_last")
-    short = rows.where(F.col("_n") <= max_direct).drop("_n")
-    long = gapless_stretches(rows.where(F.col("_n") > max_direct).drop("_n"), keys)
-    phase = split_phase(long, [*keys, "stretch"], int(longest))
-    whole = phase.select(*keys, (F.col("sample_idx") + F.col("stretch")).alias("sample_idx"), "b")
-    return _direct_phase(short, keys).unionByName(whole)
+    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("sample_idx").alias("_last"))
+    rows = section_join(samples.select(*keys, "sample_idx", "uv"), sizes, keys, "_last").drop("_last")
+    long = gapless_stretches(rows.where(F.col("_n") > piece).drop("_n"), keys)
+    whole = split_phase(long, [*keys, "stretch"]).select(*keys, (F.col("sample_idx") + F.col("stretch")).alias("sample_idx"), "b")
+    return _direct_phase(rows.where(F.col("_n") <= piece), keys).unionByName(whole)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -449,7 +445,8 @@ def stimulus_epochs(
     """Samples around each marker, minus the epoch's baseline mean.
 
     A marker becomes the sample indexes it covers, so this is an equi join on
-    (session, sample index); overlapping epochs each get their own copy.
+    (session, sample index); overlapping epochs each get their own copy. An epoch that
+    misses a sample, at the recording's edge or in a gap, is left out.
     """
     lo, hi = int(round(tmin * fs)), int(round(tmax * fs))
     wanted = markers.select(
@@ -459,10 +456,11 @@ def stimulus_epochs(
     cut = samples.select("session_id", "channel_idx", "sample_idx", "uv").join(
         wanted.where("sample_idx >= 0"), ["session_id", "sample_idx"]
     )
+    w = Window.partitionBy("session_id", "channel_idx", "onset", "label")
+    cut = cut.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") == hi - lo + 1).drop("_n")
     if baseline is None:
         return cut
     b0, b1 = int(round(baseline[0] * fs)), int(round(baseline[1] * fs))
-    w = Window.partitionBy("session_id", "channel_idx", "onset")
     before = F.avg(F.when(F.col("offset").between(b0, b1), F.col("uv"))).over(w)
     return cut.withColumn("uv", F.col("uv") - before)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..dims import BANDS, FOCUS_PAIRS, SAMPLE_RATE, values_table
 from ..functions import kernels
+from ..functions.frames import halo_frames, over_frames
 from ..functions.layout import KEYS, section_join, sorted_values
 from .windows import assign_windows, center_sec
 
@@ -262,19 +263,20 @@ def global_coherence(pairwise: DataFrame, keys: Sequence[str]) -> DataFrame:
 def focus_coherence(
     spans: DataFrame,
     keys: Sequence[str],
-    lo: float,
-    hi: float,
+    bands: dict[str, tuple[float, float]],
     names: Sequence[str],
     pairs: Sequence[tuple[str, str]] = FOCUS_PAIRS,
 ) -> DataFrame:
-    """Coherence of named pairs only (channels are selected before any FFT)."""
+    """(keys, pair, band, coherence) of named pairs only (channels are selected before any FFT)."""
     index = {n: i for i, n in enumerate(names)}
-    wanted = [tuple(sorted((index[a], index[b]))) for a, b in pairs if a in index and b in index]
-    used = sorted({i for p in wanted for i in p})
-    got = coherence(spans.where(F.col("channel_idx").isin(used)), keys, lo, hi, pairs=wanted)
-    named = values_table(
-        spans.sparkSession, ["ch_i", "ch_j", "pair"], [(*sorted((index[a], index[b])), f"{a}-{b}") for a, b in pairs if a in index and b in index]
-    )
+    held = [(a, b) for a, b in pairs if a in index and b in index]
+    wanted = [tuple(sorted((index[a], index[b]))) for a, b in held]
+    picked = spans.where(F.col("channel_idx").isin(sorted({i for p in wanted for i in p})))
+    got = None
+    for band, (lo, hi) in bands.items():
+        one = coherence(picked, keys, lo, hi, pairs=wanted).withColumn("band", F.lit(band))
+        got = one if got is None else got.unionByName(one)
+    named = values_table(spans.sparkSession, ["ch_i", "ch_j", "pair"], [(i, j, f"{a}-{b}") for (a, b), (i, j) in zip(held, wanted)])
     return got.join(F.broadcast(named), ["ch_i", "ch_j"]).drop("ch_i", "ch_j")
 
 
@@ -333,13 +335,32 @@ def encode_sliding(
     mode: str = "global",
     coherence_nperseg: int | None = None,
 ) -> DataFrame:
-    """The encoding over sliding windows; sizes are truncated to whole samples."""
+    """(session_id, win, channel_idx, a, b, c, center_sec) over sliding windows; sizes are truncated to whole samples.
+
+    Windows are slices of halo frames: one exchange of the samples, no row per window and sample. A channel's
+    window that misses a sample has no row, nor any part in the coherence of the others.
+    """
     w, step = int(window_sec * fs), int(step_sec * fs)
-    spans = spans_from_windows(samples, w, step)
-    out = encode_multichannel(
-        spans, ["session_id", "win"], mode, nperseg=w, fs=fs, averaged=False,
-        coherence_nperseg=coherence_nperseg,
-    )
+    if mode not in ("global", "per_channel"):
+        raise ValueError(f"unknown coherence mode: {mode}")
+
+    def encode(frame):
+        for wins, x, held in frame.slabs():
+            whole = held.all(axis=2)
+            at, ch = np.nonzero(whole)
+            powers = dict(zip(BANDS, kernels.relative_powers(kernels.density(x[at, ch], fs, "hann"), fs, w, BANDS).T))
+            phase = powers["alpha"]
+            if mode == "global":
+                pairs = kernels.window_coherence(x, held & whole[..., None], 8.0, 13.0, coherence_nperseg or w, fs)[2]
+                shared = kernels.mean_of(pairs)
+                phase = np.where(np.isnan(shared), 0.5, shared)[at]
+            yield {
+                "win": wins[at], "channel_idx": frame.channels[ch], "a": powers["beta"] + powers["gamma"],
+                "b": phase * 2 * np.pi, "c": powers["delta"] + powers["theta"],
+            }
+
+    frames = halo_frames(samples, w, step)
+    out = over_frames(frames, ["session_id"], w, step, "win bigint, channel_idx int, a double, b double, c double", encode)
     return out.withColumn("center_sec", center_sec(w, step, fs))
 
 

@@ -202,8 +202,8 @@ def c13(spark, sf):
     "c14_evoked_response",
     with_(S_SQL, M_SQL)
     + """, ep as (select s.session_id, s.channel_idx, sample_index onset, label, (sample_idx - sample_index)::int "offset", uv from s join m on s.session_id = m.session_id and sample_idx between sample_index - 25 and sample_index + 100),
-  bl as (select *, uv - avg(uv) filter ("offset" between -25 and 0) over (partition by session_id, channel_idx, onset) v from ep)
-  select label, channel_idx, "offset", round(avg(v), 5) + 0.0 uv, count(*) n from bl group by all""",
+  bl as (select *, uv - avg(uv) filter ("offset" between -25 and 0) over (partition by session_id, channel_idx, onset, label) v, count(*) over (partition by session_id, channel_idx, onset, label) held from ep)
+  select label, channel_idx, "offset", round(avg(v), 5) + 0.0 uv, count(*) n from bl where held = 126 group by all""",
 )
 def c14(spark, sf):
     epochs = C.stimulus_epochs(views.samples(spark, sf), views.markers(spark, sf))

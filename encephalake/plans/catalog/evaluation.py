@@ -16,7 +16,7 @@ from ...operators.project import channel_subset
 from ...session import materialise
 from ...operators.spectral import encode_sliding, spans_from_windows
 from .. import views
-from .base import K_SQL, M_SQL, S_SQL, STATES_SQL, encoded_sql, pick, query, sel, with_
+from .base import K_SQL, M_SQL, S_SQL, STATES_SQL, encoded_sql, pick, query, sel, windows_sql, with_
 from .windows import intervals
 
 _PRED = "kp as (select *, (score > (select quantile_cont(score, 0.5) from k))::int prediction from k)"
@@ -45,13 +45,12 @@ def k1(spark, sf):
 
 @query(
     "k2_stratified_split",
-    with_(K_SQL) + "select truth, round(count(*) * 0.3)::bigint n_test, (count(*) - round(count(*) * 0.3))::bigint n_train from k group by all",
+    with_(K_SQL)
+    + """, o as (select *, ('0x' || substr(md5(doc_id || ':42'), 1, 15))::bigint h from k)
+  select doc_id, truth, row_number() over (partition by truth order by h, doc_id) - 1 < round(0.3::double * count(*) over (partition by truth)) is_test from o""",
 )
 def k2(spark, sf):
-    out = K.stratified_split(views.scores(spark, sf), "truth", ["doc_id"])
-    return out.groupBy("truth").agg(
-        F.sum(F.col("is_test").cast("bigint")).alias("n_test"), F.sum((~F.col("is_test")).cast("bigint")).alias("n_train")
-    )
+    return K.stratified_split(views.scores(spark, sf), "truth", ["doc_id"]).select("doc_id", "truth", "is_test")
 
 
 @query(
@@ -73,14 +72,34 @@ def labelled_windows(spark, sf):
     return E.channel_features(spans, keys, averaged=False).join(states, keys)
 
 
+def split_windows(spark, sf):
+    return materialise(K.stratified_split(labelled_windows(spark, sf), "label", ["session_id", "channel_idx", "win"]), "windows")
+
+
 @query("k3_boosted_trees")
 def k3(spark, sf):
-    rows = K.stratified_split(labelled_windows(spark, sf), "label", ["session_id", "channel_idx", "win"])
-    rows = rows.persist()
+    rows = split_windows(spark, sf)
     model = K.train_boosted_trees(rows.where(~F.col("is_test")), E.feature_names())
-    out = K.predict(model, rows.where("is_test"))
-    rows.unpersist()
-    return K.classification_metrics(out, (), "label").join(K.auc_table(out, (), "label"))
+    out = K.predict(model, rows.where("is_test")).withColumn("_all", F.lit(0))
+    return K.classification_metrics(out, ["_all"], "label").join(K.auc_table(out, ["_all"], "label"), "_all").drop("_all")
+
+
+@query(
+    "k3_trees_fit_their_rows",
+    with_(S_SQL, M_SQL, STATES_SQL, windows_sql("wn", hop=62))
+    + """, lw as (select distinct wn.session_id, channel_idx, win, right(label, 1)::int % 2 as label from wn join iv on wn.session_id = iv.session_id and (win * 62 + 125.0::double) / 125 >= onset_sec and (win * 62 + 125.0::double) / 125 < end_sec),
+  o as (select *, ('0x' || substr(md5(session_id || ':' || channel_idx || ':' || win || ':42'), 1, 15))::bigint h from lw),
+  t as (select *, row_number() over (partition by label order by h, session_id, channel_idx, win) - 1 < round(0.3::double * count(*) over (partition by label)) is_test from o)
+  select is_test, label, count(*) n, case when is_test then null else true end fitted from t group by all""",
+)
+def k3_fit(spark, sf):
+    """Rows of each class on either side of the split; the trees must separate the rows they were trained on."""
+    rows = split_windows(spark, sf)
+    model = K.train_boosted_trees(rows.where(~F.col("is_test")), E.feature_names(), trees=10, depth=5)
+    fit = K.auc_table(K.predict(model, rows.where(~F.col("is_test"))).withColumn("_all", F.lit(0)), ["_all"], "label")
+    counts = rows.groupBy("is_test", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+    out = counts.join(fit.select("_all", (F.col("auc") > 0.8).alias("_good")), "_all")
+    return out.select("is_test", "label", "n", F.when(~F.col("is_test"), F.col("_good")).alias("fitted"))
 
 
 _METRICS = "n_samples accuracy:6 precision:6 recall:6 f1:6"
@@ -271,7 +290,8 @@ def templates_sql(channels: str) -> str:
     return with_(S_SQL, M_SQL, STATES_SQL, encoded_sql(62), _ENC_SQL) + f""", sg as (select * from am where channel_idx in ({channels}) qualify count(*) over (partition by session_id, win) = {len(channels.split(','))}),
   tg as (select q.session_id, win, right(iv.label, 1)::int % 2 as label from (select distinct session_id, win, (win * 62 + 125.0::double) / 125 ce from sg) q join iv on iv.session_id = q.session_id and ce >= onset_sec and ce < end_sec),
   sp_ as (select *, row_number() over (partition by session_id order by win) - 1 < floor(round(0.7 * count(*) over (partition by session_id), 9)) is_train from tg),
-  tr as (select sg.*, label from sg join sp_ using (session_id, win) where is_train),
+  fit as (select session_id, win, label from sp_ where is_train qualify row_number() over (partition by label order by md5(session_id || ':' || win), session_id, win) <= {L.MAX_TRAINING}),
+  tr as (select sg.*, label from sg join fit using (session_id, win)),
   nd as (select x.label, x.session_id s1, x.win w1, y.session_id s2, y.win w2, x.channel_idx, {_DOT['re']} re, {_DOT['im']} im from tr x join tr y on x.label = y.label and x.channel_idx = y.channel_idx),
   te as (select label, sum(g.re) norm, round(sqrt(count(*)))::bigint m from ({_fold('nd', 'label, s1, w1, s2, w2')}) group by label),
   fd as (select y.session_id, y.win, x.label, x.session_id s1, x.win w1, x.channel_idx, {_DOT['re']} re, {_DOT['im']} im from tr x join sg y on x.channel_idx = y.channel_idx),
@@ -285,12 +305,12 @@ _BEST = "select session_id, win, arg_max(label, f) prediction, round(max(f), 6)
 
 
 def templates(spark, sf, subset="4"):
-    return L.build_templates(split_states(spark, sf, subset).where("is_train"), ["label"])
+    return L.build_templates(split_states(spark, sf, subset).where("is_train"), ["label"], SEG)
 
 
 def fidelities(spark, sf, subset="4"):
     states = split_states(spark, sf, subset)
-    return L.template_fidelity(states.select(*SEG, "amps"), L.build_templates(states.where("is_train"), ["label"]), SEG)
+    return L.template_fidelity(states.select(*SEG, "amps"), L.build_templates(states.where("is_train"), ["label"], SEG), SEG)
 
 
 for _suffix, _subset, _channels in (("", "4", _FOUR), ("_16", "16", _ALL)):

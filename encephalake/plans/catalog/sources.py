@@ -8,7 +8,7 @@ from ...dims import values_table
 from ...operators.project import artifact_components
 from ...session import scratch_path
 from ...sources import encodings as X
-from ...sources import logs, recordings, sessions
+from ...sources import array_folders, logs, recordings, sessions
 from .. import views
 from .base import L_SQL, M_SQL, S_SQL, encoded_sql, pick, query, sel, with_
 from .evaluation import _ALL, _FOUR, _TEMPLATES, templates, templates_sql
@@ -20,21 +20,44 @@ _UV = "session_id channel sample_idx uv:6"
 
 @query("a1_read_recordings", with_(S_SQL) + "select session_id, channel, sample_idx, sample_idx / 125.0::double t_sec, round(uv * 1e-6, 12) + 0.0 volts from s")
 def a1(spark, sf):
-    df = views.samples(spark, sf).withColumn("t_sec", F.col("sample_idx") / 125.0).withColumn("volts", F.col("uv") * 1e-6)
+    """The view written as array folders, 500 samples each, and read back through the data source."""
+    root = scratch_path(spark, "folders")
+    array_folders.write(views.samples(spark, sf), root, part=500).write.format("noop").mode("overwrite").save()
+    back = array_folders.read(spark, root)
+    df = back.withColumn("t_sec", F.col("sample_idx") / 125.0).withColumn("volts", F.col("uv") * 1e-6)
     return pick(df, "session_id channel sample_idx t_sec volts:12")
 
 
-@query("a2_rows_of_kind", with_(L_SQL) + "select session_id, channel_idx row_idx, sample_idx, uv from l where channel_idx <= 5")
+@query(
+    "a2_rows_of_kind",
+    with_(L_SQL)
+    + """select e.session_id, e.channel_idx row_idx, e.sample_idx, e.uv, round(coalesce(b.uv + (e.sample_idx - b.sample_idx) / 125.0::double, e.sample_idx / 125.0::double), 6) t_sec
+  from (select * from l where channel_idx <= 5) e asof left join (select * from l where channel_idx = 6) b on e.session_id = b.session_id and e.sample_idx >= b.sample_idx""",
+)
 def a2(spark, sf):
+    """Channel rows with the board's time, which is row 6 and ends earlier than some channels."""
     kinds = [(i, "eeg" if i <= 5 else "timestamp" if i == 6 else "marker") for i in range(1, 8)]
+    table = values_table(spark, ["row_idx", "kind"], kinds)
     rows = views.volume_samples(spark, sf).withColumnRenamed("channel_idx", "row_idx")
-    out = recordings.by_kind(rows, values_table(spark, ["row_idx", "kind"], kinds))
-    return out.select("session_id", "row_idx", "sample_idx", "uv")
+    times = recordings.by_kind(rows, table, "timestamp").select("session_id", "sample_idx", F.col("uv").alias("board_sec"))
+    out = recordings.board_time(recordings.by_kind(rows, table).select("session_id", "row_idx", "sample_idx", "uv"), times)
+    return pick(out, "session_id row_idx sample_idx uv t_sec:6")
 
 
-@query("a3_session_markers", with_(M_SQL) + "select session_id, sample_index, marker_id, label, sample_index / 125.0::double onset_sec, 0.0::double duration_sec from m")
+@query(
+    "a3_session_markers",
+    with_(S_SQL, M_SQL)
+    + """, e as (select session_id, count(*) n_samples, max(sample_idx) / 125.0::double last_sec from s group by 1)
+  select session_id, sample_index, marker_id, label, sample_index / 125.0::double onset_sec, 0.0::double duration_sec, n_samples, last_sec from m join e using (session_id)""",
+)
 def a3(spark, sf):
-    return recordings.with_onsets(views.markers(spark, sf))
+    """A stored session as ``read_session`` gives it: markers with onsets, and the extent of its samples."""
+    root = scratch_path(spark, "session")
+    recordings.append(views.samples(spark, sf), root, "samples")
+    recordings.append(views.markers(spark, sf), root, "markers")
+    samples, markers = recordings.read_session(spark, root)
+    extent = samples.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_samples"), F.max("t_sec").alias("last_sec"))
+    return markers.join(extent, "session_id")
 
 
 @query("a4_append_samples", with_(S_SQL) + "select session_id, channel, count(*) n, max(sample_idx) last_idx, round(avg(uv), 6) + 0.0 mean_uv from s group by all")
@@ -54,16 +77,62 @@ def a4(spark, sf):
 
 @query(
     "a5_cleaned_provenance",
-    with_(COMPONENTS_SQL)
-    + f"""select u.session_id, true ica_applied, 'events' ica_source, coalesce(n, 0)::bigint ica_n_excluded, coalesce(l, '') ica_excluded_labels from (select distinct session_id from comp) u
-    left join (select session_id, count(*) n, string_agg(label, ',' order by component) l from {_REJECTED} group by 1) r using (session_id)""",
+    with_(S_SQL, M_SQL, COMPONENTS_SQL)
+    + f""", ex as (select 'S' || (substr(session_id, 2)::bigint % 2) session_id, component, label from {_REJECTED} group by all),
+  rm as (select count(*) n_removed, coalesce(string_agg(label, ',' order by component), '') l from ex where session_id = 'S1'),
+  mk as (select session_id, count(*) n_markers from m group by 1),
+  fb as (select 'S' || (user_id % 2) session_id, count(*) n_feedback, round(sum(value::float::double), 3) sum_state from events group by 1),
+  ch as (select session_id, channel, session_id = 'S1' cleaned, count(*) n, avg(uv) mean, max(sample_idx) * 0.01::double last from s group by all)
+  select session_id, channel, n, round(case when cleaned then mean * 0.5 else mean end, 6) + 0.0 mean_uv, round(last, 6) last_sec, n_markers, n_feedback, sum_state, 'rest' as task,
+    case when cleaned then 'true' end ica_applied, case when cleaned then 'events' end ica_source, case when cleaned then n_removed::varchar end ica_n_excluded, case when cleaned then l end ica_excluded_labels
+  from ch join mk using (session_id) join fb using (session_id), rm""",
 )
 def a5(spark, sf):
-    comp = components(spark, sf)
-    _, facts = recordings.save_cleaned(
-        comp, comp.select("session_id").distinct(), artifact_components(comp, 0.5), "events"
+    """Two sessions are stored, one is cleaned as a version of its own, and all tables are read again."""
+    root = scratch_path(spark, "versions")
+    samples = views.samples(spark, sf).withColumn("t_sec", F.col("sample_idx") * 0.01)
+    feedback = views.table(spark, sf, "events").select(
+        F.concat(F.lit("S"), F.col("user_id") % 2).alias("session_id"), (F.col("event_id") * 0.5).alias("t_sec"), F.col("value").alias("state")
     )
-    return facts.select("session_id", "ica_applied", "ica_source", "ica_n_excluded", "ica_excluded_labels")
+    registered = sessions.register(samples, attrs={"task": "rest"})
+    recordings.write_version(spark, root, {"samples": samples, "markers": views.markers(spark, sf), "feedback": feedback, "sessions": registered})
+    found = artifact_components(components(spark, sf), 0.5)
+    user = F.expr("concat('S', cast(substr(session_id, 2) as bigint) % 2)")
+    removed = found.select(user.alias("session_id"), "component", "label").distinct()
+    stored = recordings.read_version(spark, root, "samples").where("session_id = 'S1'")
+    recordings.save_cleaned(spark, root, stored.withColumn("uv", F.col("uv") * 0.5), removed, "events")
+    back, markers = recordings.read_session(spark, root)
+    out = back.groupBy("session_id", "channel").agg(F.count(F.lit(1)).alias("n"), F.avg("uv").alias("mean_uv"), F.max("t_sec").alias("last_sec"))
+    marked = markers.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_markers"))
+    state = F.sum(F.col("state").cast("double")).alias("sum_state")
+    fed = recordings.read_version(spark, root, "feedback").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_feedback"), state)
+    names = ["task", "ica_applied", "ica_source", "ica_n_excluded", "ica_excluded_labels"]
+    facts = recordings.read_version(spark, root, "sessions").select("session_id", *[F.col("attrs")[n].alias(n) for n in names])
+    joined = out.join(marked, "session_id").join(fed, "session_id").join(facts, "session_id")
+    return pick(joined, "session_id channel n mean_uv:6 last_sec:6 n_markers n_feedback sum_state:3 " + " ".join(names))
+
+
+@query(
+    "p7_percent_csv",
+    with_(S_SQL)
+    + """select session_id, channel_idx, sample_idx, case when channel_idx = 1 and sample_idx % 50 = 7 then null else round(uv, 6) + 0.0 end uv
+  from (select distinct session_id, sample_idx, unnest(range(16))::int channel_idx from s) left join s using (session_id, sample_idx, channel_idx)""",
+)
+def p7(spark, sf):
+    """An export per session, each in a folder of its own, with header lines, cells that are no numbers and missing ones."""
+    root = scratch_path(spark, "exports")
+    cell = F.when((F.col("channel_idx") == 1) & (F.col("sample_idx") % 50 == 7), F.lit("railed")).otherwise(F.col("uv").cast("string"))
+    held = F.map_from_entries(F.collect_list(F.struct("channel_idx", cell.alias("v"))))
+    cells = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.col("held")[i], F.lit(""))), ", ")
+    data = views.samples(spark, sf)
+    points = data.groupBy("session_id", "sample_idx").agg(held.alias("held"))
+    lines = points.select("session_id", "sample_idx", F.concat_ws(", ", (F.col("sample_idx") % 256).cast("string"), cells).alias("value"))
+    head = data.select("session_id").distinct().select("session_id", F.explode(F.array(F.struct(F.lit(-2).alias("sample_idx"), F.lit("%OpenExport").alias("value")), F.struct(F.lit(-1).alias("sample_idx"), F.lit("%Sample Rate = 125 Hz").alias("value")))).alias("h"))
+    whole = lines.unionByName(head.select("session_id", "h.*"))
+    # an export is one file, so a session is one task here
+    whole.repartition("session_id").sortWithinPartitions("session_id", "sample_idx").select("value", F.col("session_id").alias("recording")).write.partitionBy("recording").text(root)
+    back = recordings.read_percent_csv(spark, f"{root}/*/*.txt")
+    return pick(back.withColumn("session_id", F.regexp_extract("file", "recording=([^/]+)", 1)), "session_id channel_idx sample_idx uv:6")
 
 
 def stored_encoding(spark, sf):

@@ -95,13 +95,30 @@ def d5(spark, sf):
     return pick(out, "session_id channel_idx a:6 b:6 c:6")
 
 
+#: Samples of a coherence segment in sliding windows: four half-overlapping ones in two seconds.
+SHORT = 100
+
+
+def short_coherence_sql(name: str, windows: str) -> str:
+    """Coherence of the channel pairs of each window from its short segments."""
+    return ",\n".join(
+        [
+            f"""{name}_g as (select session_id, win, channel_idx, seg, uv, j - seg * {SHORT // 2} j, {SHORT} n
+  from {windows}, (select unnest(range((250 - {SHORT}) // {SHORT // 2} + 1)) seg) where j >= seg * {SHORT // 2} and j < seg * {SHORT // 2} + {SHORT})""",
+            spectrum_sql(f"{name}_s", f"{name}_g", "session_id, win, channel_idx, seg"),
+            coherence_sql(name, f"{name}_s", "session_id, win"),
+        ]
+    )
+
+
 @query(
     "d6_encode_sliding",
-    with_(S_SQL, encoded_sql(62))
-    + "select session_id, channel_idx, win, round((win * 62 + 125.0::double) / 125, 6) center_sec, round(a, 6) a, round(2 * pi(), 6) b, round(c, 6) c from pns",
+    with_(S_SQL, encoded_sql(62), short_coherence_sql("co", "wn"))
+    + """select session_id, channel_idx, win, round((win * 62 + 125.0::double) / 125, 6) center_sec, round(a, 6) a, round(2 * pi() * g, 6) b, round(c, 6) c
+  from pns join (select session_id, win, avg(coh) g from co group by all) using (session_id, win)""",
 )
 def d6(spark, sf):
-    return pick(D.encode_sliding(views.samples(spark, sf)), "session_id channel_idx win center_sec:6 a:6 b:6 c:6")
+    return pick(D.encode_sliding(views.samples(spark, sf), coherence_nperseg=SHORT), "session_id channel_idx win center_sec:6 a:6 b:6 c:6")
 
 
 _ALPHA = "alpha_power:5 total_power:5 alpha_ratio:6 peak_freq peak_power:5"
@@ -140,20 +157,20 @@ _PAIRS = ", ".join(f"({CHANNEL_NAMES.index(a)}, {CHANNEL_NAMES.index(b)}, '{a}-{
 _FOCUS = (
     _WHOLE
     + ", pr(x, y, pair) as (values " + _PAIRS + "), "
-    + """fc as (select session_id, pair, avg((re * re + im * im) / (sxx * syy)) coherence from (
-    select a.session_id, pair, a.k, sum(a.re * b.re + a.im * b.im) re, sum(a.re * b.im - a.im * b.re) im,
+    + "fb(band, lo, hi) as (values " + ", ".join(f"('{n}', {lo}, {hi})" for n, (lo, hi) in FOCUS_BANDS.items()) + "), "
+    + """fc as (select session_id, pair, band, avg((re * re + im * im) / (sxx * syy)) coherence from (
+    select a.session_id, pair, band, a.k, sum(a.re * b.re + a.im * b.im) re, sum(a.re * b.im - a.im * b.re) im,
       sum(a.re * a.re + a.im * a.im) sxx, sum(b.re * b.re + b.im * b.im) syy
     from pr join sp a on a.channel_idx = least(x, y) join sp b on b.channel_idx = greatest(x, y) and a.session_id = b.session_id and a.seg = b.seg and a.k = b.k
-    where a.freq >= 8 and a.freq < 12 group by all) group by all)
-  select session_id, pair, round(coherence, 6) coherence from fc"""
+      join fb on a.freq >= lo and a.freq < hi group by all) group by all)
+  select session_id, pair, band, round(coherence, 6) coherence from fc"""
 )
 
 
 @query("d10_focus_coherence", _FOCUS)
 def d10(spark, sf):
-    lo, hi = FOCUS_BANDS["alpha"]
-    out = D.focus_coherence(D.spans_whole(views.samples(spark, sf)), ["session_id"], lo, hi, CHANNEL_NAMES)
-    return pick(out, "session_id pair coherence:6")
+    out = D.focus_coherence(D.spans_whole(views.samples(spark, sf)), ["session_id"], FOCUS_BANDS, CHANNEL_NAMES)
+    return pick(out, "session_id pair band coherence:6")
 
 
 @query(
@@ -225,22 +242,17 @@ _E7_LIST = ", ".join(
 _NAMES = "[" + ",".join(f"'{n}'" for n in CHANNEL_NAMES) + "]"
 _E7 = (
     _WSPEC + ", " + bands_sql("bp", "sp", WIN_KEYS) + ", " + SHAPE_SQL + ", " + _ENTROPY
-    + f""", al as (select * from bp join sh using ({WIN_KEYS}) join en using ({WIN_KEYS}))
+    + f""", al as (select * from bp join sh using ({WIN_KEYS}) join en using ({WIN_KEYS})), {short_coherence_sql("co", "wn")}
   select session_id, win, {_NAMES}[channel_idx + 1] || '_' || u.f as name, round(u.v, 4) + 0.0 as value
   from al, lateral (values {_E7_LIST}) u(f, v)
   union all
-  select a.session_id, a.win, 'coh_' || {_NAMES}[a.channel_idx + 1] || '_' || {_NAMES}[b.channel_idx + 1], 1.0
-  from (select distinct session_id, win, channel_idx from wn) a join (select distinct session_id, win, channel_idx from wn) b
-    on a.session_id = b.session_id and a.win = b.win and a.channel_idx < b.channel_idx"""
+  select session_id, win, 'coh_' || {_NAMES}[ch_i + 1] || '_' || {_NAMES}[ch_j + 1], round(coh, 4) + 0.0 from co"""
 )
 
 
 @query("e7_feature_vector", _E7)
 def e7(spark, sf):
-    rows = E.feature_rows(
-        spans_full(spark, sf).withColumn("channel", F.get(F.array(*[F.lit(n) for n in CHANNEL_NAMES]), "channel_idx")),
-        ["session_id", "win"], names=CHANNEL_NAMES, averaged=False,
-    )
+    rows = E.window_features(views.samples(spark, sf), 250, 250, CHANNEL_NAMES, coherence_nperseg=SHORT)
     return pick(rows, "session_id win name value:4")
 
 

@@ -64,7 +64,7 @@ def evaluate_methods(
     parts = materialise(
         evaluate.ordered_split(tagged, ["session_id"], F.expr("seg div 1024"), list(order) or [F.col("seg")]), "states"
     )
-    templates = fidelity.build_templates(parts.where("is_train"), ["label"])
+    templates = fidelity.build_templates(parts.where("is_train"), ["label"], ["session_id", "seg"])
     test = parts.where(~F.col("is_train"))
     scores = fidelity.template_fidelity(test, templates, ["session_id", "seg"])
     ones = scores.where("label = 1").select("session_id", "seg", F.col("fidelity").alias("score"))

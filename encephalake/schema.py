@@ -14,7 +14,7 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
 
-SAMPLES = _table(session_id=_STR, channel=_STR, channel_idx=_INT, sample_idx=_LONG, uv=_DBL)
+SAMPLES = _table(session_id=_STR, channel=_STR, channel_idx=_INT, sample_idx=_LONG, uv=_DBL, t_sec=_DBL)
 MARKERS = _table(session_id=_STR, sample_index=_LONG, marker_id=_INT, label=_STR)
 FEEDBACK = _table(session_id=_STR, t_sec=_DBL, state=_FLT, target=_FLT)
 SESSIONS = _table(
@@ -39,17 +39,6 @@ SCHEDULE = _table(start_sec=_DBL, duration_sec=_DBL, condition=_INT, label=_STR,
 TEMPLATES = _table(
     name=_STR, label=_INT, n_channels=_INT, n_segments=_LONG, members=T.ArrayType(_DOUBLES), norm=_DBL, metadata=_TEXT_MAP
 )
-RECORDING_META = _table(
-    session_id=_STR,
-    board_id=_INT,
-    sample_rate=_DBL,
-    eeg_channel_indices=T.ArrayType(_INT),
-    channel_names=_STRINGS,
-    total_channels=_INT,
-    total_samples=_LONG,
-    duration_sec=_DBL,
-    recorded_at=_STR,
-)
 EVENT_LOG = _table(
     config=T.MapType(_STR, _DBL),
     events=T.ArrayType(_table(timestamp=_DBL, event=_STR, condition=_INT, label=_STR)),

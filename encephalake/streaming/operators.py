@@ -3,13 +3,12 @@ only lets Spark drop state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..dims import BANDS, BENCH, RAIL_UV, SAMPLE_RATE
 from ..functions import kernels
@@ -121,15 +120,22 @@ def fixed_chunks(
     )
 
 
-def insert_markers(samples: DataFrame, marks: DataFrame, delay: str = "10 seconds", channel: int = 0, fs: float = SAMPLE_RATE) -> DataFrame:
+def time_axis(samples: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """(s_session, sample_idx, s_ts): each time point once, whichever channels have it.
+
+    Repeats are dropped within the watermark, so the state is what arrived in that time.
+    """
+    points = samples.select(F.col("session_id").alias("s_session"), "sample_idx", F.col("ts").alias("s_ts"))
+    return points.withWatermark("s_ts", delay).dropDuplicatesWithinWatermark(["s_session", "sample_idx"])
+
+
+def insert_markers(samples: DataFrame, marks: DataFrame, delay: str = "10 seconds", fs: float = SAMPLE_RATE) -> DataFrame:
     """Stream-stream join: each mark takes the index of the sample nearest to its time.
 
-    ``marks`` is (session_id, ts, marker_id, label). ``channel`` is one that the montage has; its samples
-    stand for the time axis. The time bound of half a sample lets both sides drop state.
+    ``marks`` is (session_id, ts, marker_id, label). The time axis is that of all channels together, so a
+    montage may lack any of them. The time bound of half a sample lets both sides drop state.
     """
-    s = samples.where(F.col("channel_idx") == channel).select(
-        F.col("session_id").alias("s_session"), "sample_idx", F.col("ts").alias("s_ts")
-    ).withWatermark("s_ts", delay)
+    s = time_axis(samples, delay)
     m = marks.withWatermark("ts", delay)
     on = (F.col("session_id") == F.col("s_session")) & _nearest(fs)
     return m.join(s, on).select("session_id", F.col("sample_idx").alias("sample_index"), "marker_id", "label")
@@ -139,64 +145,3 @@ def _nearest(fs: float) -> Column:
     """Sample time within half a sample of the mark; of two equally near samples the earlier one."""
     half = F.make_dt_interval(secs=F.lit(0.5 / fs))
     return (F.col("s_ts") >= F.col("ts") - half) & (F.col("s_ts") < F.col("ts") + half)
-
-
-# ---------------------------------------------------------------- custom state
-
-
-def stateful_notch(
-    stream: DataFrame, keys: Sequence[str], freq: float = 60.0, q: float = 30.0, fs: float = SAMPLE_RATE
-) -> DataFrame:
-    """Causal notch whose two delay values survive from one micro-batch to the next.
-
-    Output equals filtering the whole channel at once.  Rows may arrive in any
-    order inside a micro-batch, so a key's share of one is sorted in memory; bound
-    it with the source's ``maxFilesPerTrigger`` (or the like).
-    """
-    b, a = kernels.notch_biquad(freq, q, fs)
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = ", ".join([f"{k} {types[k]}" for k in keys] + ["sample_idx bigint", "uv double"])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        z1, z2 = state.get if state.exists else (0.0, 0.0)
-        pdf = pd.concat(list(batches)).sort_values("sample_idx")
-        y = np.empty(len(pdf))
-        for i, x in enumerate(pdf["uv"].tolist()):
-            v = b[0] * x + z1
-            z1, z2 = b[1] * x - a[1] * v + z2, b[2] * x - a[2] * v
-            y[i] = v
-        state.update((float(z1), float(z2)))
-        yield pd.DataFrame({**dict(zip(keys, key)), "sample_idx": pdf["sample_idx"].to_numpy(), "uv": y})
-
-    return stream.select(*keys, "sample_idx", "uv").groupBy(*keys).applyInPandasWithState(
-        step, out, "z1 double, z2 double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def latest_seconds(
-    stream: DataFrame, keys: Sequence[str], seconds: float = 30.0, fs: float = SAMPLE_RATE
-) -> DataFrame:
-    """The last N seconds of each key after every micro-batch, as arrays.
-
-    State holds at most N seconds.  Each update emits (keys, last_idx, idx, x).
-    """
-    keep = int(seconds * fs)
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = ", ".join([f"{k} {types[k]}" for k in keys] + ["last_idx bigint", "idx array<bigint>", "x array<double>"])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        idx, x = (np.asarray(v) for v in state.get) if state.exists else (np.empty(0, int), np.empty(0))
-        for pdf in batches:  # trimmed per Arrow batch, so a big micro-batch is never held whole
-            idx = np.concatenate([idx, pdf["sample_idx"].to_numpy()])
-            x = np.concatenate([x, pdf["uv"].to_numpy()])
-            order = np.argsort(idx, kind="stable")
-            order = order[idx[order] > idx.max() - keep]
-            idx, x = idx[order], x[order]
-        state.update((idx.tolist(), x.tolist()))
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "last_idx": [int(idx[-1])], "idx": [idx], "x": [x]})
-
-    return stream.select(*keys, "sample_idx", "uv").groupBy(*keys).applyInPandasWithState(
-        step, out, "idx array<bigint>, x array<double>", "append", GroupStateTimeout.NoTimeout
-    )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -54,23 +55,38 @@ def drain_latest(stream: DataFrame, keys: Sequence[str], name: str = "stream") -
     return rows.parquet(f"{out}/batch=*").groupBy(*keys).agg(newest.alias("s")).select(*keys, "s.*")
 
 
-def fan_out(stream: DataFrame, consumers: Sequence[Callable[[DataFrame, int], None]], checkpoint: str):
-    """Give every micro-batch to all consumers; one that fails is logged, the others run."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for consumer in consumers:
-                try:
-                    consumer(batch, batch_id)
-                except Exception:
-                    log.exception("consumer %s failed on batch %d", getattr(consumer, "__name__", consumer), batch_id)
-        finally:
-            batch.unpersist()
-
-    return (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def fan_out(
+    stream: DataFrame, consumers: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, attempts: int = 4
+) -> dict[str, Exception | None]:
+    """Give every micro-batch to all consumers, each with a position of its own; name -> None or the last error.
+
+    A consumer is a query with its own checkpoint below ``checkpoint``, so the source is read once for each. One that fails is
+    started again at the batch it failed on, with the same number and rows, while the others go on; a consumer that
+    writes by batch number thus has every row exactly once. After ``attempts`` starts its error is given
+    back, and a later call with the same checkpoint goes on where it stopped.
+    """
+
+    def start(name: str):
+        return (
+            stream.writeStream.foreachBatch(consumers[name])
+            .option("checkpointLocation", f"{checkpoint}/{name}")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    running = {name: start(name) for name in consumers}
+    ended: dict[str, Exception | None] = {}
+    for attempt in range(1, attempts + 1):
+        failed = []
+        for name, query in running.items():
+            try:
+                query.awaitTermination()
+                ended[name] = None
+            except StreamingQueryException as error:
+                log.warning("consumer %s failed at attempt %d: %s", name, attempt, error)
+                ended[name] = error
+                failed.append(name)
+        if not failed or attempt == attempts:
+            return ended
+        running = {name: start(name) for name in failed}
+    return ended

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from encephalake.functions.layout import interval_join, next_in_order, numbered, running_sum, section_join
-from encephalake.functions.quantiles import exact_quantiles, exact_quantiles_of
+from encephalake.functions.quantiles import bucketed, exact_quantiles, exact_quantiles_of
 
 
 @pytest.fixture(scope="module")
@@ -36,15 +36,25 @@ def test_next_in_order(spark, skewed):
         np.testing.assert_array_equal(got[f"next_{c}"].to_numpy(float), want.groupby("key")[c].shift(-1).to_numpy(float))
 
 
-def test_quantiles_equal_numpy(spark, skewed):
+@pytest.mark.parametrize("bound", [4, 1 << 18])
+def test_quantiles_equal_numpy(spark, skewed, bound):
     df = spark.createDataFrame(skewed)
-    got = {r.key: (r.q1, r.med, r.q9) for r in exact_quantiles(df, ["key"], "v", {"q1": 0.25, "med": 0.5, "q9": 0.9}).collect()}
+    got = {r.key: (r.q1, r.med, r.q9) for r in exact_quantiles(df, ["key"], "v", {"q1": 0.25, "med": 0.5, "q9": 0.9}, bound).collect()}
     for key, part in skewed.groupby("key"):
         np.testing.assert_allclose(got[key], np.percentile(part["v"], [25, 50, 90]))
-    both = exact_quantiles_of(df, [], {"a": ("v", 0.5), "b": ("pos", 0.1)}).collect()[0]
+    both = exact_quantiles_of(df, [], {"a": ("v", 0.5), "b": ("pos", 0.1)}, bound).collect()[0]
     np.testing.assert_allclose([both.a, both.b], [np.median(skewed["v"]), np.percentile(skewed["pos"], 10)])
 
 
+@pytest.mark.parametrize("bound, fan", [(4, 64), (4, 3), (50, 2)])
+def test_no_bucket_is_above_the_bound(spark, skewed, bound, fan):
+    """Levels until every bucket is small enough, in the values' order."""
+    rows = spark.createDataFrame(skewed[["key", "v"]].drop_duplicates())
+    got = bucketed(rows, ["key"], "v", bound, fan).toPandas().sort_values(["key", "v"])
+    assert got.groupby(["key", "_b"]).size().max() <= bound
+    assert all(g["_b"].is_monotonic_increasing for _, g in got.groupby("key"))
+
+
 def test_section_join_covers_every_section(spark, skewed):
     df = spark.createDataFrame(skewed)
     stats = df.groupBy("key").agg(F.max("pos").alias("last"))

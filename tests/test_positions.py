@@ -21,7 +21,7 @@ OPERATORS = {
     "causal notch": (lambda s: C.iir_notch(s, length=200), "uv"),
     "envelope": (lambda s: C.rms_envelope(s, length=64), "rms"),
     "phase": (C.instantaneous_phase, "b"),
-    "long phase": (lambda s: C.instantaneous_phase(s, max_direct=10), "b"),
+    "long phase": (lambda s: C.instantaneous_phase(s, piece=10), "b"),
     "states": (lambda s: C.solve_states(s.withColumn("f", F.abs("uv") / 100), length=50, fan=4), "a"),
 }
 

@@ -138,7 +138,7 @@ def test_dynamics_ranges_and_solver_agreement(to_samples, synthetic):
 def test_split_phase_equals_direct(to_samples, n):
     samples = to_samples(np.random.default_rng(4).normal(size=(2, n)))
     direct = matrix_of(C.instantaneous_phase(samples), "b")
-    split = matrix_of(C.instantaneous_phase(samples, max_direct=100), "b")
+    split = matrix_of(C.instantaneous_phase(samples, piece=100), "b")
     np.testing.assert_allclose(np.exp(1j * split), np.exp(1j * direct), atol=1e-9)
 
 
