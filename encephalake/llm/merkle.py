@@ -122,10 +122,14 @@ def ranked(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return placed.drop("_tie", "_range", "_g", "_r", "_start", "_inside")
 
 
-def _small(rows: DataFrame) -> DataFrame:
+#: Rows with a witness (one or two kB) that may be broadcast once they have been counted.
+_WITNESSES = 5_000
+
+
+def _small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast only if counted small."""
     rows = written(rows, "counted")
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
 
 
 def _blocks(nodes: DataFrame, group: str, fan: int, levels: int) -> DataFrame:
@@ -158,7 +162,7 @@ def trees(nodes: DataFrame, group: str, fan: int = FAN, levels: int = LEVELS) ->
     heads = heads.select(group, F.col("block").alias("place"), F.ceil(F.col("size") / block).cast("long").alias("size"), F.col("block_root").alias("digest"))
     above = trees(heads, group, fan, levels).select(F.col(group).alias("_g"), F.col("place").alias("_block"), F.col("top").alias("_top"), F.col("witness").alias("_above"))
     same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_block"))
-    joined = done.join(_small(above), same, "left")
+    joined = done.join(_small(above, _WITNESSES), same, "left")
     whole = F.when(F.col("_g").isNull() & F.col("_top").isNull(), F.col("witness")).otherwise(F.concat("witness", F.coalesce("_above", F.array().cast(_WITNESS))))
     return joined.select(group, "place", "digest", F.coalesce("_top", "block_root").alias("top"), whole.alias("witness"))
 
@@ -175,10 +179,24 @@ def manifest(leaves: DataFrame, key: str, group: str, leaf: str, fan: int = FAN,
     top = outer.select("_name", "_sub", "place").join(top.select("place", F.col("top").alias("root"), F.col("witness").alias("_outer")), "place").drop("place")
     inner = inner.select(F.col(group).alias("_g"), F.col("place").alias("_p"), F.col("witness").alias("_inner"))
     joined = rows.join(inner, F.col(group).eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_p")))
-    joined = joined.join(_small(top), F.col(group).eqNullSafe(F.col("_name")))
+    joined = _with_groups(joined, group, written(top, "top"), rows)
     return joined.select(*own, group, leaf, F.col("_sub").alias("subroot"), "root", F.concat("_inner", "_outer").alias("witness"))
 
 
+def _with_groups(joined: DataFrame, group: str, top: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row with its group's one row of ``top``.
+
+    Few groups are broadcast. Of many, those that hold more than 1/P of the rows are (at most P of them); no other is a hot key.
+    """
+    same = F.col(group).eqNullSafe(F.col("_name"))
+    if top.limit(_WITNESSES + 1).count() <= _WITNESSES:
+        return joined.join(F.broadcast(top), same)
+    large = F.col("size") * partitions(rows.sparkSession) > rows.count()
+    names = rows.where("place = 0").where(large).select(F.col(group).alias("_large"))
+    hot = top.join(F.broadcast(names), F.col("_name").eqNullSafe(F.col("_large")), "left_semi")
+    return joined.where(large).join(F.broadcast(hot), same).unionByName(joined.where(~large).join(top, same))
+
+
 def audit(spark: SparkSession, docs: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """The manifest of ``docs`` (id, source, ..., text), with rows of even id checksum changed and verified against it."""
     key, group, text = columns[0], columns[1], columns[-1]

@@ -75,6 +75,14 @@ def test_plain_tree(spark, monkeypatch, count, sources, levels):
     assert audited(spark, rows) == plain_audit(rows)
 
 
+@pytest.mark.parametrize("held", [0, 3])
+def test_many_sources_are_not_broadcast(spark, monkeypatch, held):
+    monkeypatch.setattr(merkle, "_WITNESSES", held)
+    monkeypatch.setattr(merkle._small, "__defaults__", (held,))
+    rows = made(150, 12, 5)
+    assert audited(spark, rows) == plain_audit(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a", "en", 3, "x\ny"), (1, "a", "en", 3, "x\ny"), (None, "a", None, None, None), (None, "a", None, None, "t\n"), (1, "a", "de", 3, "other")]
     assert audited(spark, rows) == plain_audit(rows)
