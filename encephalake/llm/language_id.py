@@ -6,13 +6,14 @@ not seen it pays an escape (PPM method C, with exclusion) and the shorter contex
 uniform guess. The statistics are frozen after training, so the cost is a function of context and
 byte: it is tabled once and looked up for whole texts of any length.
 
-Training reads ``PER_LANGUAGE`` documents of each language (those with the smallest hash of their id,
-so the choice does not depend on the layout of the table) and their whole texts; contexts seen fewer
+Training reads ``PER_LANGUAGE`` documents of each language (those with the smallest hash of their id, and of
+an id's rows the one with the smallest hash of its text, so the choice does not depend on the layout of the
+table and no repeated id counts more) and their whole texts; contexts seen fewer
 than ``MIN_COUNT`` times are left to the shorter ones. Rows without language or text are not learned.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there was nothing
 to learn from. Score is the language's share of the probability of the text among all languages. A
-null id belongs to no fold: it is neither held out nor learned. Repeated rows are treated alike.
+null id belongs to no fold: it is neither held out nor learned. Repeated rows are treated alike, further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_list, sample_per_group, slices
+from .common import BROADCAST_ROWS, byte_list, sample_per_group, slices
 
 ORDER = 3
 PER_LANGUAGE = 300
@@ -86,8 +87,12 @@ def gram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """Summed (lang, context, gram, n) of the training sample of ``docs``."""
     rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     rows = rows.where("_key is not null and _lang is not null and _text is not null")
-    chosen = sample_per_group(rows.select("_key", "_lang"), "_lang", "_key", PER_LANGUAGE)
-    sample = rows.join(F.broadcast(chosen.distinct()), ["_key", "_lang"], "left_semi")
+    rows = rows.withColumn("_mark", F.xxhash64("_text"))
+    one = rows.groupBy("_key", "_lang").agg(F.min("_mark").alias("_mark"))
+    chosen = sample_per_group(one, "_lang", "_key", PER_LANGUAGE)
+    same = ["_key", "_lang", "_mark"]
+    small = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sample = rows.join(F.broadcast(chosen) if small else chosen, same, "left_semi").groupBy(*same).agg(F.first("_text").alias("_text"))
     counts = sample.select("_lang", "_text").mapInArrow(_count, "lang string, context int, gram long, n long")
     return counts.groupBy("lang", "context", "gram").agg(F.sum("n").alias("n"))
 

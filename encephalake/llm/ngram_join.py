@@ -44,7 +44,7 @@ WORDS = 5
 SIMILARITY = 0.8
 TILE = 512
 #: (shared shingles of a node, next neighbours by size); None is all.
-PHASES = ((2, 2), (8, 8), (None, 32), (None, None))
+PHASES = ((4, 4), (None, 32), (None, None))
 #: A shingle is common from this share of the texts on; so many of them are told apart, the most common first.
 COMMON_SHARE = 1 / 2000
 COMMON_KEPT = 50_000

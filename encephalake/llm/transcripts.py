@@ -5,7 +5,8 @@ marker (or none), and a few features of its text; given the state these are inde
 frequencies, as are the transitions. They are counted over all lines of conversations whose roles are known
 (a small table whatever the size of the data) and then frozen. Viterbi finds the likeliest states of a whole
 conversation; ties go to the state that comes first. A turn opens at every line whose state opens one, and at
-the first line; it is rendered as ``<|role|>`` line, its lines without their markers, ``<|end|>``.
+the first line; it is rendered as ``<|role|>`` line, its lines, ``<|end|>``. A marker is cut off only from a line that
+opens a turn of the role it names; any other is text.
 
 A conversation may be of any length. Lines are range-partitioned in order, so a task holds a stretch of lines.
 Conversations inside one task are solved there. For one that goes on in other tasks, every task gives the
@@ -157,7 +158,9 @@ def fragments(lines: list[str], states: np.ndarray, before: int | None = None) -
     for line, state in zip(lines, states):
         here, opens = STATES[state]
         opens = opens or here != role
-        role, text = here, split_marker(line)[1]
+        role = here
+        named, rest = split_marker(line)
+        text = rest if opens and named == here else line
         if opens or not found:
             turn += opens
             found.append((turn, role, [text], opens))
@@ -217,15 +220,15 @@ def borders(parts: np.ndarray, tables: list[np.ndarray]) -> list[tuple[int, int,
 
 
 def parse(lines: DataFrame, model: Model) -> DataFrame:
-    """(conversation, turn, part, role, rendered): canonical turns of ``lines`` (conversation, turn, line_no, line).
+    """(conversation, turn, role, rendered): canonical turns of ``lines`` (conversation, turn, line_no, line).
 
-    A turn that goes on in another task has a row per task, in order of ``part``; put together they are the turn.
+    A turn is one row, whichever tasks had its lines; the pieces of one that crosses tasks are put together.
     """
     shared = lines.sparkSession.sparkContext.broadcast(model)
     key = lines.schema["conversation"].dataType.simpleString()
     rows = _ordered(lines.select("conversation", "turn", "line_no", "line")).select("conversation", "line")
     solved = written(rows.mapInArrow(_stretches(shared), _SOLVED.format(key=key)), "stretches")
-    inside = solved.where("role is not null").select("conversation", "turn", "part", "role", "text", F.lit(True).alias("opens"), F.lit(True).alias("closes"))
+    inside = solved.where("role is not null").select("conversation", "turn", "role", "text")
     waiting = solved.where("role is null").select("conversation", "part", "place", "text", "matrix")
 
     def fix(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -248,22 +251,16 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
     bounded = waiting.alias("l").join(fixed.alias("r"), same).select("l.conversation", "l.part", "place", "text", "before", "last")
     pieces = bounded.groupBy("conversation", "part").applyInPandas(finish, f"conversation {key}, part int, turn long, role string, text string, opens boolean")
     pieces = written(pieces, "turns")
-    # turns before a part, and whether the next part opens with a new turn
+    # turns before a part
     by_part = Window.partitionBy("conversation").orderBy("part")
-    sizes = pieces.groupBy("conversation", "part").agg(F.max("turn").alias("turns"), F.min_by("opens", F.struct("turn", "opens")).alias("head"))
-    sizes = sizes.select(
-        "conversation",
-        "part",
-        "turns",
-        F.coalesce(F.sum("turns").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
-        F.coalesce(F.lead("head").over(by_part), F.lit(True)).alias("ended"),
-    )
-    across = pieces.alias("l").join(sizes.alias("r"), same).select(
-        "l.conversation", (F.col("l.turn") + F.col("earlier") - 1).alias("turn"), "l.part", "role", "text", "opens", ((F.col("l.turn") < F.col("turns")) | F.col("ended")).alias("closes")
-    )
-    every = inside.unionByName(across)
-    head = F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise("")
-    return every.select("conversation", "turn", "part", "role", F.concat(head, "text", F.when(F.col("closes"), F.lit("\n<|end|>")).otherwise("\n")).alias("rendered"))
+    sizes = pieces.groupBy("conversation", "part").agg(F.max("turn").alias("turns"))
+    earlier = F.coalesce(F.sum("turns").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("conversation", "part", earlier.alias("earlier"))
+    across = pieces.alias("l").join(sizes.alias("r"), same).select("l.conversation", (F.col("l.turn") + F.col("earlier") - 1).alias("turn"), "l.part", "role", "text")
+    texts = F.array_sort(F.collect_list(F.struct("part", "text")))["text"]
+    across = across.groupBy("conversation", "turn").agg(F.min_by("role", "part").alias("role"), F.array_join(texts, "\n").alias("text"))
+    rendered = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>"))
+    return inside.unionByName(across).select("conversation", "turn", "role", rendered.alias("rendered"))
 
 
 def raw_lines(turns: DataFrame) -> DataFrame:
@@ -289,8 +286,8 @@ def held_out(conversation: str = "conversation"):
 
 
 def recover(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """(conv_id, held_out, turn, part, role, rendered): turns recovered from the raw lines, without their roles."""
+    """(conv_id, held_out, turn, role, rendered): turns recovered from the raw lines, without their roles."""
     lines = written(raw_lines(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")), "lines")
     model = train(lines.where(~held_out()))
     found = parse(lines.drop("role"), model)
-    return found.select(F.col("conversation").alias("conv_id"), held_out().alias("held_out"), "turn", "part", "role", "rendered")
+    return found.select(F.col("conversation").alias("conv_id"), held_out().alias("held_out"), "turn", "role", "rendered")

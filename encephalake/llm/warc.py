@@ -10,7 +10,7 @@ the entries the records are read; everything else is rejected.
 Writing. A response record per row, with the payload in an HTTP block; of equal payloads of at least
 ``MIN_REVISIT`` bytes only the row with the smallest id carries it, the others are revisit records that
 refer to it. Null payload: empty. Null url: no target header; line breaks in a url are escaped. A null id
-loses to any other and has an empty name. Rows repeated with id and payload are equal responses. Files are
+loses to any other and has an empty name. Urls, headers and payloads may be of any length; further columns are not read. Rows repeated with id and payload are equal responses. Files are
 closed at ``FILE_BYTES``, under names of their own, so that a repeated task leaves no half file in the
 manifest. An empty table gives no files and no records.
 """
@@ -36,7 +36,6 @@ MAGIC = b"WARC/1."
 _BREAK = b"\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _HEADER_STEP = 1 << 16
-_HEADER_LIMIT = 1 << 20
 _NAME = "urn:page:"
 
 
@@ -99,21 +98,26 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 
 def parse_header(data: bytes, at: int) -> tuple[int, dict[str, str]] | None:
-    """(where the block starts, fields) of the header at ``at``; None if there is none, or no length."""
-    end = data.find(_BREAK + _BREAK, at)
-    if end < 0:
-        return None
-    first, *lines = data[at:end].split(_BREAK)
-    if not first.startswith(MAGIC) or not first[len(MAGIC) :].isdigit():
+    """(where the block starts, fields) of the header at ``at``; None if there is none, or no length.
+
+    Lines are read one by one, so what is no header is given up at its first line without a colon.
+    """
+    stop = data.find(_BREAK, at)
+    if stop < 0 or not data.startswith(MAGIC, at) or not data[at + len(MAGIC) : stop].isdigit():
         return None
     fields = {}
-    for line in lines:
-        name, colon, value = line.partition(b":")
+    while True:
+        start, stop = stop + len(_BREAK), data.find(_BREAK, stop + len(_BREAK))
+        if stop < 0:
+            return None
+        if stop == start:
+            break
+        name, colon, value = data[start:stop].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    return (end + 4, fields) if length.isascii() and length.isdigit() else None
+    return (stop + len(_BREAK), fields) if length.isascii() and length.isdigit() else None
 
 
 def _candidates(source, low: int, high: int, size: int) -> list[tuple[int, int]]:
@@ -122,9 +126,10 @@ def _candidates(source, low: int, high: int, size: int) -> list[tuple[int, int]]
     data = source.read(min(size, high + _HEADER_STEP) - low)
     found, at = [], data.find(MAGIC)
     while 0 <= at < high - low:
-        step = _HEADER_STEP
-        while data.find(_BREAK + _BREAK, at) < 0 and low + len(data) < size and len(data) - at < _HEADER_LIMIT:
-            step *= 2
+        # a record's header, however long, ends with an empty line; so does a record, so no more than one is read for it
+        step, seen = _HEADER_STEP, at
+        while data.find(_BREAK + _BREAK, seen) < 0 and low + len(data) < size:
+            step, seen = 2 * step, max(at, len(data) - 3)
             data += source.read(step)
         head = parse_header(data, at)
         if head is not None:
@@ -164,8 +169,11 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(1, 3 * partitions(rows.sparkSession)))
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """(path, bytes, at): the start of each file and every place where its chain enters a range."""
+def entries(found: DataFrame, archives: DataFrame, strict: bool = True) -> DataFrame:
+    """(path, bytes, at): the start of each file and every place where its chain enters a range.
+
+    A chain that stops before its file's end is an error; if not ``strict``, the rest of such a file is left out.
+    """
     found = written(found, "candidates")
     targets = found.select("path", F.col("leaves").alias("at")).distinct()
     jumps = found.join(targets, ["path", "at"], "left_semi").unionByName(found.where("at = 0"))
@@ -177,8 +185,13 @@ def entries(found: DataFrame) -> DataFrame:
         reached = written(reached.unionByName(further).distinct(), "reached")
         before, count = count, reached.count()
         if count == before:
+            starts = archives.where("bytes > 0").select("path", "bytes", F.lit(0).cast("long").alias("at"))
+            places = found.select("path", "at").distinct()
             # an exit need not be a record: a broken chain ends there
-            return reached.join(found.select("path", "at").distinct(), ["path", "at"], "left_semi")
+            broken = reached.unionByName(starts).where("at < bytes").join(places, ["path", "at"], "left_anti").head(1) if strict else []
+            if broken:
+                raise ValueError(f"{broken[0].path}: no record at byte {broken[0].at} of {broken[0].bytes}, where the chain from the file's start leads")
+            return reached.join(places, ["path", "at"], "left_semi")
         twice = jumps.select("path", F.col("at").alias("leaves"), F.col("leaves").alias("after"))
         doubled = jumps.join(twice, ["path", "leaves"], "left").select("path", "at", F.coalesce("after", "leaves").alias("leaves"))
         jumps = written(doubled, "jumps")
@@ -195,10 +208,10 @@ def _records(source, at: int, high: int, size: int, payloads: bool) -> Iterator[
     while at < high:
         source.seek(at)
         data = source.read(_HEADER_STEP)
-        while data.find(_BREAK + _BREAK) < 0 and at + len(data) < size and len(data) < _HEADER_LIMIT:
+        while data.find(_BREAK + _BREAK) < 0 and at + len(data) < size:
             data += source.read(len(data))
         head = parse_header(data, 0)
-        if head is None:
+        if head is None:  # the chain was followed to its end before, and ends here only if it need not be whole
             return
         start, fields = head
         length = int(fields["content-length"])
@@ -218,8 +231,11 @@ def _records(source, at: int, high: int, size: int, payloads: bool) -> Iterator[
         at += start + length + 4
 
 
-def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every record of (path, bytes), by verified boundaries. A revisit has the size and digest it announces."""
+def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES, strict: bool = True) -> DataFrame:
+    """Every record of (path, bytes), by verified boundaries. A revisit has the size and digest it announces.
+
+    ``truncated`` marks a last record that its file cuts off; a file whose chain breaks elsewhere is an error if ``strict``.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_())
@@ -232,7 +248,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int =
                 columns = list(zip(*rows)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    places = entries(candidates(archives, range_bytes)).select("path", "bytes", "at")
+    places = entries(candidates(archives, range_bytes), archives, strict).select("path", "bytes", "at")
     return _spread(places).mapInArrow(read, _RECORD)
 
 

@@ -84,6 +84,32 @@ def test_truncated_file(spark):
     assert found.truncated.tolist() == [False, False, True]
 
 
+def test_long_headers(spark):
+    """A url of any length: beyond ranges, with magic in it, and the records after it."""
+    rows = [(i, f"http://a/{i}", f"page {i} " * 30) for i in range(100)]
+    rows[40] = (40, "http://a/" + "x" * 1_300_000, "long " * 30)
+    rows[70] = (70, "WARC/1.0 " * 20_000 + "end", "magic " * 30)
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), fresh_path(spark, "warc"))
+    for size in (50_000, warc.RANGE_BYTES):
+        found = warc.read_archives(archives, range_bytes=size).where("record_type = 'response'").toPandas()
+        assert sorted(zip(found.record_id, found.target_uri.map(len))) == sorted((f"urn:page:{r[0]}", len(r[1])) for r in rows)
+
+
+@pytest.mark.parametrize("size", [200, 4 << 20])
+def test_broken_chain_is_an_error(spark, size):
+    rows = [(i, "u", f"{i}" * 300) for i in range(9)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), fresh_path(spark, "warc"))
+    path, count = archives.first()
+    store, inner = warc.file_system(path)
+    data = store.open_input_stream(inner).read()
+    at = data.find(b"Content-Length", data.find(b"urn:page:5"))
+    with store.open_output_stream(inner) as out:
+        out.write(data[:at] + b"Xontent" + data[at + 7 :])
+    with pytest.raises(ValueError, match="no record at byte"):
+        warc.read_archives(archives, range_bytes=size)
+    assert warc.read_archives(archives, range_bytes=size, strict=False).count() == 1 + 5
+
+
 # transcripts
 
 
@@ -99,8 +125,33 @@ def test_viterbi_against_all_paths():
 
 
 def plain_turns(model, lines):
+    """Turns without the library's own rendering: a new one at each opening state or other role, one marker cut off at most."""
     states = transcripts.viterbi(model.first, model.moves, model.scores(lines))
-    return [f"<|{r}|>\n{x}\n<|end|>" for _, r, x, _ in transcripts.fragments(lines, states)]
+    turns = []
+    for line, state in zip(lines, states):
+        role, opens = transcripts.STATES[state]
+        opens = opens or not turns or turns[-1][0] != role
+        text = line
+        for spelling in transcripts.SPELLINGS[role] if opens else ():
+            for marker in (f"[{spelling}]: ", f"**{spelling}**: ", f"{spelling}: "):
+                if line.startswith(marker):
+                    text = line[len(marker) :].lstrip()
+        if opens:
+            turns.append((role, [text]))
+        else:
+            turns[-1][1].append(text)
+    return [f"<|{role}|>\n" + "\n".join(x) + "\n<|end|>" for role, x in turns]
+
+
+def test_false_markers_stay_text():
+    """Only a marker of the role that opens a turn there is cut off."""
+    at = {s: i for i, s in enumerate(transcripts.STATES)}
+    lines = ["User: which?", "A: first option", "Q: second option", "Assistant: both", "User: says who", "plain"]
+    states = [at["user", True], at["user", False], at["user", False], at["assistant", True], at["assistant", False], at["user", True]]
+    got = transcripts.fragments(lines, np.array(states))
+    assert [(t, r, x) for t, r, x, _ in got] == [(1, "user", "which?\nA: first option\nQ: second option"), (2, "assistant", "both\nUser: says who"), (3, "user", "plain")]
+    other = transcripts.fragments(["User: hm"], np.array([at["assistant", True]]))
+    assert other[0][2] == "User: hm"
 
 
 @pytest.mark.parametrize("merge", [1, 40])
@@ -116,11 +167,11 @@ def test_turns_against_one_run(spark, merge):
         got = transcripts.parse(lines.drop("role"), model).toPandas()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
-    assert merge == 1 or got.part.nunique() > 2
+    assert not got.duplicated(["conversation", "turn"]).any()
     for key, own in lines.toPandas().sort_values(["conversation", "turn", "line_no"]).groupby("conversation"):
-        mine = got[got.conversation == key].sort_values(["turn", "part"]).groupby("turn").rendered.agg("".join)
-        assert mine.tolist() == plain_turns(model, own.line.tolist())
-        assert mine.index.tolist() == list(range(len(mine)))
+        mine = got[got.conversation == key].sort_values("turn")
+        assert mine.rendered.tolist() == plain_turns(model, own.line.tolist())
+        assert mine.turn.tolist() == list(range(len(mine)))
 
 
 def test_accuracy_on_held_out_conversations(spark):

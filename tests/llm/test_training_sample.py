@@ -33,3 +33,15 @@ def test_scan_is_not_gathered_before_the_join(spark):
     sample = quality_classifier.training_sample(docs.repartition(6), labels)
     assert sample.rdd.getNumPartitions() == 1
     assert "Coalesce" not in sample._jdf.queryExecution().executedPlan().toString()
+
+
+def test_language_sample_has_one_row_an_id(spark, monkeypatch):
+    """An id with most of the rows is one of the sampled documents, not all of them."""
+    from encephalake.llm import language_id
+
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 40)
+    rows = [(5, f"Q number {i}", "en") for i in range(600)] + [(5, "Q number 1", "en")] * 50 + [(i, f"text {i}", "en") for i in range(100, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.gram_counts(docs).where("context = 0").toPandas().set_index("gram").n
+    assert counts[ord("Q")] == 1 and counts[ord("x")] == 20
+    assert len(language_id.build(language_id.gram_counts(docs)).languages) == 1
