@@ -63,21 +63,18 @@ def fixed_point(
 ) -> DataFrame:
     """Iterate a parameter vector per key until every key is done.
 
-    ``data`` is (keys, value array) and is cached for the loop; ``start`` is
-    (keys, s).  One round sums ``contribute(rows, s)`` over a key's rows and calls
+    ``data`` is (keys, value array) and is written once for the loop, where lost executors
+    can read it again; ``start`` is (keys, s).  One round sums ``contribute(rows, s)`` over a key's rows and calls
     ``update(total, n, s)``, which returns the new vector and whether to stop.
     The vectors stay on the driver while there are few keys (checked); beyond
     that they live in a written table and advance by joins.
     """
     keys = list(keys)
-    data = data.select(*keys, value).persist()
-    try:
-        few = start.select(*keys, "s").limit(max_driver_keys + 1).collect()
-        if len(few) <= max_driver_keys:
-            return _on_driver(data, keys, value, few, start, contribute, update, max_iter)
-        return _in_table(data, keys, value, start, contribute, update, max_iter)
-    finally:
-        data.unpersist()
+    data = materialise(data.select(*keys, value), "loop")
+    few = start.select(*keys, "s").limit(max_driver_keys + 1).collect()
+    if len(few) <= max_driver_keys:
+        return _on_driver(data, keys, value, few, start, contribute, update, max_iter)
+    return _in_table(data, keys, value, start, contribute, update, max_iter)
 
 
 def _on_driver(data, keys, value, few, start, contribute, update, max_iter) -> DataFrame:

@@ -184,9 +184,10 @@ def coherence(
     nperseg: int = 250,
     fs: float = SAMPLE_RATE,
     pairs: Sequence[tuple[int, int]] | None = None,
+    reference: int | None = None,
     segs_per_row: int = 32,
 ) -> DataFrame:
-    """(keys, ch_i, ch_j, coherence): mean over the band's bins per channel pair.
+    """(keys, ch_i, ch_j, coherence): mean over the band's bins per channel pair, or per one in ``pairs`` or with ``reference``.
 
     ``keys`` identify the span without the channel.  Spectra are cut to the band
     before anything is gathered; a few segments of all channels (montage size)
@@ -217,7 +218,7 @@ def coherence(
 
     @F.pandas_udf("struct<" + ",".join(f"{n}:{t}" for n, t in zip(fields, kinds)) + ">")
     def cross(no: pd.Series, ch: pd.Series, z: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cross_sums(s, c, np.stack(list(v)), pairs) for s, c, v in zip(no, ch, z)], columns=fields)
+        return pd.DataFrame([_cross_sums(s, c, np.stack(list(v)), pairs, reference) for s, c, v in zip(no, ch, z)], columns=fields)
 
     rows = (
         blocks.select(*keys, cross(F.col("g.seg_no"), F.col("g.channel_idx"), F.col("g.z")).alias("c"))
@@ -231,7 +232,7 @@ def coherence(
     return total.groupBy(*keys, "ch_i", "ch_j").agg(F.avg(ratio).alias("coherence"))
 
 
-def _cross_sums(no, ch, z: np.ndarray, pairs) -> list[np.ndarray]:
+def _cross_sums(no, ch, z: np.ndarray, pairs, reference) -> list[np.ndarray]:
     """Cross and power sums of every channel pair over the segments both have."""
     half = z.shape[1] // 2
     segs, row = np.unique(no, return_inverse=True)
@@ -248,6 +249,8 @@ def _cross_sums(no, ch, z: np.ndarray, pairs) -> list[np.ndarray]:
     if pairs is not None:
         listed = {tuple(sorted(p)) for p in pairs}
         wanted &= np.array([(int(chans[a]), int(chans[b])) in listed for a, b in zip(i, j)], dtype=bool)
+    if reference is not None:
+        wanted &= (chans[i] == reference) | (chans[j] == reference)
     i, j = i[wanted], j[wanted]
     x = cross[:, i, j].T.ravel()
     return [
@@ -319,9 +322,7 @@ def encode_multichannel(
         return encode_bands(powers)
     if mode != "global":
         raise ValueError(f"unknown coherence mode: {mode}")
-    pairwise = coherence(spans, keys, nperseg=coherence_nperseg or nperseg, fs=fs)
-    if reference is not None:
-        pairwise = pairwise.where((F.col("ch_i") == reference) | (F.col("ch_j") == reference))
+    pairwise = coherence(spans, keys, nperseg=coherence_nperseg or nperseg, fs=fs, reference=reference)
     shared = global_coherence(pairwise, keys)
     joined = powers.join(shared, keys, "left")
     return encode_bands(joined, F.coalesce("coherence", F.lit(0.5))).drop("coherence")

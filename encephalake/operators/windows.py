@@ -13,6 +13,7 @@ from ..functions.expr import seconds
 from ..functions.frames import halo_frames, over_frames
 from ..functions.layout import (
     KEYS,
+    SECTION,
     interval_join,
     next_in_order,
     running_sum,
@@ -103,7 +104,11 @@ def equal_segments(samples: DataFrame, labels: DataFrame, keys: Sequence[str] =
         .withColumn("pos", F.expr("(sample_idx - _from) % seg_len"))
         .drop("_k", "_from", "_to")
     )
-    return cut.join(labels.select("session_id", "seg", "label"), ["session_id", "seg"])
+    # a segment may be half of a recording: its label is repeated once per section of it
+    longest = shape.groupBy("session_id").agg(F.max("seg_len").alias("_len"))
+    sections = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"_len div {SECTION}"))).alias("_sec")
+    spread = labels.select("session_id", "seg", "label").join(longest, "session_id").select("session_id", "seg", "label", sections)
+    return cut.withColumn("_sec", F.expr(f"pos div {SECTION}")).join(spread, ["session_id", "seg", "_sec"]).drop("_sec")
 
 
 def recording_ends(samples: DataFrame) -> DataFrame:

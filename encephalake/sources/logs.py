@@ -71,8 +71,8 @@ def _number(i: Column) -> Column:
 
 
 def read_quality_log(spark: SparkSession, path: str, channels: Sequence[str] | None = None) -> DataFrame:
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return parse_quality_lines(spark.read.text(path).withColumn("session_id", name), channels)
+    """Parsed lines of log files; a session is a file by its whole path, as two folders may use a name."""
+    return parse_quality_lines(spark.read.text(path).withColumn("session_id", F.input_file_name()), channels)
 
 
 def event_documents(events: DataFrame, config: dict[str, float], bucket, per_document: int = 1000) -> DataFrame:
