@@ -43,6 +43,16 @@ def sel(spec: str) -> str:
     return ", ".join(out)
 
 
+#: First index of cropped recordings, and the indexes that gapped ones lack.
+CROP, GAP = 300, (480, 519)
+CROPPED_SQL = S_SQL.replace("s as (", "s0 as (", 1) + f""",
+  s as (select session_id, channel, channel_idx, sample_idx - {CROP} sample_idx, uv from s0 where sample_idx >= {CROP})"""
+#: Each side of the gap as a recording of its own.
+GAPPED_SQL = S_SQL.replace("s as (", "s0 as (", 1) + f""",
+  s as (select session_id || '#' || (case when sample_idx > {GAP[1]} then {GAP[1] + 1} else 0 end) session_id, channel, channel_idx,
+    sample_idx - case when sample_idx > {GAP[1]} then {GAP[1] + 1} else 0 end sample_idx, uv from s0 where sample_idx not between {GAP[0]} and {GAP[1]})"""
+
+
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import kernels
 from ...operators import signal as C
 from ...operators.windows import assign_windows
 from .. import views
-from .base import L_SQL, M_SQL, S_SQL, pick, query, sel, with_
+from .base import CROP, CROPPED_SQL, GAP, GAPPED_SQL, L_SQL, M_SQL, S_SQL, pick, query, sel, with_
 from .quality import notch_sql
 
 _CH = "session_id, channel_idx"
@@ -49,7 +50,28 @@ def c2(spark, sf):
     return pick(C.bandpass(views.samples(spark, sf)), _OUT)
 
 
-@query("c2_bandpass_iir")
+def iir_taps_sql(name: str, low: float, high: float) -> tuple[str, int]:
+    """Zero-phase taps as (k, v), and how many there are on a side: the autocorrelation of the sections' impulse response."""
+    sections = kernels.butterworth_sections(low, high, 125.0)
+    n = max(kernels.decay_length(a, 1e-14) for _, a in sections)
+    states = [f"z{j}{i}" for j in range(1, len(sections) + 1) for i in (1, 2)]
+    source = f"select i + 1 i, (case when i = -1 then 1 else 0 end)::double v0, {', '.join(states)} from {name}_h where i < {n}"
+    after = []
+    for j, (b, a) in enumerate(sections, 1):
+        b, a = [f"{x!r}::double" for x in b.tolist()], [f"{x!r}::double" for x in a.tolist()]
+        source = f"select *, {b[0]} * v{j - 1} + z{j}1 v{j} from ({source})"
+        after += [f"{b[1]} * v{j - 1} - {a[1]} * v{j} + z{j}2", f"{b[2]} * v{j - 1} - {a[2]} * v{j}"]
+    sql = f"""{name}_h(i, h, {', '.join(states)}) as (select -1, 0::double, {', '.join(['0::double'] * len(states))}
+    union all select i, v{len(sections)}, {', '.join(after)} from ({source})),
+  {name}_r as (select b.i - a.i m, sum(a.h * b.h) v from {name}_h a join {name}_h b on b.i >= a.i where a.i >= 0 group by 1),
+  {name} as (select {n} + m k, v from {name}_r union all select {n} - m, v from {name}_r where m > 0)"""
+    return sql, n
+
+
+_IIR, _IIR_HALF = iir_taps_sql("it", 0.5, 50.0)
+
+
+@query("c2_bandpass_iir", "with recursive " + S_SQL + ", " + _IIR + ", " + fir_sql("y", "s", "it", _IIR_HALF) + f" select {sel(_OUT)} from y")
 def c2_iir(spark, sf):
     return pick(C.bandpass(views.samples(spark, sf), method="iir"), _OUT)
 
@@ -62,6 +84,29 @@ def c3(spark, sf):
     return pick(C.preprocess(views.samples(spark, sf)), _OUT)
 
 
+def cropped(spark, sf):
+    return views.samples(spark, sf).where(F.col("sample_idx") >= CROP)
+
+
+@query(
+    "c1_gapped_notch",
+    with_(GAPPED_SQL, *_NOTCH, fir_sql("y", "s", "nt", 412))
+    + "select split_part(session_id, '#', 1) session_id, channel_idx, sample_idx + split_part(session_id, '#', 2)::bigint sample_idx, round(uv, 5) + 0.0 as uv from y",
+)
+def c1_gapped(spark, sf):
+    """Both sides of a gap are filtered on their own and keep their indexes."""
+    return pick(C.notch(views.samples(spark, sf).where(~F.col("sample_idx").between(*GAP))), _OUT)
+
+
+@query(
+    "c3_cropped_preprocess",
+    with_(CROPPED_SQL, *_NOTCH, *_BAND, fir_sql("x", "s", "nt", 412), fir_sql("y", "x", "bt", 412)) + f"select session_id, channel_idx, sample_idx + {CROP} sample_idx, round(uv, 5) + 0.0 as uv from y",
+)
+def c3_cropped(spark, sf):
+    """A recording that starts late is preprocessed as one that starts at 0."""
+    return pick(C.preprocess(cropped(spark, sf)), _OUT)
+
+
 @query(
     "c4_causal_notch",
     with_(S_SQL, notch_sql(900))
@@ -175,6 +220,16 @@ def c11(spark, sf):
     return pick(out.withColumn("cos_b", F.cos("b")).withColumn("sin_b", F.sin("b")), _AC + " cos_b:5 sin_b:5")
 
 
+@query(
+    "c11_cropped_dynamics",
+    _DRIVE.replace(S_SQL, CROPPED_SQL) + ", " + _EULER + ", " + _PHASE
+    + f" select session_id, channel_idx, sample_idx + {CROP} sample_idx, round(a, 6) a, round(c, 6) c, round(cos(b), 5) + 0.0 cos_b, round(sin(b), 5) + 0.0 sin_b from ac join ph using (session_id, channel_idx, sample_idx)",
+)
+def c11_cropped(spark, sf):
+    out = C.extract_dynamics(cropped(spark, sf))
+    return pick(out.withColumn("cos_b", F.cos("b")).withColumn("sin_b", F.sin("b")), _AC + " cos_b:5 sin_b:5")
+
+
 @query(
     "c12_reject_epochs",
     with_(S_SQL)

@@ -12,7 +12,7 @@ from ...operators import windows as W
 from ...streaming.operators import feedback
 from .. import views
 from .base import (
-    M_SQL, S_SQL, WIN_KEYS, bands_sql, encoded_sql, pick, query, sel, spectrum_sql, windows_sql, with_,
+    CROP, CROPPED_SQL, M_SQL, S_SQL, WIN_KEYS, bands_sql, encoded_sql, pick, query, sel, spectrum_sql, windows_sql, with_,
 )
 from .windows import MARKED_SQL, PARITY_SQL, SEGMENTS_SQL, parity_labels, phase_segments
 
@@ -143,6 +143,17 @@ def d8(spark, sf):
     return pick(D.band_mean(psd, ["session_id", "channel_idx"], 8.0, 12.0), "session_id channel_idx band_power:5")
 
 
+@query(
+    "d8_cropped_band_map",
+    with_(CROPPED_SQL, _WHOLE_SEGS.format(hop=250, n=250), spectrum_sql("sp", "wh", "session_id, channel_idx, seg", "hamming"))
+    + "select session_id, channel_idx, round(avg(psd), 5) band_power from sp where freq between 8 and 12 group by all",
+)
+def d8_cropped(spark, sf):
+    keys = ["session_id", "channel_idx"]
+    spans = D.spans_whole(views.samples(spark, sf).where(F.col("sample_idx") >= CROP))
+    return pick(D.band_mean(D.welch(spans, keys, 250, overlap=0.0, taper="hamming"), keys, 8.0, 12.0), "session_id channel_idx band_power:5")
+
+
 @query(
     "d9_named_channel_spectra",
     _WHOLE + "select session_id, channel_idx, k::int k, round(avg(psd), 5) psd from sp where channel_idx in (7, 13, 14) group by session_id, channel_idx, sp.k",

@@ -18,6 +18,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..dims import SAMPLE_RATE
 from ..functions import kernels
 
+#: Timers and lists need this state store; the operators here set it for the session if it has another. Streams
+#: that were started before keep the one in their checkpoint.
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 DELAY = "10 seconds"
 SILENCE = 3600.0
 
@@ -28,6 +31,7 @@ def _output(stream: DataFrame, keys: Sequence[str], columns: str) -> str:
 
 
 def _keyed(stream: DataFrame, keys: Sequence[str], delay: str) -> DataFrame:
+    stream.sparkSession.conf.set(*_PROVIDER)
     return stream.withWatermark("ts", delay).select(*keys, "sample_idx", "uv", "ts", F.unix_millis("ts").alias("ms")).groupBy(*keys)
 
 
