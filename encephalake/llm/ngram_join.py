@@ -13,9 +13,9 @@ of one set only, so half of sizes minus differing bits bounds the overlap from a
 compared by the exact intersection of the sorted hash arrays.
 
 Only components are wanted, so a group of many copies need not become all its pairs: ``PHASES`` first
-compares a node with a few neighbours by size in tiles of its first shared shingles, then with more of
-them; from then on only nodes of different components are compared. The last phase has no limit, so no
-link between components is lost. Shared shingles of one component only are dropped before they are dealt.
+compares a node with a few neighbours by size in tiles of its first shared shingles; from then on only nodes of
+different components are compared. The last phase has no limit, so no link between components is lost. Shingles
+that only nodes of one component share are dropped before they are dealt, if they need more than one block.
 
 Only A-Z is lower-cased, words are separated by white space. A text with fewer words than a shingle has
 the whole sequence as its only one; null, empty and blank texts have none and link with nothing (or with
@@ -44,12 +44,12 @@ WORDS = 5
 SIMILARITY = 0.8
 TILE = 512
 #: (shared shingles of a node, next neighbours by size); None is all.
-PHASES = ((4, 4), (None, 32), (None, None))
+PHASES = ((4, 4), (None, None))
 #: A shingle is common from this share of the texts on; so many of them are told apart, the most common first.
 COMMON_SHARE = 1 / 2000
 COMMON_KEPT = 50_000
 #: Bits of a signature: the power of two at or above the set's size, within these.
-_LEAST_BITS, _MOST_BITS = 64, 4096
+_LEAST_BITS, _MOST_BITS = 64, 2048
 _CHUNK = 1 << 14
 _TILE_COLUMNS = ["key", "band", "lo", "hi"]
 
@@ -137,13 +137,13 @@ def facts(docs: DataFrame, key: str, text: str, words: int, link_empty: bool) ->
 
 
 def _entries(docs: DataFrame, text: str, words: int, limit: Limit, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, node, n, place) of the shingles in each text's prefix; ``keys`` (in order) come last, by their counts."""
+    """(key, node, place) of the shingles in each text's prefix; ``keys`` (in order) come last, by their counts."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for batch in slices(batches, 0):
-            found, nodes, sizes = [], [], []
+            found, nodes = [], []
             for text in byte_list(batch.column(0)):
                 own = shingles(text, words)
                 often = np.zeros(len(own), np.int64)
@@ -152,21 +152,23 @@ def _entries(docs: DataFrame, text: str, words: int, limit: Limit, keys: np.ndar
                     often = np.where(keys[at] == own, counts[at], 0)
                 found.append(own[np.lexsort((own, often))[: limit.prefix(len(own))]])
                 nodes.append(node_of(own))
-                sizes.append(len(own))
             lengths = [len(k) for k in found]
             places = np.concatenate([np.arange(n, dtype=np.int64) for n in lengths])
-            columns = [np.concatenate(found).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), places]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "place"])
+            columns = [np.concatenate(found).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "place"])
 
-    return docs.select(text).mapInArrow(first, "key long, node long, n long, place long")
+    return docs.select(text).mapInArrow(first, "key long, node long, place long")
 
 
 def _dealt(rows: DataFrame, limit: Limit, every: bool) -> DataFrame:
     """Rows with the tile they go to; with ``every``, each pair of partners meets in one tile of a shingle at least."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    sizes = written(sizes.where("low <> high").select("key", "members"), "tiles")
-    total = rows.count()
-    rows = join_by_count(rows, sizes, "key", "members", total).where("members is not null")
+    if every:
+        large = rows.where(F.col("members") > TILE)
+        roots = large.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+        mixed = written(roots.where("low <> high").select("key", "members"), "mixed")
+        total = mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+        large = join_by_count(large.drop("members"), mixed, "key", "members", total).where("members is not null")
+        rows = rows.where(F.col("members") <= TILE).unionByName(large)
     blocks = F.ceil(F.col("members") / TILE).cast("long")
     block = F.pmod(F.xxhash64("node", "key"), blocks)
     rows = rows.withColumn("block", block).withColumn("band", limit.band("n").cast("long"))
@@ -281,11 +283,13 @@ def near_sets(
     order = np.argsort(keys)
     entries = written(_entries(docs, text, words, limit, keys[order], often.seen.to_numpy(np.int64)[order]), "entries")
     met = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
-    met = written(met.where("low <> high").select("key", "members"), "shared")
-    shared = join_by_count(entries, met, "key", "members", entries.count()).where("members is not null").drop("members").distinct()
-    one_each = seen.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"))
-    shared = shared.join(one_each, "node").withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("place")))
-    shared = written(shared, "shared")
+    met = written(met.where("low <> high").select("key", "members"), "met")
+    shared = join_by_count(entries, met, "key", "members", entries.count()).where("members is not null").drop("members")
+    shared = written(shared.distinct(), "shared")
+    held = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "held")
+    one_each = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    shared = join_by_count(shared, held, "key", "members", shared.count()).join(one_each, "node")
+    shared = written(shared.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("place"))), "shared")
 
     sets = links = tried = roots = None
     known = rows.select("node", "mark")
