@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import ALPHA_RESPONSE_CHANNELS
 from .spectral import alpha_summary, band_powers, welch
-from .windows import equal_segments
+from .windows import equal_segments, extents
 
 
 def _response(powers: DataFrame, value: str, threshold: float) -> DataFrame:
@@ -20,25 +20,27 @@ def _response(powers: DataFrame, value: str, threshold: float) -> DataFrame:
     return per_channel.join(overall, "session_id").withColumn("passed", F.col("mean_ratio") > threshold)
 
 
-def _segment_powers(samples: DataFrame, labels: DataFrame) -> DataFrame:
-    keys = ["session_id", "channel", "channel_idx"]
-    spans = equal_segments(samples, labels, keys).withColumnRenamed("seg_len", "span_len")
-    group = [*keys, "seg", "label"]
+_KEYS = ["session_id", "channel", "channel_idx"]
+
+
+def _segment_powers(samples: DataFrame, labels: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    spans = equal_segments(samples, labels, _KEYS, ends).withColumnRenamed("seg_len", "span_len")
+    group = [*_KEYS, "seg", "label"]
     return band_powers(welch(spans, group), group)
 
 
 def alpha_response(samples: DataFrame, labels: DataFrame, threshold: float = 1.2) -> DataFrame:
     """Relative alpha with eyes closed against open, on the occipital channels.
 
-    Sessions without any of them fall back to the first three channels that they have.
+    Sessions without any of them fall back to the first three channels that they have. Channels and lengths
+    come from one aggregate of the samples.
     """
-    channels = samples.select("session_id", "channel", "channel_idx").distinct()
+    ends = extents(samples, _KEYS)
     named = F.col("channel").isin(ALPHA_RESPONSE_CHANNELS)
     montage = Window.partitionBy("session_id")  # the channels of a session, not its samples
-    placed = channels.withColumn("_has", F.max(named).over(montage)).withColumn("_place", F.row_number().over(montage.orderBy("channel_idx")))
-    tested = placed.where(F.when(F.col("_has"), named).otherwise(F.col("_place") <= 3))
-    picked = samples.join(tested.select("session_id", "channel"), ["session_id", "channel"], "left_semi")
-    return _response(_segment_powers(picked, labels), "alpha", threshold)
+    placed = ends.withColumn("_has", F.max(named).over(montage)).withColumn("_place", F.row_number().over(montage.orderBy("channel_idx")))
+    tested = placed.where(F.when(F.col("_has"), named).otherwise(F.col("_place") <= 3)).drop("_has", "_place")
+    return _response(_segment_powers(samples, labels, tested), "alpha", threshold)
 
 
 def slowing_response(samples: DataFrame, labels: DataFrame, threshold: float = 1.3) -> DataFrame:

@@ -82,15 +82,19 @@ def score_windows(
 # ---------------------------------------------------------------- segments
 
 
-def equal_segments(samples: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def extents(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, _from, _to): first and last index of each recording."""
+    return samples.groupBy(*keys).agg(F.min("sample_idx").alias("_from"), F.max("sample_idx").alias("_to"))
+
+
+def equal_segments(samples: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS, ends: DataFrame | None = None) -> DataFrame:
     """Cut a recording into as many equal parts as it has labels.
 
-    ``labels`` is (session_id, seg, label).  Parts are counted from the recording's
+    ``labels`` is (session_id, seg, label); ``ends`` are the ``extents`` of the recordings that are wanted, all if not given.  Parts are counted from the recording's
     first index; the tail that does not fill a segment is dropped.  Adds ``seg``, ``label``, ``pos`` and ``seg_len``.
     """
     counts = labels.groupBy("session_id").agg(F.count(F.lit(1)).alias("_k"))
-    first, last = F.min("sample_idx").alias("_from"), F.max("sample_idx").alias("_to")
-    lengths = samples.groupBy(*keys).agg(first, last).withColumn("_n", F.col("_to") - F.col("_from") + 1)
+    lengths = (extents(samples, keys) if ends is None else ends).withColumn("_n", F.col("_to") - F.col("_from") + 1)
     shape = (
         lengths.join(counts, "session_id")
         .withColumn("seg_len", F.expr("_n div _k"))
