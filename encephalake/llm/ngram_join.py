@@ -7,7 +7,7 @@ show to be common, which come last. The order decides how many nodes meet, never
 
 Nodes meet in tiles: a shared shingle and a band of sizes. A band spans one factor q/p, so the partners of
 a node are in its own band or the ones beside it; it is a resident of its own and a visitor of the next.
-A tile beyond ``TILE`` nodes is cut into pairs of blocks. Inside a tile, sizes and places of the shared
+A shingle of up to ``TILE`` nodes is one tile, the tiles of one beyond that are cut into pairs of blocks. Inside a tile, sizes and places of the shared
 shingle leave out pairs first. Then bitmap signatures do: each bit in which two of them differ is an element
 of one set only, so half of sizes minus differing bits bounds the overlap from above. What is left is
 compared by the exact intersection of the sorted hash arrays.
@@ -174,7 +174,9 @@ def _dealt(rows: DataFrame, limit: Limit, every: bool) -> DataFrame:
     rows = rows.withColumn("block", block).withColumn("band", limit.band("n").cast("long"))
     if not every:
         return rows.withColumn("lo", F.col("block")).withColumn("hi", F.col("block")).withColumn("visits", F.lit(False))
-    place = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(False).alias("visits")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("visits"))))
+    own, following, all_sizes = (F.struct(b.cast("long").alias("band"), F.lit(v).alias("visits")) for b, v in ((F.col("band"), False), (F.col("band") + 1, True), (F.lit(-1), False)))
+    # the nodes of one block need no bands: in order of size, a node meets no one beyond its partners' sizes
+    place = F.explode(F.when(F.col("members") <= TILE, F.array(all_sizes)).otherwise(F.array(own, following)))
     rows = rows.withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     return rows.withColumns({"band": F.col("at.band"), "visits": F.col("at.visits"), "lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
