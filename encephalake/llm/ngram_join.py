@@ -13,7 +13,8 @@ of one set only, so half of sizes minus differing bits bounds the overlap from a
 compared by the exact intersection of the sorted hash arrays.
 
 Only components are wanted, so a group of many copies need not become all its pairs: ``PHASES`` first
-compares a node with a few neighbours by size in tiles of its first shared shingles; from then on only nodes of
+compares a node, in tiles of its first shared shingles, with the nodes of which most is shared (what others were
+copied from is such a node), then with a few neighbours by size; from then on only nodes of
 different components are compared. The last phase has no limit, so no link between components is lost. Shingles
 that only nodes of one component share are dropped before they are dealt, if they need more than one block.
 
@@ -37,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_list, join_by_count, slices, written
+from .common import byte_list, join_by_count, slices, tidy, written
 from .components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 TILE = 512
-#: (shared shingles of a node, next neighbours by size); None is all.
-PHASES = ((4, 4), (None, None))
+#: (shared shingles of a node, partners in a tile, are they its most shared nodes or else the next by size); None is all.
+PHASES = ((4, 2, True), (4, 4, False), (None, None, False))
 #: A shingle is common from this share of the texts on; so many of them are told apart, the most common first.
 COMMON_SHARE = 1 / 2000
 COMMON_KEPT = 50_000
@@ -181,8 +182,11 @@ def _dealt(rows: DataFrame, limit: Limit, every: bool) -> DataFrame:
     return rows.withColumns({"band": F.col("at.band"), "visits": F.col("at.visits"), "lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
 
-def _candidates(tiles: DataFrame, reach: int | None, limit: Limit) -> DataFrame:
-    """Distinct pairs (a, b) of a tile's nodes in different components whose overlap may be large enough."""
+def _candidates(tiles: DataFrame, reach: int | None, limit: Limit, centres: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of a tile's nodes in different components whose overlap may be large enough.
+
+    Partners are the next ``reach`` by size (all if None) or, with ``centres``, the ``reach`` most shared nodes of the tile.
+    """
     p, q = limit.p, limit.q
 
     def of(rows: pa.Table) -> np.ndarray:
@@ -196,12 +200,9 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit) -> DataFrame:
         flat = np.frombuffer(sig.buffers()[2], np.uint8)
         last = np.append(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1, len(n))
         stop = last[np.searchsorted(last, np.arange(len(n)), "right")]
-        active, step, found = np.arange(len(n)), 0, []
-        while len(active) and (reach is None or step < reach):
-            step += 1
-            active = active[active + step < stop[active]]
-            active = active[p * n[active + step] <= q * n[active]]
-            a, b = active, active + step
+        found = []
+
+        def meet(a: np.ndarray, b: np.ndarray) -> None:
             least = limit.overlap(n[a] + n[b])
             fits = (root[a] != root[b]) & ~(visits[a] & visits[b]) & ~(apart[a] & (block[a] == block[b])) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= least)
             a, b, least = a[fits], b[fits], least[fits]
@@ -209,6 +210,18 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit) -> DataFrame:
                 bound = (n[a] + n[b] - differing_bits(flat, ends[:-1], np.diff(ends), a, b)) // 2
                 a, b = a[bound >= least], b[bound >= least]
                 found.append(np.sort(np.stack([node[a], node[b]]), axis=0))
+
+        every, step = np.arange(len(n)), 0
+        active = every
+        while centres and step < reach:
+            centre = np.concatenate([[0], last[:-1]])[np.searchsorted(last, every, "right")] + step
+            meet(centre[centre < every], every[centre < every])
+            step += 1
+        while not centres and len(active) and (reach is None or step < reach):
+            step += 1
+            active = active[active + step < stop[active]]
+            active = active[p * n[active + step] <= q * n[active]]
+            meet(active, active + step)
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +238,10 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit) -> DataFrame:
         if held is not None and held.num_rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(held)], ["a", "b"])
 
+    first = F.round(F.col("n") * 1000 / F.col("keys")) if centres else F.lit(0)  # keys: the node's shared shingles
     columns = [*_TILE_COLUMNS, "n", "node", "place", "root", "block", "visits", "sig"]
-    sorted_rows = tiles.select(*columns).repartition(*_TILE_COLUMNS).sortWithinPartitions(*_TILE_COLUMNS, "n", "node")
+    sorted_rows = tiles.select(*columns, first.cast("long").alias("first")).repartition(*_TILE_COLUMNS)
+    sorted_rows = sorted_rows.sortWithinPartitions(*_TILE_COLUMNS, "first", "n", "node").drop("first")
     return sorted_rows.mapInArrow(every, "a long, b long").distinct()
 
 
@@ -286,16 +301,21 @@ def near_sets(
     entries = written(_entries(docs, text, words, limit, keys[order], often.seen.to_numpy(np.int64)[order]), "entries")
     met = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"))
     met = written(met.where("low <> high").select("key", "members"), "met")
+    tidy(spark)
     shared = join_by_count(entries, met, "key", "members", entries.count()).where("members is not null").drop("members")
     shared = written(shared.distinct(), "shared")
+    tidy(spark)
     held = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "held")
     one_each = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     shared = join_by_count(shared, held, "key", "members", shared.count()).join(one_each, "node")
-    shared = written(shared.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy("place"))), "shared")
+    own = Window.partitionBy("node")  # a node's shared shingles, at most its prefix
+    shared = shared.withColumn("turn", F.row_number().over(own.orderBy("place"))).withColumn("keys", F.count(F.lit(1)).over(own))
+    shared = written(shared, "shared")
+    tidy(spark)
 
     sets = links = tried = roots = None
     known = rows.select("node", "mark")
-    for which, reach in ([("given", None)] if candidates is not None else []) + list(PHASES):
+    for which, reach, centres in ([("given", None, False)] if candidates is not None else []) + list(PHASES):
         if which == "given":
             at = [known.groupBy(F.col("mark").alias(side)).agg(F.min("node").alias("_" + side)) for side in "ab"]
             pairs = candidates.select("a", "b").join(at[0], "a").join(at[1], "b").where("_a <> _b")
@@ -303,7 +323,7 @@ def near_sets(
         else:
             current = shared if which is None else shared.where(F.col("turn") <= which)
             current = current.withColumn("root", F.col("node")) if roots is None else current.join(roots.toDF("node", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
-            pairs = _candidates(_dealt(current, limit, reach is None), reach, limit)
+            pairs = _candidates(_dealt(current, limit, reach is None), reach, limit, centres)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -312,7 +332,9 @@ def near_sets(
         if sets is None or not nodes.isEmpty():
             new = written(_sets(docs, text, words, known, nodes), "sets")
             sets = new if sets is None else sets.unionByName(new)
+        tidy(spark)
         found = written(_verified(pairs, sets, limit), "links")
+        tidy(spark)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)

@@ -48,7 +48,7 @@ def copies(count, group, seed):
     return rows
 
 
-@pytest.mark.parametrize("group, phases", [(8, ngram_join.PHASES), (90, ngram_join.PHASES), (90, ((None, 1), (None, None)))])
+@pytest.mark.parametrize("group, phases", [(8, ngram_join.PHASES), (90, ngram_join.PHASES), (90, ((None, 1, True), (None, 1, False), (None, None, False)))])
 def test_stage_is_all_pairs(spark, monkeypatch, group, phases):
     monkeypatch.setattr(ngram_join, "PHASES", phases)
     rows = copies(180, group, group)

@@ -57,7 +57,7 @@ def copies(count, group, seed):
 ODD = [(2000, None), (2001, ""), (2002, " \n"), (2003, "one two"), (2004, "ONE  two"), (2005, "one two three"), (None, "one two"), (None, "alone here"), (2003, "one two")]
 
 
-@pytest.mark.parametrize("group, tile, phases", [(8, 512, ngram_join.PHASES), (90, 512, ngram_join.PHASES), (90, 7, ((1, 1), (None, None))), (180, 5, ((None, None),))])
+@pytest.mark.parametrize("group, tile, phases", [(8, 512, ngram_join.PHASES), (90, 512, ngram_join.PHASES), (90, 7, ((1, 1, True), (1, 1, False), (None, None, False))), (180, 5, ((None, None, False),))])
 def test_all_pairs(spark, monkeypatch, group, tile, phases):
     monkeypatch.setattr(ngram_join, "TILE", tile)
     monkeypatch.setattr(ngram_join, "PHASES", phases)
