@@ -9,8 +9,9 @@ Nodes meet in tiles: a shared shingle and a band of sizes. A band spans one fact
 a node are in its own band or the ones beside it; it is a resident of its own and a visitor of the next.
 A shingle of up to ``TILE`` nodes is one tile, the tiles of one beyond that are cut into pairs of blocks. Inside a tile, sizes and places of the shared
 shingle leave out pairs first. Then bitmap signatures do: each bit in which two of them differ is an element
-of one set only, so half of sizes minus differing bits bounds the overlap from above. What is left is
-compared by the exact intersection of the sorted hash arrays.
+of one set only, so half of sizes minus differing bits bounds the overlap from above. Tiles hold signatures folded
+to ``TILE_BITS`` at most; the pairs that they leave are bounded again by the whole signatures, which have a bit for every
+element of all but the longest texts. What is left then is compared by the exact intersection of the sorted hash arrays.
 
 Only components are wanted, so a group of many copies need not become all its pairs: ``PHASES`` first
 compares a node, in tiles of its first shared shingles, with the nodes of which most is shared (what others were
@@ -46,11 +47,14 @@ SIMILARITY = 0.8
 TILE = 512
 #: (shared shingles of a node, partners in a tile, are they its most shared nodes or else the next by size); None is all.
 PHASES = ((4, 2, True), (4, 4, False), (None, None, False))
+#: Pairs that are compared for each two components before all the others between them are.
+BETWEEN = 4
 #: A shingle is common from this share of the texts on; so many of them are told apart, the most common first.
 COMMON_SHARE = 1 / 2000
 COMMON_KEPT = 50_000
-#: Bits of a signature: the power of two at or above the set's size, within these.
-_LEAST_BITS, _MOST_BITS = 64, 2048
+#: Bits of a signature: the power of two at or above the set's size, within these; and of what tiles hold of it.
+_LEAST_BITS, _MOST_BITS = 64, 1 << 16
+TILE_BITS = 1024
 _CHUNK = 1 << 14
 _TILE_COLUMNS = ["key", "band", "lo", "hi"]
 
@@ -74,6 +78,12 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(sig: bytes, bits: int = TILE_BITS) -> bytes:
+    """The signature of ``bits`` bits at most."""
+    data = np.frombuffer(sig, np.uint8)
+    return np.bitwise_or.reduce(data.reshape(-1, min(len(data), bits // 8)), axis=0).tobytes()
+
+
 def node_of(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes())], np.uint64).view(np.int64)[0])
 
@@ -102,13 +112,14 @@ class Limit:
 def differing_bits(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bits in which signatures ``a`` and ``b`` differ, the longer folded to the shorter's length."""
     out = np.zeros(len(a), np.int64)
-    kinds = lengths[a] * (_MOST_BITS + 1) + lengths[b]
+    kinds = lengths[a] * _MOST_BITS + lengths[b]
     for kind in np.unique(kinds):
         at = np.flatnonzero(kinds == kind)
         size = [int(lengths[side[at[0]]]) for side in (a, b)]
         least = min(size)
-        for i in range(0, len(at), _CHUNK):
-            part = at[i : i + _CHUNK]
+        step = max(1, (_CHUNK << 9) // max(size))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
             sides = []
             for side, own in zip((a, b), size):
                 rows = flat[starts[side[part]][:, None] + np.arange(own)]
@@ -118,8 +129,8 @@ def differing_bits(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a:
 
 
 def facts(docs: DataFrame, key: str, text: str, words: int, link_empty: bool) -> DataFrame:
-    """A row for every text (doc_id, mark, node, n, sig), and rows (common, seen) of shingles that a batch has often."""
-    schema = "doc_id long, mark long, node long, n long, sig binary, common long, seen long"
+    """A row for every text (doc_id, mark, node, n, sig, tag), and rows (common, seen) of shingles that a batch has often."""
+    schema = "doc_id long, mark long, node long, n long, sig binary, tag binary, common long, seen long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -129,10 +140,11 @@ def facts(docs: DataFrame, key: str, text: str, words: int, link_empty: bool) ->
             often = counts >= max(2, len(sets) * COMMON_SHARE)
             keys, counts, rows = keys[often].view(np.int64), counts[often].astype(np.int64), len(sets)
             more = len(keys)
-            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())]
-            columns = [pa.concat_arrays([c.cast(t) if c.type != t else c, pa.nulls(more, t)]) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            whole = [signature(s) for s in sets]
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array([folded(x) for x in whole], pa.binary())]
+            columns = [pa.concat_arrays([c, pa.nulls(more, c.type)]) for c in columns]
             columns += [pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(c)]) for c in (keys, counts)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", "sig", "common", "seen"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", "sig", "tag", "common", "seen"])
 
     return docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).mapInArrow(scan, schema)
 
@@ -245,6 +257,22 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit, centres: bool
     return sorted_rows.mapInArrow(every, "a long, b long").distinct()
 
 
+def _bounded(pairs: DataFrame, whole: DataFrame, limit: Limit) -> DataFrame:
+    """Pairs whose whole signatures (node, n, sig) leave room for enough overlap."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, 3), 5):
+            sizes = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            sides = [byte_list(batch.column(i)) for i in (3, 5)]
+            lengths = np.array([len(x) for side in sides for x in side], np.int64)
+            flat, rows = np.frombuffer(b"".join(sides[0] + sides[1]), np.uint8), np.arange(batch.num_rows)
+            differ = differing_bits(flat, np.cumsum(lengths) - lengths, lengths, rows, rows + batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array((sizes - differ) // 2 >= limit.overlap(sizes), pa.bool_()))
+
+    joined = pairs.join(whole.toDF("a", "_n", "_one"), "a").join(whole.toDF("b", "_m", "_other"), "b")
+    return joined.select("a", "b", "_n", "_one", "_m", "_other").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
     """Pairs whose sorted hash arrays overlap enough."""
 
@@ -306,8 +334,9 @@ def near_sets(
     shared = written(shared.distinct(), "shared")
     tidy(spark)
     held = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "held")
-    one_each = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    one_each = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("tag").alias("sig"))
     shared = join_by_count(shared, held, "key", "members", shared.count()).join(one_each, "node")
+    whole = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     own = Window.partitionBy("node")  # a node's shared shingles, at most its prefix
     shared = shared.withColumn("turn", F.row_number().over(own.orderBy("place"))).withColumn("keys", F.count(F.lit(1)).over(own))
     shared = written(shared, "shared")
@@ -324,21 +353,32 @@ def near_sets(
             current = shared if which is None else shared.where(F.col("turn") <= which)
             current = current.withColumn("root", F.col("node")) if roots is None else current.join(roots.toDF("node", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
             pairs = _candidates(_dealt(current, limit, reach is None), reach, limit, centres)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        nodes = written(nodes if sets is None else nodes.join(sets, "node", "left_anti"), "nodes")
-        if sets is None or not nodes.isEmpty():
-            new = written(_sets(docs, text, words, known, nodes), "sets")
-            sets = new if sets is None else sets.unionByName(new)
-        tidy(spark)
-        found = written(_verified(pairs, sets, limit), "links")
-        tidy(spark)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = written(components(links), "roots")
+        pairs = written(_bounded(written(pairs, "pairs"), whole, limit), "bounded")
+        # what is left is compared as long as it lies between components, first a few pairs for each two of them
+        for few in (BETWEEN, None):
+            chosen = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+            for side in "ab":
+                at = F.lit(None).cast("long") if roots is None else F.col(f"_root_{side}")
+                chosen = chosen if roots is None else chosen.join(roots.toDF(side, f"_root_{side}"), side, "left")
+                chosen = chosen.withColumn(f"r{side}", F.coalesce(at, F.col(side)))
+            chosen = chosen.where("ra <> rb")
+            if few is not None:
+                between = Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy(F.xxhash64("a", "b"))
+                chosen = chosen.withColumn("_r", F.row_number().over(between)).where(F.col("_r") <= few)
+            chosen = written(chosen.select("a", "b"), "chosen")
+            if chosen.isEmpty():
+                break
+            nodes = chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            nodes = written(nodes if sets is None else nodes.join(sets, "node", "left_anti"), "nodes")
+            if sets is None or not nodes.isEmpty():
+                new = written(_sets(docs, text, words, known, nodes), "sets")
+                sets = new if sets is None else sets.unionByName(new)
+            found = written(_verified(chosen, sets, limit), "links")
+            tidy(spark)
+            tried = chosen if tried is None else tried.unionByName(chosen)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = written(components(links), "roots")
 
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     if roots is None:
