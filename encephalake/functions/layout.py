@@ -128,20 +128,30 @@ def section_join(
     pos: str = "sample_idx",
     how: str = "inner",
     section: int = SECTION,
+    first: str | None = None,
 ) -> DataFrame:
     """Join a per-key table back to its many rows without a hot task.
 
-    Positions are cut into sections of a million; ``last`` is the key's largest
-    position, so the small side is repeated once per section a key really has: an
+    Positions are cut into sections of a million; ``first`` and ``last`` are the key's smallest (0 if not
+    given) and largest position, so the small side is repeated once per section a key really has: an
     ordinary recording joins as usual, a huge one spreads over many tasks.
     """
     left = big.withColumn("_sec", F.expr(f"{pos} div {section}"))
-    right = small.withColumn(
-        "_sec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast({last} as bigint) div {section}")))
-    )
+    start = F.lit(0).cast("bigint") if first is None else F.expr(f"cast({first} as bigint) div {section}")
+    right = small.withColumn("_sec", F.explode(F.sequence(start, F.expr(f"cast({last} as bigint) div {section}"))))
     return left.join(right, [*on, "_sec"], how).drop("_sec")
 
 
+def place_join(big: DataFrame, small: DataFrame, on: Sequence[str], pos: str, section: int = SECTION) -> DataFrame:
+    """``section_join`` for rows with wide spaces between them, such as marks at clock times.
+
+    The small side is repeated for the sections that hold a row, never more often than there are rows.
+    """
+    left = big.withColumn("_sec", F.expr(f"{pos} div {section}"))
+    held = left.select(*on, "_sec").distinct().join(small, list(on))
+    return left.join(held, [*on, "_sec"]).drop("_sec")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column]) -> DataFrame:
     """Exact 0-based ``rn`` per key in two levels.
 

@@ -19,7 +19,7 @@ from ..dims import (
     subset_table,
 )
 from ..functions.expr import channel_name, rank_in, seconds
-from ..functions.layout import KEYS, section_join
+from ..functions.layout import KEYS, place_join, section_join
 
 
 def to_volts(df: DataFrame, value: str = "uv", out: str = "volts") -> DataFrame:
@@ -79,9 +79,9 @@ def crop(df: DataFrame, tmin: float, tmax: float, fs: float = SAMPLE_RATE) -> Da
 
 def latest(df: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """The last n samples of every key (all of them if there are fewer)."""
-    ends = df.groupBy(*keys).agg(F.max("sample_idx").alias("_last"))
-    joined = section_join(df, ends, keys, "_last")
-    return joined.where(F.col("sample_idx") > F.col("_last") - n).drop("_last")
+    ends = df.groupBy(*keys).agg(F.min("sample_idx").alias("_first"), F.max("sample_idx").alias("_last"))
+    joined = section_join(df, ends, keys, "_last", first="_first")
+    return joined.where(F.col("sample_idx") > F.col("_last") - n).drop("_first", "_last")
 
 
 def full_chunks(df: DataFrame, size: int = 256, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -130,8 +130,8 @@ def overlay_bumps(
     """
     latency, width = int(latency_sec * fs), int(width_sec * fs)
     ends = df.groupBy("session_id").agg((F.max("sample_idx") + 1).alias("_n"))
-    peaks = section_join(
-        onsets.select("session_id", (F.col("sample_index") + latency).alias("peak")), ends, ["session_id"], "_n", "peak"
+    peaks = place_join(
+        onsets.select("session_id", (F.col("sample_index") + latency).alias("peak")), ends, ["session_id"], "peak"
     ).where("peak < _n")
     reach = peaks.withColumn(
         "sample_idx",
@@ -159,8 +159,8 @@ def overlay_burst(
     fs: float = SAMPLE_RATE,
 ) -> DataFrame:
     """Add a Hann-shaped sine burst over [start, min(start + length, n))."""
-    ends = df.groupBy("session_id").agg((F.max("sample_idx") + 1).alias("_n"))
-    rows = section_join(df, ends, ["session_id"], "_n")
+    ends = df.groupBy("session_id").agg(F.min("sample_idx").alias("_first"), (F.max("sample_idx") + 1).alias("_n"))
+    rows = section_join(df, ends, ["session_id"], "_n", first="_first").drop("_first")
     m = F.least(F.lit(start + length), F.col("_n")) - start
     j = F.col("sample_idx") - start
     hann = F.when(m > 1, 0.5 - 0.5 * F.cos(2 * np.pi * j / (m - 1))).otherwise(1.0)

@@ -188,9 +188,9 @@ def normalise(
         scaled = 1.0 / (1.0 + F.exp(-(x - F.col("_lo")) / (F.col("_hi") + epsilon)))
     else:
         raise ValueError(f"unknown normalisation: {method}")
-    per_channel = envelope.groupBy(*keys).agg(*stats, F.max("sample_idx").alias("_last"))
-    rows = section_join(envelope, per_channel, keys, "_last")
-    return rows.withColumn("f", scaled).drop("_lo", "_hi", "_last", value)
+    per_channel = envelope.groupBy(*keys).agg(*stats, F.min("sample_idx").alias("_first"), F.max("sample_idx").alias("_last"))
+    rows = section_join(envelope, per_channel, keys, "_last", first="_first")
+    return rows.withColumn("f", scaled).drop("_lo", "_hi", "_first", "_last", value)
 
 
 # ---------------------------------------------------------------- state equations
@@ -349,8 +349,8 @@ def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, piece: i
     from .longphase import split_phase
 
     keys = list(keys)
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("sample_idx").alias("_last"))
-    rows = section_join(samples.select(*keys, "sample_idx", "uv"), sizes, keys, "_last").drop("_last")
+    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("sample_idx").alias("_first"), F.max("sample_idx").alias("_last"))
+    rows = section_join(samples.select(*keys, "sample_idx", "uv"), sizes, keys, "_last", first="_first").drop("_first", "_last")
     long = gapless_stretches(rows.where(F.col("_n") > piece).drop("_n"), keys)
     whole = split_phase(long, [*keys, "stretch"]).select(*keys, (F.col("sample_idx") + F.col("stretch")).alias("sample_idx"), "b")
     return _direct_phase(rows.where(F.col("_n") <= piece), keys).unionByName(whole)
@@ -430,9 +430,9 @@ def bad_channels(samples: DataFrame, z_threshold: float = 3.0) -> DataFrame:
 
 def scale_by_session(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per-session channel z-score."""
-    stats = samples.groupBy(*keys).agg(F.avg("uv").alias("_m"), F.stddev_pop("uv").alias("_s"), F.max("sample_idx").alias("_l"))
-    rows = section_join(samples, stats, keys, "_l")
-    return rows.withColumn("z", F.try_divide(F.col("uv") - F.col("_m"), F.col("_s"))).drop("_m", "_s", "_l")
+    stats = samples.groupBy(*keys).agg(F.avg("uv").alias("_m"), F.stddev_pop("uv").alias("_s"), F.min("sample_idx").alias("_f"), F.max("sample_idx").alias("_l"))
+    rows = section_join(samples, stats, keys, "_l", first="_f")
+    return rows.withColumn("z", F.try_divide(F.col("uv") - F.col("_m"), F.col("_s"))).drop("_m", "_s", "_f", "_l")
 
 
 # ---------------------------------------------------------------- epochs

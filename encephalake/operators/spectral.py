@@ -37,7 +37,7 @@ def spans_whole(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     A segment that misses a sample gives no spectrum.
     """
     bounds = samples.groupBy(*keys).agg(F.min("sample_idx").alias("_from"), F.max("sample_idx").alias("_to"))
-    rows = section_join(samples, bounds, keys, "_to")
+    rows = section_join(samples, bounds, keys, "_to", first="_from")
     length = F.col("_to") - F.col("_from") + 1
     return rows.withColumn("span_len", length).withColumn("pos", F.col("sample_idx") - F.col("_from")).drop("_from", "_to")
 

@@ -16,6 +16,7 @@ from ..functions.layout import (
     SECTION,
     interval_join,
     next_in_order,
+    place_join,
     running_sum,
     section_join,
 )
@@ -102,7 +103,7 @@ def equal_segments(samples: DataFrame, labels: DataFrame, keys: Sequence[str] =
         .select(*keys, "seg_len", "_k", "_from", "_to")
     )
     cut = (
-        section_join(samples, shape, keys, "_to")
+        section_join(samples, shape, keys, "_to", first="_from")
         .withColumn("seg", F.expr("(sample_idx - _from) div seg_len"))
         .where("seg < _k")
         .withColumn("pos", F.expr("(sample_idx - _from) % seg_len"))
@@ -130,8 +131,8 @@ def state_intervals(
     The last one runs to the last sample's time.  Session bounds are no states
     but still end the state before them.
     """
-    led = next_in_order(markers, ["session_id"], "sample_index", ["sample_index"])
-    rows = section_join(led, ends, ["session_id"], "n_samples", "sample_index")
+    held = place_join(markers, ends, ["session_id"], "sample_index")
+    rows = next_in_order(held, ["session_id"], "sample_index", ["sample_index"])
     last = (F.col("n_samples") - 1) / F.lit(float(fs))
     return rows.where(~F.col("label").isin(list(skip))).select(
         "session_id",
@@ -171,8 +172,8 @@ def marker_segments(
     closed_name: str = "eyes_closed",
 ) -> DataFrame:
     """[start, end) per named phase, in samples; a repeated name keeps its last segment."""
-    led = next_in_order(markers, ["session_id"], "sample_index", ["sample_index"])
-    rows = section_join(led, ends, ["session_id"], "n_samples", "sample_index")
+    held = place_join(markers, ends, ["session_id"], "sample_index")
+    rows = next_in_order(held, ["session_id"], "sample_index", ["sample_index"])
     name = F.when(F.col("marker_id") == open_id, F.col("label")).when(
         F.col("marker_id") == closed_id, F.lit(closed_name)
     )
@@ -331,7 +332,7 @@ def midpoint_rows(pn: DataFrame, segments: DataFrame) -> DataFrame:
     ``segments`` is (session_id, seg, start_idx, seg_len).
     """
     ends = pn.groupBy("session_id").agg(F.max("sample_idx").alias("_last"))
-    mids = section_join(segments, ends, ["session_id"], "_last", "start_idx").select(
+    mids = place_join(segments, ends, ["session_id"], "start_idx").select(
         "session_id",
         "seg",
         F.least(F.expr("start_idx + seg_len div 2"), F.col("_last")).alias("sample_idx"),

@@ -111,8 +111,8 @@ def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
         held = of("sessions", T.StructType([*SESSIONS.fields, T.StructField("version", T.StringType())]))
         newest = held.select("session_id", "version").join(order, "version").groupBy("session_id").agg(F.max_by("version", "seq").alias("version"), F.max("seq").alias("_seq"))
         if name == "samples":
-            ends = rows.groupBy("session_id", "version").agg(F.max("sample_idx").alias("_last"))
-            rows = section_join(rows, newest.join(ends, ["session_id", "version"]).drop("_seq"), ["session_id", "version"], "_last").drop("_last")
+            ends = rows.groupBy("session_id", "version").agg(F.min("sample_idx").alias("_first"), F.max("sample_idx").alias("_last"))
+            rows = section_join(rows, newest.join(ends, ["session_id", "version"]).drop("_seq"), ["session_id", "version"], "_last", first="_first").drop("_first", "_last")
         else:
             rows = rows.join(newest.drop("_seq"), ["session_id", "version"])
     return rows.select(*TABLES[name].names)

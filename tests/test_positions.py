@@ -63,3 +63,15 @@ def test_spectra_and_segments_count_from_the_first_index(spark, to_samples, synt
     labels = spark.createDataFrame([("T0", i, i % 2) for i in range(3)], "session_id string, seg long, label int")
     a, b = (windows.equal_segments(s, labels).groupBy("channel_idx", "seg").agg(F.sum("uv").alias("x"), F.count("*").alias("n")).orderBy("channel_idx", "seg").toPandas() for s in (cropped, moved))
     assert np.allclose(a, b)
+
+
+def test_clock_positions_cost_no_sections(spark):
+    """Marks and samples at clock times: the per-session table is repeated for the places they hold, not from 0 on."""
+    at = 4_000_000_000_000_000
+    marks = spark.createDataFrame([("T0", at, 1, "a"), ("T0", at + 10**7, 2, "b")], "session_id string, sample_index bigint, marker_id int, label string")
+    ends = spark.createDataFrame([("T0", at + 2 * 10**7)], "session_id string, n_samples bigint")
+    spans = windows.report_windows(marks, ends).orderBy("onset_sec").collect()
+    assert [(r.label, round((r.end_sec - r.onset_sec) * 125)) for r in spans] == [("a", 10**7), ("b", 10**7 - 1)]
+    x = spark.range(8).select(F.lit("T0").alias("session_id"), F.lit(0).alias("channel_idx"), (F.col("id") + at).alias("sample_idx"), F.col("id").cast("double").alias("uv"))
+    assert sorted(r.f for r in C.normalise(x, value="uv").collect())[::7] == [0.0, pytest.approx(1.0)]
+    assert C.scale_by_session(x).count() == 8
