@@ -15,9 +15,12 @@ from .quality import _QUALITY_CTE, notch_sql, status_sql
 
 
 def source(spark, sf, name):
-    """A table of the folder as a file stream."""
+    """A table of the folder as a file stream, be it one file or a folder of parts.
+
+    A stream takes a single file only through a pattern, here one that matches just its name.
+    """
     schema = views.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 def sample_stream(spark, sf):

@@ -133,11 +133,14 @@ def insert_markers(samples: DataFrame, marks: DataFrame, delay: str = "10 second
     """Stream-stream join: each mark takes the index of the sample nearest to its time.
 
     ``marks`` is (session_id, ts, marker_id, label). The time axis is that of all channels together, so a
-    montage may lack any of them. The time bound of half a sample lets both sides drop state.
+    montage may lack any of them. The time bound of half a sample lets both sides drop state. Both sides meet by
+    seconds, in which a mark is once or twice and a sample once, so a mark is compared with a second's samples only.
     """
-    s = time_axis(samples, delay)
-    m = marks.withWatermark("ts", delay)
-    on = (F.col("session_id") == F.col("s_session")) & _nearest(fs)
+    half = F.make_dt_interval(secs=F.lit(0.5 / fs))
+    s = time_axis(samples, delay).withColumn("s_second", F.unix_seconds("s_ts"))
+    seconds = F.array_distinct(F.array(F.unix_seconds(F.col("ts") - half), F.unix_seconds(F.col("ts") + half)))
+    m = marks.withWatermark("ts", delay).withColumn("second", F.explode(seconds))
+    on = (F.col("session_id") == F.col("s_session")) & (F.col("second") == F.col("s_second")) & _nearest(fs)
     return m.join(s, on).select("session_id", F.col("sample_idx").alias("sample_index"), "marker_id", "label")
 
 

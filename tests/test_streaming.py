@@ -188,3 +188,20 @@ def test_feedback_amplitude(spark):
     assert got == pytest.approx([0.1, 0.5, 1.0])
     control = base.withColumn("is_control", F.lit(True))
     assert all(np.isnan(r.amplitude) for r in S.feedback(powers, control, ["session_id"]).collect())
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_is_streamed_as_a_file_or_a_folder(spark, tmp_path, parts):
+    import os
+
+    import pandas as pd
+
+    from encephalake.plans.catalog.streams import source
+
+    rows, path = pd.DataFrame({"vec_id": np.arange(12)}), f"{tmp_path}/embeddings.parquet"
+    if parts:
+        os.makedirs(path)
+    for i, part in enumerate(np.array_split(rows, max(parts, 1))):
+        part.to_parquet(f"{path}/part-{i:04d}.parquet" if parts else path, index=False)
+    got = run.drain(source(spark, str(tmp_path), "embeddings")).toPandas()
+    assert sorted(got["vec_id"]) == list(range(12))
