@@ -14,6 +14,8 @@ from .layout import spread_join
 
 # A small state stays on the driver: at most this many keys (x a C x C matrix).
 MAX_DRIVER_KEYS = 1024
+# Rows that a round works on at a time.
+SLICE = 256
 
 
 def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
@@ -89,10 +91,13 @@ def _on_driver(data, keys, value, few, start, contribute, update, max_iter) -> D
             sums: dict[tuple, list] = {}
             for pdf in batches:
                 for key, part in _groups(pdf, keys):
-                    if key in shared.value:
-                        v = contribute(part[value].to_list(), shared.value[key])
+                    if key not in shared.value:
+                        continue
+                    for at in range(0, len(part), SLICE):
+                        rows = part[value].iloc[at : at + SLICE].to_list()
+                        v = contribute(rows, shared.value[key])
                         old = sums.get(key)
-                        sums[key] = [len(part), v] if old is None else [old[0] + len(part), old[1] + v]
+                        sums[key] = [len(rows), v] if old is None else [old[0] + len(rows), old[1] + v]
             for key, (n, v) in sums.items():
                 yield pd.DataFrame([(*key, n, v)], columns=[*keys, "n", "v"])
 

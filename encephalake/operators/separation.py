@@ -18,7 +18,8 @@ from ..dims import CHANNEL_NAMES, EOG_PROXIES
 from ..functions.iterate import fixed_point, matrix_sums
 from ..functions.layout import spread_join
 
-BLOCK = 512
+#: An Arrow batch has up to 10,000 blocks, which a Python worker holds at once, so a block is kept short.
+BLOCK = 32
 
 
 def _points(samples: DataFrame, block: int) -> DataFrame:

@@ -59,3 +59,19 @@ def test_blink_component_is_flagged(to_samples):
     scores = H.flag_eye_components(to_samples(x), ica).toPandas()
     assert scores.loc[scores["score"].abs().idxmax(), "flagged"]
     assert scores["flagged"].sum() <= 2
+
+
+def test_a_round_works_on_slices_and_blocks_are_short(spark, to_samples):
+    from encephalake.functions.iterate import SLICE, fixed_point
+    from encephalake.operators.separation import sample_blocks
+
+    rows = spark.range(1000).coalesce(1).selectExpr("'T0' session_id", "array(double(id)) x")
+    start = spark.createDataFrame([("T0", [0.0, 0.0])], "session_id string, s array<double>")
+
+    def contribute(rows, s):
+        return np.array([len(rows) > SLICE, np.sum(rows)], float)
+
+    s = fixed_point(rows, ["session_id"], "x", start, contribute, lambda total, n, s: (np.append(total, n)[-3:], True), 1).first()["s"]
+    assert s == [0.0, 499500.0, 1000.0]
+    blocks = sample_blocks(to_samples(np.random.default_rng(0).normal(size=(16, 1000))))
+    assert blocks.selectExpr("max(size(x))").first()[0] * 10_000 * 8 < 64e6
