@@ -17,10 +17,12 @@ from .quality import _QUALITY_CTE, notch_sql, status_sql
 def source(spark, sf, name):
     """A table of the folder as a file stream, be it one file or a folder of parts.
 
-    A stream takes a single file only through a pattern, here one that matches just its name.
+    A folder is streamed as itself, with its partition columns if it has any; a single file only
+    through a pattern, here one that matches just its name.
     """
-    schema = views.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
+    rows = views.table(spark, sf, name)
+    single = all(path.endswith(f"/{name}.parquet") for path in rows.inputFiles())
+    return spark.readStream.schema(rows.schema).parquet(f"{sf}/{name}[.]parquet" if single else f"{sf}/{name}.parquet")
 
 
 def sample_stream(spark, sf):

@@ -205,3 +205,24 @@ def test_a_table_is_streamed_as_a_file_or_a_folder(spark, tmp_path, parts):
         part.to_parquet(f"{path}/part-{i:04d}.parquet" if parts else path, index=False)
     got = run.drain(source(spark, str(tmp_path), "embeddings")).toPandas()
     assert sorted(got["vec_id"]) == list(range(12))
+
+
+@pytest.mark.parametrize("layout", ["file", "parts", "partitioned"])
+def test_tables_are_streamed_whole_in_any_layout(spark, tmp_path, layout):
+    """One file, a folder of parts and a folder with a partition column give every row, to totals as to a sink."""
+    import shutil
+
+    from encephalake.plans.catalog import QUERIES, streams
+
+    given = "/root/testdata/sf0.001/embeddings.parquet"
+    rows = spark.read.parquet(given)
+    if layout == "file":
+        shutil.copyfile(given, f"{tmp_path}/embeddings.parquet")
+    elif layout == "parts":
+        rows.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    else:
+        rows.withColumn("part", F.col("vec_id") % 3).write.partitionBy("part").parquet(f"{tmp_path}/embeddings.parquet")
+    got = run.drain(streams.source(spark, str(tmp_path), "embeddings").select("vec_id"))
+    assert sorted(r.vec_id for r in got.collect()) == sorted(r.vec_id for r in rows.select("vec_id").collect())
+    totals = QUERIES["m6_running_totals"](spark, str(tmp_path))
+    assert sum(r.total for r in totals.collect()) == 64 * rows.count()
