@@ -32,6 +32,8 @@ from .common import BROADCAST_ROWS, byte_list, sample_per_group, slices
 ORDER = 3
 PER_LANGUAGE = 300
 MIN_COUNT = 3
+#: Sampled texts that a task counts, so partial counts follow the sample and not the number of partitions.
+TEXTS_A_TASK = 600
 UNKNOWN = "und"
 _BLOCK = 1 << 20
 
@@ -91,9 +93,9 @@ def gram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     one = rows.groupBy("_key", "_lang").agg(F.min("_mark").alias("_mark"))
     chosen = sample_per_group(one, "_lang", "_key", PER_LANGUAGE)
     same = ["_key", "_lang", "_mark"]
-    small = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sample = rows.join(F.broadcast(chosen) if small else chosen, same, "left_semi").groupBy(*same).agg(F.first("_text").alias("_text"))
-    counts = sample.select("_lang", "_text").mapInArrow(_count, "lang string, context int, gram long, n long")
+    size = chosen.limit(BROADCAST_ROWS + 1).count()
+    sample = rows.join(F.broadcast(chosen) if size <= BROADCAST_ROWS else chosen, same, "left_semi").groupBy(*same).agg(F.first("_text").alias("_text"))
+    counts = sample.coalesce(-(-size // TEXTS_A_TASK) or 1).select("_lang", "_text").mapInArrow(_count, "lang string, context int, gram long, n long")
     return counts.groupBy("lang", "context", "gram").agg(F.sum("n").alias("n"))
 
 

@@ -45,3 +45,23 @@ def test_language_sample_has_one_row_an_id(spark, monkeypatch):
     counts = language_id.gram_counts(docs).where("context = 0").toPandas().set_index("gram").n
     assert counts[ord("Q")] == 1 and counts[ord("x")] == 20
     assert len(language_id.build(language_id.gram_counts(docs)).languages) == 1
+
+
+def test_partial_language_counts_follow_the_sample(spark):
+    """However many partitions a shuffle has, the sample is counted by as many tasks as its size asks for."""
+    from encephalake.llm import language_id
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("50", "false")):
+            spark.conf.set(name, value)
+        many = language_id.gram_counts(docs)
+        many.collect()
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "Coalesce 1" in plan
+        assert many.where("context = 0").groupBy("lang").agg({"n": "sum"}).count() == 2
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
