@@ -8,9 +8,10 @@ show to be common, which come last. The order decides how many nodes meet, never
 Nodes meet in tiles: a shared shingle and a band of sizes. A band spans one factor q/p, so the partners of
 a node are in its own band or the ones beside it; it is a resident of its own and a visitor of the next.
 A shingle of up to ``TILE`` nodes is one tile, the tiles of one beyond that are cut into pairs of blocks. Inside a tile, sizes and places of the shared
-shingle leave out pairs first. Then bitmap signatures do: each bit in which two of them differ is an element
-of one set only, so half of sizes minus differing bits bounds the overlap from above. Tiles hold signatures folded
-to ``TILE_BITS`` at most; the pairs that they leave are bounded again by the whole signatures, which have a bit for every
+shingle leave out pairs first. Then parity signatures do: a bit tells whether an odd number of elements falls on it, so each
+bit in which two of them differ takes an element of one set only, and half of sizes minus differing bits bounds the overlap from
+above. Shared elements cancel out, so that also a text of more elements than bits keeps a sharp bound. Tiles hold signatures folded
+to ``tile_bits``; the pairs that they leave are bounded again by the whole signatures, which have two bits for every
 element of all but the longest texts. What is left then is compared by the exact intersection of the sorted hash arrays.
 
 Only components are wanted, so a group of many copies need not become all its pairs: ``PHASES`` first
@@ -52,9 +53,10 @@ BETWEEN = 4
 #: A shingle is common from this share of the texts on; so many of them are told apart, the most common first.
 COMMON_SHARE = 1 / 2000
 COMMON_KEPT = 50_000
-#: Bits of a signature: the power of two at or above the set's size, within these; and of what tiles hold of it.
-_LEAST_BITS, _MOST_BITS = 64, 1 << 16
-TILE_BITS = 1024
+#: Bits of a signature: the power of two at or above twice the set's size, within these. Tiles hold as many up to the first
+#: number of bits, then those at or above 3/5 of the size (4/9 must differ in sets that share nothing), up to the second.
+_LEAST_BITS, _MOST_BITS = 256, 1 << 16
+TILE_BITS = (1024, 8192)
 _CHUNK = 1 << 14
 _TILE_COLUMNS = ["key", "band", "lo", "hi"]
 
@@ -70,18 +72,27 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
 
 
+def _power(n: int) -> int:
+    """The power of two at or above ``n``."""
+    return 1 << max(0, n - 1).bit_length()
+
+
 def signature(hashes: np.ndarray) -> bytes:
-    """A bitmap of the hashes' low bits; folded by half it is that of half as many bits."""
-    size = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, len(hashes) - 1).bit_length()))
-    bits = np.zeros(size, np.uint8)
-    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """The parity of the elements on each value of the hashes' low bits; folded by half it is that of half as many bits."""
+    size = min(_MOST_BITS, max(_LEAST_BITS, _power(2 * len(hashes))))
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def tile_bits(n: int) -> int:
+    least, most = TILE_BITS
+    return max(min(least, max(_LEAST_BITS, _power(2 * n))), min(most, _power(n * 3 // 5)))
 
 
-def folded(sig: bytes, bits: int = TILE_BITS) -> bytes:
+def folded(sig: bytes, bits: int) -> bytes:
     """The signature of ``bits`` bits at most."""
     data = np.frombuffer(sig, np.uint8)
-    return np.bitwise_or.reduce(data.reshape(-1, min(len(data), bits // 8)), axis=0).tobytes()
+    return np.bitwise_xor.reduce(data.reshape(-1, min(len(data), bits // 8)), axis=0).tobytes()
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -123,7 +134,7 @@ def differing_bits(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a:
             sides = []
             for side, own in zip((a, b), size):
                 rows = flat[starts[side[part]][:, None] + np.arange(own)]
-                sides.append(np.bitwise_or.reduce(rows.reshape(len(part), own // least, least), axis=1))
+                sides.append(np.bitwise_xor.reduce(rows.reshape(len(part), own // least, least), axis=1))
             out[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
     return out
 
@@ -141,7 +152,7 @@ def facts(docs: DataFrame, key: str, text: str, words: int, link_empty: bool) ->
             keys, counts, rows = keys[often].view(np.int64), counts[often].astype(np.int64), len(sets)
             more = len(keys)
             whole = [signature(s) for s in sets]
-            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array([folded(x) for x in whole], pa.binary())]
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole, pa.binary()), pa.array([folded(x, tile_bits(len(s))) for x, s in zip(whole, sets)], pa.binary())]
             columns = [pa.concat_arrays([c, pa.nulls(more, c.type)]) for c in columns]
             columns += [pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(c)]) for c in (keys, counts)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "n", "sig", "tag", "common", "seen"])
@@ -335,7 +346,8 @@ def near_sets(
     tidy(spark)
     held = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "held")
     one_each = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("tag").alias("sig"))
-    shared = join_by_count(shared, held, "key", "members", shared.count()).join(one_each, "node")
+    one_each = written(one_each, "tags")
+    shared = join_by_count(shared, held, "key", "members", shared.count()).join(one_each.select("node", "n"), "node")
     whole = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     own = Window.partitionBy("node")  # a node's shared shingles, at most its prefix
     shared = shared.withColumn("turn", F.row_number().over(own.orderBy("place"))).withColumn("keys", F.count(F.lit(1)).over(own))
@@ -352,6 +364,7 @@ def near_sets(
         else:
             current = shared if which is None else shared.where(F.col("turn") <= which)
             current = current.withColumn("root", F.col("node")) if roots is None else current.join(roots.toDF("node", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+            current = current.join(one_each.select("node", "sig"), "node")
             pairs = _candidates(_dealt(current, limit, reach is None), reach, limit, centres)
         pairs = written(_bounded(written(pairs, "pairs"), whole, limit), "bounded")
         # what is left is compared as long as it lies between components, first a few pairs for each two of them

@@ -117,3 +117,19 @@ def test_limits(similarity):
         for b in range(1, 60):
             least = min((i for i in range(a + b + 1) if i >= round(similarity * (a + b - i), 9)))
             assert int(limit.overlap(a + b)) == least
+
+
+@pytest.mark.parametrize("n", [40, 300, 900, 1800, 3000, 9000])
+def test_tile_signatures_tell_unlike_sets_apart(n):
+    """Sets that share a fifth of their elements are left out by what a tile holds, however long the texts are."""
+    rng = np.random.default_rng(n)
+    limit, both = ngram_join.Limit(0.8), rng.integers(0, 1 << 63, n // 5).astype(np.uint64)
+    tags = []
+    for _ in range(6):
+        own = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - n // 5).astype(np.uint64)]))
+        sig = ngram_join.signature(own)
+        tags.append(ngram_join.folded(sig, ngram_join.tile_bits(len(own))))
+    lengths = np.array([len(x) for x in tags])
+    a, b = np.triu_indices(len(tags), 1)
+    differ = ngram_join.differing_bits(np.frombuffer(b"".join(tags), np.uint8), np.cumsum(lengths) - lengths, lengths, a, b)
+    assert ((2 * n - differ) // 2 < limit.overlap(2 * n)).all()
