@@ -70,14 +70,20 @@ def segments(
     )
 
 
+#: Values that are stacked at a time, so an Arrow batch of long rows needs no copies of itself.
+STACKED = 1 << 17
+
+
 def _batched(x: pd.Series, fn) -> pd.Series:
-    """Apply ``fn`` to equally long rows stacked, keeping the row order."""
+    """Apply ``fn`` to equally long rows stacked, some at a time, keeping the row order."""
     out = np.empty(len(x), dtype=object)
     lengths = x.map(len).to_numpy()
     for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for i, row in zip(at, fn(np.stack(x.iloc[at].to_list()))):
-            out[i] = row
+        equal, step = np.flatnonzero(lengths == n), max(1, STACKED // max(1, n))
+        for first in range(0, len(equal), step):
+            at = equal[first : first + step]
+            for i, row in zip(at, fn(np.stack(x.iloc[at].to_list()))):
+                out[i] = row
     return pd.Series(out)
 
 

@@ -118,3 +118,23 @@ def test_unreliable_components_are_kept(spark):
     df = spark.createDataFrame(rows, "component int, label string, prob double")
     assert [r.component for r in P.artifact_components(df).orderBy("component").collect()] == [1, 4]
     assert [r.component for r in P.artifact_components(df, 0.5).orderBy("component").collect()] == [1, 2, 4]
+
+
+def test_spectra_of_a_batch_need_few_copies_of_it():
+    """A full Arrow batch of 2 s windows is worked on in slices, with the results of the whole."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from encephalake.functions import kernels
+    from encephalake.operators import spectral
+
+    rows = list(np.random.default_rng(0).normal(size=(8000, 250))) + [np.ones(20)]
+    x = pd.Series(rows)
+    tracemalloc.start()
+    got = spectral._batched(x, lambda m: kernels.density(m, 125.0, "hann"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 8001 and len(got[8000]) == 11
+    np.testing.assert_allclose(np.stack(got[:8000].to_list()), kernels.density(np.stack(rows[:8000]), 125.0, "hann"), rtol=1e-12)
+    assert peak < 8000 * 250 * 8
