@@ -73,6 +73,12 @@ def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(named) if small else named, same, "left_anti")
 
 
+def only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of ``rows`` whose ``on`` is a row of ``keys``, which are distinct. Broadcast only if counted small: then ``rows`` are not shuffled."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that ``column`` holds about ``limit`` bytes; one row is never cut."""
     for batch in batches:

@@ -15,10 +15,12 @@ to ``tile_bits``; the pairs that they leave are bounded again by the whole signa
 element of all but the longest texts. What is left then is compared by the exact intersection of the sorted hash arrays.
 
 Only components are wanted, so a group of many copies need not become all its pairs: ``PHASES`` first
-compares a node, in tiles of its first shared shingles, with the nodes of which most is shared (what others were
-copied from is such a node), then with a few neighbours by size; from then on only nodes of
+compares a node with the nodes of which most is shared (what others were copied from is such a node), in tiles of its
+first shared shingles, which are the rarest, and of those that a hash picks: the rarest may be an edit that only a few
+of a large group's copies have, a hash picks what most of them have. From then on only nodes of
 different components are compared. The last phase has no limit, so no link between components is lost. Shingles
-that only nodes of one component share are dropped before they are dealt, if they need more than one block.
+that only nodes of one component share are dropped before they are dealt, if they need more than one block. A row
+of the last phase has the two shared shingles before its own; nodes with one of them in common have met in its tile.
 
 Only A-Z is lower-cased, words are separated by white space. A text with fewer words than a shingle has
 the whole sequence as its only one; null, empty and blank texts have none and link with nothing (or with
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import accumulate
+from itertools import accumulate, product
 from math import log
 
 import numpy as np
@@ -40,16 +42,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_list, join_by_count, slices, tidy, written
+from .common import byte_list, join_by_count, only, slices, tidy, written
 from .components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 TILE = 512
 #: (shared shingles of a node, partners in a tile, are they its most shared nodes or else the next by size); None is all.
-PHASES = ((4, 2, True), (4, 4, False), (None, None, False))
-#: Pairs that are compared for each two components before all the others between them are.
-BETWEEN = 4
+#: With the most shared nodes, as many shingles picked by hash are taken beside the first ones.
+PHASES = ((4, 2, True), (None, None, False))
+#: Pairs that are compared for each two components before all the others between them are, if there are more than so many.
+BETWEEN, AT_ONCE = 4, 20_000
 #: A shingle is common from this share of the texts on; so many of them are told apart, the most common first.
 COMMON_SHARE = 1 / 2000
 COMMON_KEPT = 50_000
@@ -128,7 +131,7 @@ def differing_bits(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a:
         at = np.flatnonzero(kinds == kind)
         size = [int(lengths[side[at[0]]]) for side in (a, b)]
         least = min(size)
-        step = max(1, (_CHUNK << 9) // max(size))
+        step = max(1, (_CHUNK << 6) // max(size))  # the index of a byte takes eight
         for i in range(0, len(at), step):
             part = at[i : i + step]
             sides = []
@@ -209,8 +212,10 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit, centres: bool
     """Distinct pairs (a, b) of a tile's nodes in different components whose overlap may be large enough.
 
     Partners are the next ``reach`` by size (all if None) or, with ``centres``, the ``reach`` most shared nodes of the tile.
+    If all, a pair that has met in the tile of one of the two shared shingles before is left out.
     """
     p, q = limit.p, limit.q
+    every_tile = reach is None and not centres
 
     def of(rows: pa.Table) -> np.ndarray:
         rows = rows.combine_chunks()
@@ -218,6 +223,7 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit, centres: bool
         tile = np.stack([get(c) for c in _TILE_COLUMNS])
         node, n, place, root, block, visits = (get(c) for c in ("node", "n", "place", "root", "block", "visits"))
         apart = get("lo") != get("hi")
+        before = [get("before"), get("earlier")] if every_tile else []
         (sig,) = rows.column("sig").chunks or [pa.array([], pa.binary())]
         ends = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1].astype(np.int64)
         flat = np.frombuffer(sig.buffers()[2], np.uint8)
@@ -228,6 +234,8 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit, centres: bool
         def meet(a: np.ndarray, b: np.ndarray) -> None:
             least = limit.overlap(n[a] + n[b])
             fits = (root[a] != root[b]) & ~(visits[a] & visits[b]) & ~(apart[a] & (block[a] == block[b])) & (np.minimum(n[a] - place[a], n[b] - place[b]) >= least)
+            for x, y in product(before, before):
+                fits &= x[a] != y[b]
             a, b, least = a[fits], b[fits], least[fits]
             if len(a):
                 bound = (n[a] + n[b] - differing_bits(flat, ends[:-1], np.diff(ends), a, b)) // 2
@@ -262,7 +270,7 @@ def _candidates(tiles: DataFrame, reach: int | None, limit: Limit, centres: bool
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(held)], ["a", "b"])
 
     first = F.round(F.col("n") * 1000 / F.col("keys")) if centres else F.lit(0)  # keys: the node's shared shingles
-    columns = [*_TILE_COLUMNS, "n", "node", "place", "root", "block", "visits", "sig"]
+    columns = [*_TILE_COLUMNS, "n", "node", "place", "root", "block", "visits", "sig", *(["before", "earlier"] if every_tile else [])]
     sorted_rows = tiles.select(*columns, first.cast("long").alias("first")).repartition(*_TILE_COLUMNS)
     sorted_rows = sorted_rows.sortWithinPartitions(*_TILE_COLUMNS, "first", "n", "node").drop("first")
     return sorted_rows.mapInArrow(every, "a long, b long").distinct()
@@ -308,8 +316,8 @@ def _sets(docs: DataFrame, text: str, words: int, known: DataFrame, nodes: DataF
             sets = [shingles(t, words) for t in byte_list(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    marks = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("_mark")).select("_mark")
-    chosen = docs.select(F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_mark")).join(marks, "_mark", "left_semi")
+    marks = written(only(known, nodes, "node").groupBy("node").agg(F.min("mark").alias("_mark")).select("_mark"), "marks")
+    chosen = only(docs.select(F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_mark")), marks, "_mark")
     return chosen.groupBy("_mark").agg(F.first("_text").alias("_text")).select("_text").mapInArrow(every, "node long, hashes binary")
 
 
@@ -350,7 +358,10 @@ def near_sets(
     shared = join_by_count(shared, held, "key", "members", shared.count()).join(one_each.select("node", "n"), "node")
     whole = seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     own = Window.partitionBy("node")  # a node's shared shingles, at most its prefix
-    shared = shared.withColumn("turn", F.row_number().over(own.orderBy("place"))).withColumn("keys", F.count(F.lit(1)).over(own))
+    shared = shared.withColumn("pick", F.row_number().over(own.orderBy(F.xxhash64("key"), "key"))).withColumn("keys", F.count(F.lit(1)).over(own))
+    shared = shared.withColumn("turn", F.row_number().over(own.orderBy("place")))
+    # where there is none, the node itself: no other node has it
+    shared = shared.withColumns({name: F.coalesce(F.lag("key", i).over(own.orderBy("place")), F.col("node")) for i, name in enumerate(("before", "earlier"), 1)})
     shared = written(shared, "shared")
     tidy(spark)
 
@@ -362,13 +373,13 @@ def near_sets(
             pairs = candidates.select("a", "b").join(at[0], "a").join(at[1], "b").where("_a <> _b")
             pairs = pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
         else:
-            current = shared if which is None else shared.where(F.col("turn") <= which)
+            current = shared if which is None else shared.where((F.col("turn") <= which) | (F.lit(centres) & (F.col("pick") <= which)))
             current = current.withColumn("root", F.col("node")) if roots is None else current.join(roots.toDF("node", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
             current = current.join(one_each.select("node", "sig"), "node")
             pairs = _candidates(_dealt(current, limit, reach is None), reach, limit, centres)
         pairs = written(_bounded(written(pairs, "pairs"), whole, limit), "bounded")
         # what is left is compared as long as it lies between components, first a few pairs for each two of them
-        for few in (BETWEEN, None):
+        for few in (BETWEEN, None) if pairs.count() > AT_ONCE else (None,):
             chosen = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
             for side in "ab":
                 at = F.lit(None).cast("long") if roots is None else F.col(f"_root_{side}")

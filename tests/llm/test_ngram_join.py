@@ -66,6 +66,33 @@ def test_all_pairs(spark, monkeypatch, group, tile, phases):
     assert found(spark, rows) == want and len({r[2] for r in want}) < 150
 
 
+def test_large_group_with_edits_of_a_few_is_not_all_pairs(spark, monkeypatch):
+    """Two copies each share an edit, so their rarest shingles are not the group's; the last phase still gets few pairs."""
+    base, rows, met = [f"w{i}" for i in range(200)], [], []
+    for i in range(200):
+        text = list(base)
+        text[random.Random(i // 2).randrange(5, 195)] = f"edit{i // 2}"
+        rows.append((i, " ".join([*text, f"own{i}"])))
+    bounded = ngram_join._bounded
+    monkeypatch.setattr(ngram_join, "_bounded", lambda pairs, *rest: met.append(pairs.count()) or bounded(pairs, *rest))
+    got = found(spark, rows)
+    assert {r[2] for r in got} == {0} and sum(met) < 2000
+
+
+def test_pair_of_a_tile_is_left_out_of_the_next(spark):
+    """Of 30 shared shingles, a pair leaves the tile of the first one only."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, node, 40, k, node, node * 1000 + k if k < 1 else k - 1, node * 1000 + k if k < 2 else k - 2) for k in range(30) for node in (500, 501, 502)]
+    tiles = spark.createDataFrame(rows, "key long, node long, n long, place long, root long, before long, earlier long")
+    sig = ngram_join.signature(np.arange(40, dtype=np.uint64))
+    tiles = tiles.withColumns({"n": F.lit(400).cast("long"), "band": F.lit(-1).cast("long"), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long"), "block": F.lit(0).cast("long"), "visits": F.lit(False), "sig": F.lit(bytearray(sig))})
+    pairs = ngram_join._candidates(tiles.repartition(30, "key"), None, ngram_join.Limit(0.8))
+    assert sorted(tuple(r) for r in pairs.collect()) == [(500, 501), (500, 502), (501, 502)]
+    late = ngram_join._candidates(tiles.where("key >= 2"), None, ngram_join.Limit(0.8))
+    assert late.isEmpty()
+
+
 def test_limit_is_included(spark):
     base = [f"w{i}" for i in range(13)]  # nine shingles, the cut copy has eight of them and another text seven
     rows = [(1, " ".join(base)), (2, " ".join(base[:12])), (3, " ".join(f"v{i}" for i in range(14))), (4, " ".join(f"v{i}" for i in range(12)))]
