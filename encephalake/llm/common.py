@@ -19,6 +19,8 @@ from encephalake.session import shared_dir
 WHITE = r"[\x20\x09-\x0D]"
 #: Rows of a few short columns that may be broadcast once they have been counted: about 10 MB.
 BROADCAST_ROWS = 100_000
+#: Bytes of rows that Spark gives to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +40,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold ``BATCH_BYTES`` and a row at most, not 10,000 texts; smaller ones stay as set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store and the path inside it; a bare path is local to what mounts the shared folder."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

@@ -34,6 +34,7 @@ CAPACITY = 1024
 SHARD = 1 << 16
 END_ID = 2
 PIECES = 600_000  # known words that a Python worker keeps
+AT_ONCE = 4 << 20  # bytes of text that it encodes at once
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _SCHEMA + ", sequence_id long, offset long, final boolean"
 
@@ -45,12 +46,12 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, min(b, length) - a) for a, b in zip(starts, [*starts[1:], length])]
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END_ID, kind: type = TextEncoder, known: int = PIECES) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END_ID, kind: type = TextEncoder, known: int = PIECES, at_once: int = AT_ONCE) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, kind, known).encode
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, at_once):
             ids, counts = encode([t.decode("utf-8", "replace") for t in byte_list(batch.column(1))], end)
             data, ends, rows = ids.astype("<u4"), np.cumsum(counts), []
             for key_value, stop, count in zip(batch.column(0).to_pylist(), ends.tolist(), counts.tolist()):
@@ -158,6 +159,6 @@ def pack(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     return done
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", kind: type = TextEncoder, known: int = PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", kind: type = TextEncoder, known: int = PIECES, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents."""
-    return pack(pieces(docs, tokenizer, key, text, kind=kind, known=known))
+    return pack(pieces(docs, tokenizer, key, text, kind=kind, known=known, at_once=at_once))

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from encephalake.llm import language_id, quality_classifier
+from encephalake.llm import language_id, packing, quality_classifier
 from encephalake.llm import stages as stages_of
-from encephalake.llm.common import written
+from encephalake.llm.common import BATCH_BYTES, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +98,37 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_workers_get_small_batches(spark):
+    """Long texts do not make long batches: a worker's memory is bounded by bytes, not by rows."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab cd ', 100000)").alias("text"), F.lit("x").alias("lang"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    try:
+        spark.conf.set(name, "64m")
+        plain, _ = stages_of._plain(docs)
+        found = plain.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 40
+        assert max(r["size"] for r in found) <= BATCH_BYTES + 1_000_000
+        spark.conf.set(name, "1m")
+        stages_of._plain(docs)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_packing_at_once(spark):
+    """However little text is encoded at once and few words are known, the pieces are the same."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    every = [rows(packing.pieces(docs, file, **how)) for how in ({}, {"known": 1000, "at_once": 10_000})]
+    assert every[0] == every[1]
