@@ -117,10 +117,13 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Mo
     slots = np.concatenate([s for s, _ in examples]) if len(examples) else np.zeros(0, np.int64)
     values = np.concatenate([v for _, v in examples]) if len(examples) else np.zeros(0)
     docs = np.repeat(np.arange(len(examples)), lengths)
-    columns, column = np.unique(slots, return_inverse=True)
-    frequent = np.bincount(column, minlength=len(columns)) >= max(MIN_DOCS, MIN_SHARE * len(examples))
-    keep = frequent[column]
-    column, values, docs = column[keep], values[keep], docs[keep]
+    seen = np.bincount(slots, minlength=1 << HASH_BITS)  # slots are small numbers, so nothing need be sorted
+    columns = np.flatnonzero(seen)
+    place = np.zeros(1 << HASH_BITS, np.int64)
+    place[columns] = np.arange(len(columns))
+    keep = (seen >= max(MIN_DOCS, MIN_SHARE * len(examples)))[slots]
+    column, values, docs = place[slots[keep]], values[keep], docs[keep]
+    del slots, keep
     # parameters: weights, first threshold, logs of the gaps between thresholds
     size = len(columns)
     theta = np.zeros(size + GRADES - 1)

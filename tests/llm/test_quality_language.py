@@ -195,3 +195,17 @@ def test_language_odd_rows(spark, odd):
     assert language_id.predict(spark, odd.limit(0)).count() == 0
     nothing = language_id.predict(spark, odd.where("lang is null")).toPandas()
     assert set(nothing.lang_pred) == {"und"} and (nothing.score == 0).all()
+
+
+def test_fit_needs_little_beside_its_values(monkeypatch):
+    """A fit's arrays take a few numbers for each feature value of the sample, without those that sorting them takes."""
+    import tracemalloc
+
+    monkeypatch.setattr(quality_classifier, "STEPS", 1)
+    rng = np.random.default_rng(1)
+    examples = [(rng.integers(0, 1 << quality_classifier.HASH_BITS, 400), np.ones(400)) for _ in range(8000)]
+    tracemalloc.start()
+    quality_classifier.fit(examples, np.arange(8000) % 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * 8000 * 400
