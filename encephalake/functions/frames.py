@@ -115,13 +115,13 @@ def over_frames(frames: DataFrame, keys: Sequence[str], w: int, hop: int, column
                     parts.append(pa.RecordBatch.from_arrays(data, schema=arrow))
                     rows += size
                 if rows >= _ROWS:
-                    yield _together(parts)
+                    yield together(parts)
                     parts, rows = [], 0
         if parts:
-            yield _together(parts)
+            yield together(parts)
 
     return frames.select(*keys, "frame", "g").mapInArrow(run, schema)
 
 
-def _together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+def together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

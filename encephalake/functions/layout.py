@@ -9,8 +9,10 @@ back section by section, so a long channel spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,28 @@ def chunk_arrays(
     return rows.select(*keys, "chunk", F.element_at("_g.p", 1).alias("start"), F.col("_g.v").alias("x"), *shown)
 
 
+def gapless(positions: np.ndarray) -> list[slice]:
+    """The runs of consecutive positions."""
+    cuts = np.flatnonzero(np.diff(positions) != 1) + 1
+    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(positions)])]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """(key, its rows) one after another, of rows sorted by the key in their first ``width`` columns."""
+    key, held = None, []
+    for batch in batches:
+        names = list(zip(*(batch.column(i).to_pylist() for i in range(width))))
+        cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+        for a, b in zip(cuts, [*cuts[1:], len(names)]):
+            if held and names[a] != key:
+                yield key, held
+                held = []
+            key = names[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
 def gapless_stretches(samples: DataFrame, keys: Sequence[str] = KEYS, pos: str = "sample_idx", length: int = CHUNK) -> DataFrame:
     """Add ``stretch``, the first index of the gapless run a row lies in, and count ``pos`` from there.
 

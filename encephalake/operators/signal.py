@@ -12,24 +12,26 @@ Every operator is exact for recordings of any length and cuts them into chunks:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..dims import ENVELOPE_SEC, EQUATIONS, SAMPLE_RATE
 from ..functions import kernels
-from ..functions.layout import CHUNK, KEYS, chunk_arrays, gapless_stretches, own, section_join, with_halo
+from ..functions.frames import together
+from ..functions.layout import CHUNK, KEYS, chunk_arrays, gapless, own, section_join, sorted_groups, with_halo
+from .longphase import split_phase, with_stretches
 
 FILTER_CHUNK = 8192
-
-
-def _gapless(positions: np.ndarray) -> list[slice]:
-    """The runs of consecutive positions."""
-    cuts = np.flatnonzero(np.diff(positions) != 1) + 1
-    return [slice(a, b) for a, b in zip([0, *cuts], [*cuts, len(positions)])]
+#: Short, so that the 10,000 chunks of an Arrow batch are some 40 MB.
+PHASE_CHUNK = 256
+_ROWS = 20_000
 
 
 def _fir_stage(x: np.ndarray, at_start: bool, at_end: bool, taps: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ def _per_stretch(samples: DataFrame, keys: list[str], chunk: int, left: int, rig
         for c, at, v in zip(no, p, x):
             at, v, lo, hi = np.asarray(at), np.asarray(v), c * chunk, (c + 1) * chunk
             places, values = [], []
-            for part in _gapless(at):
+            for part in gapless(at):
                 first, last = at[part.start], at[part.stop - 1]
                 if last < lo or first >= hi:
                     continue
@@ -339,21 +341,19 @@ def solve_states(
 # ---------------------------------------------------------------- phase
 
 
-def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, piece: int = 1 << 20) -> DataFrame:
+def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, piece: int = 1 << 20, length: int = PHASE_CHUNK) -> DataFrame:
     """(keys, sample_idx, b): phase of the analytic signal of each gapless stretch, in [0, 2 pi).
 
-    The transform needs a stretch's whole length. Stretches of up to ``piece`` samples (2.3 hours, 8 MB) are
-    transformed where they meet, after one exchange; the transform of a longer one is split over tasks. Both are one plan,
-    made without looking at the data: sizes are columns, and Spark drops the branch that gets no rows.
+    The transform needs a stretch's whole length. The samples are exchanged once, as short chunks; those of keys of up to
+    ``piece`` samples (2.3 hours, 8 MB) meet as arrays and are transformed key by key, the transform of a longer
+    stretch is split over tasks. Both are one plan, made without looking at the data: sizes are columns.
     """
-    from .longphase import split_phase
-
     keys = list(keys)
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("sample_idx").alias("_first"), F.max("sample_idx").alias("_last"))
-    rows = section_join(samples.select(*keys, "sample_idx", "uv"), sizes, keys, "_last", first="_first").drop("_first", "_last")
-    long = gapless_stretches(rows.where(F.col("_n") > piece).drop("_n"), keys)
-    whole = split_phase(long, [*keys, "stretch"]).select(*keys, (F.col("sample_idx") + F.col("stretch")).alias("sample_idx"), "b")
-    return _direct_phase(rows.where(F.col("_n") <= piece), keys).unionByName(whole)
+    chunks = chunk_arrays(samples, length, keys=keys, positions=True)
+    for c in (*keys, "chunk"):
+        chunks = chunks.where(F.col(c).isNotNull())
+    chunks = with_stretches(chunks, keys)
+    return _direct_phase(chunks.where(F.col("_n") <= piece), keys).unionByName(split_phase(chunks.where(F.col("_n") > piece), keys))
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
@@ -364,22 +364,32 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(z)
 
 
-def _direct_phase(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Each gapless stretch is transformed on its own and keeps its indexes."""
+def _direct_phase(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Each gapless stretch is transformed on its own and keeps its indexes; a task holds one key at a time.
 
-    @F.pandas_udf("array<double>")
-    def phase(p: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for at, v in zip(p, x):
-            v = np.asarray(v)
-            parts = [np.angle(analytic(v[part])) % (2 * np.pi) for part in _gapless(np.asarray(at))]
-            out.append(np.concatenate(parts))
-        return pd.Series(out)
-
-    packed = F.array_sort(F.collect_list(F.struct(F.col("sample_idx").alias("p"), F.col("uv").alias("v"))))
-    whole = samples.groupBy(*keys).agg(packed.alias("g")).select(*keys, F.col("g.p").alias("p"), phase(F.col("g.p"), F.col("g.v")).alias("b"))
-    pairs = whole.select(*keys, F.explode(F.arrays_zip("p", "b")).alias("e"))
-    return pairs.select(*keys, F.col("e.p").alias("sample_idx"), F.col("e.b").alias("b"))
+    A sample without a value leaves its stretch without a phase.
+    """
+    schema = T.StructType([*(chunks.schema[k] for k in keys), *T.DataType.fromDDL("sample_idx long, b double").fields])
+    arrow = to_arrow_schema(schema)
+
+    def phases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, rows = [], 0
+        for key, held in sorted_groups(batches, len(keys)):
+            at, v = (np.concatenate([some.column(c).flatten().to_numpy(zero_copy_only=False) for some in held]) for c in ("p", "x"))
+            b = np.concatenate([np.angle(analytic(v[part])) % (2 * np.pi) for part in gapless(at)])
+            for i in range(0, len(at), _ROWS):
+                some = at[i : i + _ROWS]
+                known = [pa.repeat(pa.scalar(k, f.type), len(some)) for k, f in zip(key, arrow)]
+                made.append(pa.RecordBatch.from_arrays([*known, pa.array(some), pa.array(b[i : i + _ROWS], from_pandas=True)], schema=arrow))
+                rows += len(some)
+                if rows >= _ROWS:
+                    yield together(made)
+                    made, rows = [], 0
+        if made:
+            yield together(made)
+
+    near = chunks.select(*keys, "chunk", "p", "x").repartition(*keys).sortWithinPartitions(*keys, "chunk")
+    return near.mapInArrow(phases, schema)
 
 
 def extract_dynamics(
