@@ -78,6 +78,13 @@ def chunk_arrays(
     return rows.select(*keys, "chunk", F.element_at("_g.p", 1).alias("start"), F.col("_g.v").alias("x"), *shown)
 
 
+def placed(chunks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The chunks an inner join on (keys, chunk) can keep; said beforehand, both of its sides share one exchange."""
+    for c in (*keys, "chunk"):
+        chunks = chunks.where(F.col(c).isNotNull())
+    return chunks
+
+
 def gapless(positions: np.ndarray) -> list[slice]:
     """The runs of consecutive positions."""
     cuts = np.flatnonzero(np.diff(positions) != 1) + 1

@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..dims import ENVELOPE_SEC, EQUATIONS, SAMPLE_RATE
 from ..functions import kernels
 from ..functions.frames import together
-from ..functions.layout import CHUNK, KEYS, chunk_arrays, gapless, own, section_join, sorted_groups, with_halo
+from ..functions.layout import CHUNK, KEYS, chunk_arrays, gapless, own, placed, section_join, sorted_groups, with_halo
 from .longphase import split_phase, with_stretches
 
 FILTER_CHUNK = 8192
@@ -148,6 +149,35 @@ def iir_notch(
     return _per_stretch(samples, list(keys), max(length, halo), halo, 0, kernel)
 
 
+def _samples_of(chunks: DataFrame, keys: list[str], given: Sequence[str], names: Sequence[str], kernel) -> DataFrame:
+    """(keys, sample_idx, names): ``kernel`` of each chunk's given columns, ``p`` among them, as equally long arrays.
+
+    A worker makes the samples of a few chunks at a time, however many an Arrow batch has.
+    """
+    made = [T.StructField("sample_idx", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)]
+    schema = T.StructType([*(chunks.schema[k] for k in keys), *made])
+    arrow = to_arrow_schema(schema)
+
+    def entries(column: pa.Array) -> Sequence:
+        if not pa.types.is_list(column.type):
+            return column.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(column).to_numpy())
+        return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.cumsum(pc.list_value_length(batch.column("p")).to_numpy().astype(np.int64)) // (4 * _ROWS)
+            cuts = [0, *(np.flatnonzero(np.diff(held)) + 1), batch.num_rows]
+            for some in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+                rows = [kernel(*row) for row in zip(*(entries(some.column(c)) for c in given))]
+                of = pa.array(np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
+                at, *values = (np.concatenate(c) for c in zip(*rows))
+                data = [*(some.column(k).take(of) for k in keys), pa.array(at), *(pa.array(v, from_pandas=True) for v in values)]
+                yield pa.RecordBatch.from_arrays(data, schema=arrow)
+
+    return chunks.select(*keys, *given).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- envelopes
 
 
@@ -160,20 +190,14 @@ def rms_envelope(
     left, right = k // 2, k - 1 - k // 2
     keys = list(keys)
 
-    @F.pandas_udf("struct<i:array<bigint>,y:array<double>>")
-    def run(chunk: pd.Series, p: pd.Series, x: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, at, v in zip(chunk, p, x):
-            first, grid = c * length, np.zeros(length + left + right)
-            grid[at - first + left] = np.nan_to_num(np.asarray(v, float)) ** 2
-            total = np.convolve(grid, np.ones(k), "valid")
-            mine = at[at // length == c]
-            out.append((mine, np.sqrt(total[mine - first] / k)))
-        return pd.DataFrame(out, columns=["i", "y"])
+    def run(c: int, at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, grid = c * length, np.zeros(length + left + right)
+        grid[at - first + left] = np.nan_to_num(np.asarray(v, float)) ** 2
+        total = np.convolve(grid, np.ones(k), "valid")
+        mine = at[at // length == c]
+        return mine, np.sqrt(total[mine - first] / k)
 
-    arrays = chunk_arrays(samples, length, left, right, keys, positions=True).select(*keys, run("chunk", "p", "x").alias("r"))
-    pairs = arrays.select(*keys, F.explode(F.arrays_zip(F.col("r.i").alias("i"), F.col("r.y").alias("y"))).alias("e"))
-    return pairs.select(*keys, F.col("e.i").alias("sample_idx"), F.col("e.y").alias("rms"))
+    return _samples_of(chunk_arrays(samples, length, left, right, keys, positions=True), keys, ["chunk", "p", "x"], ["rms"], run)
 
 
 def normalise(
@@ -322,20 +346,15 @@ def solve_states(
             rows.append((np.prod(ma), _run(ma, qa, 0.0)[-1], np.prod(mc), _run(mc, qc, 0.0)[-1]))
         return pd.DataFrame(rows, columns=list(_FOUR))
 
-    @F.pandas_udf("struct<i:array<bigint>,a:array<double>,c:array<double>>")
-    def replay(chunk: pd.Series, p: pd.Series, x: pd.Series, sa: pd.Series, sc: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c, at, f, a0, c0 in zip(chunk, p, x, sa, sc):
-            ma, qa, mc, qc = both(c, at, f)
-            rows.append((at[at // length == c], np.clip(_run(ma, qa, a0), 0.0, 1.0), np.clip(_run(mc, qc, c0), 0.0, 1.0)))
-        return pd.DataFrame(rows, columns=["i", "a", "c"])
+    def replay(c: int, at: np.ndarray, f: np.ndarray, a0: float, c0: float) -> tuple[np.ndarray, ...]:
+        ma, qa, mc, qc = both(c, at, f)
+        return at[at // length == c], np.clip(_run(ma, qa, a0), 0.0, 1.0), np.clip(_run(mc, qc, c0), 0.0, 1.0)
 
-    chunks = chunk_arrays(driven, length, 1, 0, keys, value="f", positions=True)
+    chunks = placed(chunk_arrays(driven, length, 1, 0, keys, value="f", positions=True), keys)
+    chunks = chunks.where(F.expr(f"chunk div {fan}").isNotNull())  # as the scan's join will say
     totals = chunks.select(*keys, "chunk", total("chunk", "p", "x").alias("t"))
     joined = chunks.join(_chunk_starts(totals, keys, fan), [*keys, "chunk"])
-    solved = joined.select(*keys, replay("chunk", "p", "x", "sa", "sc").alias("y"))
-    steps = solved.select(*keys, F.explode(F.arrays_zip(F.col("y.i").alias("i"), F.col("y.a").alias("a"), F.col("y.c").alias("c"))).alias("z"))
-    return steps.select(*keys, F.col("z.i").alias("sample_idx"), F.col("z.a").alias("a"), F.col("z.c").alias("c"))
+    return _samples_of(joined, keys, ["chunk", "p", "x", "sa", "sc"], ["a", "c"], replay)
 
 
 # ---------------------------------------------------------------- phase
@@ -349,10 +368,7 @@ def instantaneous_phase(samples: DataFrame, keys: Sequence[str] = KEYS, piece: i
     stretch is split over tasks. Both are one plan, made without looking at the data: sizes are columns.
     """
     keys = list(keys)
-    chunks = chunk_arrays(samples, length, keys=keys, positions=True)
-    for c in (*keys, "chunk"):
-        chunks = chunks.where(F.col(c).isNotNull())
-    chunks = with_stretches(chunks, keys)
+    chunks = with_stretches(placed(chunk_arrays(samples, length, keys=keys, positions=True), keys), keys)
     return _direct_phase(chunks.where(F.col("_n") <= piece), keys).unionByName(split_phase(chunks.where(F.col("_n") > piece), keys))
 
 
