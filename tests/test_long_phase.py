@@ -87,3 +87,10 @@ def test_no_group_of_rows_holds_a_channel(spark, to_samples, synthetic):
     plan = phase._jdf.queryExecution().optimizedPlan().toString()
     collected = [x for x in plan.splitlines() if re.search(r"Aggregate .*collect_list", x)]
     assert collected and all("chunk" in re.search(r"Aggregate \[(.*?)\]", x).group(1) for x in collected)
+
+
+def test_dynamics_of_a_crop_collect_samples_by_chunk_only(spark, to_samples, synthetic):
+    plan = C.extract_dynamics(to_samples(synthetic[:2, :300]).where("sample_idx >= 100"))._jdf.queryExecution().optimizedPlan().toString()
+    collected = [x for x in plan.splitlines() if re.search(r"Aggregate .*collect_list\(struct\(p, ", x)]
+    assert collected and all("chunk" in re.search(r"Aggregate \[(.*?)\]", x).group(1) for x in collected)
+    assert not re.search(r"explode\(arrays_zip\((p|y|r)\b", plan)
